@@ -1,0 +1,39 @@
+"""Connected components of an edge table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skerry.llm.common import cut
+
+MAX_ROUNDS = 60
+
+
+def _star(sym: DataFrame, keep) -> DataFrame:
+    """sym: (u, v). Each u's least neighbour m (itself included) is computed with partial sums, then joined back, so a hot u stays spread."""
+    least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return sym.join(least, "u").filter(keep).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node that has an edge to another; component is the least node of the component."""
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = cut(e)
+    mark = None
+    for _ in range(MAX_ROUNDS):
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _star(both, F.col("v") > F.col("u")).distinct()
+        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        e = cut(small)
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = (now[0], now[1])
+        if now == mark:
+            break
+        mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
