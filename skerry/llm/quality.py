@@ -31,14 +31,24 @@ class Rule:
     rejects: str
 
 
-def words(text: Column) -> Column:
+def flat(text: Column) -> Column:
+    """The text with each ASCII white space as a space; a null as an empty text. Byte-wise replacement is several times faster than a pattern."""
+    out = F.coalesce(text, F.lit(""))
+    for c in SPACE[:-1]:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
+def words(flat_text: Column) -> Column:
     """Runs of characters that are no ASCII white space."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\t\n\x0b\f\r ]+"))
+    return F.array_remove(F.split(flat_text, " ", -1), "")
 
 
 def without(text: Column, characters: str) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), characters, "")
+    out = F.coalesce(text, F.lit(""))
+    for c in characters:
+        out = F.replace(out, F.lit(c), F.lit(""))
+    return out
 
 
 def let(value: Column, use) -> Column:
@@ -61,9 +71,17 @@ def repeat_words(w: Column, n: int = NGRAM) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(h) > F.size(F.array_distinct(h)), let(pairs, lambda p: let(starts_of(p), covered))).otherwise(F.lit(0).cast("long"))
 
+    def pair(step: int):  # hashes of windows of 2 * step words from those of step words
+        return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
+
     def windows(ids: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(ids) - (n - 1)), lambda i: F.xxhash64(F.slice(ids, i, F.lit(n))))
+        out, step = ids, 1
+        while step < n:
+            out, step = let(out, pair(step)), 2 * step
+        return F.slice(out, F.lit(1), F.size(ids) - (n - 1))
 
+    if n & (n - 1):
+        raise ValueError("n must be a power of two")
     return F.when(F.size(w) > n, let(let(F.transform(w, lambda x: F.xxhash64(x)), windows), count)).otherwise(F.lit(0).cast("long"))
 
 
@@ -76,10 +94,11 @@ def dup_lines(text: Column) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and _w, the words."""
     t = F.col(text)
-    bare = F.char_length(without(t, SPACE)).cast("long")
-    symbols = (F.char_length(F.coalesce(t, F.lit(""))) - F.char_length(without(t, SYMBOLS))).cast("long")
-    df = docs.withColumn("_w", words(t))
-    df = df.withColumns({"n_words": F.size("_w").cast("long"), "word_chars": bare, "n_symbols": symbols, "n_dup_lines": dup_lines(t), "n_repeat_words": repeat_words(F.col("_w"))})
+    bare = F.char_length(F.replace("_flat", F.lit(" "), F.lit(""))).cast("long")
+    symbols = (F.octet_length(F.coalesce(t, F.lit(""))) - F.octet_length(without(t, SYMBOLS))).cast("long")
+    df = docs.withColumn("_flat", flat(t))
+    df = df.withColumn("_w", words(F.col("_flat")))
+    df = df.withColumns({"n_words": F.size("_w").cast("long"), "word_chars": bare, "n_symbols": symbols, "n_dup_lines": dup_lines(t), "n_repeat_words": repeat_words(F.col("_w"))}).drop("_flat")
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -88,8 +107,8 @@ RULES = (
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
     Rule("dup_lines", "10 * n_dup_lines > 3 * (size(split(_t, '\\n')))"),
-    Rule("capitals", "2 * char_length(regexp_replace(_t, '[^A-Z]', '')) > char_length(regexp_replace(_t, '[^A-Za-z]', '')) "),
-    Rule("letters", "5 * size(filter(_w, x -> x rlike '[a-zA-Z\\u00C0-\\u024F]')) < 3 * n_words"),
+    Rule("shouting", "_t rlike '[A-Z]' and not _t rlike '[a-z]'"),
+    Rule("digits", "2 * (octet_length(_t) - octet_length(" + "replace(" * 10 + "_t" + "".join(f", '{d}', '')" for d in range(10)) + ")) > word_chars"),
     Rule("bullets", "10 * size(filter(split(_t, '\\n'), x -> x rlike '^[ \\t]*[-*\\u2022]')) > 9 * size(split(_t, '\\n'))"),
 )
 

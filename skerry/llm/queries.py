@@ -135,8 +135,7 @@ m as (select doc_id, t, w, cast(len(w) as bigint) as n_words, cast(length(regexp
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  not (base_failed or word_chars < 2 * n_words or word_chars > 12 * n_words or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * len(string_split(t, chr(10)))
-  or 2 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > length(regexp_replace(t, '[^A-Za-z]', '', 'g'))
-  or 5 * len(list_filter(w, lambda x: regexp_matches(x, '[a-zA-Z\x{{C0}}-\x{{24F}}]'))) < 3 * n_words
+  or (regexp_matches(t, '[A-Z]') and not regexp_matches(t, '[a-z]')) or 2 * length(regexp_replace(t, '[^0-9]', '', 'g')) > word_chars
   or 10 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*\x{{2022}}]'))) > 9 * len(string_split(t, chr(10)))) as kept
 from f""",
     "op10_ngram_jaccard_join": rf"""
