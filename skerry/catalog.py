@@ -1,4 +1,6 @@
 """Registered queries of the series, graph, sketch and array operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from skerry.plans import array_queries, graph_queries, series_queries
+
+QUERIES = series_queries.QUERIES | graph_queries.QUERIES | array_queries.QUERIES
+ORACLE = series_queries.ORACLE | graph_queries.ORACLE | array_queries.ORACLE
