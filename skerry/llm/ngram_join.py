@@ -32,6 +32,8 @@ from skerry.llm.components import components
 #: Least similarity as a ratio of whole numbers, words in a shingle.
 NUM, DEN, WORDS = 90, 100, 3
 BLOCK = 1000
+#: Cost of ruling out a pair by its sketches, as a share of a key's.
+PAIR_COST = 0.02
 #: Sketch bits; a sketch only spares exact checks.
 BITS = 1024
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick texts; beyond, texts are joined by shuffling.
@@ -80,7 +82,7 @@ def most_apart(band: int, num: int = NUM, den: int = DEN) -> int:
 
 
 def allocate(band: int, n_sets: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
-    """(m, z): segments, and how many of them have budget 1, least in cost. A key costs 1, an unwanted pair 4."""
+    """(m, z): segments, and how many of them have budget 1, least in cost. A key, which is shuffled twice, costs 1; an unwanted pair, which a sketch rules out in place, PAIR_COST."""
     h, size = most_apart(band, num, den), int(band_starts(num, den)[band])
     best = None
     for z in sorted({*range(min(h // 2 + 2, 65)), *(h * i // 40 for i in range(21))}):
@@ -88,7 +90,7 @@ def allocate(band: int, n_sets: int, num: int = NUM, den: int = DEN) -> tuple[in
         if m < z or m - z + 2 * z < h + 1:
             continue
         keys = (m - z) + z * (1 + size / m)
-        cost = n_sets * keys + 4 * 0.5 * n_sets * n_sets * m * math.exp(-size / m)
+        cost = n_sets * keys + PAIR_COST * 0.5 * n_sets * n_sets * m * math.exp(-size / m)
         if best is None or cost < best[0]:
             best = (cost, m, z)
     return best[1], best[2]

@@ -1,0 +1,413 @@
+"""The corpus operators against brute force on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, other columns of clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skerry.llm import components, decontamination, html_extraction, language_id, lm_scoring, ngram_join, packing, quality, queries, secrets, sharding, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+W = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def prose(r, n, words=W):
+    return " ".join(r.choice(words) + str(r.randrange(50)) for _ in range(n))
+
+
+def corpus(seed=1, n=60):
+    r = random.Random(seed)
+    texts = [prose(r, r.choice([1, 2, 3, 12, 40, 90])) for _ in range(n)]
+    texts += [None, "", " \n ", "É", "one", "one two", "one two three", "one two three"] + [texts[5]] * 4 + ["x" * 30000, " ".join(["same words again"] * 40)]
+    base = prose(r, 120).split()
+    for k in range(6):
+        v = list(base)
+        v[k * 7] = "changed"
+        texts.append(" ".join(v))
+    return [(i, t, ["en", "de", None][i % 3], "s", len(t or "")) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# 1 sharding
+
+
+def test_sharding(spark, docs, empty, tmp_path):
+    path = f"file://{tmp_path}/map"
+    rows = sharding.shard_documents(docs.union(docs).withColumn("shard", F.lit(99)).withColumn("size", F.lit("x")), 4, 64, path).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in corpus() + corpus())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    for s in range(4):
+        own = sorted(r["place"] for r in rows if r["shard"] == s)
+        assert own == list(range(len(own)))
+    stored = sharding.load_map(spark, path)
+    assert all(stored.shard_of[r["virtual_slot"]] == r["shard"] for r in rows)
+    assert sharding.shard_documents(empty, 4, 64, path).count() == 0
+
+
+def test_slot_maps():
+    r = random.Random(2)
+    sizes = [r.randrange(1, 200) for _ in range(1000)]
+    a = sharding.first_map(sizes, [1] * 1000, 8)
+    assert max(a.loads()) - min(a.loads()) <= 2
+    b = sharding.rebalance(a, sizes, [1] * 1000, 9)
+    assert b.version == 2 and max(b.loads()) <= 1.02 * min(b.loads())
+    assert all(y in (x, 8) for x, y in zip(a.shard_of, b.shard_of, strict=True))
+    grown = [s * (5 if i < 100 else 1) for i, s in enumerate(sizes)]
+    c = sharding.rebalance(b, grown, [1] * 1000)
+    assert max(c.loads()) <= 1.05 * min(c.loads())
+    with pytest.raises(ValueError):
+        sharding.rebalance(b, sizes, [1] * 1000, 3)
+
+
+# 2 secrets
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    words = [w * 2 for w in W] + W
+    return secrets.train(secrets.labelled_findings(1500, words=words), words)
+
+
+def test_secret_forest_held_out(scanner):
+    rows = secrets.labelled_findings(600, 99, sorted(scanner.words.words))
+    x = np.array([secrets.features(t, a, b, k, p, scanner.words) for t, p, a, b, k, _ in rows])
+    assert ((scanner.forest.predict(x) >= 0.5) == np.array([r[5] for r in rows])).mean() > 0.95
+
+
+def test_secret_scan(spark, scanner, empty):
+    key = "AKIA" + "Q7ZK3MWP2XN5RTVB"
+    t = [(1, f"in {key} we", None, "a", 0), (2, 'token = "661f4d643109ac1c4160a4d55d1f1f508f3175a1" x', None, "a", 0), (3, "password: changeme", None, "tests/a", 0), (4, None, None, None, 0), (5, "", None, None, 0), (6, "plain words only " * 5000, None, "a", 0), (1, f"in {key} we", None, "a", 0)]
+    d = spark.createDataFrame(t, SCHEMA).withColumn("kind", F.lit(1)).withColumn("score", F.lit("x"))
+    got = secrets.scan(d, scanner).collect()
+    assert Counter(r["doc_id"] for r in got if r["is_secret"]) == {1: 2, 2: 1}
+    assert all(t[r["doc_id"] - 1][1][r["start"] : r["end"]] in (key, "661f4d643109ac1c4160a4d55d1f1f508f3175a1", "changeme") for r in got)
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact(d, scanner).collect()}
+    assert kept[1] == f"in {secrets.MASK} we" and kept[3] == "password: changeme" and kept[4] is None and kept[6] == t[5][1]
+    assert secrets.scan(empty, scanner).count() == 0
+
+
+# 3 decontamination
+
+
+def brute_overlap(docs, items):
+    out = {}
+    its = [(str(i), decontamination.words_of(t)) for i, t in items]
+    for key, t in docs:
+        w, hit, ids = decontamination.words_of(t), set(), set()
+        for i, v in its:
+            n = min(13, len(v))
+            grams = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if v else set()
+            for k in range(len(w) - n + 1):
+                if n and tuple(w[k : k + n]) in grams:
+                    hit.update(range(k, k + n))
+                    ids.add(i)
+        out[key] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+@pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 60])
+def test_decontamination(spark, empty, block_words):
+    r = random.Random(5)
+    small = ["a", "b", "c", "d"]
+    items = [(i, " ".join(r.choice(small if i % 2 else W) for _ in range(r.choice([1, 3, 5, 12, 13, 14, 30])))) for i in range(24)] + [(50, None), (51, ""), (52, "..."), (0, "é È É")]
+    docs = []
+    for i in range(60):
+        t = " ".join(r.choice(small if i % 3 else W) for _ in range(r.randrange(0, 80)))
+        if i % 4 == 0:
+            t += " " + (items[r.randrange(24)][1]).upper() + ", " + t
+        docs.append((i, t))
+    docs += [(100, None), (101, ""), (102, "x " * 20000 + items[5][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit("other"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.judge(decontamination.find_overlaps(d, b, block_words=block_words, carry=["doc_id"])).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in got} == brute_overlap(docs, items)
+    none = decontamination.judge(decontamination.find_overlaps(d.drop("n_words"), b.limit(0))).agg(F.sum("n_hit"), F.count_if("contaminated")).first()
+    assert tuple(none) == (0, 0)
+    assert decontamination.find_overlaps(empty, b).count() == 0
+
+
+def test_winnowing_guarantee():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        a, b = r.integers(0, 6, 60).astype(np.uint64), r.integers(0, 6, 60).astype(np.uint64)
+        b[20:33] = a[11:24]
+        ga, gb = decontamination.gram_hashes(a, 5), decontamination.gram_hashes(b, 5)
+        pa, pb = decontamination.winnow(ga, 9), decontamination.winnow(gb, 9)
+        assert any(11 <= p <= 19 and q - p == 9 for p in pa for q in pb if ga[p] == gb[q])
+
+
+# 4 language
+
+
+def test_language(spark, empty):
+    r = random.Random(3)
+    syll = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ein", "ung", "ber"], "cc": ["eau", "oux", "ille", "ré"]}
+    text = lambda k: " ".join("".join(r.choice(syll[k]) for _ in range(r.randrange(1, 5))) for _ in range(120))
+    rows = [(i, text(k), k, "s", 0) for i, k in enumerate(list(syll) * 40)] + [(900, None, "aa", "s", 0), (901, "12 34 !", "bb", "s", 0), (902, "", None, "s", 0), (903, text("bb") * 40, None, "s", 0)]
+    d = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("x"))
+    model = queries.language_model(d)
+    got = {x["doc_id"]: x for x in language_id.identify(d.drop("score"), model).collect()}
+    assert all(got[i]["lang_pred"] == k for i, t, k, *_ in rows[:120])
+    assert {got[i]["lang_pred"] for i in (900, 901, 902)} == {"und"} and got[903]["lang_pred"] == "bb"
+    assert all(0 <= x["score"] <= 1 for x in got.values())
+    assert language_id.gather(empty) == {} and language_id.identify(empty, None).count() == 0
+
+
+def test_cross_parse_by_search():
+    r = random.Random(8)
+    train = "".join(r.choice("abcd ") for _ in range(300))
+    m = language_id.train({"x": [train]})
+    sample = language_id.encode(train, m.codes).tobytes()
+    for n in (1, 7, 200, 1500):
+        s = language_id.encode("".join(r.choice("abcde ") for _ in range(n)), m.codes)
+        want = 0
+        for a in range(0, len(s), language_id.LANE):
+            lane, i = s[a : a + language_id.LANE].tobytes(), 0
+            while i < len(lane):
+                j = i + 1
+                while j < len(lane) and lane[i : j + 1] in sample:
+                    j += 1
+                want, i = want + 1, j
+        assert language_id.phrases([s], m)[0, 0] == want
+
+
+# 5 scoring
+
+
+def test_lm_scoring(spark, docs, empty):
+    r = random.Random(9)
+    good, bad = ["red", "blue", "green", "grey"], ["noise", "junk", "spam", "trash"]
+    rows = [(i, " ".join(r.choice(good if i % 2 else bad) for _ in range(60)), None, None, 0) for i in range(80)] + [(200, None, None, None, 0), (201, "", None, None, 0)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = {x["doc_id"]: x for x in lm_scoring.score(d.withColumn("target", F.lit(5)), d.filter("doc_id < 40 and doc_id % 2 = 1")).collect()}
+    assert min(got[i]["score"] for i in range(41, 80, 2)) > max(got[i]["score"] for i in range(40, 80, 2))
+    assert got[200]["score"] is None and got[201]["n_tokens"] == 0
+    counts = {x["word"]: (x["t"], x["b"]) for x in lm_scoring.word_counts(lm_scoring.mark_target(d, d.filter("doc_id = 1"))).collect()}
+    every, target = Counter(w for _, t, *_ in rows for w in (t or "").split()), Counter(rows[1][1].split())
+    assert counts == {w: (target[w], n) for w, n in every.items()}
+    assert {x["score"] for x in lm_scoring.score(d, d.limit(0)).collect()} == {None} and lm_scoring.score(empty, empty).count() == 0
+
+
+# 6 packing
+
+
+def test_encoder():
+    e = packing.Encoder(queries.tokenizer_path())
+    for t in ["", "Hello, World!! don't  re'll x", "ÉCOLE naïve Straße ΣΑΣ İx", "a<|endoftext|>b", "tab\tx　y z", "12ab...'s ''", "é ́", "x" * 500, "%%% a_b ***", "ªº µ"]:
+        assert e(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+        assert e(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+@pytest.mark.parametrize("capacity,width", [(64, 4), (4096, 8)])
+def test_packing(spark, docs, empty, capacity, width):
+    path = queries.tokenizer_path()
+    d = docs.union(docs.filter("doc_id < 5"))
+    rows = packing.pack(d.withColumn("offset", F.lit("x")), path, capacity, width).collect()
+    e = packing.Encoder(path)
+    seq = defaultdict(list)
+    by = defaultdict(list)
+    for r in rows:
+        seq[r["sequence_id"]].append((r["offset"], r["length"]))
+        by[r["doc_id"]].append(r)
+    assert sorted(seq) == list(range(len(seq)))
+    for parts in seq.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= capacity
+    for i, t, *_ in corpus():
+        ids = e(t) + np.asarray([packing.END], "<u4").tobytes()
+        want = [(a, zlib.crc32(ids[4 * a : 4 * (a + capacity)])) for a in range(0, len(ids) // 4, capacity)] * (2 if i < 5 else 1)
+        assert sorted((r["start"], r["ids_crc32"]) for r in by[i]) == sorted(want)
+        assert {r["doc_tokens"] for r in by[i]} == {len(ids) // 4}
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_column_generation():
+    r = np.random.default_rng(6)
+    d = np.zeros(64, np.int64)
+    for s in r.integers(1, 64, 4000):
+        d[s - 1] += 1
+    plan = packing.solve(d, 64)
+    assert (sum(p * n for p, n in plan) == d).all()
+    assert all((p * np.arange(1, 65)).sum() <= 64 for p, _ in plan)
+    tokens = int((d * np.arange(1, 65)).sum())
+    assert sum(n for _, n in plan) <= 1.03 * max(tokens / 64, packing.column_generation(d, 64)[2])
+    assert packing.solve(np.zeros(64, np.int64), 64) == []
+
+
+# 7 html
+
+
+PAGE = '<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul>{nav}</ul></nav><div class="ad">buy {i}</div><article><h1>Head&nbsp;{i}</h1>{body}</article><div class="comments"><p>reader {i}</p></div><footer>&copy; x</footer>{end}'
+
+
+def page(i, r):
+    nav = "".join(f'<li><a href="/{k}">n{k}</a></li>' for k in range(r.randrange(2, 6)))
+    body = "".join(f"<p>par  {i}\n {k} &amp; <b>bold</b> text</p>" if r.random() < 0.7 else f"<p><b>open {k}<br>" for k in range(r.randrange(1, 9)))
+    want = [f"Head {i}"] + [re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " " if "<br" in b else "", b)).replace("&amp;", "&").strip() for b in re.findall(r"<p>.*?(?:</p>|<br>)", body, re.S)]
+    return PAGE.format(i=i, nav=nav, body=body, end="</body></html>" if i % 3 else ""), "\n".join(want)
+
+
+def test_html(spark):
+    r = random.Random(4)
+    rows, want = [], {}
+    for i in range(60):
+        h, want[i] = page(i, r)
+        rows.append((i, f"https://{'hot' if i % 3 else 'h' + str(i % 4)}.example/{i}", h))
+    rows += [(100, None, "<p>alone</p>"), (101, "x", None), (102, "http://hot.example/", ""), (103, "http://hot.example/q", "no tags at all < 3"), (104, "http://z.example", "<div class='sidebar'>s</div><div id=main>" + "<p>long</p>" * 5000 + "</div>")]
+    want |= {100: "alone", 101: "", 102: "", 103: "no tags at all < 3", 104: "\n".join(["long"] * 5000)}
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("host", F.lit("x"))
+    got = {x["page_id"]: x for x in html_extraction.extract(d).collect()}
+    assert {k: v["text"] for k, v in got.items()} == want
+    assert all(v["n_chars"] == len(v["text"]) for v in got.values())
+    assert sum(v["matched"] for v in got.values()) > 40
+    assert html_extraction.extract(d.limit(0)).count() == 0
+
+
+# 8 quality
+
+
+def brute_quality(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    cover = {k for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality(spark, docs, empty):
+    extra = [(500, "a\nb\na\n \n\na\x0bc", None, None, 0), (501, " ".join("one two three four five six seven eight nine".split() * 3), None, None, 0), (502, "## $$ |x| é ü " * 10, None, None, 0), (503, ("w%d " * 9) % tuple(range(9)) * 2 + "tail", None, None, 0)]
+    d = docs.union(spark.createDataFrame(extra, SCHEMA))
+    got = quality.apply_rules(d.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit(1))).collect()
+    texts = {i: t for i, t, *_ in corpus() + extra}
+    for x in got:
+        want = brute_quality(texts[x["doc_id"]])
+        assert tuple(x[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, x["doc_id"]
+        assert x["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (x["kept"] and x["base_failed"])
+    plan = quality.apply_rules(d)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    assert quality.apply_rules(empty).count() == 0
+
+
+def test_order_never_changes_verdicts(docs):
+    m = quality.measures(docs)
+    a = {r["doc_id"]: r["kept"] for r in quality.cascade(m, list(quality.RULES)).collect()}
+    assert a == {r["doc_id"]: r["kept"] for r in quality.cascade(m, list(quality.RULES)[::-1]).collect()}
+    e = [(quality.RULES[0], 1.0, 0.1), (quality.RULES[1], 0.1, 0.1), (quality.RULES[2], 0.1, 0.0)]
+    assert [r.name for r in quality.order(e)] == [quality.RULES[k].name for k in (1, 0, 2)]
+
+
+# 9 warc
+
+
+def test_warc(spark):
+    t = "timestamp'2024-01-0{} 00:00:00'"
+    rows = [
+        (1, "http://a.com/x", 1, "response", 200, '"1"', "d1", None), (2, "http://a.com/x", 3, "response", 200, '"2"', "d2", None), (3, "http://a.com/x", 3, "response", 200, '"3"', "d3", None),
+        (4, "http://a.com/x", 2, "response", 404, '"4"', "d4", None), (10, "HTTPS://WWW.A.com:443/x/?utm_a=1#f", 2, "revisit", 304, 'W/"1"', None, None), (11, "http://a.com/x", 3, "revisit", 304, '"1"', None, None),
+        (12, "http://a.com/x", 4, "revisit", 304, '"3"', None, None), (13, "http://a.com/x", 4, "revisit", 304, '"2"', None, None), (14, "http://a.com/x", 1, "revisit", 304, '"1"', None, None), (15, "http://a.com/x", 5, "revisit", 304, None, "d3", None),
+        (16, "http://a.com/x", 5, "revisit", 304, None, None, None), (17, None, 5, "revisit", 304, '"3"', None, None), (18, "http://a.com/x", None, "revisit", 304, '"3"', None, None), (12, "http://a.com/x", 4, "revisit", 304, '"3"', None, None),
+    ]
+    d = spark.createDataFrame(rows, "record_id long, url string, day int, kind string, status int, etag string, digest string, last_modified timestamp")
+    d = d.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0))).withColumn("headers", F.when(F.col("kind") == "response", F.create_map(F.lit("ETag"), F.col("etag"), F.lit("X"), F.lit("1"))).otherwise(F.create_map(F.lit("Date"), F.lit("now"), F.lit("Set-Cookie"), F.lit("no")))).withColumn("answer", F.lit("x")).drop("answer")
+    for seconds in (3600, 86400 * 30):
+        got = [(r["record_id"], r["answer"], r["outcome"]) for r in warc.resolve(d, seconds).collect()]
+        assert sorted(got, key=str) == sorted([(10, 1, "resolved"), (11, 1, "resolved"), (12, 3, "resolved"), (12, 3, "resolved"), (13, None, "validator-mismatch"), (14, None, "no-response"), (15, 3, "resolved"), (16, None, "no-validator"), (17, None, "no-response"), (18, None, "no-response")], key=str), t
+    assert warc.resolve(d).filter("record_id = 10").first()["merged"] == {"etag": '"1"', "x": "1", "date": "now"}
+    assert warc.resolve(d.limit(0)).count() == 0
+
+
+# 10 join
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_join(spark, empty, block):
+    r = random.Random(11)
+    rows = [(i, t) for i, t, *_ in corpus()]
+    for size in (9, 10, 11, 20, 33, 60, 200):
+        base = prose(r, size).split()
+        for k in range(12):
+            v = list(base)
+            for _ in range(k % 5):
+                p = r.randrange(len(v))
+                v[p : p + 1] = r.choice([["new" + str(r.random())], [], [v[p], "more"]])
+            rows.append((1000 + len(rows), " ".join(v)))
+    r.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("fp", F.lit(1))
+    got = ngram_join.jaccard_components(d, block=block).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(rows) and len(got) == len(rows)
+    assert ngram_join.jaccard_components(empty).count() == 0
+
+
+def test_join_of_repeated_and_null_ids(spark):
+    t = "a b c d e f g h i j k l"
+    d = spark.createDataFrame([(None, t), (5, t), (5, t), (7, t + " m"), (None, None)], "doc_id long, text string")
+    got = Counter((x["doc_id"], x["component_id"]) for x in ngram_join.jaccard_components(d).collect())
+    assert got == {(None, 5): 1, (5, 5): 2, (7, 5): 1, (None, None): 1}
+
+
+def test_keys_meet():
+    """Any pair that is similar enough shares a key, for every plan of budgets."""
+    r = np.random.default_rng(7)
+    for n in (9, 10, 19, 20, 40, 95, 300):
+        for z_more in (False, True):
+            plan = {}
+            for b in range(80):
+                h = ngram_join.most_apart(b)
+                plan[b] = (max(1, (h + 2) // 2), min(max(1, (h + 2) // 2), h // 2 + 1)) if z_more else ngram_join.allocate(b, 1000)
+            for _ in range(60):
+                a = r.integers(0, 1 << 63, n).astype(np.uint64)
+                drop, add = r.integers(0, max(1, n // 15) + 1), r.integers(0, max(1, n // 15) + 1)
+                b_ = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
+                a = np.unique(a)
+                inter = len(np.intersect1d(a, b_))
+                if ngram_join.same_enough(inter, len(a), len(b_)):
+                    assert len(np.intersect1d(ngram_join.keys_of(a, plan), ngram_join.keys_of(b_, plan)))
+
+
+def test_components(spark):
+    r = random.Random(1)
+    pairs = [(i, i + 1) for i in range(50)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(25)] + [(200, 201 + i) for i in range(30)]
+    root = list(range(300))
+    for a, b in pairs * 60:
+        root[a] = root[b] = min(root[a], root[b])
+    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: root[i] for i in {x for p in pairs if p[0] != p[1] for x in p}}
