@@ -56,7 +56,7 @@ def rebalance(old: SlotMap, bytes_of: list[int], rows_of: list[int], n_shards: i
     """The next version of a map for new slot sizes and perhaps more shards.
 
     Moves the largest slot that still fits from the fullest shard to the emptiest until all are within the tolerance of the mean or no
-    move helps; slots that need not move stay. A new shard starts empty and so only takes.
+    move helps; slots that need not move stay. When shards are added, only they take slots.
     """
     n_shards = n_shards or old.n_shards
     if n_shards < old.n_shards:
@@ -67,10 +67,11 @@ def rebalance(old: SlotMap, bytes_of: list[int], rows_of: list[int], n_shards: i
     for slot, s in enumerate(shard_of):
         members[s].append((bytes_of[slot], slot))
         loads[s] += bytes_of[slot]
-    mean = sum(loads) / n_shards
+    mean, grows = sum(loads) / n_shards, n_shards > old.n_shards
+    takers = range(old.n_shards if grows else 0, n_shards)
     for _ in range(len(shard_of)):
-        hi, lo = max(range(n_shards), key=lambda s: (loads[s], -s)), min(range(n_shards), key=lambda s: (loads[s], s))
-        if loads[hi] - mean <= tolerance * mean and mean - loads[lo] <= tolerance * mean:
+        hi, lo = max(range(n_shards), key=lambda s: (loads[s], -s)), min(takers, key=lambda s: (loads[s], s))
+        if (grows or loads[hi] - mean <= tolerance * mean) and mean - loads[lo] <= tolerance * mean:
             break
         room = min(loads[hi] - loads[lo] - 1, max(loads[hi] - mean, mean - loads[lo]) + tolerance * mean)
         fits = [m for m in members[hi] if 0 < m[0] <= room]
