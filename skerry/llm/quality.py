@@ -106,7 +106,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 RULES = (
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("dup_lines", "10 * n_dup_lines > 3 * (size(split(_t, '\\n')))"),
+    Rule("dup_lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * size(split(_t, '\\n'))"),
+    Rule("stutter", "3 * size(filter(_w, (x, i) -> x = get(_w, i + 1))) > n_words"),
     Rule("shouting", "_t rlike '[A-Z]' and not _t rlike '[a-z]'"),
     Rule("digits", "2 * (octet_length(_t) - octet_length(" + "replace(" * 10 + "_t" + "".join(f", '{d}', '')" for d in range(10)) + ")) > word_chars"),
     Rule("bullets", "10 * size(filter(split(_t, '\\n'), x -> x rlike '^[ \\t]*[-*\\u2022]')) > 9 * size(split(_t, '\\n'))"),

@@ -134,7 +134,8 @@ m as (select doc_id, t, w, cast(len(w) as bigint) as n_words, cast(length(regexp
  cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words from l left join c using (doc_id)),
 f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- not (base_failed or word_chars < 2 * n_words or word_chars > 12 * n_words or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * len(string_split(t, chr(10)))
+ not (base_failed or word_chars < 2 * n_words or word_chars > 12 * n_words or 10 * n_symbols > n_words or (n_dup_lines >= 3 and 10 * n_dup_lines > 3 * len(string_split(t, chr(10))))
+  or 3 * len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > n_words
   or (regexp_matches(t, '[A-Z]') and not regexp_matches(t, '[a-z]')) or 2 * length(regexp_replace(t, '[^0-9]', '', 'g')) > word_chars
   or 10 * len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*\x{{2022}}]'))) > 9 * len(string_split(t, chr(10)))) as kept
 from f""",
