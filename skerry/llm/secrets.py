@@ -146,7 +146,7 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = 7, words: list[str] | Non
         lambda: ("aws_key_id", "AKIA" + pick(string.ascii_uppercase + "234567", 16)),
         lambda: ("github_token", "ghp_" + pick(alnum, 36)),
         lambda: ("prefixed_key", r.choice(["sk_live_", "sk-", "xoxb-", "glpat-"]) + pick(alnum, r.randint(20, 48))),
-        lambda: ("assignment", pick(hexd, r.choice([32, 40, 64]))),
+        lambda: ("assignment", pick(hexd, r.choice([12, 16, 18, 20, 24, 32, 40, 64]))),
         lambda: ("assignment", pick(alnum, r.randint(16, 64))),
         lambda: ("assignment", pick(alnum + "!@#$%^&*-_", r.randint(8, 24))),
         lambda: ("assignment", word().capitalize() + pick(string.digits, r.randint(2, 4)) + r.choice("!@#$%")),
