@@ -1,6 +1,6 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Target and background models share one vocabulary (the commonest words of all documents; the rest is one unknown word), order, smoothing and
+Target and background models share one vocabulary (the commonest words of all documents, VOCABULARY at most; the rest is one unknown word), order, smoothing and
 cell table, and the background's counts are scaled to the target's number of tokens. Both are interpolated bigram models. A document's score
 is its loss per token under the background model less that under the target model: high scores look like the target.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import map_batches, mix64, small_batches
+from skerry.llm.common import Scratch, map_batches, mix64, small_batches
 
 VOCABULARY, CELLS = 50_000, 1 << 20
 #: Pseudo-count with which the unigram model enters the bigram model.
@@ -114,10 +114,18 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABUL
     """doc_id, n_tokens, target_loss, background_loss (bits a token) and score of every document."""
     spark = docs.sparkSession
     marked = mark_target(docs, target_ids)
-    counts = word_counts(marked)
-    top = counts.orderBy(F.desc("b"), "word").limit(vocabulary_size).collect()  # vocabulary_size rows
+    scratch = Scratch(spark)
+    counts = scratch.put(word_counts(marked), "words").withColumn("level", F.floor(F.log2("b") * 64))
+    # levels of counts, some thousand rows; the commonest that hold vocabulary_size words at most, so that equal counts stay together
+    levels, least, room = sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]), None, vocabulary_size
+    for r in levels:
+        if r["n"] > room:
+            break
+        least, room = r["level"], room - r["n"]
+    top = [] if least is None else sorted(counts.filter(F.col("level") >= least).collect(), key=lambda r: (-r["b"], r["word"]))  # vocabulary_size rows
     vocabulary = [r["word"] for r in top]
     total = counts.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    scratch.drop()
     totals = np.array([total["t"] or 0, total["b"] or 0], float)
     single = np.zeros((2, len(vocabulary) + 2))
     single[:, 2:] = np.array([[r["t"] for r in top], [r["b"] for r in top]], float).reshape(2, -1)
