@@ -92,10 +92,10 @@ def series_auto_step(spark, d):
 def _revenue(spark, d):
     """l_returnflag, day and revenue of every third day: a series with gaps."""
     li = table(spark, d, "lineitem").select("l_returnflag", F.floor(micros("l_shipdate") / DAY).alias("day"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
-    return li.filter(F.pmod("day", F.lit(3)) == 0).groupBy("l_returnflag", "day").agg(F.sum("r").alias("revenue"))
+    return li.filter(F.pmod("day", F.lit(3)) == 0).groupBy("l_returnflag", "day").agg(R(F.sum("r"), 4).alias("revenue"))
 
 
-_REV = "rev as (select l_returnflag, day, sum(r) as revenue from (select l_returnflag, cast(floor(epoch_us(l_shipdate) / 86400000000) as bigint) as day, l_extendedprice * (1 - l_discount) as r from lineitem) where day % 3 = 0 group by 1, 2)"
+_REV = "rev as (select l_returnflag, day, round(sum(r), 4) as revenue from (select l_returnflag, cast(floor(epoch_us(l_shipdate) / 86400000000) as bigint) as day, l_extendedprice * (1 - l_discount) as r from lineitem) where day % 3 = 0 group by 1, 2)"
 _GRID = f"{_REV}, e as (select l_returnflag, min(day) as a, max(day) as z from rev group by 1), grid as (select l_returnflag, unnest(range(a, z + 1, 2)) as day from e), reg as (select g.l_returnflag, g.day, revenue from grid g left join rev using (l_returnflag, day))"
 
 
