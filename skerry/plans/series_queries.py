@@ -283,7 +283,7 @@ s as (select o_orderstatus, day - min(day) over (partition by o_orderstatus) as
 select o_orderstatus, cast(list_reduce(list(x), lambda a, b: gcd(a, b)) as double) as step from s group by 1""",
     "series_regrid": f"with {_GRID} select l_returnflag, day, round(revenue, 4) as revenue from reg",
     "series_interpolate_linear": f"with {_KNOWN} select l_returnflag, day, round(case when revenue is not null then revenue else {_LINE.format(a='p', b='q')} end, 6) as filled from k where q is not null union all "
-    f"select l_returnflag, day, round(v2 + (day - t2)::double * ((v2 - v1) / (t2 - t1)), 4) from (select k.l_returnflag, k.day, x.t1, x.v1, x.t2, x.v2 from k join (select l_returnflag, l[-2].t as t1, l[-2].v as v1, l[-1].t as t2, l[-1].v as v2 from (select l_returnflag, list(struct_pack(t := day, v := revenue) order by day) as l from k where revenue is not null group by 1)) x using (l_returnflag) where k.q is null)",
+    f"select l_returnflag, day, round(v1 + (v2 - v1) * ((day - t1)::double / (t2 - t1)), 6) from (select k.l_returnflag, k.day, x.t1, x.v1, x.t2, x.v2 from k join (select l_returnflag, l[-2].t as t1, l[-2].v as v1, l[-1].t as t2, l[-1].v as v2 from (select l_returnflag, list(struct_pack(t := day, v := revenue) order by day) as l from k where revenue is not null group by 1)) x using (l_returnflag) where k.q is null)",
     "series_interpolate_previous": f"with {_KNOWN} select l_returnflag, day, round(p.v, 6) as filled from k",
     "series_interpolate_zero": f"with {_KNOWN} select l_returnflag, day, round(coalesce(p.v, q.v), 6) as filled from k",
     "series_interpolate_next": f"with {_KNOWN} select l_returnflag, day, round(q.v, 6) as filled from k",
