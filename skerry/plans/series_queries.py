@@ -109,7 +109,7 @@ def series_regrid(spark, d):
 
 def _interpolated(kind):
     def run(spark, d):
-        return series.interpolate(_regridded(spark, d), ["l_returnflag"], "day", "revenue", kind).select("l_returnflag", "day", R("filled", 6).alias("filled"))
+        return series.interpolate(_regridded(spark, d), ["l_returnflag"], "day", "revenue", kind).select("l_returnflag", "day", "filled")
 
     run.__name__ = f"series_interpolate_{kind.replace('-', '_')}"
     return run
@@ -282,13 +282,13 @@ select event_type, tick, round(avg(f) over (partition by event_type order by tic
 s as (select o_orderstatus, day - min(day) over (partition by o_orderstatus) as x from t)
 select o_orderstatus, cast(list_reduce(list(x), lambda a, b: gcd(a, b)) as double) as step from s group by 1""",
     "series_regrid": f"with {_GRID} select l_returnflag, day, round(revenue, 4) as revenue from reg",
-    "series_interpolate_linear": f"with {_KNOWN} select l_returnflag, day, round(case when revenue is not null then revenue else {_LINE.format(a='p', b='q')} end, 6) as filled from k where q is not null union all "
-    f"select l_returnflag, day, round(v1 + (v2 - v1) * ((day - t1)::double / (t2 - t1)), 6) from (select k.l_returnflag, k.day, x.t1, x.v1, x.t2, x.v2 from k join (select l_returnflag, l[-2].t as t1, l[-2].v as v1, l[-1].t as t2, l[-1].v as v2 from (select l_returnflag, list(struct_pack(t := day, v := revenue) order by day) as l from k where revenue is not null group by 1)) x using (l_returnflag) where k.q is null)",
-    "series_interpolate_previous": f"with {_KNOWN} select l_returnflag, day, round(p.v, 6) as filled from k",
-    "series_interpolate_zero": f"with {_KNOWN} select l_returnflag, day, round(coalesce(p.v, q.v), 6) as filled from k",
-    "series_interpolate_next": f"with {_KNOWN} select l_returnflag, day, round(q.v, 6) as filled from k",
-    "series_interpolate_nearest": f"with {_KNOWN} select l_returnflag, day, round(case when q is null or day - p.t <= q.t - day then p.v else q.v end, 6) as filled from k",
-    "series_interpolate_nearest_up": f"with {_KNOWN} select l_returnflag, day, round(case when q is null or day - p.t < q.t - day then p.v else q.v end, 6) as filled from k",
+    "series_interpolate_linear": f"with {_KNOWN} select l_returnflag, day, case when revenue is not null then revenue else {_LINE.format(a='p', b='q')} end as filled from k where q is not null union all "
+    f"select l_returnflag, day, v1 + (v2 - v1) * ((day - t1)::double / (t2 - t1)) as filled from (select k.l_returnflag, k.day, x.t1, x.v1, x.t2, x.v2 from k join (select l_returnflag, l[-2].t as t1, l[-2].v as v1, l[-1].t as t2, l[-1].v as v2 from (select l_returnflag, list(struct_pack(t := day, v := revenue) order by day) as l from k where revenue is not null group by 1)) x using (l_returnflag) where k.q is null)",
+    "series_interpolate_previous": f"with {_KNOWN} select l_returnflag, day, p.v as filled from k",
+    "series_interpolate_zero": f"with {_KNOWN} select l_returnflag, day, coalesce(p.v, q.v) as filled from k",
+    "series_interpolate_next": f"with {_KNOWN} select l_returnflag, day, q.v as filled from k",
+    "series_interpolate_nearest": f"with {_KNOWN} select l_returnflag, day, case when q is null or day - p.t <= q.t - day then p.v else q.v end as filled from k",
+    "series_interpolate_nearest_up": f"with {_KNOWN} select l_returnflag, day, case when q is null or day - p.t < q.t - day then p.v else q.v end as filled from k",
     "series_interpolate_quadratic": _SPLINE,
     "series_interpolate_cubic": _SPLINE,
     "series_minmax": f"with {_HOURLY}, v as (select g.event_type, g.tick, coalesce(s, 0) as value from g left join b using (event_type, tick)) select event_type, tick, round((value - min(value) over (partition by event_type)) / (max(value) over (partition by event_type) - min(value) over (partition by event_type)), 6) as value from v",
