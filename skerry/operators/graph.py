@@ -146,7 +146,9 @@ def core_numbers(edges: DataFrame, nodes: DataFrame, max_k: int = 10_000, max_ro
 
 def ordering(edges: DataFrame, nodes: DataFrame, how: str = "bfs") -> DataFrame:
     """id and place: by hops from the least of the nodes of greatest degree (ties by id), or from the innermost core outwards (ties by degree, then id, descending)."""
-    contracts.option(how, ("bfs", "k-core"), "how")
+    contracts.option(how, ("bfs", "dfs", "k-core"), "how")
+    if how == "dfs":
+        return dfs(edges, degree_extremes(edges, nodes, "max").agg(F.min("id").alias("id")).first()["id"]).select("id", "place")
     if how == "bfs":
         start = degree_extremes(edges, nodes, "max").agg(F.min("id").alias("id"))
         return hops(edges, start).select("id", (F.row_number().over(Window.orderBy("hop", "id")) - 1).alias("place"))

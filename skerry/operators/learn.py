@@ -166,3 +166,63 @@ def palette(df: DataFrame, category: str, pos: str, colors: list[str]) -> DataFr
 def select_inputs(df: DataFrame, spec: str) -> DataFrame:
     """Columns by a selector such as `X, data.y`."""
     return df.select(*[F.col(s.strip()).alias(s.strip().replace(".", "_")) for s in spec.split(",") if s.strip()])
+
+
+def gin(edges: DataFrame, feats: DataFrame, eps: float = 0.0) -> DataFrame:
+    """(1 + eps) x plus the sum of incoming neighbours' features; a dense layer may follow."""
+    s = message_mean(edges, feats, "sum").withColumnRenamed("x", "_s")
+    return feats.join(s, "id").select("id", F.zip_with("x", "_s", lambda a, b: a * (1 + eps) + b).alias("x"))
+
+
+def gat(edges: DataFrame, feats: DataFrame, w: list[list[float]], a_src: list[float], a_dst: list[float], slope: float = 0.2) -> DataFrame:
+    """One attention head: x w of the sources, weighed by a softmax over each node's incoming edges of leaky a_src . h_u + a_dst . h_v."""
+    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    h = feats.select("id", dense(F.col("x"), w, [0.0] * len(w[0])).alias("h"))
+    h = h.withColumns({"su": dot(F.col("h"), lit(a_src)), "sv": dot(F.col("h"), lit(a_dst))})
+    e = edges.select("src", "dst").join(h.select(F.col("id").alias("src"), "h", "su"), "src").join(h.select(F.col("id").alias("dst"), "sv"), "dst")
+    raw = F.col("su") + F.col("sv")
+    e = e.withColumn("e", F.when(raw > 0, raw).otherwise(raw * slope))
+    top = e.groupBy("dst").agg(F.max("e").alias("m"))
+    e = e.join(top, "dst").withColumn("p", F.exp(F.col("e") - F.col("m")))
+    parts = e.select("dst", "p", F.posexplode("h").alias("k", "v")).groupBy("dst", "k").agg((F.sum(F.col("p") * F.col("v")) / F.sum("p")).alias("v"))
+    return parts.groupBy(F.col("dst").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda r: r["v"]).alias("x"))
+
+
+def autoencode(x: Column, encoder: list, decoder: list, act: str = "relu") -> tuple[Column, Column]:
+    """(latent, reconstruction) with given weights."""
+    z = mlp(x, encoder, act)
+    return z, mlp(z, decoder, act)
+
+
+def squared_error(x: Column, y: Column) -> Column:
+    """Mean squared difference of two arrays."""
+    d = F.zip_with(x, y, lambda a, b: (a - b) * (a - b))
+    return F.aggregate(d, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+
+
+def reparametrize(mu: Column, logstd: Column, noise: Column) -> Column:
+    """mu + noise * exp(logstd), elementwise; noise comes from the caller, so that training is random and inference is not."""
+    return F.zip_with(mu, F.zip_with(logstd, noise, lambda s, e: F.exp(s) * e), lambda m, d: m + d)
+
+
+def greedy_decode(df: DataFrame, key: str, latent: str, embed: list, cell: tuple, out_w: list, out_b: list, steps: int, first: int = 0) -> DataFrame:
+    """key and tokens: a gated recurrent decoder with given weights, each step fed with its own best token before."""
+    e, w, ow, ob = np.asarray(embed, float), [np.asarray(c, float) for c in cell], np.asarray(out_w, float), np.asarray(out_b, float)
+
+    def one(h):
+        h, t, out = np.asarray(h, float), first, []
+        n = len(h)
+        sig = lambda v: 1 / (1 + np.exp(-v))
+        for _ in range(steps):
+            a, b = w[0] @ e[t] + w[2], w[1] @ h + w[3]
+            r, z = sig(a[:n] + b[:n]), sig(a[n : 2 * n] + b[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :]) + z * h
+            t = int((h @ ow + ob).argmax())
+            out.append(t)
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "tokens": [one(h) for h in pdf[latent]]})
+
+    return df.select(key, latent).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, tokens array<int>")
