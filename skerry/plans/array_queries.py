@@ -173,7 +173,7 @@ def learn_gat(spark, d):
 def learn_autoencoder(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 1000.0).alias("x"))
     z, y = learn.autoencode(F.col("x"), [([[0.5], [1.5]], [0.1])], [([[1.0, -0.5]], [0.2, 0.3])])
-    return p.select("p_partkey", F.round(z[0], 6).alias("z"), F.round(learn.squared_error(F.col("x"), y), 6).alias("loss"))
+    return p.select("p_partkey", F.round(z[0], 6).alias("z"), F.round(learn.squared_error(F.col("x"), y), 12).alias("loss"))
 
 
 def learn_mlp(spark, d):
@@ -278,7 +278,7 @@ select event_type, day, cast(lazy as bigint) as lazy, lazy >= 3 as done from r""
     "learn_gcn": "with e as (select i as src, (i * 3 + 1) % 25 as dst from range(25) t(i)) select n.n_nationkey::bigint as id, s.n_regionkey::double as x0, 1.0::double as x1 from nation n join e on e.dst = n.n_nationkey join nation s on s.n_nationkey = e.src",
     "learn_gin": "with e as (select i % 25 as src, (i * 7 + 2) % 25 as dst from range(50) t(i)) select n.n_nationkey::bigint as id, round(1.5::double * n.n_regionkey + coalesce(sum(s.n_regionkey::double), 0), 6) as x0, round(1.5::double + count(s.n_nationkey), 6) as x1 from nation n left join e on e.dst = n.n_nationkey left join nation s on s.n_nationkey = e.src group by n.n_nationkey, n.n_regionkey",
     "learn_gat": "with e as (select i % 25 as src, (i * 7 + i % 3) % 25 as dst from range(50) t(i)), h as (select n_nationkey as id, n_regionkey + 0.5::double as h from nation), r as (select e.dst, u.h, 0.3::double * u.h - 0.2::double * v.h as s from e join h u on u.id = e.src join h v on v.id = e.dst), p as (select dst, h, exp(case when s > 0 then s else 0.2::double * s end) as p from r) select dst as id, round(sum(p * h) / sum(p), 6) as x0 from p group by 1",
-    "learn_autoencoder": "with p as (select p_partkey, p_size / 50.0::double as a, p_retailprice / 1000.0::double as b from part), z as (select *, 0.5::double * a + 1.5::double * b + 0.1::double as z from p) select p_partkey, round(z, 6) as z, round(((a - z - 0.2::double) * (a - z - 0.2::double) + (b + 0.5::double * z - 0.3::double) * (b + 0.5::double * z - 0.3::double)) / 2, 6) as loss from z",
+    "learn_autoencoder": "with p as (select p_partkey, p_size / 50.0::double as a, p_retailprice / 1000.0::double as b from part), z as (select *, 0.5::double * a + 1.5::double * b + 0.1::double as z from p) select p_partkey, round(z, 6) as z, round(((a - z - 0.2::double) * (a - z - 0.2::double) + (b + 0.5::double * z - 0.3::double) * (b + 0.5::double * z - 0.3::double)) / 2, 12) as loss from z",
     "learn_mlp": "with p as (select p_partkey, p_size / 50.0::double as a, p_retailprice / 1000.0::double as b from part) select p_partkey, round(greatest(0.5::double * a + 1.5::double * b + 0.1::double, 0) - 2 * greatest(-a + 0.25::double * b + 0.2::double, 0) + 0.5::double, 6) as y from p",
     "learn_mask": "select n_regionkey, cast(1 as bigint) as masked, count(*)::double - 1 as x from nation group by 1",
     "time_convert": "select event_id, make_timestamp(epoch_us(ts) // 1000 * 1000) + interval 8 hour as wall, (epoch_us(ts) // 1000) / 1000.0::double as epoch from events",

@@ -237,7 +237,7 @@ ORACLE = {
     "graph_core_numbers_tree": f"with {_TREE} select id, 1 as core from n where {_CORED}",
     "graph_ordering_bfs": f"with recursive {_TREE}, {_DEG}, s as (select min(id) as id from dg where degree = (select max(degree) from dg)), q(id, hop) as (select id, 0 from s union select e.dst, q.hop + 1 from q join e on e.src = q.id where q.hop < 6), m as (select id, min(hop) as hop from q group by 1) select id, row_number() over (order by hop, id) - 1 as place from m",
     "graph_ordering_core": f"with {_TREE}, {_DEG} select id, row_number() over (order by degree desc, id desc) - 1 as place from dg where {_CORED}",
-    "graph_ordering_dfs": f"with recursive {_TREE}, {_HOPS} select count(*) as n, count(*) as ids, count(*) - 1 as last from h",
+    "graph_ordering_dfs": f"with recursive {_TREE}, {_DEG}, s as (select min(id) as id from dg where degree = (select max(degree) from dg)), q(id, hop) as (select id, 0 from s union select e.dst, q.hop + 1 from q join e on e.src = q.id where q.hop < 6) select count(distinct id) as n, count(distinct id) as ids, count(distinct id) - 1 as last from q",
     "graph_random_walk": f"with {_TREE} select 4 * count(*) as n, cast(0 as bigint) as off_edge from n",
     "graph_mesh": "with p as (select a as x, b as y from range(0, 3) t(a), range(3, 7) u(b) union all select a, b from range(3, 7) t(a), range(7, 9) u(b)) select x as src, y as dst, 1.0::double as weight from p union all select y, x, 1.0::double from p",
     "graph_erdos_renyi": "select a as src, b as dst, 1.0::double as weight from range(60) t(a), range(60) u(b) where a <> b",
