@@ -32,6 +32,8 @@ from skerry.llm.components import components
 #: Least similarity as a ratio of whole numbers, words in a shingle.
 NUM, DEN, WORDS = 90, 100, 3
 BLOCK = 1000
+#: Sets are cut into more blocks where they have more shingles than this on average, so that a task's sets stay at some 16 MB.
+BLOCK_MEAN = 1000
 #: Cost of ruling out a pair by its sketches, as a share of a key's.
 PAIR_COST = 0.02
 #: Sketch bits; a sketch only spares exact checks.
@@ -238,7 +240,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
         clusters = cut(components(edges))
         scratch.drop("shared")
 
-        who = scratch.put(clusters.join(sets.select("node", "doc_id", "fp"), "node").select("node", F.col("component").alias("cluster"), "doc_id", "fp"), "who")
+        who = scratch.put(clusters.join(sets.select("node", "doc_id", "fp", "n"), "node").select("node", F.col("component").alias("cluster"), "doc_id", "fp", "n"), "who")
         n_who = who.count()
         ids = who.select("doc_id").distinct()
         picked = docs.join(F.broadcast(ids) if n_who <= BROADCAST_IDS else ids, "doc_id", "left_semi")
@@ -249,8 +251,8 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
             return {"fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], "s": [s.view(np.int64) for s in found]}
 
         whole = map_batches(picked.select("text"), again, "fp binary, s array<long>").dropDuplicates(["fp"])
-        size = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("g")).filter("g > 1")
-        n_blocks = F.ceil(F.col("g") / block).cast("int")
+        size = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("total")).filter("g > 1")
+        n_blocks = F.ceil(F.greatest(F.col("g") / block, F.col("total") / (block * BLOCK_MEAN))).cast("int")
         rows = who.select("node", "cluster", "fp").join(size, "cluster").join(whole, "fp").withColumn("nb", n_blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         # a task for each pair of blocks; a cluster of one block is one task
         task = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
