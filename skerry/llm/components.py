@@ -8,32 +8,43 @@ from pyspark.sql import functions as F
 from skerry.llm.common import cut
 
 MAX_ROUNDS = 60
+#: Tables of up to so many edges (16 bytes each) are worked on in one task, without exchanges, whose many small files and tasks would cost
+#: more than the work; larger ones are shuffled. The steps are the same.
+ONE_TASK = 300_000
 
 
-def _star(sym: DataFrame, keep) -> DataFrame:
-    """sym: (u, v). Each u's least neighbour m (itself included) is computed with partial sums, then joined back, so a hot u stays spread."""
-    least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return sym.join(least, "u").filter(keep).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _both_ways(e: DataFrame) -> DataFrame:
+    ways = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return e.select(F.inline(ways))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _star(e: DataFrame) -> DataFrame:
+    """Large star: each node's larger neighbours go to the least of it and its neighbours. Least neighbours come from partial sums and are joined back, so a node with many edges stays spread."""
+    both = _both_ways(e)
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").filter("v > u and v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    return large.distinct()
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Small star, over (u, v) with u > v: each node and its smaller neighbours go to the least of those."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    ends = F.filter(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))), lambda x: x["u"] != x["v"])
+    return e.join(least, "u").select(F.inline(ends)).distinct()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) of every node that has an edge to another; component is the least node of the component."""
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut(e)
-    mark = None
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    alone, mark = e.count() <= one_task, None
     for _ in range(MAX_ROUNDS):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, F.col("v") > F.col("u")).distinct()
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = (now[0], now[1])
+        e = e.coalesce(1) if alone else e
+        e = cut(_small_star(_star(e)))
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    e = e.coalesce(1) if alone else e
+    return e.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))).distinct()

@@ -409,5 +409,7 @@ def test_components(spark):
     root = list(range(300))
     for a, b in pairs * 60:
         root[a] = root[b] = min(root[a], root[b])
-    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {i: root[i] for i in {x for p in pairs if p[0] != p[1] for x in p}}
+    for one_task in (1000, 0):
+        rows = components.components(spark.createDataFrame(pairs, "a long, b long"), one_task=one_task).collect()
+        assert {x["node"]: x["component"] for x in rows} == {i: root[i] for i in {x for p in pairs if p[0] != p[1] for x in p}}
+        assert len(rows) == len({x["node"] for x in rows})
