@@ -122,17 +122,19 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABUL
         if r["n"] > room:
             break
         least, room = r["level"], room - r["n"]
-    top = [] if least is None else sorted(counts.filter(F.col("level") >= least).collect(), key=lambda r: (-r["b"], r["word"]))  # vocabulary_size rows
-    vocabulary = [r["word"] for r in top]
+    kept = counts.filter(F.col("level") >= least) if least is not None else counts.limit(0)
+    top = kept.select("word", "t", "b").toArrow().sort_by([("b", "descending"), ("word", "ascending")])  # vocabulary_size rows
+    vocabulary = top.column("word").to_pylist()
     total = counts.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
     scratch.drop()
     totals = np.array([total["t"] or 0, total["b"] or 0], float)
     single = np.zeros((2, len(vocabulary) + 2))
-    single[:, 2:] = np.array([[r["t"] for r in top], [r["b"] for r in top]], float).reshape(2, -1)
+    single[0, 2:], single[1, 2:] = top.column("t").to_numpy(), top.column("b").to_numpy()
     single[:, 0] = np.maximum(totals - single.sum(axis=1), 0)
-    got = cell_counts(marked, vocabulary).toPandas()  # CELLS rows at most
-    pairs = np.zeros((2, CELLS))
-    pairs[0, got["cell"]], pairs[1, got["cell"]] = got["t"], got["b"]
+    got = cell_counts(marked, vocabulary).select(F.col("cell").cast("int").alias("cell"), F.col("t").cast("float").alias("t"), F.col("b").cast("float").alias("b")).toArrow()  # CELLS rows at most, 12 bytes each
+    pairs, at = np.zeros((2, CELLS), np.float32), got.column("cell").to_numpy()
+    pairs[0, at], pairs[1, at] = got.column("t").to_numpy(), got.column("b").to_numpy()
+    del got, top
     if totals[0]:  # the background at the target's size
         single[1] *= totals[0] / totals[1]
         pairs[1] *= totals[0] / totals[1]
@@ -140,7 +142,7 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABUL
     starts = np.zeros((2, 1))  # documents, in tokens of the start word
     context = single.copy()
     context[:, 1:2] = starts
-    held = spark.sparkContext.broadcast((vocabulary, p1.astype(np.float32), context.astype(np.float32), pairs.astype(np.float32), bool(totals[0])))
+    held = spark.sparkContext.broadcast((vocabulary, p1.astype(np.float32), context.astype(np.float32), pairs, bool(totals[0])))
     state: dict = {}
 
     def run(batch: pa.RecordBatch) -> dict:
