@@ -37,3 +37,30 @@ def test_stages(spark, tmp_path):
     assert {x["doc_id"] for x in seen["packing"]} == set(masked)
     ran = corpus_pipeline.run(spark, d)
     assert sorted(map(tuple, ran.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted((x["doc_id"], x["start"], x["length"], x["ids_crc32"]) for x in seen["packing"])
+
+
+def brute_near(texts):
+    """For each text the least place that links of similarity 0.8 over five-word shingles reach."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if x == hi else x for x in root]
+    return root
+
+
+def test_near_duplicates_from_eight_tenths(spark):
+    r = random.Random(6)
+    texts = [prose(r, 60) for _ in range(5)]
+    for k, t in enumerate(list(texts)):
+        w = t.split()
+        texts += [t + " " + prose(r, 4 + 3 * k), " ".join(w[2 + 2 * k :]), " ".join([*w[:30], "edit", *w[31:]]), " ".join([*w[:9], "e", *w[10:40], "f", *w[41:]])]
+    texts += ["a b c d", "a b c d", "a b c e"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    want = [i for i, x in enumerate(brute_near(texts)) if i == x]
+    assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want and len(want) < len(texts) - 12
