@@ -1,11 +1,13 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Target and background models share one vocabulary (the commonest words of all documents, VOCABULARY at most; the rest is one unknown word), order, smoothing and
-cell table, and the background's counts are scaled to the target's number of tokens. Both are interpolated bigram models. A document's score
-is its loss per token under the background model less that under the target model: high scores look like the target.
+Target and background models share one vocabulary (all words of the documents), order and smoothing, and the background's counts are scaled to the target's
+number of tokens. Both are interpolated bigram models. A document's score is its loss per token under the background model less that under the target
+model: high scores look like the target. A document's first word has no context: its unigram probability counts.
 
-Word counts and bigram counts are summed over all documents in tasks and then by key. Bigrams are folded by hash into CELLS cells, so that what a
-scorer holds has a proven size however large the corpus is.
+All counts are exact and grow with the corpus. Counts of the VOCABULARY commonest words and of the bigrams among the TOP commonest are broadcast, and documents are
+scored by them in place. The rest is one row for each document and bigram, shuffled by the second word where that is rare, else by the
+bigram: what meets there are all its occurrences, so the same exchange counts and scores. A word beyond the TOP has at most 1 / TOP of all tokens, which bounds
+what meets. Rare words and such bigrams are told apart by 64-bit hashes.
 
 Defined results: a null or empty text has no tokens and null losses and score; repeated documents count each time; without target documents every
 score is null; other columns are ignored.
@@ -16,15 +18,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import Scratch, map_batches, mix64, small_batches
+from skerry.llm.common import Scratch, WordHashes, map_batches, mix64, small_batches
 
-VOCABULARY, CELLS = 50_000, 1 << 20
+#: Words whose counts are broadcast; of those, the words whose bigrams are (TOP^2 counts). They decide costs only, never results.
+VOCABULARY, TOP = 50_000, 1024
+#: Rows that a task scores at once.
+CHUNK = 1 << 17
 #: Pseudo-count with which the unigram model enters the bigram model.
 KAPPA = 2.0
 #: Words that a task holds before it passes its counts on.
@@ -72,36 +79,26 @@ def word_counts(marked: DataFrame) -> DataFrame:
     return marked.select("text", "target").mapInArrow(run, "word string, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
-def cells_of(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids[:-1].astype(np.uint64) * np.uint64(1 << 32) + ids[1:].astype(np.uint64)) & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-def ids_of(text: str | None, known: dict[str, int]) -> np.ndarray:
-    """Word numbers; 0 is unknown, 1 is the start of a document."""
-    words = tokens(text)
-    return np.fromiter((1, *(known.get(w, 0) for w in words)), np.int64, len(words) + 1) if words else np.empty(0, np.int64)
-
-
-def cell_counts(marked: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """cell, t and b: bigrams that fall there. A task holds two arrays of CELLS numbers and passes on those that aren't 0."""
-    held = marked.sparkSession.sparkContext.broadcast(vocabulary)
+def cell_counts(marked: DataFrame, top: list[str]) -> DataFrame:
+    """cell, t and b: bigrams of two words of top, cell being their places as one number. A task holds two arrays and passes on what isn't 0."""
+    held, size = marked.sparkSession.sparkContext.broadcast(top), len(top)
     small_batches(marked.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i + 2 for i, w in enumerate(held.value)}
-        counts = np.zeros((2, CELLS), np.int64)
+        known = {w: i for i, w in enumerate(held.value)}
+        counts = np.zeros((2, size * size), np.int64)
         for batch in batches:
             cells: list[list[np.ndarray]] = [[], []]
             for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                ids = ids_of(text, known)
-                if len(ids):
-                    c = cells_of(ids)
-                    cells[0].append(c)
-                    if target:
-                        cells[1].append(c)
+                words = tokens(text)
+                ids = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+                c = (ids[:-1] * size + ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)]
+                cells[0].append(c)
+                if target:
+                    cells[1].append(c)
             for k in (0, 1):
                 if cells[k]:
-                    counts[k] += np.bincount(np.concatenate(cells[k]), minlength=CELLS)
+                    counts[k] += np.bincount(np.concatenate(cells[k]), minlength=size * size)
         at = np.flatnonzero(counts[0])
         for a in range(0, len(at), 1 << 16):
             part = at[a : a + (1 << 16)]
@@ -110,7 +107,123 @@ def cell_counts(marked: DataFrame, vocabulary: list[str]) -> DataFrame:
     return marked.select("text", "target").mapInArrow(run, "cell long, t long, b long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
-def score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABULARY) -> DataFrame:
+def hash_of(word: str, known: WordHashes) -> int:
+    return known[word.encode("utf-8", "surrogatepass")]
+
+
+#: pk of a row: what it is, whether its document is a target, and two counts. A bigram's key is even, a rare word's odd.
+BIGRAM, RARE, DOCUMENT = 0, 1, 2
+
+
+def pack(what: int, target, m, c=0):
+    return what + target * 4 + m * 8 + c * (1 << 36)
+
+
+def tail_rows(marked: DataFrame, vocabulary: list[str], size: int, single: np.ndarray, p: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """key, sub, rid, pk, doc_id. One row for each document (key and sub: bits of the losses that broadcast counts give), and rows for the rest of its bigrams.
+
+    RARE: key is the second word, sub the first (0 at the start); m occurrences, c of them with a next word. BIGRAM: key is both words, sub the second's place."""
+    held = marked.sparkSession.sparkContext.broadcast((vocabulary, single, p, pairs))
+    kind = dict(marked.dtypes)["doc_id"]
+    small_batches(marked.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, single, p, pairs = held.value
+        known, hashes = {w: i + 1 for i, w in enumerate(words)}, WordHashes()
+        h = np.fromiter((0, *(hash_of(w, hashes) for w in words)), np.uint64, len(words) + 1)
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            lists = [tokens(t) for t in batch.column("text").to_pylist()]
+            n = np.array([len(x) for x in lists], np.int64)
+            flat = list(chain.from_iterable(lists))
+            y = np.fromiter((known.get(w, 0) for w in flat), np.int64, len(flat))
+            hy = h[y]
+            rare = np.flatnonzero(y == 0)
+            hy[rare] = np.fromiter((hash_of(flat[i], hashes) for i in rare.tolist()), np.uint64, len(rare))
+            row, rids = np.repeat(np.arange(len(n)), n), at + np.arange(len(n))
+            at += len(n)
+            begins = np.cumsum(n)[n > 0] - n[n > 0]
+            begin, more = np.zeros(len(y), bool), np.ones(len(y), np.int64)
+            begin[begins] = True
+            more[begins[1:] - 1], more[-1:] = 0, 0
+            x, hx = np.roll(y, 1), np.roll(hy, 1)
+            x[begin], hx[begin] = 0, 0
+            inside = (x > 0) & (x <= size) & (y > 0) & (y <= size)
+            here = inside | begin & (y > 0)
+            cell = np.where(inside, (x - 1) * size + y - 1, 0)
+            loss = []
+            for k in (0, 1):
+                v = np.where(begin, np.log2(KAPPA), 0.0) + np.where(y > 0, more * np.log2(single[k][y] + KAPPA), 0.0)
+                v -= np.where(here, np.log2(np.where(inside, pairs[k][cell], 0.0) + KAPPA * p[k][y]), 0.0)
+                loss.append(np.bincount(row, v, len(n)))
+            target = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
+            rest = np.flatnonzero(~here)
+            is_rare = y[rest] == 0
+            both = mix64(hx[rest] * np.uint64(0x9E3779B97F4A7C15) + hy[rest])
+            key = np.where(is_rare, hy[rest] | np.uint64(1), both & ~np.uint64(1))
+            sub = np.where(is_rare, hx[rest], y[rest].astype(np.uint64))
+            # equal rows of a document are one
+            mark = mix64(key + mix64(sub + mix64(row[rest].astype(np.uint64))))
+            _, one, which = np.unique(mark, return_index=True, return_inverse=True)
+            m, c = np.bincount(which, minlength=len(one)), np.bincount(which, more[rest] * is_rare, len(one)).astype(np.int64)
+            own = row[rest][one]
+            pk = pack(is_rare[one].astype(np.int64), target[own], m, c)
+            ids = batch.column("doc_id")
+            yield pa.RecordBatch.from_arrays([pa.array(loss[0].view(np.int64)), pa.array(loss[1].view(np.int64)), pa.array(rids), pa.array(pack(DOCUMENT, target, n)), ids], names=["key", "sub", "rid", "pk", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[one].view(np.int64)), pa.array(sub[one].view(np.int64)), pa.array(rids[own]), pa.array(pk), pa.nulls(len(one), ids.type)], names=["key", "sub", "rid", "pk", "doc_id"])
+
+    return marked.select("doc_id", "text", "target").mapInArrow(run, f"key long, sub long, rid long, pk long, doc_id {kind}")
+
+
+def losses(rows: DataFrame, p: np.ndarray, totals: np.ndarray, n_words: int) -> DataFrame:
+    """rid, doc_id, n, t and b: for each row its share of the document's losses. rows are those of tail_rows, sorted by key and sub."""
+    held, scale = rows.sparkSession.sparkContext.broadcast(p), totals[0] / totals[1]
+
+    def of(cols: list[np.ndarray]) -> list[np.ndarray]:
+        key, sub, _, pk = cols
+        what, target, m, c = pk & 3, pk >> 2 & 1, pk >> 3 & (1 << 33) - 1, pk >> 36
+        doc, rare = what == DOCUMENT, what == RARE
+        m = np.where(doc, 0, m)
+        new = np.r_[True, key[1:] != key[:-1]]
+        group, fine = np.cumsum(new) - 1, np.cumsum(new | np.r_[True, sub[1:] != sub[:-1]]) - 1
+        out = []
+        for k, own in enumerate((m * target, m)):
+            by = scale if k else 1.0
+            word, pair = np.bincount(group, own)[group] * by, np.bincount(fine, own)[fine] * by
+            prob = np.where(rare, (word + 1) / (totals[0] + n_words), held.value[k][np.where(what == BIGRAM, sub, 0)])
+            v = np.where(rare, c * np.log2(word + KAPPA), 0.0) - m * np.log2(np.where(rare & (sub == 0), 0.0, pair) + KAPPA * prob)
+            out.append(np.where(doc, (sub if k else key).view(np.float64), v))
+        return [np.where(doc, pk >> 3, 0), *out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(kept)
+            cols = [whole.column(c).to_numpy() for c in ("key", "sub", "rid", "pk")]
+            # the last key may go on in the next batch
+            stop = len(whole) if last else int(np.searchsorted(cols[0], cols[0][-1]))
+            kept[:] = whole.slice(stop).to_batches()
+            if stop:
+                cols = [x[:stop] for x in cols]
+                ids = whole.column("doc_id").slice(0, stop).combine_chunks()
+                arrays = [pa.array(cols[2]), ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, *map(pa.array, of(cols))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["rid", "doc_id", "n", "t", "b"])
+
+        least = CHUNK
+        for batch in batches:
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) > least:
+                yield from close(False)
+                least = CHUNK + 2 * sum(b.num_rows for b in kept)
+        if kept:
+            yield from close(True)
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(run, f"rid long, doc_id {kind}, n long, t double, b double")
+
+
+def score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABULARY, top: int = TOP) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (bits a token) and score of every document."""
     spark = docs.sparkSession
     marked = mark_target(docs, target_ids)
@@ -123,46 +236,31 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABUL
             break
         least, room = r["level"], room - r["n"]
     kept = counts.filter(F.col("level") >= least) if least is not None else counts.limit(0)
-    top = kept.select("word", "t", "b").toArrow().sort_by([("b", "descending"), ("word", "ascending")])  # vocabulary_size rows
-    vocabulary = top.column("word").to_pylist()
-    total = counts.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    common = kept.select("word", "t", "b").toArrow().sort_by([("b", "descending"), ("word", "ascending")])  # vocabulary_size rows
+    vocabulary = common.column("word").to_pylist()
+    total = counts.agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).first()
     scratch.drop()
     totals = np.array([total["t"] or 0, total["b"] or 0], float)
-    single = np.zeros((2, len(vocabulary) + 2))
-    single[0, 2:], single[1, 2:] = top.column("t").to_numpy(), top.column("b").to_numpy()
-    single[:, 0] = np.maximum(totals - single.sum(axis=1), 0)
-    got = cell_counts(marked, vocabulary).select(F.col("cell").cast("int").alias("cell"), F.col("t").cast("float").alias("t"), F.col("b").cast("float").alias("b")).toArrow()  # CELLS rows at most, 12 bytes each
-    pairs, at = np.zeros((2, CELLS), np.float32), got.column("cell").to_numpy()
-    pairs[0, at], pairs[1, at] = got.column("t").to_numpy(), got.column("b").to_numpy()
-    del got, top
-    if totals[0]:  # the background at the target's size
-        single[1] *= totals[0] / totals[1]
-        pairs[1] *= totals[0] / totals[1]
-    p1 = (single + 1) / (single.sum(axis=1, keepdims=True) + single.shape[1])
-    starts = np.zeros((2, 1))  # documents, in tokens of the start word
-    context = single.copy()
-    context[:, 1:2] = starts
-    held = spark.sparkContext.broadcast((vocabulary, p1.astype(np.float32), context.astype(np.float32), pairs, bool(totals[0])))
-    state: dict = {}
-
-    def run(batch: pa.RecordBatch) -> dict:
-        if "known" not in state:
-            state["known"] = {w: i + 2 for i, w in enumerate(held.value[0])}
-        _, p, con, pair, some = held.value
-        n, losses = [], [[], []]
-        for text in batch.column("text").to_pylist():
-            ids = ids_of(text, state["known"])
-            n.append(max(len(ids) - 1, 0))
-            c = cells_of(ids) if len(ids) else None
-            for k in (0, 1):
-                if c is None or not some:
-                    losses[k].append(None)
-                    continue
-                # a cell may hold more than one bigram: what it says of a context is at most the context's own count
-                seen = np.minimum(pair[k][c], con[k][ids[:-1]])
-                losses[k].append(float(-np.log2((seen + KAPPA * p[k][ids[1:]]) / (con[k][ids[:-1]] + KAPPA)).mean()))
-        diff = [None if a is None else b - a for a, b in zip(*losses, strict=True)]
-        return {"doc_id": batch.column("doc_id"), "n_tokens": n, "target_loss": losses[0], "background_loss": losses[1], "score": diff}
-
     kind = dict(docs.dtypes)["doc_id"]
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    if not totals[0]:
+
+        def lengths(batch: pa.RecordBatch) -> dict:
+            none = [None] * batch.num_rows
+            return {"doc_id": batch.column("doc_id"), "n_tokens": [len(tokens(t)) for t in batch.column("text").to_pylist()], "target_loss": none, "background_loss": none, "score": none}
+
+        return map_batches(docs.select("doc_id", "text"), lengths, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    scale = totals[0] / totals[1]  # the background at the target's size
+    single = np.zeros((2, len(vocabulary) + 1))
+    single[0, 1:], single[1, 1:] = common.column("t").to_numpy(), common.column("b").to_numpy() * scale
+    p = (single + 1) / (totals[0] + total["n"])
+    size = min(top, len(vocabulary))
+    got = cell_counts(marked, vocabulary[:size]).toArrow()  # top^2 rows at most
+    pairs, at = np.zeros((2, max(size * size, 1))), got.column("cell").to_numpy()
+    pairs[0, at], pairs[1, at] = got.column("t").to_numpy(), got.column("b").to_numpy() * scale
+    del got, common
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = tail_rows(marked, vocabulary, size, single, p, pairs).repartition(parts, "key").sortWithinPartitions("key", "sub")
+    done = losses(rows, p, totals, total["n"]).groupBy("rid").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    done = done.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    return done.withColumn("score", F.col("background_loss") - F.col("target_loss"))

@@ -202,6 +202,33 @@ def test_lm_scoring(spark, docs, empty):
     assert {x["score"] for x in lm_scoring.score(d, d.limit(0)).collect()} == {None} and lm_scoring.score(empty, empty).count() == 0
 
 
+def test_lm_scoring_is_exact(spark, docs):
+    """Losses by all words and bigrams, however few of them are broadcast."""
+    rows = [(r[0], r[1]) for r in corpus()] + [(None, "null id here"), (3, corpus()[3][1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    aim = set(range(0, 60, 3))
+    words = [(i, lm_scoring.tokens(t)) for i, t in rows]
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for i, w in words:
+        for k in (0, 1):
+            if k or i in aim:
+                one[k].update(w)
+                two[k].update(zip(w, w[1:], strict=False))
+    total = [sum(c.values()) for c in one]
+    by, want = [1, total[0] / total[1]], []
+    for i, w in words:
+        loss = [None, None]
+        for k in (0, 1):
+            prob = lambda y: (one[k][y] * by[k] + 1) / (total[0] + len(one[1]))  # noqa: E731, B023
+            bits = [-np.log2(prob(w[0]))] if w else []
+            bits += [-np.log2((two[k][x, y] * by[k] + lm_scoring.KAPPA * prob(y)) / (one[k][x] * by[k] + lm_scoring.KAPPA)) for x, y in zip(w, w[1:], strict=False)]
+            loss[k] = round(float(np.mean(bits)), 9) if w else None
+        want.append((i, len(w), *loss))
+    for sizes in ((50_000, 1024), (300, 8), (0, 0)):
+        got = lm_scoring.score(d, d.filter(F.col("doc_id").isin(*aim)), *sizes).collect()
+        assert Counter((x["doc_id"], x["n_tokens"], *(v if v is None else round(v, 9) for v in (x["target_loss"], x["background_loss"]))) for x in got) == Counter(want), sizes
+
+
 # 6 packing
 
 
