@@ -231,8 +231,9 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
     try:
         first = scratch.put(map_batches(docs, prints, f"doc_id {kind}, n long, fp binary, keys array<long>"), "prints")
         narrow = cut(first.select("doc_id", "n", "fp"))
-        # one row for each different set
-        sets = scratch.put(first.filter("fp is not null").dropDuplicates(["fp"]).withColumn("node", F.monotonically_increasing_id()), "sets")
+        # one row for each different set, with an id by which its text is found again; null only where no row has one
+        one = first.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+        sets = scratch.put(one.withColumn("node", F.monotonically_increasing_id()), "sets")
         scratch.drop("prints")
         keyed = sets.select("node", F.explode("keys").alias("key"))
         shared = scratch.put(keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("key", "center"), "shared")
@@ -242,7 +243,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
 
         who = scratch.put(clusters.join(sets.select("node", "doc_id", "fp", "n"), "node").select("node", F.col("component").alias("cluster"), "doc_id", "fp", "n"), "who")
         n_who = who.count()
-        ids = who.select("doc_id").distinct()
+        ids = who.filter("doc_id is not null").select("doc_id").distinct()
         picked = docs.join(F.broadcast(ids) if n_who <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
         def again(batch: pa.RecordBatch) -> dict:
@@ -250,7 +251,12 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
             found = [shingles(t, known, words) for t in batch.column("text").to_pylist()]
             return {"fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], "s": [s.view(np.int64) for s in found]}
 
-        whole = map_batches(picked.select("text"), again, "fp binary, s array<long>").dropDuplicates(["fp"])
+        whole = map_batches(picked.select("text"), again, "fp binary, s array<long>")
+        nameless = who.filter("doc_id is null").select("fp")
+        if n_nameless := nameless.count():
+            texts = map_batches(docs.filter("doc_id is null").select("text"), again, "fp binary, s array<long>")
+            whole = whole.unionByName(texts.join(F.broadcast(nameless) if n_nameless <= BROADCAST_IDS else nameless, "fp", "left_semi"))
+        whole = whole.dropDuplicates(["fp"])
         size = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("total")).filter("g > 1")
         n_blocks = F.ceil(F.greatest(F.col("g") / block, F.col("total") / (block * BLOCK_MEAN))).cast("int")
         rows = who.select("node", "cluster", "fp").join(size, "cluster").join(whole, "fp").withColumn("nb", n_blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))

@@ -411,6 +411,15 @@ def test_join_of_repeated_and_null_ids(spark):
     assert got == {(None, 5): 1, (5, 5): 2, (7, 5): 1, (None, None): 1}
 
 
+def test_join_links_sets_without_ids(spark):
+    t = "a b c d e f g h i j k l"
+    words = prose(random.Random(3), 47)
+    a, b, c = (" ".join(words.split()[:n]) for n in (40, 43, 47))
+    d = spark.createDataFrame([(None, t + " m"), (5, t), (8, a), (None, b), (None, b), (6, c), (None, "n o p q r s t u v w x y"), (None, "n o p q r s t u v w x y z")], "doc_id long, text string")
+    got = Counter((x["doc_id"], x["component_id"]) for x in ngram_join.jaccard_components(d).collect())
+    assert got == {(None, 5): 1, (5, 5): 1, (8, 6): 1, (6, 6): 1, (None, 6): 2, (None, None): 2}
+
+
 def test_keys_meet():
     """Any pair that is similar enough shares a key, for every plan of budgets."""
     r = np.random.default_rng(7)
