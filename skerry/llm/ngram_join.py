@@ -194,11 +194,13 @@ def link_table(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, component_id being the least doc_id that links reach."""
+def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, component_id being the least doc_id that links reach.
+
+    With carry, also root, which names the component whatever its ids are (null without a set), and those columns of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *carry)
     kind = dict(docs.dtypes)["doc_id"]
     bands = band_starts(num, den)
 
@@ -226,11 +228,12 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
             keys.append(keys_of(s, plan, num, den).view(np.int64))
         offsets = np.zeros(len(keys) + 1, np.int32)
         np.cumsum([len(k) for k in keys], out=offsets[1:])
-        return {"doc_id": batch.column("doc_id"), "n": n, "fp": fp, "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else [], pa.int64()))}
+        return {"doc_id": batch.column("doc_id"), "n": n, "fp": fp, "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else [], pa.int64())), **{f"carry {c}": batch.column(c) for c in carry}}
 
     try:
-        first = scratch.put(map_batches(docs, prints, f"doc_id {kind}, n long, fp binary, keys array<long>"), "prints")
-        narrow = cut(first.select("doc_id", "n", "fp"))
+        carried = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)
+        first = scratch.put(map_batches(docs, prints, f"doc_id {kind}, n long, fp binary, keys array<long>{carried}"), "prints")
+        narrow = cut(first.select("doc_id", "n", "fp", *carry))
         # one row for each different set, with an id by which its text is found again; null only where no row has one
         one = first.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
         sets = scratch.put(one.withColumn("node", F.monotonically_increasing_id()), "sets")
@@ -273,8 +276,10 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
         nodes = least.join(sets.select("fp", "node"), "fp").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
         nodes = cut(nodes.select("fp", "root", "lo"))
         roots = nodes.groupBy("root").agg(F.min("lo").alias("component_id"))
-        named = cut(nodes.join(roots, "root").select("fp", "component_id"))
+        named = cut(nodes.join(roots, "root").select("fp", "component_id", "root"))
     finally:
         scratch.drop()
-    with_set = narrow.filter("fp is not null").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return with_set.unionByName(narrow.filter("fp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    root = ["root", *carry] if carry else []
+    with_set = narrow.filter("fp is not null").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *root)
+    alone = narrow.filter("fp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *([F.lit(None).cast("long").alias("root"), *carry] if carry else []))
+    return with_set.unionByName(alone)

@@ -64,3 +64,16 @@ def test_near_duplicates_from_eight_tenths(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
     want = [i for i, x in enumerate(brute_near(texts)) if i == x]
     assert sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want and len(want) < len(texts) - 12
+
+
+def test_near_duplicates_keep_all_that_is_no_copy(spark):
+    r = random.Random(8)
+    base, twin, *clean = (prose(r, 60) for _ in range(7))
+    keep = [(3, base), (7, clean[0]), (7, clean[1]), (None, clean[2]), (9, clean[3]), (None, twin), (None, None), (None, None), (4, "")]
+    go = [(7, base), (8, base + " end"), (None, base), (9, clean[3]), (None, twin), (None, twin + " end"), (None, " ".join(twin.split()[1:]))]
+    docs = spark.createDataFrame([(i, t, None if t == clean[2] else "en", "s", None) for i, t in keep + go], SCHEMA)
+    got = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    of_twin = [x for x in got if x[1] and set(x[1].split()) & set(twin.split()) and len(set(x[1].split()) & set(twin.split())) > 40]
+    assert len(of_twin) == 1
+    same = lambda rows: sorted((x for x in rows if x not in of_twin and x[1] != twin), key=str)
+    assert same(got) == same(keep)
