@@ -27,19 +27,19 @@ from skerry.llm.common import map_batches
 TRAIN_ROWS = 6000
 THRESHOLD = 0.5
 MASK = "<SECRET>"
-#: What is looked for; group v is the candidate. Formats of well-known keys are fixed values.
+#: What is looked for; group v is the candidate, up to its delimiter however long it is. Formats of well-known keys are fixed values.
 PATTERNS = {
     "private_key": r"(?P<v>-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?!-----END).)*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?)",
     "aws_key_id": r"\b(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16})\b",
     "github_token": r"\b(?P<v>(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{60,90})\b",
-    "prefixed_key": r"\b(?P<v>(?:sk|pk|rk)[-_](?:live|test|proj|ant)?[-_]?[A-Za-z0-9_-]{16,120}|xox[abprs]-[A-Za-z0-9-]{10,120}|AIza[0-9A-Za-z_-]{35}|glpat-[A-Za-z0-9_-]{20})(?![A-Za-z0-9_-])",
+    "prefixed_key": r"\b(?P<v>(?:sk|pk|rk)[-_](?:live|test|proj|ant)?[-_]?[A-Za-z0-9_-]{16,}+|xox[abprs]-[A-Za-z0-9_-]{10,}+|AIza[0-9A-Za-z_-]{35}|glpat-[A-Za-z0-9_-]{20})(?![A-Za-z0-9_-])",
     "jwt": r"\b(?P<v>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})",
-    "url_password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:(?P<v>[^\s:/@]{3,128})@",
-    "assignment": r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credentials?)[\"']?[ \t]{0,3}(?::=|[:=]|=>)[ \t]{0,3}(?:\"(?P<v>[^\"\s]{6,200})\"|'(?P<v2>[^'\s]{6,200})'|(?P<v3>[^\s\"'<>,;]{6,200}))",
-    "long_token": r"(?<![A-Za-z0-9+/_=.-])(?P<v>(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{24,200}={0,2})(?![A-Za-z0-9+/_-])",
+    "url_password": r"(?<=[a-z0-9+.-])://[^\s:/@]*+:(?P<v>[^\s:/@]{3,}+)@",
+    "assignment": r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credentials?)[\"']?[ \t]{0,3}(?::=|[:=]|=>)[ \t]{0,3}(?:\"(?P<v>[^\"\s]{6,}+)\"|'(?P<v2>[^'\s]{6,}+)'|(?P<v3>[^\s\"'<>,;]{6,}+))",
+    "long_token": r"(?<![A-Za-z0-9+/_=.-])(?P<v>(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+={0,2})(?![A-Za-z0-9+/_-])",
 }
 #: A text without any of these has no candidate (all patterns need one), so most texts cost one search.
-ANY = re.compile(r"PRIVATE KEY|A[KS]IA[0-9A-Z]|gh[pousr]_|github_pat_|[srp]k[-_]|xox[abprs]-|AIza|glpat-|eyJ|://[^\s/@]{1,64}:|(?i:passw|pwd|secret|token|key|credential)|[A-Za-z0-9+/_-]{24}")
+ANY = re.compile(r"PRIVATE KEY|A[KS]IA[0-9A-Z]|gh[pousr]_|github_pat_|[srp]k[-_]|xox[abprs]-|AIza|glpat-|eyJ|://[^\s:/@]*+:|(?i:passw|pwd|secret|token|key|credential)|[A-Za-z0-9+/_-]{24}")
 COMPILED = {k: re.compile(v, re.S if k == "private_key" else 0) for k, v in PATTERNS.items()}
 NEAR = 48
 HOT = re.compile(r"(?i)passw|pwd|secret|token|api.?key|access|auth|credential|private|bearer|aws|login")

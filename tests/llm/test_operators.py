@@ -100,6 +100,27 @@ def test_secret_scan(spark, scanner, empty):
     assert secrets.scan(empty, scanner).count() == 0
 
 
+def test_secrets_of_any_length(spark, scanner):
+    r = random.Random(12)
+    pick = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    heads = [('token = "', '" x'), ("token = '", "' x"), ("token=", " x"), ("Bearer ", " x"), ("sk_live_", " x"), ("xoxb-1_", " x"), ("postgres://user:", "@host/db"), ("redis://:", "@host/0"), ("amqp://" + "u" * 90 + ":", "@host/0")]
+    rows = []
+    for a, b in heads:
+        for n in (40, 130, 260, 5000):
+            v = pick(n)
+            rows.append(("we set " + a + v + b, v))
+    rows.append(("we set token: " + "abcdefghij" * 9 + "4 x", "abcdefghij" * 9 + "4"))
+    rows.append(("see " + "Abcdefghij" * 9 + "4 x", "Abcdefghij" * 9 + "4"))
+    for t, v in rows:
+        a, b, _ = next(c for c in secrets.candidates(t))
+        assert v in t[a:b] and len(secrets.candidates(t)) == 1, t[:40]
+    d = spark.createDataFrame([(i, t, "en", "src/app.py", 0) for i, (t, _) in enumerate(rows[:36])], SCHEMA)
+    left = {x["doc_id"]: x["text"] for x in secrets.redact(d, scanner).collect()}
+    found = {x["doc_id"]: x["is_secret"] for x in secrets.scan(d, scanner).collect()}
+    for i, (t, v) in enumerate(rows[:36]):
+        assert found[i] and v[-6:] not in left[i], (t[:40], len(v))
+
+
 # 3 decontamination
 
 
