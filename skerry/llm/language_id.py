@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from skerry.llm.common import map_batches
+from skerry.llm.common import cut, map_batches
 
 #: Characters of labelled text a language, and all together if there are many languages; about twice as many states.
 SAMPLE_CHARS, TOTAL_CHARS = 40_000, 640_000
@@ -92,6 +93,19 @@ def suffix_automaton(s: np.ndarray) -> np.ndarray:
     return table[:size]
 
 
+def spread(texts: list[np.ndarray], room: int) -> np.ndarray:
+    """Texts joined by SPACE within room codes: all get the same share, and what short ones leave goes to the longer ones."""
+    size, left = {}, room
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        size[i] = min(len(texts[i]), max(left // (len(texts) - done) - (done + 1 < len(texts)), 0))
+        left -= size[i] + (done + 1 < len(texts))
+    parts = [x for i, t in enumerate(texts) for x in (t[: size[i]], np.full(1, SPACE, t.dtype))]
+    s = np.concatenate(parts[:-1])[:room]
+    keep = np.ones(len(s), bool)
+    keep[1:] = (s[1:] != SPACE) | (s[:-1] != SPACE)
+    return s[keep]
+
+
 def train(samples: dict[str, list[str]]) -> Model | None:
     """A model from texts by language; each language's texts, joined, are used up to its share of characters."""
     languages = sorted(k for k, v in samples.items() if any(c.isalpha() for t in v for c in t))
@@ -101,7 +115,7 @@ def train(samples: dict[str, list[str]]) -> Model | None:
     codes = letter_codes([t for k in languages for t in samples[k]])
     tables, roots, bits, at = [], [], [], 0
     for k in languages:
-        s = encode(" ".join(samples[k]), codes)[:share]
+        s = spread([encode(t, codes) for t in samples[k]], share)
         t = suffix_automaton(s)
         tables.append(np.where(t >= 0, t + at, -1))
         roots.append(at)
@@ -141,14 +155,13 @@ def phrases(texts: list[np.ndarray], m: Model) -> np.ndarray:
 
 
 def gather(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """Labelled texts by language for training: about `rows` different whole texts each, those with the least hashes; docs has text and lang."""
+    """Labelled texts by language for training: `rows` different whole texts each (fewer where there are fewer), those with the least hashes; docs has text and lang."""
     known = docs.filter("lang is not null and text is not null and text <> ''")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3 * rows / r["n"]))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    picked = known.select("lang", "text", place.alias("place")).filter(F.col("place") < F.element_at(share, F.col("lang")))
+    known = known.select("lang", "text", F.xxhash64("text").alias("place"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    # copies share a place and count once; each task keeps `rows` places a language before it shuffles
+    least = known.select("lang", "place").distinct().withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "place")
+    picked = known.join(F.broadcast(cut(least)), ["lang", "place"])
     out: dict[str, list[str]] = {}
     for r in sorted(picked.groupBy("lang", "place").agg(F.first("text").alias("text")).collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
         if len(out.setdefault(r["lang"], [])) < rows:

@@ -188,6 +188,17 @@ def test_language(spark, empty):
     assert language_id.gather(empty) == {} and language_id.identify(empty, None).count() == 0
 
 
+def test_language_samples_of_copies_and_long_texts(spark):
+    r = random.Random(5)
+    few = [prose(r, 20) for _ in range(5)]
+    rows = [(few[i % 5], "aa") for i in range(3000)] + [(prose(r, 20), "bb") for _ in range(300)]
+    got = language_id.gather(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(got["aa"]) == sorted(few) and len(got["bb"]) == language_id.SAMPLE_ROWS == len(set(got["bb"]))
+    parts = [np.full(n, c, np.uint8) for n, c in ((100_000, 9), (50, 3), (900, 4))]
+    s = language_id.spread(parts, 2000)
+    assert [int((s == c).sum()) for c in (3, 4, 9)] == [50, 900, 1048] and len(s) == 2000
+
+
 def test_cross_parse_by_search():
     r = random.Random(8)
     train = "".join(r.choice("abcd ") for _ in range(300))
