@@ -3,15 +3,19 @@
 Sizes are cut into bands, each 1/threshold wide. Two sets with Jaccard similarity of the threshold or more lie in one band or in
 neighbouring ones, and their symmetric difference has at most H elements, H known from the lower band. For each band the universe of
 tokens is hashed into m segments, and each segment gets a budget of 0 (its subset must be equal) or 1 (equal after deleting one token on
-one side). With sum(budget + 1) > H, one segment of each similar pair is within its budget. How many segments get budget 1 is decided by
-the costs that a band's number of sets implies: keys against pairs that meet only because a segment is empty in both.
+one side). With sum(budget + 1) > H, one segment of each similar pair is within its budget.
 
-Sets that share a key form candidate clusters (connected components over one edge a set and key). Within a cluster every pair is
-decided exactly: a parity sketch bounds the symmetric difference from below, pairs in one component already need no look, the rest are intersected.
-Clusters of more than BLOCK sets are cut into blocks and each pair of blocks is a task of its own. Equal sets are one set from the start, by a 128-bit hash.
+Segments that are empty on both sides would make keys that all sets share. So sum(budget + 1) > H + slack: a set whose segments that could meet in an empty subset weigh
+no more than slack gives no keys of empty subsets, since the pair has another segment within its budget; only the few sets beyond the slack give them, and meet each other there.
+How many segments get budget 1, and the slack, are decided by the costs that a band's number of sets implies: keys against pairs that meet without being similar.
+
+Keys travel in blocks of bytes, a block for each bucket of keys; equal keys that one task sees are linked there and travel once, so a key that a third of all sets share is spread.
+Sets that share a key form candidate clusters. Clusters are cut into chunks by hash, and within a chunk, to which the cluster's least set is added, every pair
+is decided exactly: a parity sketch bounds the symmetric difference from below, pairs that are in one component already need no look, the rest are intersected. Where a cluster of several chunks
+then still has several components, pairs of chunks are decided as well, sets of one component excepted. Equal sets are one set from the start, by a 128-bit hash.
 
 Defined results: a null or empty text has no set, links with nothing and is its own component; repeated rows are equal sets; a null doc_id never becomes a component's
-id while another is there; an empty table gives an empty result; other columns are ignored.
+id while another is there, and a component of null ids alone has a null id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,27 +23,28 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import Scratch, WordHashes, cut, map_batches, mix64, small_batches
-from skerry.llm.components import components
+from skerry.llm.common import BATCH_ROWS, Scratch, WordHashes, cut, map_batches, mix64, small_batches
+from skerry.llm.components import LAST, components, forest
 
 #: Least similarity as a ratio of whole numbers, words in a shingle.
 NUM, DEN, WORDS = 90, 100, 3
-BLOCK = 1000
-#: Sets are cut into more blocks where they have more shingles than this on average, so that a task's sets stay at some 16 MB.
-BLOCK_MEAN = 1000
+#: Sets in a chunk of a cluster, about; chunks are more where sets have more shingles than CHUNK_MEAN on average, so that a task's sets stay at some 4 MB.
+CHUNK, CHUNK_MEAN = 256, 2000
 #: Cost of ruling out a pair by its sketches, as a share of a key's.
 PAIR_COST = 0.02
 #: Sketch bits; a sketch only spares exact checks.
 BITS = 1024
-#: Up to so many candidate ids (8 bytes each) are broadcast to pick texts; beyond, texts are joined by shuffling.
-BROADCAST_IDS = 2_000_000
+#: Keys in a bucket, about, and keys that a task holds before it passes them on (16 bytes each).
+BUCKET_KEYS, HELD_KEYS = 1_500_000, 1_500_000
+#: Up to so many candidate sets (some 60 bytes each) are broadcast to pick texts; beyond, texts are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -83,40 +88,76 @@ def most_apart(band: int, num: int = NUM, den: int = DEN) -> int:
     return (den - num) * (small + small * den // num) // (den + num)
 
 
-def allocate(band: int, n_sets: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
-    """(m, z): segments, and how many of them have budget 1, least in cost. A key, which is shuffled twice, costs 1; an unwanted pair, which a sketch rules out in place, PAIR_COST."""
+def tail(mean: float, most: int) -> float:
+    """Share of a Poisson distribution beyond `most`; by the normal one where that is many."""
+    if most > 200:
+        return 0.5 * math.erfc((most + 0.5 - mean) / math.sqrt(2 * mean)) if mean > 0 else 0.0
+    term = total = math.exp(-mean)
+    for k in range(1, most + 1):
+        term *= mean / k
+        total += term
+    return max(1 - total, 0.0)
+
+
+def allocate(band: int, n_sets: int, num: int = NUM, den: int = DEN) -> tuple[int, int, int]:
+    """(m, z, slack): segments, how many of them have budget 1, and the weight of segments that may meet in an empty subset, least in cost.
+
+    A key, which is shuffled once, costs 1; an unwanted pair, which a sketch rules out in place, PAIR_COST. m + z > H + slack."""
     h, size = most_apart(band, num, den), int(band_starts(num, den)[band])
     best = None
-    for z in sorted({*range(min(h // 2 + 2, 65)), *(h * i // 40 for i in range(21))}):
-        m = max(1, h + 1 - z)
-        if m < z or m - z + 2 * z < h + 1:
-            continue
-        keys = (m - z) + z * (1 + size / m)
-        cost = n_sets * keys + PAIR_COST * 0.5 * n_sets * n_sets * m * math.exp(-size / m)
-        if best is None or cost < best[0]:
-            best = (cost, m, z)
-    return best[1], best[2]
+    for z in sorted({*range(min(h // 2 + 2, 9)), *(h * i // 20 for i in range(11))}):
+        for slack in sorted({0, 1, 2, 3, 4, 6, 8, 10, 12, 15, 18, 22, 26, 32, *(h * i // 100 for i in range(3, 13))}):
+            m = max(1, h + 1 + slack - z)
+            if m < z:
+                continue
+            mean = size / m
+            rare = n_sets * min(tail((m - z) * math.exp(-mean) + 2 * z * math.exp(-mean) * (1 + mean), slack), 1.0)
+            cost = n_sets * ((m - z) + z * (1 + mean)) + rare * m * math.exp(-mean) + PAIR_COST * 0.5 * rare * rare
+            if best is None or cost < best[0]:
+                best = (cost, m, z, slack)
+    return best[1:]
 
 
-def keys_of(s: np.ndarray, plan: dict[int, tuple[int, int]], num: int = NUM, den: int = DEN) -> np.ndarray:
-    """All keys of a set: for its own band, and for the band below whose sets it may contain."""
+_BOUNDS: dict = {}
+
+
+def bounds(m: int) -> np.ndarray:
+    """First hash of each segment but the first: hashes are cut into m equal ranges."""
+    if m not in _BOUNDS:
+        _BOUNDS[m] = np.array([-(-(i << 64) // m) for i in range(1, m)], np.uint64)
+    return _BOUNDS[m]
+
+
+def keys_of(s: np.ndarray, plan: Mapping[int, tuple[int, int, int]], num: int = NUM, den: int = DEN) -> np.ndarray:
+    """All keys of a set (sorted hashes): for its own band, and for the band below whose sets it may contain."""
+    if not len(s):
+        return np.empty(0, np.uint64)
     band = int(band_of(len(s), num, den))
+    part = mix64(s)
+    ends = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(part, out=ends[1:])
     out = []
     for scheme in (band, band - 1):
         if scheme < 0 or scheme != band and len(s) * num > den * (int(band_starts(num, den)[band]) - 1):
             continue
-        m, z = plan[scheme]
-        seg = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64) if m > 1 else np.zeros(len(s), np.int64)
-        part = mix64(s + np.uint64((scheme + 1) * int(_B) % (1 << 64)))
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, seg, part)
-        size = np.bincount(seg, minlength=m).astype(np.uint64)
+        m, z, slack = plan[scheme]
+        at = np.empty(m + 1, np.int64)
+        at[0], at[m], at[1:m] = 0, len(s), np.searchsorted(s, bounds(m))
+        size = np.diff(at)
+        sums = ends[at[1:]] - ends[at[:-1]]
         tag = mix64((np.arange(m, dtype=np.uint64) << np.uint64(20)) + np.uint64(scheme))
-        out.append(mix64(sums ^ tag) + size)
+        low = size == 0
+        weight = int(low.sum())
+        if z:
+            weight += int(low[:z].sum()) + 2 * int((size[:z] == 1).sum())
+        whole = weight > slack
+        key = mix64(sums ^ tag) + size.astype(np.uint64)
+        out.append(key if whole else key[~low])
         if z:
-            at = seg < z  # the first z segments have budget 1
-            out.append(mix64((sums[seg[at]] - part[at]) ^ tag[seg[at]]) + size[seg[at]] - np.uint64(1))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+            seg = np.repeat(np.arange(z), size[:z])
+            one = mix64((sums[seg] - part[: len(seg)]) ^ tag[seg]) + size[seg].astype(np.uint64) - np.uint64(1)
+            out.append(one if whole else one[size[seg] > 1])
+    return np.unique(np.concatenate(out))
 
 
 def same_enough(inter: int, a: int, b: int, num: int = NUM, den: int = DEN) -> bool:
@@ -131,11 +172,11 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(sets), BITS), axis=1).view(np.uint64)
 
 
-def link(sets: list[np.ndarray], group: np.ndarray | None = None, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with group (0 or 1), only pairs of different groups are looked at."""
+def link(sets: list[np.ndarray], group: np.ndarray | None = None, num: int = NUM, den: int = DEN, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets; with group (0 or 1), only pairs of different groups are looked at. Sets with one number in known are linked already."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    sizes, root = sizes[order], np.arange(len(sets))
+    sizes, root = sizes[order], np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1][order]
     sk = sketches([sets[i] for i in order])
     side = group[order] if group is not None else None
     out = []
@@ -163,15 +204,18 @@ def link(sets: list[np.ndarray], group: np.ndarray | None = None, num: int = NUM
 
 
 def link_table(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: cluster, pair, node, side, s (the set); those of a task (cluster and pair of blocks) follow each other. Spanning links of each task."""
+    """rows: cluster, task, node, side, root, s (the set); those of a task follow each other. Spanning links of each task: a, b."""
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, nodes, sides, sets = None, [], [], []
+        task, held = None, {}
 
         def close() -> list[tuple[int, int]]:
-            split = task is not None and len(set(sides)) > 1
-            return [(nodes[a], nodes[b]) for a, b in link(sets, np.array(sides) if split else None, num, den)]
+            if len(held) < 2:
+                return []
+            nodes, (sides, roots, sets) = list(held), zip(*held.values(), strict=True)
+            split = len(set(sides)) > 1
+            return [(nodes[a], nodes[b]) for a, b in link(list(sets), np.array(sides) if split else None, num, den, np.array(roots))]
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
@@ -179,13 +223,12 @@ def link_table(rows: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             values, offsets = batch.column("s").flatten().to_numpy(zero_copy_only=False), batch.column("s").offsets.to_numpy()
             offsets, found = offsets - offsets[0], []
-            for i, (*t, node, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cluster", "pair", "node", "side")), strict=True)):
-                if t != task:
+            for i, (cluster, part, node, side, root) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cluster", "task", "node", "side", "root")), strict=True)):
+                if (cluster, part) != task:
                     found += close()
-                    task, nodes, sides, sets = t, [], [], []
-                nodes.append(node)
-                sides.append(side)
-                sets.append(values[offsets[i] : offsets[i + 1]].copy().view(np.uint64))
+                    task, held = (cluster, part), {}
+                if node not in held:  # rows of a repeated id and text
+                    held[node] = (side, root, values[offsets[i] : offsets[i + 1]].copy().view(np.uint64))
             if found:
                 yield batch_of(found)
         if found := close():
@@ -194,83 +237,198 @@ def link_table(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+def prints_of(docs: DataFrame, plan: Plan, buckets: int, num: int, den: int, words: int, carry: tuple[str, ...], held_keys: int) -> DataFrame:
+    """Three kinds of rows: a document (doc_id, n, fp, h, carry; h is 8 bytes of fp), a bucket's keys and nodes (h) as bytes, and links (bucket -1, both ends as bytes) of sets that share a key in the task."""
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, n long, fp binary, h long, bucket int, x binary, y binary" + "".join(f", `carry {c}` {dict(docs.dtypes)[c]}" for c in carry)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, keys, nodes, held = WordHashes(), [], [], 0
+        kinds: dict = {}
+
+        def whole(cols: dict, size: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([cols[k] if k in cols else pa.nulls(size, t) for k, t in kinds.items()], names=list(kinds))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal keys, nodes, held
+            key, node = np.concatenate(keys), np.repeat(np.array([h for h, _ in nodes], np.int64), [n for _, n in nodes])
+            keys, nodes, held = [], [], 0
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            first = np.r_[True, key[1:] != key[:-1]]
+            center = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+            pair = np.flatnonzero(center != node)
+            bucket, x, y = [], [], []
+            if len(pair):
+                a, b = forest(node[pair], center[pair])
+                bucket, x, y = [-1], [a[a != b].tobytes()], [b[a != b].tobytes()]
+            key, node = key[first], node[first]
+            to = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # in order, as keys are
+            cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]).tolist() + [len(to)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                bucket.append(int(to[i]))
+                x.append(key[i:j].tobytes())
+                y.append(node[i:j].tobytes())
+            for i in range(0, len(bucket), BATCH_ROWS):
+                part = slice(i, i + BATCH_ROWS)
+                yield whole({"bucket": pa.array(bucket[part], pa.int32()), "x": pa.array(x[part], pa.binary()), "y": pa.array(y[part], pa.binary())}, len(bucket[part]))
+
+        for batch in batches:
+            kinds = kinds or {"doc_id": batch.schema.field("doc_id").type, "n": pa.int64(), "fp": pa.binary(), "h": pa.int64(), "bucket": pa.int32(), "x": pa.binary(), "y": pa.binary(), **{f"carry {c}": batch.schema.field(c).type for c in carry}}
+            n, fp, h = [], [], []
+            for text in batch.column("text").to_pylist():
+                s = shingles(text, known, words)
+                n.append(len(s))
+                fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                h.append(int.from_bytes(fp[-1][:8], "little", signed=True) if len(s) else None)
+                if len(s):
+                    keys.append(keys_of(s, plan, num, den))
+                    nodes.append((h[-1], len(keys[-1])))
+                    held += len(keys[-1])
+                    if held > held_keys:
+                        yield from flush()
+            yield whole({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.binary()), "h": pa.array(h, pa.int64()), **{f"carry {c}": batch.column(c) for c in carry}}, len(n))
+        if held:
+            yield from flush()
+
+    return docs.mapInArrow(run, schema)
+
+
+def key_links(blocks: DataFrame, parts: int) -> DataFrame:
+    """a, b: for each bucket a forest over the sets that share one of its keys. blocks: bucket, x (keys), y (nodes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            key, node = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held, strict=True))
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            first = np.r_[True, key[1:] != key[:-1]]
+            center = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+            pair = np.flatnonzero(center != node)
+            if len(pair):
+                a, b = forest(node[pair], center[pair])
+                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, x, y in zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y")), strict=True):
+                if bucket != at:
+                    if held:
+                        yield from close()
+                    at, held = bucket, []
+                held.append((x, y))
+        if held:
+            yield from close()
+
+    return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+
+def unpacked(links: DataFrame) -> DataFrame:
+    """a, b from rows of bytes x and y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return links.select("x", "y").mapInArrow(run, "a long, b long")
+
+
+class Plan(dict):
+    """Budgets by band, made when first asked for; `about` has the number of sets by the binary logarithm of their size. It decides costs only, never results."""
+
+    def __init__(self, about: dict[int, int], num: int, den: int):
+        self.about, self.num, self.den = about, num, den
+
+    def __reduce__(self):
+        return Plan, (self.about, self.num, self.den)
+
+    def sets(self, band: int) -> int:
+        lo, hi = (int(x) for x in band_starts(self.num, self.den)[band : band + 2])
+        level = int(math.log2(lo))
+        return round(self.about.get(level, 0) * min((hi - lo) / (1 << level), 1.0))
+
+    def __missing__(self, band: int) -> tuple[int, int, int]:
+        self[band] = allocate(band, max(1, self.sets(band)), self.num, self.den)
+        return self[band]
+
+    def keys(self) -> float:
+        """About how many keys all sets make."""
+        lows, out = band_starts(self.num, self.den), 0.0
+        for band in range(len(lows) - 2):
+            if n := self.sets(band):
+                m, z, _ = self[band]
+                out += 2 * n * (m + z * int(lows[band]) / m)
+        return out
+
+
+def plan_of(docs: DataFrame, num: int, den: int) -> Plan:
+    """Sizes are guessed from the count of spaces."""
+    guess = F.greatest(F.length(F.col("text")) - F.length(F.translate("text", " \t\n", "")), F.lit(1))
+    about = docs.filter("text is not null").groupBy(F.floor(F.log2(guess)).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()  # 40 rows at most
+    return Plan({r["l"]: r["n"] for r in about}, num, den)
+
+
+def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS, chunk: int = CHUNK, carry: tuple[str, ...] = (), held_keys: int = HELD_KEYS, last: int = LAST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, component_id being the least doc_id that links reach.
 
     With carry, also root, which names the component whatever its ids are (null without a set), and those columns of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text", *carry)
-    kind = dict(docs.dtypes)["doc_id"]
-    bands = band_starts(num, den)
-
-    # sizes by band for the costs, from the count of spaces: they decide costs only, never results
-    guess = F.greatest(F.length(F.col("text")) - F.length(F.translate("text", " \t\n", "")), F.lit(1))
-    level = F.floor(F.log2(guess)).cast("int")
-    about = {r["l"]: r["n"] for r in docs.filter("text is not null").groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 40 rows at most
-    plan = {}
-    for b in range(len(bands) - 2):
-        lo, hi = int(bands[b]), int(bands[b + 1])
-        if lo > 1 << 31:
-            break
-        near = about.get(int(math.log2(lo)), 0)
-        plan[b] = allocate(b, max(1, round(near * (hi - lo) / (1 << int(math.log2(lo))))), num, den)
-
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    plan = plan_of(docs, num, den)
+    buckets = min(max(parts, math.ceil(plan.keys() / BUCKET_KEYS)), (1 << 31) - 1)
     state: dict = {}
 
-    def prints(batch: pa.RecordBatch) -> dict:
+    def again(batch: pa.RecordBatch) -> dict:
         known = state.setdefault("known", WordHashes())
-        n, fp, keys = [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingles(text, known, words)
-            n.append(len(s))
-            fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            keys.append(keys_of(s, plan, num, den).view(np.int64))
-        offsets = np.zeros(len(keys) + 1, np.int32)
-        np.cumsum([len(k) for k in keys], out=offsets[1:])
-        return {"doc_id": batch.column("doc_id"), "n": n, "fp": fp, "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else [], pa.int64())), **{f"carry {c}": batch.column(c) for c in carry}}
+        found = [shingles(t, known, words) for t in batch.column("text").to_pylist()]
+        return {"fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], "s": [s.view(np.int64) for s in found]}
 
     try:
-        carried = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry)
-        first = scratch.put(map_batches(docs, prints, f"doc_id {kind}, n long, fp binary, keys array<long>{carried}"), "prints")
-        narrow = cut(first.select("doc_id", "n", "fp", *carry))
-        # one row for each different set, with an id by which its text is found again; null only where no row has one
-        one = first.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-        sets = scratch.put(one.withColumn("node", F.monotonically_increasing_id()), "sets")
+        first = scratch.put(prints_of(docs, plan, buckets, num, den, words, carry, held_keys), "prints")
+        narrow = cut(first.filter("bucket is null").select("doc_id", "n", "fp", "h", *[F.col(f"carry {c}").alias(c) for c in carry]))
+        edges = key_links(first.filter("bucket >= 0").select("bucket", "x", "y"), parts).unionByName(unpacked(first.filter("bucket = -1")))
+        clusters = cut(components(edges, last=last))
         scratch.drop("prints")
-        keyed = sets.select("node", F.explode("keys").alias("key"))
-        shared = scratch.put(keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("key", "center"), "shared")
-        edges = keyed.join(shared.hint("shuffle_hash"), "key").filter("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
-        clusters = cut(components(edges))
-        scratch.drop("shared")
-
-        who = scratch.put(clusters.join(sets.select("node", "doc_id", "fp", "n"), "node").select("node", F.col("component").alias("cluster"), "doc_id", "fp", "n"), "who")
-        n_who = who.count()
-        ids = who.filter("doc_id is not null").select("doc_id").distinct()
-        picked = docs.join(F.broadcast(ids) if n_who <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-
-        def again(batch: pa.RecordBatch) -> dict:
-            known = state.setdefault("known", WordHashes())
-            found = [shingles(t, known, words) for t in batch.column("text").to_pylist()]
-            return {"fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], "s": [s.view(np.int64) for s in found]}
-
-        whole = map_batches(picked.select("text"), again, "fp binary, s array<long>")
+
+        # one row for each different set, with an id by which its text is found again; null only where no row has one
+        one = narrow.filter("fp is not null").groupBy("fp").agg(F.first("h").alias("h"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+        sets = cut(one.withColumn("node", F.monotonically_increasing_id()))
+        who = cut(sets.join(clusters.withColumnRenamed("node", "h"), "h").select("node", F.col("component").alias("cluster"), "doc_id", "fp", "n"))
+        few = who.count() <= BROADCAST_IDS
+        sent = lambda df: F.broadcast(df) if few else df
+        picked = docs.select("doc_id", "text").join(sent(who.filter("doc_id is not null").select("doc_id").distinct()), "doc_id", "left_semi").select("text")
         nameless = who.filter("doc_id is null").select("fp")
-        if n_nameless := nameless.count():
-            texts = map_batches(docs.filter("doc_id is null").select("text"), again, "fp binary, s array<long>")
-            whole = whole.unionByName(texts.join(F.broadcast(nameless) if n_nameless <= BROADCAST_IDS else nameless, "fp", "left_semi"))
-        whole = whole.dropDuplicates(["fp"])
-        size = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("total")).filter("g > 1")
-        n_blocks = F.ceil(F.greatest(F.col("g") / block, F.col("total") / (block * BLOCK_MEAN))).cast("int")
-        rows = who.select("node", "cluster", "fp").join(size, "cluster").join(whole, "fp").withColumn("nb", n_blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        # a task for each pair of blocks; a cluster of one block is one task
-        task = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        lo, hi = F.least("blk", "other"), F.greatest("blk", "other")
-        task = task.select("cluster", (lo.cast("long") * F.col("nb") + hi).alias("pair"), "node", (F.col("blk") > F.col("other")).cast("int").alias("side"), "s")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        links = link_table(task.repartition(parts, "cluster", "pair").sortWithinPartitions("cluster", "pair"), num, den)
-        joined = cut(components(cut(links)))
-        scratch.drop("who")
+        whole = map_batches(picked, again, "fp binary, s array<long>")
+        if not nameless.isEmpty():
+            whole = whole.unionByName(map_batches(docs.filter("doc_id is null").select("text"), again, "fp binary, s array<long>"))
+        size = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("total"), F.min("node").alias("least")).filter("g > 1")
+        chunks = F.ceil(F.greatest(F.col("g") / chunk, F.col("total") / (chunk * CHUNK_MEAN))).cast("int")
+        of = cut(who.select("node", "cluster", "fp").join(size, "cluster").withColumn("nc", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("nc")).cast("int")).drop("g", "total"))
+        several = not of.filter("nc > 1").isEmpty()
+        rows = whole.join(sent(of), "fp")
+        if several:
+            rows = scratch.put(rows, "rows")
+
+        def links(task: DataFrame) -> DataFrame:
+            return link_table(task.repartition(parts, "cluster", "task").sortWithinPartitions("cluster", "task"), num, den)
+
+        # each chunk, with the cluster's least set
+        to = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), F.col("nc") - 1)).otherwise(F.array("c")).cast("array<long>")
+        found = cut(links(rows.select("cluster", F.explode(to).alias("task"), "node", F.lit(0).alias("side"), F.col("node").alias("root"), "s")))
+        if several:  # pairs of chunks of clusters that are not one component yet
+            now = cut(components(found, last=last))
+            held = of.filter("nc > 1").select("cluster", "node", "nc", "c").join(now, "node", "left").withColumn("root", F.coalesce("component", "node"))
+            apart = held.groupBy("cluster").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("cluster")
+            wide = rows.join(sent(held.join(apart, "cluster").select("node", "root")), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).filter("other <> c")
+            lo, hi = F.least("c", "other"), F.greatest("c", "other")
+            task = wide.select("cluster", (lo.cast("long") * F.col("nc") + hi).alias("task"), "node", (F.col("c") > F.col("other")).cast("int").alias("side"), "root", "s")
+            found = found.unionByName(cut(links(task)))
+        joined = cut(components(found, last=last))
 
         least = narrow.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("lo"))
         nodes = least.join(sets.select("fp", "node"), "fp").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))

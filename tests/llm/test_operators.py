@@ -396,11 +396,11 @@ def test_warc(spark):
 # 10 join
 
 
-def brute_components(rows):
+def brute_components(rows, num=90, n=3):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(x):
@@ -409,16 +409,16 @@ def brute_components(rows):
         return x
 
     ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [1000, 3])
-def test_join(spark, empty, block):
+@pytest.mark.parametrize("chunk,held,num,words", [(256, 1 << 20, 90, 3), (3, 500, 90, 3), (5, 2000, 80, 5)])
+def test_join(spark, empty, chunk, held, num, words):
     r = random.Random(11)
     rows = [(i, t) for i, t, *_ in corpus()]
     for size in (9, 10, 11, 20, 33, 60, 200):
@@ -429,10 +429,12 @@ def test_join(spark, empty, block):
                 p = r.randrange(len(v))
                 v[p : p + 1] = r.choice([["new" + str(r.random())], [], [v[p], "more"]])
             rows.append((1000 + len(rows), " ".join(v)))
+    line = prose(r, 30)
+    rows += [(2000 + k, line + " " + prose(r, 3 + k)) for k in range(40)]  # a shared passage, few of them similar
     r.shuffle(rows)
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("fp", F.lit(1))
-    got = ngram_join.jaccard_components(d, block=block).collect()
-    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(rows) and len(got) == len(rows)
+    got = ngram_join.jaccard_components(d, num=num, words=words, chunk=chunk, held_keys=held, last=20 if chunk == 3 else 1000).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(rows, num, words) and len(got) == len(rows)
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
@@ -453,22 +455,23 @@ def test_join_links_sets_without_ids(spark):
 
 
 def test_keys_meet():
-    """Any pair that is similar enough shares a key, for every plan of budgets."""
+    """Any pair that is similar enough shares a key, for every plan of budgets and slack."""
     r = np.random.default_rng(7)
-    for n in (9, 10, 19, 20, 40, 95, 300):
-        for z_more in (False, True):
-            plan = {}
-            for b in range(80):
-                h = ngram_join.most_apart(b)
-                plan[b] = (max(1, (h + 2) // 2), min(max(1, (h + 2) // 2), h // 2 + 1)) if z_more else ngram_join.allocate(b, 1000)
-            for _ in range(60):
-                a = r.integers(0, 1 << 63, n).astype(np.uint64)
-                drop, add = r.integers(0, max(1, n // 15) + 1), r.integers(0, max(1, n // 15) + 1)
-                b_ = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
-                a = np.unique(a)
-                inter = len(np.intersect1d(a, b_))
-                if ngram_join.same_enough(inter, len(a), len(b_)):
-                    assert len(np.intersect1d(ngram_join.keys_of(a, plan), ngram_join.keys_of(b_, plan)))
+    for n in (4, 5, 9, 10, 19, 20, 40, 95, 300):
+        for num in (80, 90):
+            for sets in (1000, 10**8, "more"):
+                plan = {}
+                for b in range(60):
+                    h = ngram_join.most_apart(b, num)
+                    plan[b] = (h // 2 + 1 + b % 3, h // 2 + 1, b % 3) if sets == "more" else ngram_join.allocate(b, sets, num)
+                for _ in range(60):
+                    a = r.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)
+                    drop, add = r.integers(0, max(1, n // 8) + 1), r.integers(0, max(1, n // 8) + 1)
+                    b_ = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
+                    a = np.unique(a)
+                    inter = len(np.intersect1d(a, b_))
+                    if ngram_join.same_enough(inter, len(a), len(b_), num):
+                        assert len(np.intersect1d(ngram_join.keys_of(a, plan, num), ngram_join.keys_of(b_, plan, num)))
 
 
 def test_components(spark):
@@ -477,7 +480,7 @@ def test_components(spark):
     root = list(range(300))
     for a, b in pairs * 60:
         root[a] = root[b] = min(root[a], root[b])
-    for one_task in (1000, 0):
-        rows = components.components(spark.createDataFrame(pairs, "a long, b long"), one_task=one_task).collect()
+    for last in (1000, 5, 0):
+        rows = components.components(spark.createDataFrame(pairs, "a long, b long"), last=last).collect()
         assert {x["node"]: x["component"] for x in rows} == {i: root[i] for i in {x for p in pairs if p[0] != p[1] for x in p}}
         assert len(rows) == len({x["node"] for x in rows})
