@@ -12,7 +12,8 @@ The items' fingerprints are broadcast in blocks of at most BLOCK_WORDS item word
 block, and what was found before travels along. Nothing is sent to the driver but the item texts of one block.
 
 Defined results: a null text has no words, no hits and is not contaminated; items without words are ignored; repeated documents or items give each
-row its own result (equal item ids count once); an empty benchmark finds nothing; other columns are ignored.
+row its own result (equal item ids count once); items without an id count as one item, which the list of ids and its digest leave out; an empty benchmark finds nothing;
+other columns stay unless they bear the names added here, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from skerry.llm.common import Scratch, WordHashes, map_batches, mix64
 
 SPAN = 13
 K = 5
-#: Words of items in one broadcast block (some 150 MB in a Python worker).
+#: Words of items in one broadcast block (some 100 MB in a Python worker, besides an item that is longer by itself).
 BLOCK_WORDS = 1_000_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = bytes(range(65, 91))
@@ -71,30 +72,38 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class Block:
-    """Fingerprints and windows of some items, by length of the shared span."""
+    """Fingerprints and windows of some items, by length of the shared span. Windows are three sorted arrays: hash, item and place; items share their words."""
 
     def __init__(self, items: list[tuple], span: int = SPAN, k: int = K):
-        self.classes: dict[int, tuple[int, int, np.ndarray, dict[int, list]]] = {}
-        known = WordHashes()
-        by: dict[int, list[tuple]] = defaultdict(list)
+        self.span = span
+        self.classes: dict[int, tuple] = {}
+        self.ids, self.words = [], []
+        known, same = WordHashes(), {}
+        by: dict[int, list[int]] = defaultdict(list)
         for item_id, text in items:
             if w := words_of(text):
-                by[min(span, len(w))].append((item_id, w))
+                by[min(span, len(w))].append(len(self.ids))
+                self.ids.append(item_id)
+                self.words.append([same.setdefault(x, x) for x in w])
         for t, group in sorted(by.items()):
             kk = min(k, t)
-            prints, windows = [np.empty(0, np.uint64)], defaultdict(list)
-            for item_id, w in group:
+            prints, full, item, place = [], [], [], []
+            for i in group:
+                w = self.words[i]
                 ids = np.fromiter((known[x] for x in w), np.uint64, len(w))
                 grams = gram_hashes(ids, kk)
                 prints.append(grams[winnow(grams, t - kk + 1)])
-                for i, h in enumerate(gram_hashes(ids, t).tolist()):
-                    windows[h].append((item_id, w[i : i + t]))
-            self.classes[t] = (kk, t - kk + 1, np.unique(np.concatenate(prints)), dict(windows))
-
-    def hits(self, words: list[bytes], ids: np.ndarray) -> tuple[list[tuple[int, int]], set]:
-        """Hit spans of one document as (start, length), and the items with an occurring window."""
-        spans, found = [], set()
-        for t, (k, window, prints, windows) in self.classes.items():
+                full.append(gram_hashes(ids, t))
+                item.append(np.full(len(full[-1]), i, np.int32))
+                place.append(np.arange(len(full[-1]), dtype=np.int32))
+            h = np.concatenate(full)
+            order = np.argsort(h, kind="stable")
+            self.classes[t] = (kk, t - kk + 1, np.unique(np.concatenate(prints)), h[order], np.concatenate(item)[order], np.concatenate(place)[order])
+
+    def hits(self, words: list[bytes], ids: np.ndarray) -> tuple[list[tuple[int, int]], set, bool]:
+        """Hit spans of one document as (start, length), the items with an occurring window, and whether one of those has all `span` words."""
+        spans, found, long = [], set(), False
+        for t, (k, window, prints, full, item, place) in self.classes.items():
             if len(ids) < t:
                 continue
             grams = gram_hashes(ids, k)
@@ -106,13 +115,17 @@ class Block:
                 continue
             starts = np.unique((places[:, None] - np.arange(window)[None, :]).ravel())
             starts = starts[(starts >= 0) & (starts <= len(ids) - t)]
-            full = gram_hashes(ids, t)[starts].tolist()
-            for s, h in zip(starts.tolist(), full, strict=True):
-                same = [item for item, w in windows.get(h, ()) if w == words[s : s + t]]
+            h = gram_hashes(ids, t)[starts]
+            lo, hi = np.searchsorted(full, h), np.searchsorted(full, h, side="right")
+            for j in np.flatnonzero(lo < hi).tolist():
+                s = int(starts[j])
+                own = words[s : s + t]
+                same = [i for i, p in zip(item[lo[j] : hi[j]].tolist(), place[lo[j] : hi[j]].tolist(), strict=True) if self.words[i][p : p + t] == own]
                 if same:
                     spans.append((s, t))
-                    found.update(same)
-        return spans, found
+                    found.update(self.ids[i] for i in same)
+                    long = long or t == self.span
+        return spans, found, long
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -132,9 +145,12 @@ def _blocks(bench: DataFrame, limit: int):
     return items, max(1, -(-int(total) // limit))
 
 
+ADDED = ("n_words", "hit_spans", "item_ids", "whole_window")
+
+
 def find_overlaps(docs: DataFrame, bench: DataFrame, span: int = SPAN, block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
-    """n_words, hit_spans (array of start and length in words, merged) and item_ids (strings, sorted) of every row of docs, beside the columns in carry (default: all)."""
-    spark, carry, base = docs.sparkSession, docs.columns if carry is None else carry, docs
+    """n_words, hit_spans (array of start and length in words, merged), item_ids (strings, sorted, null last) and whole_window (a window of `span` words is hit) of every row of docs, beside the columns in carry (default: all)."""
+    spark, carry, base = docs.sparkSession, [c for c in (docs.columns if carry is None else carry) if c not in ADDED], docs
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     items, n = _blocks(bench, block_words)
     scratch = Scratch(spark) if n > 1 else None
@@ -145,28 +161,29 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, span: int = SPAN, block_wor
             base = scratch.put(base, f"pass{i}")
             if i > 1:
                 scratch.drop(f"pass{i - 1}")
-        keep = carry if i == n - 1 else docs.columns
-        out_schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "_n_words long, _spans array<struct<start:int,length:int>>, _items array<string>"
+        keep = list(dict.fromkeys([*carry, *(["text"] if i < n - 1 else [])]))
+        out_schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_words long, hit_spans array<struct<start:int,length:int>>, item_ids array<string>, whole_window boolean"
         state: dict = {}
 
         def scan(batch: pa.RecordBatch, held=held, first=i == 0, state=state, keep=keep) -> dict:
             if "block" not in state:
                 state["block"], state["known"] = Block(held.value, span), WordHashes()
             block, known = state["block"], state["known"]
-            n_words, spans, found = [], [], []
-            before = [None] * batch.num_rows if first else zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True)
+            n_words, spans, found, whole = [], [], [], []
+            before = [None] * batch.num_rows if first else zip(*(batch.column(c).to_pylist() for c in ADDED[1:]), strict=True)
             for text, old in zip(batch.column("text").to_pylist(), before, strict=True):
                 words = words_of(text)
                 n_words.append(len(words))
-                s, items_ = block.hits(words, np.fromiter((known[w] for w in words), np.uint64, len(words))) if words else ([], set())
+                s, items_, long = block.hits(words, np.fromiter((known[w] for w in words), np.uint64, len(words))) if words else ([], set(), False)
                 if old:
-                    s, items_ = s + [(x["start"], x["length"]) for x in old[0]], items_ | set(old[1])
+                    s, items_, long = s + [(x["start"], x["length"]) for x in old[0]], items_ | set(old[1]), long or old[2]
                 spans.append([{"start": a, "length": b} for a, b in merged(s)])
-                found.append(sorted(items_))
-            return {c: batch.column(c) for c in keep} | {"_n_words": n_words, "_spans": spans, "_items": found}
+                found.append(sorted(items_, key=lambda x: (x is None, x or "")))
+                whole.append(long)
+            return {c: batch.column(c) for c in keep} | {"n_words": n_words, "hit_spans": spans, "item_ids": found, "whole_window": whole}
 
-        base = map_batches(base, scan, out_schema)
-    return base.withColumnsRenamed({"_n_words": "n_words", "_spans": "hit_spans", "_items": "item_ids"})
+        base = map_batches(base if i else base.select(*dict.fromkeys([*carry, "text"])), scan, out_schema)
+    return base
 
 
 def judge(found: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def test_secrets_of_any_length(spark, scanner):
 
 def brute_overlap(docs, items):
     out = {}
-    its = [(str(i), decontamination.words_of(t)) for i, t in items]
+    its = [(None if i is None else str(i), decontamination.words_of(t)) for i, t in items]
     for key, t in docs:
         w, hit, ids = decontamination.words_of(t), set(), set()
         for i, v in its:
@@ -136,7 +136,7 @@ def brute_overlap(docs, items):
                 if n and tuple(w[k : k + n]) in grams:
                     hit.update(range(k, k + n))
                     ids.add(i)
-        out[key] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+        out[key] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(i for i in ids if i is not None)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
     return out
 
 
@@ -144,19 +144,24 @@ def brute_overlap(docs, items):
 def test_decontamination(spark, empty, block_words):
     r = random.Random(5)
     small = ["a", "b", "c", "d"]
-    items = [(i, " ".join(r.choice(small if i % 2 else W) for _ in range(r.choice([1, 3, 5, 12, 13, 14, 30])))) for i in range(24)] + [(50, None), (51, ""), (52, "..."), (0, "é È É")]
+    items = [(i, " ".join(r.choice(small if i % 2 else W) for _ in range(r.choice([1, 3, 5, 12, 13, 14, 30])))) for i in range(24)] + [(50, None), (51, ""), (52, "..."), (0, "é È É"), (None, "a b c"), (None, prose(r, 20))]
     docs = []
     for i in range(60):
         t = " ".join(r.choice(small if i % 3 else W) for _ in range(r.randrange(0, 80)))
         if i % 4 == 0:
             t += " " + (items[r.randrange(24)][1]).upper() + ", " + t
         docs.append((i, t))
-    docs += [(100, None), (101, ""), (102, "x " * 20000 + items[5][1])]
+    docs += [(100, None), (101, ""), (102, "x " * 20000 + items[5][1]), (103, items[-1][1]), (None, "a b c d"), (102, "x " * 20000 + items[5][1])]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit("other"))
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.judge(decontamination.find_overlaps(d, b, block_words=block_words, carry=["doc_id"])).collect()
     assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in got} == brute_overlap(docs, items)
-    none = decontamination.judge(decontamination.find_overlaps(d.drop("n_words"), b.limit(0))).agg(F.sum("n_hit"), F.count_if("contaminated")).first()
+    every = decontamination.find_overlaps(d, b, block_words=block_words).collect()
+    grams = {tuple(v[k : k + 13]) for v in (decontamination.words_of(t) for _, t in items) for k in range(len(v) - 12)}
+    for x in every:
+        w = decontamination.words_of(x["text"])
+        assert x["whole_window"] == any(tuple(w[k : k + 13]) in grams for k in range(len(w) - 12))
+    none = decontamination.judge(decontamination.find_overlaps(d, b.limit(0))).agg(F.sum("n_hit"), F.count_if("contaminated")).first()
     assert tuple(none) == (0, 0)
     assert decontamination.find_overlaps(empty, b).count() == 0
 
