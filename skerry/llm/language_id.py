@@ -4,16 +4,19 @@ For each language a suffix automaton is built over a bounded sample of labelled
 longest strings that occur in that sample; the number of such phrases, times the bits to name a place in the sample, over the text's length is the
 cross-parsing entropy. The language with the least wins.
 
-Texts are case-folded, letters keep their identity, every run of other characters is one space. All automata share one transition table, and a
-batch's texts are cut into lanes of LANE characters that are parsed side by side, each lane starting a phrase. Whole texts are parsed.
+Texts are case-folded, every run of characters that are no letters is one space, and letters become symbols of an alphabet of ALPHABET: the commonest are one symbol, the rest
+two to four, so that every letter of every script keeps its identity. All automata share one transition table. A batch's texts are parsed side by side in lanes of LANE
+symbols, each as if a phrase began with it; then, lane after lane, the phrase that reaches in from the lane before is carried on until it ends where a phrase of
+the lane begins. So the phrases are those of the whole text.
 
 Defined results: a null text, or one without letters, is `und` with score 0; equal entropies go to the language first in the alphabet;
-without labelled text every prediction is `und`; other columns stay.
+without labelled text every prediction is `und`; other columns stay unless they are called lang_pred or score, which are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,43 +28,83 @@ from pyspark.sql.window import Window
 
 from skerry.llm.common import cut, map_batches
 
-#: Characters of labelled text a language, and all together if there are many languages; about twice as many states.
+#: Symbols of labelled text a language, and all together if there are many languages; about twice as many states.
 SAMPLE_CHARS, TOTAL_CHARS = 40_000, 640_000
-#: Labelled rows that are fetched for a language, about; whole texts, picked by a hash of the text.
-SAMPLE_ROWS = 60
+#: Labelled rows that are fetched for a language: different whole texts, those with the least hashes, texts of more than LONG characters only where there are no others.
+SAMPLE_ROWS, LONG = 60, 20_000
 ALPHABET = 64
 LANE = 1024
-SPACE, OTHER = 0, 1
+SPACE = 0
+#: First symbols of letters of one, two, three and four symbols.
+SINGLE, DOUBLE, TRIPLE, QUAD = 1, 46, 54, 58
 
 
 @dataclass
 class Model:
     languages: list[str]
-    codes: np.ndarray  # code of each code point
+    letters: dict[str, int]  # rank of each letter of the samples, the commonest first
     table: np.ndarray  # (states, ALPHABET), -1 where no string goes on; all of -1 at a root
     roots: np.ndarray
-    first: np.ndarray  # (languages, ALPHABET), where a phrase's first character leads
+    first: np.ndarray  # (languages, ALPHABET), where a phrase's first symbol leads
     bits: np.ndarray  # log2 of each sample's length
 
+    def __post_init__(self):
+        self.codes = symbols(self.letters)
 
-def letter_codes(texts: list[str]) -> np.ndarray:
-    """A table over all code points: the commonest letters of the samples have codes of their own, folded by case."""
+    def __getstate__(self) -> dict:
+        """What travels: the transitions that there are, and code points drawn together."""
+        at = np.flatnonzero(self.table >= 0)
+        return self.__dict__ | {"table": (self.table.shape, at.astype(np.int32), self.table.reshape(-1)[at]), "codes": zlib.compress(self.codes.tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, to = state["table"]
+        table = np.full(shape[0] * shape[1], -1, np.int32)
+        table[at] = to
+        self.__dict__ |= state | {"table": table.reshape(shape), "codes": np.frombuffer(zlib.decompress(state["codes"]), np.uint32)}
+
+
+def ranks(texts: list[str]) -> dict[str, int]:
+    """Letters of the samples, folded by case, by how common they are."""
     seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    own = {c: i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2])}
-    out = np.zeros(0x110000, np.uint8)
+    return {c: i for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
+
+
+def symbols(letters: dict[str, int]) -> np.ndarray:
+    """For each code point its symbols as base-64 digits, the first lowest, with their number in the bits from 24 on; 0 where it is no letter."""
+    out = np.zeros(0x110000, np.uint32)
+    n2, n3 = DOUBLE - SINGLE, DOUBLE - SINGLE + (TRIPLE - DOUBLE) * 64
+    most = n3 + (QUAD - TRIPLE) * 4096
     for p in range(0x110000):
         c = chr(p)
         if c.isalpha():
-            out[p] = own.get(c.lower()[0], OTHER)
+            low = c.lower()[0]
+            r = letters.get(low, most)
+            if r < n2:
+                out[p] = SINGLE + r | 1 << 24
+            elif r < n3:
+                out[p] = DOUBLE + (r - n2) // 64 | (r - n2) % 64 << 6 | 2 << 24
+            elif r < most:
+                r -= n3
+                out[p] = TRIPLE + r // 4096 | r // 64 % 64 << 6 | r % 64 << 12 | 3 << 24
+            else:
+                r = ord(low)
+                out[p] = QUAD + r // 64**3 | r // 4096 % 64 << 6 | r // 64 % 64 << 12 | r % 64 << 18 | 4 << 24
     return out
 
 
 def encode(text: str, codes: np.ndarray) -> np.ndarray:
-    """Codes of a text, runs of SPACE drawn together."""
+    """Symbols of a text, runs of what is no letter drawn together; empty if it has no letter."""
     c = codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if not c.any():
+        return np.empty(0, np.uint8)
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != SPACE) | (c[:-1] != SPACE)
-    return c[keep]
+    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+    c = c[keep]
+    n = np.maximum(c >> 24, 1)
+    if int(n.max()) == 1:
+        return (c & 63).astype(np.uint8)
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return (np.repeat(c & 0xFFFFFF, n) >> (6 * place).astype(np.uint32) & 63).astype(np.uint8)
 
 
 def suffix_automaton(s: np.ndarray) -> np.ndarray:
@@ -93,29 +136,27 @@ def suffix_automaton(s: np.ndarray) -> np.ndarray:
     return table[:size]
 
 
-def spread(texts: list[np.ndarray], room: int) -> np.ndarray:
-    """Texts joined by SPACE within room codes: all get the same share, and what short ones leave goes to the longer ones."""
-    size, left = {}, room
-    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
-        size[i] = min(len(texts[i]), max(left // (len(texts) - done) - (done + 1 < len(texts)), 0))
-        left -= size[i] + (done + 1 < len(texts))
-    parts = [x for i, t in enumerate(texts) for x in (t[: size[i]], np.full(1, SPACE, t.dtype))]
-    s = np.concatenate(parts[:-1])[:room]
-    keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != SPACE) | (s[:-1] != SPACE)
-    return s[keep]
+def choose(texts: list[np.ndarray], room: int) -> np.ndarray:
+    """Whole texts in their order, parted by SPACE, as long as they fit in the room; the shortest where none does."""
+    out, left = [], room
+    for t in texts:
+        if len(t) + 1 <= left:
+            out += [t, np.full(1, SPACE, np.uint8)]
+            left -= len(t) + 1
+    return np.concatenate(out[:-1]) if out else min(texts, key=len)
 
 
 def train(samples: dict[str, list[str]]) -> Model | None:
-    """A model from texts by language; each language's texts, joined, are used up to its share of characters."""
+    """A model from texts by language."""
     languages = sorted(k for k, v in samples.items() if any(c.isalpha() for t in v for c in t))
     if not languages:
         return None
     share = max(1000, min(SAMPLE_CHARS, TOTAL_CHARS // len(languages)))
-    codes = letter_codes([t for k in languages for t in samples[k]])
+    letters = ranks([t for k in languages for t in samples[k]])
+    codes = symbols(letters)
     tables, roots, bits, at = [], [], [], 0
     for k in languages:
-        s = spread([encode(t, codes) for t in samples[k]], share)
+        s = choose([e for t in samples[k] if len(e := encode(t, codes))], share)
         t = suffix_automaton(s)
         tables.append(np.where(t >= 0, t + at, -1))
         roots.append(at)
@@ -124,43 +165,87 @@ def train(samples: dict[str, list[str]]) -> Model | None:
     table, roots = np.concatenate(tables).astype(np.int32), np.array(roots, np.int32)
     first = np.where(table[roots] >= 0, table[roots], roots[:, None]).astype(np.int32)
     table[roots] = -1
-    return Model(languages, codes, table, roots, first, np.array(bits))
+    return Model(languages, letters, table, roots, first, np.array(bits))
 
 
-def phrases(texts: list[np.ndarray], m: Model) -> np.ndarray:
+def phrases(texts: list[np.ndarray], m: Model, lane: int = LANE) -> np.ndarray:
     """Phrases of each text by language: (texts, languages)."""
-    cuts = [(i, t[a : a + LANE]) for i, t in enumerate(texts) for a in range(0, len(t), LANE)]
-    cuts.sort(key=lambda x: -len(x[1]))
-    out = np.zeros((len(texts), len(m.languages)), np.int64)
-    n = max(1, 40_000 // len(m.languages))
+    cuts = sorted(((i, k, t[a : a + lane]) for i, t in enumerate(texts) for k, a in enumerate(range(0, len(t), lane))), key=lambda x: -len(x[2]))
+    n_lang = len(m.languages)
+    out = np.zeros((len(texts), n_lang), np.int64)
     flat, first = m.table.reshape(-1), m.first
+    # of each lane: where it is kept, and for lanes of texts with several what is needed to join them
+    held: dict[tuple[int, int], tuple] = {}
+    n = max(1, 16_000 // n_lang)
     for g in range(0, len(cuts), n):
         part = cuts[g : g + n]
-        lengths = np.array([len(x) for _, x in part])
+        lengths = np.array([len(x) for _, _, x in part])
         block = np.zeros((int(lengths[0]), len(part)), np.int32)
-        for j, (_, x) in enumerate(part):
+        for j, (_, _, x) in enumerate(part):
             block[: len(x), j] = x
         state = np.repeat(m.roots[:, None], len(part), axis=1)
-        count = np.zeros(state.shape, np.int32)
+        starts = np.zeros((len(block), n_lang, len(part)), bool)
         going = np.searchsorted(-lengths, -np.arange(len(block)), side="left")  # lanes longer than t
         for t in range(len(block)):
             k = going[t]
             c = block[t, :k]
             nxt = flat[state[:, :k].astype(np.int64) * ALPHABET + c]
             new = nxt < 0
-            count[:, :k] += new
+            starts[t, :, :k] = new
             state[:, :k] = np.where(new, first[:, c], nxt)
-        np.add.at(out, [i for i, _ in part], count.T)
+        count = starts.sum(axis=0)
+        for j, (i, k, x) in enumerate(part):
+            if len(texts[i]) <= lane:
+                out[i] = count[:, j]
+            else:
+                held[i, k] = (x, state[:, j].copy(), np.packbits(starts[: len(x), :, j], axis=0), count[:, j])
+    _join(texts, held, out, m, lane)
     return out
 
 
-def gather(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """Labelled texts by language for training: `rows` different whole texts each (fewer where there are fewer), those with the least hashes; docs has text and lang."""
+def _join(texts: list[np.ndarray], held: dict[tuple[int, int], tuple], out: np.ndarray, m: Model, lane: int) -> None:
+    """Adds up the lanes of texts that have several, the phrase at each lane's start carried over from the lane before."""
+    flat, n_lang, long = m.table.reshape(-1), len(m.languages), sorted({i for i, _ in held})
+    lang = np.tile(np.arange(n_lang), len(long))
+    state = np.concatenate([held[i, 0][1] for i in long]) if long else np.empty(0, np.int32)
+    for i in long:
+        out[i] = held[i, 0][3]
+    for k in range(1, max((-(-len(texts[i]) // lane) for i in long), default=0)):
+        at = [j for j, i in enumerate(long) if (i, k) in held]
+        got = [held[long[j], k] for j in at]
+        size = np.repeat([len(x[0]) for x in got], n_lang)
+        block = np.zeros((len(at), lane), np.int64)
+        starts = np.zeros((len(at), lane, n_lang), bool)
+        for r, (x, _, bits, _) in enumerate(got):
+            block[r, : len(x)] = x
+            starts[r, : len(x)] = np.unpackbits(bits, axis=0, count=len(x)).astype(bool)
+        here = (np.array(at)[:, None] * n_lang + np.arange(n_lang)[None, :]).ravel()
+        row, lg, st = np.repeat(np.arange(len(at)), n_lang), lang[here], state[here].astype(np.int64)
+        end, total = np.concatenate([x[1] for x in got]), np.concatenate([x[3] for x in got]).astype(np.int64)
+        go = np.arange(len(here))
+        for t in range(lane):
+            go = go[size[go] > t]
+            if not len(go):
+                break
+            c = block[row[go], t]
+            nxt = flat[st[go] * ALPHABET + c]
+            new, own = nxt < 0, starts[row[go], t, lg[go]]
+            total[go] += new.astype(np.int64) - own
+            st[go] = np.where(new, m.first[lg[go], c], nxt)
+            go = go[~(new & own)]  # a phrase begins here in both: the rest is the same
+            last = go[size[go] == t + 1]
+            end[last] = st[last]
+        state[here] = end
+        np.add.at(out, (np.array(long)[np.array(at)[row]], lg), total)
+
+
+def gather(docs: DataFrame, rows: int = SAMPLE_ROWS, long: int = LONG) -> dict[str, list[str]]:
+    """Labelled texts by language for training: `rows` different whole texts each (fewer where there are fewer); docs has text and lang."""
     known = docs.filter("lang is not null and text is not null and text <> ''")
-    known = known.select("lang", "text", F.xxhash64("text").alias("place"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    known = known.select("lang", "text", F.xxhash64("text").alias("place"), (F.char_length("text") > long).alias("long"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "place"))
     # copies share a place and count once; each task keeps `rows` places a language before it shuffles
-    least = known.select("lang", "place").distinct().withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "place")
+    least = known.select("lang", "long", "place").distinct().withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "place")
     picked = known.join(F.broadcast(cut(least)), ["lang", "place"])
     out: dict[str, list[str]] = {}
     for r in sorted(picked.groupBy("lang", "place").agg(F.first("text").alias("text")).collect(), key=lambda r: (r["lang"], r["place"], r["text"])):
@@ -171,7 +256,7 @@ def gather(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, list[str]]:
 
 def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
     """lang_pred and score (how much fewer bits than the runner-up, as a share) of every row, beside the columns in carry (default: all)."""
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -179,7 +264,7 @@ def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = Non
         m = held.value
         pred, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
         texts = [] if m is None else [(i, encode(t, m.codes)) for i, t in enumerate(batch.column("text").to_pylist()) if t]
-        texts = [(i, t) for i, t in texts if (t != SPACE).any()]
+        texts = [(i, t) for i, t in texts if len(t)]
         if texts:
             entropy = phrases([t for _, t in texts], m) * m.bits / np.array([len(t) for _, t in texts])[:, None]
             order = np.argsort(entropy, axis=1, kind="stable")

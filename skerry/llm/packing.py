@@ -1,12 +1,13 @@
 """Packing tokenised documents into fixed sequences by cutting-stock column generation.
 
-Each document gives whole sequences of `capacity` tokens and one remainder. Remainders are counted by length class (WIDTH tokens wide), and the
-linear program "fewest sequences so that every class's count is covered" is solved over packing patterns: a revised
+Each document gives whole sequences of `capacity` tokens and one remainder. Remainders are counted by length class (one token wide up to EXACT tokens, then wider with each
+doubling, up to WIDTH tokens), and the linear program "fewest sequences so that every class's count is covered" is solved over packing patterns: a revised
 simplex keeps one pattern a class, an unbounded knapsack by dynamic programming prices the next pattern, until Farley's
 bound shows the rest to be worth less than GAP. Pattern counts are rounded down, what is left (fewer pieces than patterns
-times pattern length) is packed best-fit, and pieces, ranked within their class, take the patterns' places.
+times pattern length) is packed best-fit, and pieces, ranked within their class, take the patterns' places. Should the simplex method reach its most steps, the patterns so far
+are used: that costs padding, never a piece.
 
-All that reaches the driver is the histogram: capacity / WIDTH numbers. Ranks come from counts by (class, hash bucket), so that no class is
+All that reaches the driver is the histogram: a number for each class, some 600. Ranks come from counts by (class, hash bucket), so that no class is
 gathered in one task, however many pieces it has.
 
 Defined results: a null or empty text is its end token alone; repeated rows are packed each on its own; an empty table gives no
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 
 from skerry.llm.common import cut, map_batches
 
-CAPACITY, WIDTH, END = 4096, 8, 2
+CAPACITY, EXACT, WIDTH, END = 4096, 64, 8, 2
 BUCKETS = 512
 #: The linear program stops once its bound shows that less than this share of the sequences can still be saved.
 GAP = 0.0005
@@ -74,7 +75,7 @@ class Encoder:
                     ids = self.plain(part)
         else:
             stem = part.rstrip(string.punctuation)
-            if 0 < len(stem) < n and stem[-1].isalnum() and "|>" not in part:
+            if 0 < len(stem) < n and stem[-1].isalnum() and max(stem) < "\u0100" and "|>" not in part:  # others may end in a combining mark once in lower case
                 ids = self.get(stem) + self.get(part[len(stem) :])
             else:
                 ids = self.plain(part)
@@ -100,9 +101,21 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens (and ids as bytes) of each piece: whole sequences, then the remainder."""
+def class_sizes(capacity: int = CAPACITY, exact: int = EXACT, width: int = WIDTH) -> np.ndarray:
+    """Most tokens of each length class, ascending, the last being capacity."""
+    out, step, top = list(range(1, min(exact, capacity) + 1)), 1, exact
+    while out[-1] < capacity:
+        step, top = min(2 * step, width), 2 * top
+        out += list(range(out[-1] + step, min(top, capacity) + 1, step))
+        if out[-1] < min(top, capacity):
+            out.append(min(top, capacity))
+    return np.array(out)
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, sizes: np.ndarray | None = None) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, cls (and ids as bytes) of each piece: whole sequences (class 0), then the remainder (classes from 1)."""
     tail = np.asarray([end], "<u4").tobytes()
+    sizes = class_sizes(capacity) if sizes is None else sizes
 
     def split(batch: pa.RecordBatch) -> dict:
         encode = encoder(tokenizer)
@@ -119,54 +132,51 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 total.append(n)
                 if with_ids:
                     ids.append(part)
-        out = {"doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": total}
+        cls = np.where(np.array(length) == capacity, 0, np.searchsorted(sizes, length) + 1).astype(np.int32)
+        out = {"doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": total, "cls": cls}
         return out | ({"ids": ids} if with_ids else {})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_batches(docs.select("doc_id", "text"), split, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
-
-
-def knapsack(value: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """The best multiset of classes 1..len(value) with sizes of their number, of total size `size` at most: value and counts."""
-    n = len(value)
-    best, choice = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    for c in range(1, size + 1):
-        m = min(c, n)
-        got = best[c - m : c][::-1] + value[:m]  # class k + 1 and the best of c - k - 1
-        k = int(got.argmax())
-        if got[k] > best[c - 1] + 1e-15:
-            best[c], choice[c] = got[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    counts, c = np.zeros(n, np.int64), size
+    return map_batches(docs.select("doc_id", "text"), split, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, cls int" + ", ids binary" * with_ids)
+
+
+def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The best multiset of classes of those sizes (ascending), of total size `capacity` at most: value and counts."""
+    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    for c in range(1, capacity + 1):
+        best[c] = best[c - 1]
+        if n := fits[c]:
+            got = best[c - sizes[:n]] + value[:n]
+            k = int(got.argmax())
+            if got[k] > best[c] + 1e-15:
+                best[c], choice[c] = got[k], k + 1
+    counts, c = np.zeros(len(value), np.int64), capacity
     while c > 0:
         if choice[c]:
             counts[choice[c] - 1] += 1
-            c -= choice[c]
+            c -= int(sizes[choice[c] - 1])
         else:
             c -= 1
-    return float(best[size]), counts
+    return float(best[capacity]), counts
 
 
-def column_generation(demand: np.ndarray, size: int, gap: float = GAP, limit: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
+def column_generation(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = GAP, limit: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
     """Patterns (rows) of the classes with demand and how often each is used (fractions), and a lower bound of the sequences needed."""
     used = np.flatnonzero(demand)
-    d = demand[used].astype(float)
+    d, own = demand[used].astype(float), sizes[used]
     n = len(used)
     basis = np.zeros((n, n))  # a column is a pattern
-    basis[np.arange(n), np.arange(n)] = size // (used + 1)
+    basis[np.arange(n), np.arange(n)] = capacity // own
     inverse = np.diag(1.0 / np.diag(basis))
     x, bound = inverse @ d, 0.0
-    full = np.zeros(len(demand))
     for step in range(limit):
         price = np.maximum(inverse.sum(axis=0), 0)
-        full[:] = 0
-        full[used] = price
-        worth, counts = knapsack(full, size)
+        worth, counts = knapsack(price, own, capacity)
         bound = max(bound, float(price @ d) / max(worth, 1.0))
         if worth <= 1 + 1e-9 or x.sum() - bound <= gap * x.sum():
             break
-        column = counts[used].astype(float)
+        column = counts.astype(float)
         direction = inverse @ column
         can = direction > 1e-9
         ratio = np.where(can, x / np.where(can, direction, 1), np.inf)
@@ -187,35 +197,38 @@ def column_generation(demand: np.ndarray, size: int, gap: float = GAP, limit: in
     return patterns, x, bound
 
 
-def best_fit(left: np.ndarray, size: int) -> list[np.ndarray]:
+def best_fit(left: np.ndarray, sizes: np.ndarray, capacity: int) -> list[np.ndarray]:
     """Packs counts by class, the largest first, each into the open sequence with the least room that holds it."""
     room: dict[int, list[int]] = {}
     bins: list[np.ndarray] = []
-    for k in range(len(left), 0, -1):
-        for _ in range(int(left[k - 1])):
-            r = next((r for r in range(k, size + 1) if room.get(r)), 0)
+    for k in range(len(left) - 1, -1, -1):
+        need = int(sizes[k])
+        for _ in range(int(left[k])):
+            r = min((r for r in room if r >= need), default=0)
             if r:
                 b = room[r].pop()
+                if not room[r]:
+                    del room[r]
             else:
-                b, r = len(bins), size
+                b, r = len(bins), capacity
                 bins.append(np.zeros(len(left), np.int64))
-            bins[b][k - 1] += 1
-            room.setdefault(r - k, []).append(b)
+            bins[b][k] += 1
+            room.setdefault(r - need, []).append(b)
     return bins
 
 
-def solve(demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns with whole numbers of uses that place every piece exactly once."""
     if not demand.any():
         return []
-    patterns, x, _ = column_generation(demand, size)
+    patterns, x, _ = column_generation(demand, sizes, capacity)
     out, left = [], demand.copy()
     for p, n in sorted(zip(patterns, np.floor(x + 1e-9).astype(np.int64), strict=True), key=lambda y: -int(y[1])):
         n = min([int(n), *(int(left[k] // p[k]) for k in np.flatnonzero(p))])  # cover less where a class would be overdrawn
         if n > 0:
             out.append((p, n))
             left -= n * p
-    extra = Counter(tuple(b.tolist()) for b in best_fit(left, size))
+    extra = Counter(tuple(b.tolist()) for b in best_fit(left, sizes, capacity))
     return out + [(np.array(p), n) for p, n in sorted(extra.items(), reverse=True)]
 
 
@@ -234,36 +247,33 @@ def places(plan: list[tuple[np.ndarray, int]], first_sequence: int) -> list[tupl
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, width: int = WIDTH, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, width: int = WIDTH, end: int = END, exact: int = EXACT) -> DataFrame:
     """Pieces with sequence_id, offset in the sequence and padded_to (the sequence's length with padding)."""
-    cls = F.when(F.col("length") == capacity, F.lit(0)).otherwise(F.ceil(F.col("length") / width)).cast("int")
+    sizes = class_sizes(capacity, exact, width)
     bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(BUCKETS)).cast("int")
-    rows = cut(pieces(docs, tokenizer, capacity, end).withColumn("cls", cls).withColumn("bucket", bucket))
+    rows = cut(pieces(docs, tokenizer, capacity, end, sizes=sizes).withColumn("bucket", bucket))
     counts = rows.groupBy("cls", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))  # at most (capacity / width + 1) * BUCKETS rows
+    starts = cut(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))  # at most (classes + 1) * BUCKETS rows
     histogram = {r["cls"]: r["n"] for r in starts.groupBy("cls").agg(F.sum("n").alias("n")).collect()}
-    size = capacity // width
-    demand = np.zeros(size, np.int64)
+    demand = np.zeros(len(sizes), np.int64)
     for k, n in histogram.items():
         if k:
             demand[k - 1] = n
     whole = histogram.get(0, 0)
-    table = places(solve(demand, size), whole) + ([(0, 0, whole - 1, 0, 0)] if whole else [])
+    table = places(solve(demand, sizes, capacity), whole) + ([(0, 0, whole - 1, 0, 0)] if whole else [])
     by_class: dict[int, list] = {}
-    for k, a, b, s, slot in sorted(table):
-        by_class.setdefault(k, []).append((a, b, s, slot))
+    for k, a, _, s, slot in sorted(table):
+        by_class.setdefault(k, []).append((a, s, slot))
+    held = docs.sparkSession.sparkContext.broadcast({k: tuple(np.array(x) for x in zip(*v, strict=True)) for k, v in by_class.items()})
     rank = F.row_number().over(Window.partitionBy("cls", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = rows.withColumn("rank", rank).join(F.broadcast(starts.select("cls", "bucket", "base")), ["cls", "bucket"])
-    state: dict = {}
 
     def place(batch: pa.RecordBatch) -> dict:
-        if "t" not in state:
-            state["t"] = {k: tuple(np.array(x) for x in zip(*[(a, s, slot) for a, _, s, slot in v], strict=True)) for k, v in by_class.items()}
         k, r = batch.column("cls").to_numpy(zero_copy_only=False), batch.column("rank").to_numpy(zero_copy_only=False)
         seq, slot = np.zeros(len(k), np.int64), np.zeros(len(k), np.int32)
         for c in np.unique(k).tolist():
-            first, s, sl = state["t"][c]
+            first, s, sl = held.value[c]
             at = np.flatnonzero(k == c)
             i = np.searchsorted(first, r[at], side="right") - 1
             seq[at], slot[at] = s[i] + r[at] - first[i], sl[i]

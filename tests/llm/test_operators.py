@@ -186,7 +186,7 @@ def test_language(spark, empty):
     rows = [(i, text(k), k, "s", 0) for i, k in enumerate(list(syll) * 40)] + [(900, None, "aa", "s", 0), (901, "12 34 !", "bb", "s", 0), (902, "", None, "s", 0), (903, text("bb") * 40, None, "s", 0)]
     d = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("x"))
     model = queries.language_model(d)
-    got = {x["doc_id"]: x for x in language_id.identify(d.drop("score"), model).collect()}
+    got = {x["doc_id"]: x for x in language_id.identify(d, model).collect()}
     assert all(got[i]["lang_pred"] == k for i, t, k, *_ in rows[:120])
     assert {got[i]["lang_pred"] for i in (900, 901, 902)} == {"und"} and got[903]["lang_pred"] == "bb"
     assert all(0 <= x["score"] <= 1 for x in got.values())
@@ -200,26 +200,38 @@ def test_language_samples_of_copies_and_long_texts(spark):
     got = language_id.gather(spark.createDataFrame(rows, "text string, lang string"))
     assert sorted(got["aa"]) == sorted(few) and len(got["bb"]) == language_id.SAMPLE_ROWS == len(set(got["bb"]))
     parts = [np.full(n, c, np.uint8) for n, c in ((100_000, 9), (50, 3), (900, 4))]
-    s = language_id.spread(parts, 2000)
-    assert [int((s == c).sum()) for c in (3, 4, 9)] == [50, 900, 1048] and len(s) == 2000
+    s = language_id.choose(parts, 2000)
+    assert [int((s == c).sum()) for c in (3, 4, 9)] == [50, 900, 0]
+    assert len(language_id.choose(parts[:1], 2000)) == 100_000
 
 
-def test_cross_parse_by_search():
+@pytest.mark.parametrize("lane", [7, 100, 1024])
+def test_cross_parse_by_search(lane):
+    """Phrases of whole texts, whatever the lanes and scripts."""
     r = random.Random(8)
-    train = "".join(r.choice("abcd ") for _ in range(300))
-    m = language_id.train({"x": [train]})
-    sample = language_id.encode(train, m.codes).tobytes()
-    for n in (1, 7, 200, 1500):
-        s = language_id.encode("".join(r.choice("abcde ") for _ in range(n)), m.codes)
-        want = 0
-        for a in range(0, len(s), language_id.LANE):
-            lane, i = s[a : a + language_id.LANE].tobytes(), 0
-            while i < len(lane):
+    han = [chr(0x4E00 + 7 * k) for k in range(900)]
+    train = {"x": ["".join(r.choice("abcd ") for _ in range(300))], "y": ["".join(r.choice("abé ") for _ in range(200)) + "q" * 2500], "zh": ["".join(r.choice(han) for _ in range(1500))]}
+    m = language_id.train(train)
+    samples = [language_id.encode(train[k][0], m.codes).tobytes() for k in m.languages]
+    texts = ["".join(r.choice("abcde ") for _ in range(n)) for n in (1, 7, 200, 1500)] + ["q" * 4000, "qa" * 900, "".join(r.choice(han + ["\u0416", "x"]) for _ in range(700)), train["x"][0] * 5]
+    codes = [language_id.encode(t, m.codes) for t in texts]
+    got = language_id.phrases(codes, m, lane)
+    for s, n in zip(codes, got, strict=True):
+        for sample, have in zip(samples, n.tolist(), strict=True):
+            whole, want, i = s.tobytes(), 0, 0
+            while i < len(whole):
                 j = i + 1
-                while j < len(lane) and lane[i : j + 1] in sample:
+                while j < len(whole) and whole[i : j + 1] in sample:
                     j += 1
                 want, i = want + 1, j
-        assert language_id.phrases([s], m)[0, 0] == want
+            assert have == want
+
+
+def test_letters_keep_their_identity():
+    m = language_id.train({"zh": ["".join(chr(0x4E00 + k) for k in range(900))], "en": ["some words"]})
+    seen = {language_id.encode(c, m.codes).tobytes() for c in map(chr, [*range(0x4E00, 0x5600), *range(0x430, 0x450), *b"abcxyz"])}
+    assert len(seen) == 0x800 + 32 + 6
+    assert (language_id.encode("Abc, 12 d\u00c9!", m.codes) == language_id.encode("abc d\u00e9 ", m.codes)).all() and not len(language_id.encode(" 12 ", m.codes))
 
 
 # 5 scoring
@@ -271,16 +283,16 @@ def test_lm_scoring_is_exact(spark, docs):
 
 def test_encoder():
     e = packing.Encoder(queries.tokenizer_path())
-    for t in ["", "Hello, World!! don't  re'll x", "ÉCOLE naïve Straße ΣΑΣ İx", "a<|endoftext|>b", "tab\tx　y z", "12ab...'s ''", "é ́", "x" * 500, "%%% a_b ***", "ªº µ"]:
+    for t in ["", "Hello, World!! don't  re'll x", "ÉCOLE naïve Straße ΣΑΣ İx", "a<|endoftext|>b", "tab\tx　y z", "12ab...'s ''", "é ́", "x" * 500, "%%% a_b ***", "ªº µ", "İ. İ, xİ! İİ.. ŉ. ǰ; ΐ? ẖ.", "ö. ß! ÿ?"]:
         assert e(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
         assert e(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
-@pytest.mark.parametrize("capacity,width", [(64, 4), (4096, 8)])
-def test_packing(spark, docs, empty, capacity, width):
+@pytest.mark.parametrize("capacity,width,exact", [(64, 4, 4), (4096, 8, 64)])
+def test_packing(spark, docs, empty, capacity, width, exact):
     path = queries.tokenizer_path()
     d = docs.union(docs.filter("doc_id < 5"))
-    rows = packing.pack(d.withColumn("offset", F.lit("x")), path, capacity, width).collect()
+    rows = packing.pack(d.withColumn("offset", F.lit("x")), path, capacity, width, exact=exact).collect()
     e = packing.Encoder(path)
     seq = defaultdict(list)
     by = defaultdict(list)
@@ -304,15 +316,31 @@ def test_packing(spark, docs, empty, capacity, width):
 
 def test_column_generation():
     r = np.random.default_rng(6)
-    d = np.zeros(64, np.int64)
-    for s in r.integers(1, 64, 4000):
-        d[s - 1] += 1
-    plan = packing.solve(d, 64)
-    assert (sum(p * n for p, n in plan) == d).all()
-    assert all((p * np.arange(1, 65)).sum() <= 64 for p, _ in plan)
-    tokens = int((d * np.arange(1, 65)).sum())
-    assert sum(n for _, n in plan) <= 1.03 * max(tokens / 64, packing.column_generation(d, 64)[2])
-    assert packing.solve(np.zeros(64, np.int64), 64) == []
+    for sizes, capacity in ((np.arange(1, 65), 64), (packing.class_sizes(256, 8, 8), 256)):
+        d = np.zeros(len(sizes), np.int64)
+        for s in r.integers(0, len(sizes) - 1, 4000):
+            d[s] += 1
+        plan = packing.solve(d, sizes, capacity)
+        assert (sum(p * n for p, n in plan) == d).all()
+        assert all((p * sizes).sum() <= capacity for p, _ in plan)
+        tokens = int((d * sizes).sum())
+        assert sum(n for _, n in plan) <= 1.03 * max(tokens / capacity, packing.column_generation(d, sizes, capacity)[2])
+        assert packing.solve(np.zeros(len(sizes), np.int64), sizes, capacity) == []
+
+
+def test_short_documents_pad_little():
+    sizes = packing.class_sizes()
+    assert sizes[:64].tolist() == list(range(1, 65)) and sizes[64] == 66 and sizes[-1] == 4096 and (np.diff(sizes) <= 8).all()
+    for n in (9, 65, 129):
+        d = np.zeros(len(sizes), np.int64)
+        d[np.searchsorted(sizes, n)] = 100_000
+        used = sum(k for _, k in packing.solve(d, sizes, 4096))
+        assert 100_000 * n >= 0.96 * 4096 * used
+    best = {}
+    for c in range(41):  # brute force
+        best[c] = max([0.0] + [best[c - s] + v for s, v in ((3, 2.0), (7, 5.5), (11, 8.0)) if s <= c])
+    got, counts = packing.knapsack(np.array([2.0, 5.5, 8.0]), np.array([3, 7, 11]), 40)
+    assert abs(got - best[40]) < 1e-9 and counts @ np.array([3, 7, 11]) <= 40 and abs(counts @ np.array([2.0, 5.5, 8.0]) - got) < 1e-9
 
 
 # 7 html
