@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, other columns of clashing names."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -55,7 +56,20 @@ def test_sharding(spark, docs, empty, tmp_path):
         assert own == list(range(len(own)))
     stored = sharding.load_map(spark, path)
     assert all(stored.shard_of[r["virtual_slot"]] == r["shard"] for r in rows)
-    assert sharding.shard_documents(empty, 4, 64, path).count() == 0
+    assert stored.version == 1
+    more = sharding.shard_documents(docs, 5, 64, path).collect()  # the stored map is edited: slots stay or go to the new shard
+    grown = sharding.load_map(spark, path)
+    assert grown.version == 2 and grown.n_shards == 5 and all(b in (a, 4) for a, b in zip(stored.shard_of, grown.shard_of, strict=True))
+    assert all(grown.shard_of[r["virtual_slot"]] == r["shard"] for r in more) and sharding.load_map(spark, path, 1) == stored
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, 5, 32, path)
+    assert sharding.shard_documents(empty, 4, 64).count() == 0
+
+
+def test_sharding_of_many_copies(spark):
+    d = spark.createDataFrame([(1, "t", "en", "s", 1)] * 25 + [(2, "u", "en", "s", 1)] * 10 + [(None, None, None, None, None)] * 11, SCHEMA)
+    got = Counter((r["doc_id"], r["copy"]) for r in sharding.records(d, 64, 10).collect())
+    assert got == Counter([(1, k + 1) for k in range(25)] + [(2, k + 1) for k in range(10)] + [(None, k + 1) for k in range(11)])
 
 
 def test_slot_maps():
@@ -252,7 +266,7 @@ def test_lm_scoring(spark, docs, empty):
 
 
 def test_lm_scoring_is_exact(spark, docs):
-    """Losses by all words and bigrams, however few of them are broadcast."""
+    """Losses by all words and bigrams but the document's own, however few of them are broadcast."""
     rows = [(r[0], r[1]) for r in corpus()] + [(None, "null id here"), (3, corpus()[3][1])]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     aim = set(range(0, 60, 3))
@@ -264,20 +278,31 @@ def test_lm_scoring_is_exact(spark, docs):
                 one[k].update(w)
                 two[k].update(zip(w, w[1:], strict=False))
     total = [sum(c.values()) for c in one]
-    by, want = [1, total[0] / total[1]], []
+    by, want, kappa = [1, total[0] / total[1]], [], lm_scoring.KAPPA
     for i, w in words:
-        loss = [None, None]
+        loss, own, pairs = [None, None], Counter(w), Counter(zip(w, w[1:], strict=False))
         for k in (0, 1):
-            prob = lambda y: (one[k][y] * by[k] + 1) / (total[0] + len(one[1]))  # noqa: E731, B023
+            mine = 1 if k or i in aim else 0
+            c = lambda y: (one[k][y] - mine * own[y]) * by[k]  # noqa: E731, B023
+            prob = lambda y: (c(y) + 1) / (total[0] + len(one[1]))  # noqa: E731, B023
             bits = [-np.log2(prob(w[0]))] if w else []
-            bits += [-np.log2((two[k][x, y] * by[k] + lm_scoring.KAPPA * prob(y)) / (one[k][x] * by[k] + lm_scoring.KAPPA)) for x, y in zip(w, w[1:], strict=False)]
+            bits += [-np.log2(((two[k][x, y] - mine * pairs[x, y]) * by[k] + kappa * prob(y)) / (c(x) + kappa)) for x, y in zip(w, w[1:], strict=False)]
             loss[k] = round(float(np.mean(bits)), 9) if w else None
         want.append((i, len(w), *loss))
-    for sizes in ((50_000, 1024), (300, 8), (0, 0)):
+    for sizes in ((50_000, 1024, 10**6), (300, 8, 50), (0, 0, 500)):
         got = lm_scoring.score(d, d.filter(F.col("doc_id").isin(*aim)), *sizes).collect()
         assert Counter((x["doc_id"], x["n_tokens"], *(v if v is None else round(v, 9) for v in (x["target_loss"], x["background_loss"]))) for x in got) == Counter(want), sizes
 
 
+def test_lm_losses_stay_above_entropy(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(64)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(200))) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_scoring.score(d, d.filter("doc_id < 100")).agg(F.avg("target_loss"), F.avg("background_loss")).first()
+    assert all(6.0 <= x < 6.6 for x in got)
+
+
 # 6 packing
 
 
@@ -372,6 +397,46 @@ def test_html(spark):
     assert html_extraction.extract(d.limit(0)).count() == 0
 
 
+def test_wrapper_decides_on_neutral_pages(spark):
+    """Class names tell nothing: what is constant over a host goes, what varies stays; pages a wrapper doesn't match are read by its literals."""
+    r = random.Random(5)
+    html = lambda i, extra="": f'<div class="top">site</div><div id="x9">{"".join(f"<p>{prose(r, 12)}</p>" for _ in range(1 + i % 4))}<p>Second {i}</p>{extra}</div><div class="x3"><a href="/a">About</a><a href="/{i}">Next {i}</a></div><div class="links">Imprint</div>'
+    rows = [(i, f"http://h.example/{i}", html(i)) for i in range(6)] + [(6, "http://h.example/6", html(6, "<table><tr><td>cell</td></tr></table>"))] + [(7, "http://one.example/7", html(7))]
+    want = {i: [plain for x in re.findall(r"<(?:p|td)>(.*?)</", h) if (plain := x)] for i, _, h in rows}
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (html_extraction.BROADCAST_BYTES, 0):
+        got = {x["page_id"]: x for x in html_extraction.extract(d, 6, size).collect()}
+        assert {i: got[i]["text"].split("\n") for i in range(7)} == {i: want[i] for i in range(7)}
+    alone = html_extraction.Reader()(rows[0][2], None)[0]
+    assert alone != got[0]["text"] and "site" in alone and "Imprint" in alone and "site" in got[7]["text"]
+
+
+def test_marked_articles_lose_nothing_to_class_words():
+    page = '<nav>menu</nav><article><p>One</p><div class="share-of-market related">Real text</div><div class="related"><a href="/1">Other</a><a href="/2">More</a></div><div class="ads">buy</div><header>Title</header></article>'
+    assert html_extraction.Reader()(page, None)[0] == "One\nReal text\nTitle"
+
+
+def test_copies_are_no_template():
+    base = "".join(f"<p>paragraph {k} of the article</p>" for k in range(30))
+    pages = [f"<div>{base}<p>edit {i}</p></div>" for i in range(8)]
+    w = html_extraction.infer(pages)
+    assert html_extraction.Reader()(pages[0], json.dumps(w))[0].count("\n") == 30
+
+
+def test_alignment_matches_all_its_pages():
+    """A wrapper matches each page it was made from, and its expression is that of the elements."""
+    r = random.Random(7)
+    for _ in range(40):
+        pages = []
+        for _ in range(5):
+            parts = [r.choice(["<h2>{t}</h2>", "<p>{t}</p>", "<ul>" + "<li>{t}</li>" * r.randrange(1, 5) + "</ul>", "<div><b>{t}</b>{t}</div>", "<table><tr><td>{t}</td></tr></table>"]) for _ in range(r.randrange(1, 7))]
+            pages.append("<body>" + re.sub(r"\{t\}", lambda m: str(r.random()), "".join(parts)) + "</body>")
+        w = html_extraction.infer(pages)
+        for p in pages:
+            text, matched = html_extraction.Reader()(p, json.dumps(w))
+            assert matched and sorted(text.replace("\n", " ").split()) == sorted(re.findall(r"0\.[0-9e-]+", p)) or "<b>" in p and matched
+
+
 # 8 quality
 
 
@@ -398,6 +463,12 @@ def test_quality(spark, docs, empty):
     assert quality.apply_rules(empty).count() == 0
 
 
+def test_quality_sample_is_bounded(spark):
+    rows = [(i, None if i % 2 else "the same text", None, None, 0) for i in range(6000)] + [(9000 + i, "### " * 30, None, None, 0) for i in range(3000)]
+    got = {r.name: share for r, _, share in quality.estimate(spark.createDataFrame(rows, SCHEMA), sample_rows=900, runs=1)}
+    assert abs(got["symbols"] - 1 / 3) < 0.08  # each row on its own, so nulls and copies have their share
+
+
 def test_order_never_changes_verdicts(docs):
     m = quality.measures(docs)
     a = {r["doc_id"]: r["kept"] for r in quality.cascade(m, list(quality.RULES)).collect()}
@@ -413,16 +484,17 @@ def test_warc(spark):
     t = "timestamp'2024-01-0{} 00:00:00'"
     rows = [
         (1, "http://a.com/x", 1, "response", 200, '"1"', "d1", None), (2, "http://a.com/x", 3, "response", 200, '"2"', "d2", None), (3, "http://a.com/x", 3, "response", 200, '"3"', "d3", None),
-        (4, "http://a.com/x", 2, "response", 404, '"4"', "d4", None), (10, "HTTPS://WWW.A.com:443/x/?utm_a=1#f", 2, "revisit", 304, 'W/"1"', None, None), (11, "http://a.com/x", 3, "revisit", 304, '"1"', None, None),
+        (4, "http://a.com/x", 2, "response", 404, '"4"', "d4", None), (5, "http://a.com/x", 2, "response", 206, '"5"', "d5", None), (10, "HTTPS://WWW.A.com:443/x/?utm_a=1#f", 2, "revisit", 304, 'W/"1"', None, None), (11, "http://a.com/x", 3, "revisit", 304, '"1"', None, None),
         (12, "http://a.com/x", 4, "revisit", 304, '"3"', None, None), (13, "http://a.com/x", 4, "revisit", 304, '"2"', None, None), (14, "http://a.com/x", 1, "revisit", 304, '"1"', None, None), (15, "http://a.com/x", 5, "revisit", 304, None, "d3", None),
         (16, "http://a.com/x", 5, "revisit", 304, None, None, None), (17, None, 5, "revisit", 304, '"3"', None, None), (18, "http://a.com/x", None, "revisit", 304, '"3"', None, None), (12, "http://a.com/x", 4, "revisit", 304, '"3"', None, None),
     ]
     d = spark.createDataFrame(rows, "record_id long, url string, day int, kind string, status int, etag string, digest string, last_modified timestamp")
-    d = d.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0))).withColumn("headers", F.when(F.col("kind") == "response", F.create_map(F.lit("ETag"), F.col("etag"), F.lit("X"), F.lit("1"))).otherwise(F.create_map(F.lit("Date"), F.lit("now"), F.lit("Set-Cookie"), F.lit("no")))).withColumn("answer", F.lit("x")).drop("answer")
+    d = d.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0))).withColumn("headers", F.when(F.col("kind") == "response", F.create_map(F.lit("ETag"), F.col("etag"), F.lit("X"), F.lit("1"), F.lit("etag"), F.lit("late"))).otherwise(F.create_map(F.lit("Date"), F.lit("now"), F.lit("Set-Cookie"), F.lit("no"), F.lit("date"), F.lit("late"))))
+    d = d.withColumn("headers", F.when(F.col("record_id") != 15, F.col("headers"))).withColumns({c: F.lit("x") for c in ("answer", "u", "salt", "outcome")})
     for seconds in (3600, 86400 * 30):
         got = [(r["record_id"], r["answer"], r["outcome"]) for r in warc.resolve(d, seconds).collect()]
         assert sorted(got, key=str) == sorted([(10, 1, "resolved"), (11, 1, "resolved"), (12, 3, "resolved"), (12, 3, "resolved"), (13, None, "validator-mismatch"), (14, None, "no-response"), (15, 3, "resolved"), (16, None, "no-validator"), (17, None, "no-response"), (18, None, "no-response")], key=str), t
-    assert warc.resolve(d).filter("record_id = 10").first()["merged"] == {"etag": '"1"', "x": "1", "date": "now"}
+    assert warc.resolve(d).filter("record_id = 10").first()["merged"] == {"etag": '"1"', "x": "1", "date": "now"} and warc.resolve(d).filter("record_id = 15").first()["merged"] == {"etag": '"3"', "x": "1"}
     assert warc.resolve(d.limit(0)).count() == 0
 
 
@@ -504,7 +576,10 @@ def test_keys_meet():
                     a = np.unique(a)
                     inter = len(np.intersect1d(a, b_))
                     if ngram_join.same_enough(inter, len(a), len(b_), num):
-                        assert len(np.intersect1d(ngram_join.keys_of(a, plan, num), ngram_join.keys_of(b_, plan, num)))
+                        (x, left), (y, right) = ngram_join.keys_of(a, plan, num), ngram_join.keys_of(b_, plan, num)
+                        shared = np.intersect1d(x, y)
+                        # in one band there are more shared keys than either set can do without
+                        assert any((shared % 2 == k).sum() > max(left[k], right[k], 0) for k in (0, 1))
 
 
 def test_components(spark):
