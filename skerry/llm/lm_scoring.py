@@ -2,14 +2,18 @@
 
 Target and background models share one vocabulary (all words of the documents), order and smoothing, and the background's counts are scaled to the target's
 number of tokens. Both are interpolated bigram models. A document's score is its loss per token under the background model less that under the target
-model: high scores look like the target. A document's first word has no context: its unigram probability counts.
+model: high scores look like the target. A document's first word has no context: its unigram probability counts. No document is scored by its own words: its own counts
+are taken out of the background's, and out of the target's where it is of the target, so all losses are held-out ones.
+
+With counts c (less the document's own, times the scale), N tokens and V different words, P(y) = (c(y) + 1) / (N + V) and P(y | x) = (c(x, y) + KAPPA P(y)) / (c(x) + KAPPA). N is that of
+all documents, and c(x) counts x at the end of documents, too; so probabilities add up to a little less than 1, never to more.
 
 All counts are exact and grow with the corpus. Counts of the VOCABULARY commonest words and of the bigrams among the TOP commonest are broadcast, and documents are
-scored by them in place. The rest is one row for each document and bigram, shuffled by the second word where that is rare, else by the
-bigram: what meets there are all its occurrences, so the same exchange counts and scores. A word beyond the TOP has at most 1 / TOP of all tokens, which bounds
-what meets. Rare words and such bigrams are told apart by 64-bit hashes.
+scored by them in place. The rest travels in blocks of bytes, a block for each batch of documents and bucket of keys, with an entry for each document and bigram, dealt by the second word where that is
+rare, else by the bigram: what meets there are all its occurrences, so the same exchange counts and scores. Sums go back to the batch, again in blocks. The number of buckets grows with the tokens, and a word
+beyond the TOP has at most 1 / TOP of all tokens, which bounds what meets. Rare words and such bigrams are told apart by 64-bit hashes.
 
-Defined results: a null or empty text has no tokens and null losses and score; repeated documents count each time; without target documents every
+Defined results: a null or empty text has no tokens and null losses and score; repeated documents count each time, so a copy is scored by its other copies; without target documents every
 score is null; other columns are ignored.
 """
 
@@ -30,8 +34,8 @@ from skerry.llm.common import Scratch, WordHashes, map_batches, mix64, small_bat
 
 #: Words whose counts are broadcast; of those, the words whose bigrams are (TOP^2 counts). They decide costs only, never results.
 VOCABULARY, TOP = 50_000, 1024
-#: Rows that a task scores at once.
-CHUNK = 1 << 17
+#: Tokens for which there is a bucket, at least.
+BUCKET_TOKENS = 2_000_000
 #: Pseudo-count with which the unigram model enters the bigram model.
 KAPPA = 2.0
 #: Words that a task holds before it passes its counts on.
@@ -111,28 +115,48 @@ def hash_of(word: str, known: WordHashes) -> int:
     return known[word.encode("utf-8", "surrogatepass")]
 
 
-#: pk of a row: what it is, whether its document is a target, and two counts. A bigram's key is even, a rare word's odd.
-BIGRAM, RARE, DOCUMENT = 0, 1, 2
+#: Entries of a block, one after the other: the key (odd where the second word is rare), sub, how often the bigram and the second word are in the document, how often a next word follows, the document's place in its batch.
+ENTRY = (("key", "<u8"), ("sub", "<u8"), ("m", "<u4"), ("o", "<u4"), ("c", "<u4"), ("off", "<u2"))
+#: Bit of `off` that marks documents of the target.
+TARGET = 1 << 15
+
+
+def packed(columns: list[np.ndarray]) -> bytes:
+    return b"".join(x.astype(t).tobytes() for x, (_, t) in zip(columns, ENTRY, strict=True))
+
 
+def unpacked(data: bytes) -> list[np.ndarray]:
+    n, at, out = len(data) // sum(np.dtype(t).itemsize for _, t in ENTRY), 0, []
+    for _, t in ENTRY:
+        out.append(np.frombuffer(data, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
 
-def pack(what: int, target, m, c=0):
-    return what + target * 4 + m * 8 + c * (1 << 36)
 
+def counted(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows equal in all parts (64-bit, told apart by one hash): the first place of each, which it is, and how many there are."""
+    mark = mix64(parts[0])
+    for x in parts[1:]:
+        mark = mix64(mark + x)
+    _, first, which, n = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+    return first, which, n
 
-def tail_rows(marked: DataFrame, vocabulary: list[str], size: int, single: np.ndarray, p: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """key, sub, rid, pk, doc_id. One row for each document (key and sub: bits of the losses that broadcast counts give), and rows for the rest of its bigrams.
 
-    RARE: key is the second word, sub the first (0 at the start); m occurrences, c of them with a next word. BIGRAM: key is both words, sub the second's place."""
-    held = marked.sparkSession.sparkContext.broadcast((vocabulary, single, p, pairs))
-    kind = dict(marked.dtypes)["doc_id"]
+def entries(marked: DataFrame, vocabulary: list[str], size: int, single: np.ndarray, pairs: np.ndarray, totals: np.ndarray, n_words: int, buckets: int) -> DataFrame:
+    """bucket, batch, off, doc_id, n, t, b, data. A row for each document (bucket below 0) with the bits of the losses that broadcast counts give, and a row of entries for each batch and bucket.
+
+    sub of an entry with a rare second word is the first word (0 at the start), else the second word's place in the vocabulary."""
+    held = marked.sparkSession.sparkContext.broadcast((vocabulary, single, pairs))
+    kind, scale = dict(marked.dtypes)["doc_id"], totals[0] / totals[1]
     small_batches(marked.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, single, p, pairs = held.value
+        words, single, pairs = held.value
         known, hashes = {w: i + 1 for i, w in enumerate(words)}, WordHashes()
         h = np.fromiter((0, *(hash_of(w, hashes) for w in words)), np.uint64, len(words) + 1)
-        at = TaskContext.get().partitionId() << 40
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
+            number += 1
             lists = [tokens(t) for t in batch.column("text").to_pylist()]
             n = np.array([len(x) for x in lists], np.int64)
             flat = list(chain.from_iterable(lists))
@@ -140,90 +164,144 @@ def tail_rows(marked: DataFrame, vocabulary: list[str], size: int, single: np.nd
             hy = h[y]
             rare = np.flatnonzero(y == 0)
             hy[rare] = np.fromiter((hash_of(flat[i], hashes) for i in rare.tolist()), np.uint64, len(rare))
-            row, rids = np.repeat(np.arange(len(n)), n), at + np.arange(len(n))
-            at += len(n)
+            row = np.repeat(np.arange(len(n)), n)
             begins = np.cumsum(n)[n > 0] - n[n > 0]
             begin, more = np.zeros(len(y), bool), np.ones(len(y), np.int64)
             begin[begins] = True
             more[begins[1:] - 1], more[-1:] = 0, 0
             x, hx = np.roll(y, 1), np.roll(hy, 1)
             x[begin], hx[begin] = 0, 0
+            target = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
+            _, which, times = counted(row.astype(np.uint64), hy)
+            own_word = times[which]
+            first, which, times = counted(row.astype(np.uint64), hy, hx)
+            own_pair = times[which]
+            follows = np.bincount(which, more, len(first)).astype(np.int64)
             inside = (x > 0) & (x <= size) & (y > 0) & (y <= size)
             here = inside | begin & (y > 0)
             cell = np.where(inside, (x - 1) * size + y - 1, 0)
             loss = []
             for k in (0, 1):
-                v = np.where(begin, np.log2(KAPPA), 0.0) + np.where(y > 0, more * np.log2(single[k][y] + KAPPA), 0.0)
-                v -= np.where(here, np.log2(np.where(inside, pairs[k][cell], 0.0) + KAPPA * p[k][y]), 0.0)
+                by, mine = (scale, 1) if k else (1.0, target[row])
+                word = (single[k][y] - mine * own_word) * by
+                pair = np.where(inside, (pairs[k][cell] - mine * own_pair) * by, 0.0)
+                v = np.where(begin, np.log2(KAPPA), 0.0)
+                v[y > 0] += (more * np.log2(np.maximum(word, 0) + KAPPA))[y > 0]
+                v[here] -= np.log2(pair + KAPPA * (word + 1) / (totals[0] + n_words))[here]
                 loss.append(np.bincount(row, v, len(n)))
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)
-            rest = np.flatnonzero(~here)
-            is_rare = y[rest] == 0
-            both = mix64(hx[rest] * np.uint64(0x9E3779B97F4A7C15) + hy[rest])
-            key = np.where(is_rare, hy[rest] | np.uint64(1), both & ~np.uint64(1))
-            sub = np.where(is_rare, hx[rest], y[rest].astype(np.uint64))
-            # equal rows of a document are one
-            mark = mix64(key + mix64(sub + mix64(row[rest].astype(np.uint64))))
-            _, one, which = np.unique(mark, return_index=True, return_inverse=True)
-            m, c = np.bincount(which, minlength=len(one)), np.bincount(which, more[rest] * is_rare, len(one)).astype(np.int64)
-            own = row[rest][one]
-            pk = pack(is_rare[one].astype(np.int64), target[own], m, c)
+            one = first[~here[first]]
+            m, c, o = own_pair[one], follows[which[one]], own_word[one]
+            is_rare = y[one] == 0
+            both = mix64(hx[one] * np.uint64(0x9E3779B97F4A7C15) + hy[one])
+            key = np.where(is_rare, hy[one] | np.uint64(1), both & ~np.uint64(1))
+            sub = np.where(is_rare, hx[one], y[one].astype(np.uint64))
+            order = np.lexsort((sub, key))
+            cols = [v[order] for v in (key, sub, m, o, c * is_rare, row[one] + target[row[one]] * TARGET)]
+            to = (cols[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]).tolist() + [len(to)] if len(to) else [0]
+            blocks = [packed([v[i:j] for v in cols]) for i, j in zip(cuts, cuts[1:], strict=False)]
             ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays([pa.array(loss[0].view(np.int64)), pa.array(loss[1].view(np.int64)), pa.array(rids), pa.array(pack(DOCUMENT, target, n)), ids], names=["key", "sub", "rid", "pk", "doc_id"])
-            yield pa.RecordBatch.from_arrays([pa.array(key[one].view(np.int64)), pa.array(sub[one].view(np.int64)), pa.array(rids[own]), pa.array(pk), pa.nulls(len(one), ids.type)], names=["key", "sub", "rid", "pk", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - (number + np.arange(len(n))) % 4093, pa.int32()), pa.array(np.full(len(n), number)), pa.array(np.arange(len(n), dtype=np.int32)), ids, pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.nulls(len(n), pa.binary())], names=NAMES)
+            if blocks:
+                k = len(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]].astype(np.int32)), pa.array(np.full(k, number)), pa.nulls(k, pa.int32()), pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(blocks, pa.binary())], names=NAMES)
 
-    return marked.select("doc_id", "text", "target").mapInArrow(run, f"key long, sub long, rid long, pk long, doc_id {kind}")
+    return marked.select("doc_id", "text", "target").mapInArrow(run, f"bucket int, batch long, off int, doc_id {kind}, n long, t double, b double, data binary")
 
 
-def losses(rows: DataFrame, p: np.ndarray, totals: np.ndarray, n_words: int) -> DataFrame:
-    """rid, doc_id, n, t and b: for each row its share of the document's losses. rows are those of tail_rows, sorted by key and sub."""
-    held, scale = rows.sparkSession.sparkContext.broadcast(p), totals[0] / totals[1]
+NAMES = ["bucket", "batch", "off", "doc_id", "n", "t", "b", "data"]
 
-    def of(cols: list[np.ndarray]) -> list[np.ndarray]:
-        key, sub, _, pk = cols
-        what, target, m, c = pk & 3, pk >> 2 & 1, pk >> 3 & (1 << 33) - 1, pk >> 36
-        doc, rare = what == DOCUMENT, what == RARE
-        m = np.where(doc, 0, m)
+
+def losses(blocks: DataFrame, single: np.ndarray, totals: np.ndarray, n_words: int) -> DataFrame:
+    """The same columns: documents as they are, and for each block a row (bucket 0) with the sums of its documents. Rows of a bucket follow each other."""
+    held, scale = blocks.sparkSession.sparkContext.broadcast(single), totals[0] / totals[1]
+    schema = ", ".join(f"{c} {t}" for c, t in blocks.dtypes)
+
+    def sums(data: list[bytes]) -> list[bytes]:
+        parts = [unpacked(d) for d in data]
+        source = np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+        key, sub, m, o, c, off = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((sub, key))
+        key, sub, m, o, c, off, source = key[order], sub[order], m[order].astype(np.int64), o[order].astype(np.int64), c[order], off[order], source[order]
+        target, rare = (off >= TARGET).astype(np.int64), key & np.uint64(1) == 1
         new = np.r_[True, key[1:] != key[:-1]]
         group, fine = np.cumsum(new) - 1, np.cumsum(new | np.r_[True, sub[1:] != sub[:-1]]) - 1
+        where, which = np.unique(source * (TARGET << 1) + off, return_inverse=True)
         out = []
-        for k, own in enumerate((m * target, m)):
+        for k, mine in enumerate((target, np.ones_like(target))):
             by = scale if k else 1.0
-            word, pair = np.bincount(group, own)[group] * by, np.bincount(fine, own)[fine] * by
-            prob = np.where(rare, (word + 1) / (totals[0] + n_words), held.value[k][np.where(what == BIGRAM, sub, 0)])
-            v = np.where(rare, c * np.log2(word + KAPPA), 0.0) - m * np.log2(np.where(rare & (sub == 0), 0.0, pair) + KAPPA * prob)
-            out.append(np.where(doc, (sub if k else key).view(np.float64), v))
-        return [np.where(doc, pk >> 3, 0), *out]
+            every = np.where(rare, np.bincount(group, m * mine)[group], held.value[k][np.where(rare, 0, sub).astype(np.int64)])
+            word = (every - mine * o) * by
+            pair = (np.bincount(fine, m * mine)[fine] - mine * m) * by
+            pair[rare & (sub == 0)] = 0  # the first word of a document
+            v = c * np.log2(np.maximum(word, 0) + KAPPA) - m * np.log2(pair + KAPPA * (word + 1) / (totals[0] + n_words))
+            out.append(np.bincount(which, v, len(where)))
+        of, place = where // (TARGET << 1), (where % TARGET).astype("<u2")
+        cuts = np.searchsorted(of, np.arange(len(parts) + 1))
+        return [b"".join(x[i:j].tobytes() for x in (out[0], out[1], place)) for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
-        def close(last: bool) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(kept)
-            cols = [whole.column(c).to_numpy() for c in ("key", "sub", "rid", "pk")]
-            # the last key may go on in the next batch
-            stop = len(whole) if last else int(np.searchsorted(cols[0], cols[0][-1]))
-            kept[:] = whole.slice(stop).to_batches()
-            if stop:
-                cols = [x[:stop] for x in cols]
-                ids = whole.column("doc_id").slice(0, stop).combine_chunks()
-                arrays = [pa.array(cols[2]), ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, *map(pa.array, of(cols))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["rid", "doc_id", "n", "t", "b"])
-
-        least = CHUNK
-        for batch in batches:
-            kept.append(batch)
-            if sum(b.num_rows for b in kept) > least:
-                yield from close(False)
-                least = CHUNK + 2 * sum(b.num_rows for b in kept)
-        if kept:
-            yield from close(True)
+        at, numbers, data, types = None, [], [], {}
+
+        def close() -> pa.RecordBatch:
+            k = len(data)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(numbers, pa.int64()), *(pa.nulls(k, types[c]) for c in NAMES[2:7]), pa.array(sums(data), pa.binary())], names=NAMES)
 
+        for batch in batches:
+            types = types or {f.name: f.type for f in batch.schema}
+            docs = batch.filter(batch.column("data").is_null())
+            if docs.num_rows:
+                yield docs
+            rest = batch.filter(batch.column("data").is_valid())
+            for bucket, number, block in zip(*(rest.column(c).to_pylist() for c in ("bucket", "batch", "data")), strict=True):
+                if bucket != at:
+                    if data:
+                        yield close()
+                    at, numbers, data = bucket, [], []
+                numbers.append(number)
+                data.append(block)
+        if data:
+            yield close()
+
+    return blocks.mapInArrow(run, schema)
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """doc_id, n, t and b of each document, its sums added. Rows of a batch follow each other."""
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"rid long, doc_id {kind}, n long, t double, b double")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, docs, data = None, [], []
+
+        def close() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(docs).sort_by("off")
+            both = [whole.column(c).to_numpy().copy() for c in ("t", "b")]
+            for d in data:
+                k = len(d) // 18
+                place = np.frombuffer(d, "<u2", k, 16 * k)
+                for j in (0, 1):
+                    both[j][place] += np.frombuffer(d, "<f8", k, 8 * k * j)  # places of a block are different
+            ids = whole.column("doc_id").combine_chunks()
+            ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+            return pa.RecordBatch.from_arrays([ids, pa.array(whole.column("n").to_numpy()), *map(pa.array, both)], names=["doc_id", "n", "t", "b"])
 
-def score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABULARY, top: int = TOP) -> DataFrame:
+        for batch in batches:
+            numbers = batch.column("batch").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]).tolist() + [len(numbers)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if at is not None and numbers[i] != at:
+                    yield close()
+                    docs, data = [], []
+                at, part = numbers[i], batch.slice(i, j - i)
+                docs.append(part.filter(part.column("data").is_null()))
+                data += part.column("data").drop_null().to_pylist()
+        if at is not None:
+            yield close()
+
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, t double, b double")
+
+
+def score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABULARY, top: int = TOP, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (bits a token) and score of every document."""
     spark = docs.sparkSession
     marked = mark_target(docs, target_ids)
@@ -249,18 +327,17 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int = VOCABUL
             return {"doc_id": batch.column("doc_id"), "n_tokens": [len(tokens(t)) for t in batch.column("text").to_pylist()], "target_loss": none, "background_loss": none, "score": none}
 
         return map_batches(docs.select("doc_id", "text"), lengths, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
-    scale = totals[0] / totals[1]  # the background at the target's size
-    single = np.zeros((2, len(vocabulary) + 1))
-    single[0, 1:], single[1, 1:] = common.column("t").to_numpy(), common.column("b").to_numpy() * scale
-    p = (single + 1) / (totals[0] + total["n"])
+    single = np.zeros((2, len(vocabulary) + 1), np.int64)
+    single[0, 1:], single[1, 1:] = common.column("t").to_numpy(), common.column("b").to_numpy()
     size = min(top, len(vocabulary))
     got = cell_counts(marked, vocabulary[:size]).toArrow()  # top^2 rows at most
-    pairs, at = np.zeros((2, max(size * size, 1))), got.column("cell").to_numpy()
-    pairs[0, at], pairs[1, at] = got.column("t").to_numpy(), got.column("b").to_numpy() * scale
+    pairs, at = np.zeros((2, max(size * size, 1)), np.int64), got.column("cell").to_numpy()
+    pairs[0, at], pairs[1, at] = got.column("t").to_numpy(), got.column("b").to_numpy()
     del got, common
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = tail_rows(marked, vocabulary, size, single, p, pairs).repartition(parts, "key").sortWithinPartitions("key", "sub")
-    done = losses(rows, p, totals, total["n"]).groupBy("rid").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    done = done.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
+    buckets = min(max(parts, -(-int(totals[1]) // bucket_tokens)), (1 << 31) - 1)
+    blocks = entries(marked, vocabulary, size, single, pairs, totals, total["n"], buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    done = gathered(losses(blocks, single, totals, total["n"]).repartition(parts, "batch").sortWithinPartitions("batch"))
+    mean = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    done = done.select("doc_id", F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss"))
     return done.withColumn("score", F.col("background_loss") - F.col("target_loss"))
