@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +17,12 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset (tests), an own one is made."""
+    """The folder all executors share, from spark.checkpoint.dir. Only where that is unset and Spark runs in one process (tests), an own one is made."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = path or f"file://{tempfile.mkdtemp(prefix='skerry-')}"
         spark.sparkContext.setCheckpointDir(path)
         held = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -2,7 +2,7 @@
 
 Each rule has a condition that rejects. On a sample, every rule's cost (seconds for the sample's rows beyond a bare scan) and selectivity (share of
 rows it rejects) are measured, rules are ordered by rejection per cost, and the cascade is one CASE expression in that order: Spark evaluates a branch only where
-all earlier ones let the row pass. The order changes what is computed, never the verdict.
+all earlier ones let the row pass. The order changes what is computed, never the verdict; as costs are seconds, rejected_by can differ from run to run, unless the order of an earlier run is given.
 
 Defined results: a null text has no words, fails the base and is not kept, as an empty one; repeated rows each get their own result; an
 empty table gives an empty result; other columns stay unless they bear the names added here, which are replaced.
@@ -115,12 +115,12 @@ RULES = (
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, runs: int = 2) -> list[tuple[Rule, float, float]]:
-    """Cost in seconds and rejected share of each rule on a sample of about sample_rows rows, drawn by a hash of the text."""
+    """Cost in seconds and rejected share of each rule on a sample of about sample_rows rows, each row drawn on its own, copies and nulls too."""
     n = docs.count()
     if not n:
         return [(r, 0.0, 0.0) for r in rules]
-    keep = F.lit(True) if n <= sample_rows else F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n) + 1
-    sample = measures(docs.select("text").filter(keep)).withColumn("_t", F.coalesce("text", F.lit(""))).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_w", "_t", F.lit(0).alias("_none")).cache()
+    drawn = docs.select("text") if n <= sample_rows else docs.select("text").sample(False, sample_rows / n, 5)
+    sample = measures(drawn).withColumn("_t", F.coalesce("text", F.lit(""))).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_w", "_t", F.lit(0).alias("_none")).cache()
     try:
         rows = sample.count()
 
@@ -157,7 +157,7 @@ def cascade(measured: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull()).drop("_t")
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with their measures, rejected_by and kept."""
-    out = cascade(measures(docs), order(estimate(docs, rules)))
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ordered: list[Rule] | None = None) -> DataFrame:
+    """docs with their measures, rejected_by and kept; rules in the order given, else in that of estimates on docs."""
+    out = cascade(measures(docs), order(estimate(docs, rules)) if ordered is None else ordered)
     return out.drop("_w")

@@ -5,13 +5,14 @@ made from those sums. The map is a small versioned table: rebalancing and growin
 only the slots that an edit names move.
 
 Defined results: a null text has 0 bytes and the CRC-32 of no bytes (0); a null doc_id hashes as null and its rows
-stay; repeated rows are told apart by a running number, so that a row that occurs a billion times spreads over all slots;
+stay; repeated rows are told apart by a running number, made in blocks of COPIES, so that a row that occurs a billion times spreads over all slots and tasks;
 an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from skerry.llm.common import cut, shared_dir, text_bytes
 
 #: Virtual slots; fixed for the life of a data set. All that reaches the driver has one row for each.
 N_SLOTS = 8192
+#: Equal rows that are written out at once; more of them are dealt out in blocks first.
+COPIES = 4096
 
 
 @dataclass(frozen=True)
@@ -86,11 +89,14 @@ def rebalance(old: SlotMap, bytes_of: list[int], rows_of: list[int], n_shards: i
     return SlotMap(old.version + 1, n_shards, tuple(shard_of), tuple(bytes_of), tuple(rows_of))
 
 
-def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+def records(docs: DataFrame, n_slots: int = N_SLOTS, copies: int = COPIES) -> DataFrame:
     """doc_id, size, text_crc32 and virtual slot of each row. Equal rows are counted before the shuffle and numbered after it."""
     narrow = docs.select("doc_id", (text_bytes() + 1).alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
     counted = narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    each = counted.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    few = counted.filter(F.col("n") <= copies).select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    blocks = counted.filter(F.col("n") > copies).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / copies)))).repartition("doc_id", "text_crc32", "block")
+    last = F.least(F.col("n"), (F.col("block") + 1) * copies)
+    each = few.unionByName(blocks.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.col("block") * copies + 1, last)).alias("copy")))
     return each.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "copy"), F.lit(n_slots)).cast("int"))
 
 
@@ -102,24 +108,28 @@ def slot_sizes(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list
 
 
 def map_table(spark: SparkSession, slots: SlotMap) -> DataFrame:
-    """The map as a table: version, virtual_slot, shard, bytes, rows, and the place in its shard at which the slot's rows start."""
+    """The map as a table: version, number of shards, virtual_slot, shard, bytes, rows, and the place in its shard at which the slot's rows start."""
     start, out = [0] * slots.n_shards, []
     for v, s in enumerate(slots.shard_of):
-        out.append((slots.version, v, s, slots.bytes_of[v], slots.rows_of[v], start[s]))
+        out.append((slots.version, slots.n_shards, v, s, slots.bytes_of[v], slots.rows_of[v], start[s]))
         start[s] += slots.rows_of[v]
-    return spark.createDataFrame(out, "version int, virtual_slot int, shard int, bytes long, rows long, start long")
+    return spark.createDataFrame(out, "version int, n_shards int, virtual_slot int, shard int, bytes long, rows long, start long")
 
 
 def save_map(spark: SparkSession, slots: SlotMap, path: str) -> None:
-    map_table(spark, slots).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={slots.version}")
+    """Adds a version; one that is there already stays, and writing it again is an error."""
+    map_table(spark, slots).drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={slots.version}")
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """A stored version, by default the latest."""
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """A stored version, by default the latest; None where none is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
     all_ = spark.read.parquet(path)
     version = version or all_.agg(F.max("version")).first()[0]
-    got = sorted((r["virtual_slot"], r["shard"], r["bytes"], r["rows"]) for r in all_.filter(F.col("version") == version).collect())
-    return SlotMap(version, max(x[1] for x in got) + 1, tuple(x[1] for x in got), tuple(x[2] for x in got), tuple(x[3] for x in got))
+    got = sorted((r["virtual_slot"], r["shard"], r["bytes"], r["rows"], r["n_shards"]) for r in all_.filter(F.col("version") == version).collect())
+    return SlotMap(version, got[0][4], tuple(x[1] for x in got), tuple(x[2] for x in got), tuple(x[3] for x in got))
 
 
 def place(rows: DataFrame, slots: SlotMap) -> DataFrame:
@@ -130,10 +140,15 @@ def place(rows: DataFrame, slots: SlotMap) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """Every row of docs with its virtual slot, shard and place in the shard; the map goes to map_path, by default into the shared folder."""
+    """Every row of docs with its virtual slot, shard and place in the shard.
+
+    Where map_path holds a map, its latest version is edited for the sizes (and, perhaps, shards) of now and stored as the next one; else a first version is made and stored, by
+    default in a folder of its own below the shared one."""
     spark = docs.sparkSession
-    rows = cut(records(docs, n_slots))
-    slots = first_map(*slot_sizes(rows, n_slots), n_shards)
-    slots = rebalance(slots, list(slots.bytes_of), list(slots.rows_of), tolerance=0.0001)
-    save_map(spark, slots, map_path or f"{shared_dir(spark)}/slot_map")
-    return place(rows, slots)
+    path = map_path or f"{shared_dir(spark)}/slot_map-{uuid.uuid4().hex}"
+    rows, old = cut(records(docs, n_slots)), load_map(spark, path)
+    sizes = slot_sizes(rows, n_slots)
+    if old is not None and len(old.shard_of) != n_slots:
+        raise ValueError(f"the stored map has {len(old.shard_of)} virtual slots, which are fixed")
+    save_map(spark, first_map(*sizes, n_shards) if old is None else rebalance(old, *sizes, n_shards), path)
+    return place(rows, load_map(spark, path))
