@@ -173,20 +173,18 @@ def choose(runs: DataFrame, order: str, criterion: str, how: str = "global_min")
     return local_extrema(runs.withColumn("_one", F.lit(0)), ["_one"], [order], criterion, kind, "_x").filter("_x").drop("_one", "_x")
 
 
-def elbow(runs: DataFrame, order: str, criterion: str, how: str = "min") -> DataFrame:
-    """Runs where the min-max scaled criterion is locally farthest below (min) or above (max) the straight line between its ends; runs are few (a row a parameter set)."""
+def elbow(runs: DataFrame, order: str, criterion: str, how: str = "descending") -> DataFrame:
+    """Runs where the min-max scaled criterion is locally farthest below the line from 1 to 0 (descending) or above the line from 0 to 1 (ascending), ends included; runs are few (a row a parameter set)."""
     from skerry.operators.series import local_extrema
 
-    contracts.option(how, ("min", "max"), "how")
+    contracts.option(how, ("ascending", "descending"), "how")
     w, all_ = Window.partitionBy("_one").orderBy(order), Window.partitionBy("_one")
     r = runs.withColumn("_one", F.lit(0))
     low, high = F.min(criterion).over(all_), F.max(criterion).over(all_)
-    r = r.withColumn("_s", F.when(low == high, F.lit(0.0)).otherwise((F.col(criterion) - low) / (high - low)))
-    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    scaled = F.when(low == high, F.lit(0.0)).otherwise((F.col(criterion) - low) / (high - low))
     share = (F.row_number().over(w) - 1) / F.greatest(F.count(F.lit(1)).over(all_) - 1, F.lit(1))
-    a, b = F.first("_s").over(full), F.last("_s").over(full)
-    r = r.withColumn("_d", F.col("_s") - (a + (b - a) * share))
-    return local_extrema(r, ["_one"], [order], "_d", how, "_x").filter("_x").select(*runs.columns, F.col("_d").alias("bend"))
+    r = r.withColumn("_d", scaled - (share if how == "ascending" else 1 - share))
+    return local_extrema(r, ["_one"], [order], "_d", "max" if how == "ascending" else "min", "_x").filter("_x").select(*runs.columns, F.col("_d").alias("bend"))
 
 
 def run_algorithm(grid: DataFrame, data: list, run, schema: str) -> DataFrame:

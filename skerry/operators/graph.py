@@ -1,7 +1,9 @@
-"""Graphs as edges (src, dst, weight) and nodes (id). Degrees are sums of incoming weights. Loops stop with an error at a bound of rounds."""
+"""Graphs as edges (src, dst, weight) and nodes (id). Degrees are sums of incoming weights. Iterations go on until they are done; each round's result is checkpointed."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry import contracts
+from skerry.operators import components as contraction
+from skerry.operators.ranks import draw, numbered, unit
 from skerry.storage import cut
 
-MAX_ROUNDS = 200
+#: Parts of a growing table that are read side by side before they are written as one.
+PARTS = 8
 
 
 def add_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -54,17 +59,36 @@ def degree_extremes(edges: DataFrame, nodes: DataFrame, how: str = "max") -> Dat
     return d.join(d.agg((F.max if how == "max" else F.min)("degree").alias("_x")), F.col("degree") == F.col("_x")).select("id", "degree")
 
 
-def hops(edges: DataFrame, start: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """id, hop and parent (the least one a hop nearer) of all nodes that out-edges reach from the start nodes."""
-    seen = cut(start.select("id", F.lit(0).alias("hop"), F.lit(None).cast(dict(start.dtypes)["id"]).alias("parent")))
-    front = seen
+def _added(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """parts with a new one; many are written as one, so rows are written again only every PARTS rounds."""
+    parts = [*parts, new]
+    if len(parts) <= PARTS:
+        return parts
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    return [cut(whole)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    return whole
+
+
+def hops(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """id, hop and parent (the least one a hop nearer) of all nodes that out-edges reach from the start nodes. A round adds the new frontier to what was seen."""
+    front = cut(start.select("id", F.lit(0).alias("hop"), F.lit(None).cast(dict(start.dtypes)["id"]).alias("parent")))
+    seen, k = [front], 0
     e = edges.filter("weight <> 0 and src <> dst").select("src", "dst")
-    for k in range(1, max_rounds + 1):
-        front = cut(front.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("_n")).agg(F.min("id").alias("_p")).join(seen.select(F.col("id").alias("_n")), "_n", "left_anti").select(F.col("_n").alias("id"), F.lit(k).alias("hop"), F.col("_p").alias("parent")))
+    while True:
+        k += 1
+        near = front.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("_n")).agg(F.min("id").alias("_p"))
+        front = cut(near.join(_union(seen).select(F.col("id").alias("_n")), "_n", "left_anti").select(F.col("_n").alias("id"), F.lit(k).alias("hop"), F.col("_p").alias("parent")))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front))
-    raise RuntimeError(f"the search has not ended in {max_rounds} rounds")
+            return _union(seen)
+        seen = _added(seen, front)
 
 
 def bfs_path(edges: DataFrame, spark: SparkSession, start: int, end: int) -> list[int]:
@@ -78,19 +102,10 @@ def bfs_path(edges: DataFrame, spark: SparkSession, start: int, end: int) -> lis
     return out[::-1]
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """id and component (its least id), directions aside: least labels spread along edges, and labels' own labels are taken over each round, so paths halve."""
-    both = cut(edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.filter("src <> dst").select("dst", "src")).distinct())
-    lab = cut(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(lab, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
-        step = lab.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = step.select(F.col("id").alias("_i"), F.col("label").alias("_l"))
-        new = cut(step.join(jump, F.col("label") == F.col("_i"), "left").select("id", "old", F.least("label", "_l").alias("label")))
-        lab = new.select("id", "label")
-        if new.filter("old <> label").isEmpty():
-            return lab.select("id", F.col("label").alias("component"))
-    raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+def components(edges: DataFrame, nodes: DataFrame, last: int = contraction.LAST) -> DataFrame:
+    """id and component (its least id), directions aside; a node without edges is its own."""
+    found = contraction.components(edges, "src", "dst", last)
+    return nodes.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def is_connected(edges: DataFrame, nodes: DataFrame) -> bool:
@@ -101,47 +116,43 @@ def is_connected(edges: DataFrame, nodes: DataFrame) -> bool:
 
 def connect(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both ways between the least nodes of consecutive components; one component remains."""
-    comp = components(edges, nodes).select("component").distinct()
-    nxt = comp.withColumn("_next", F.lead("component").over(Window.orderBy("component"))).filter("_next is not null")  # a row a component
+    comp = numbered(components(edges, nodes).select("component").distinct(), ["component"], "_i")
+    follows = comp.select((F.col("_i") - 1).alias("_i"), F.col("component").alias("_next"))
+    nxt = comp.join(follows, "_i").drop("_i")
     new = nxt.select(F.col("component").alias("src"), F.col("_next").alias("dst")).union(nxt.select("_next", "component")).withColumn("weight", F.lit(1.0))
     return edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).union(new)
 
 
-def k_core(edges: DataFrame, nodes: DataFrame, k: int, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def k_core(edges: DataFrame, nodes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(remaining ids, removed ids with their round): nodes of degree above 0 and below k go, all at once, until there are none. Nodes of degree 0 are in neither."""
     contracts.whole(k, 1, name="k")
-    left, gone = cut(edges.filter("weight <> 0").select("src", "dst", "weight")), None
-    for r in range(max_rounds):
-        out = cut(left.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("degree")).filter((F.col("degree") > 0) & (F.col("degree") < k)).select("id", F.lit(r).alias("round")))
+    left, gone = cut(edges.filter("weight <> 0").select("src", "dst", "weight")), []
+    while True:
+        out = cut(left.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("degree")).filter((F.col("degree") > 0) & (F.col("degree") < k)).select("id", F.lit(len(gone)).alias("round")))
         if out.isEmpty():
             rest = left.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("degree")).filter("degree > 0").select("id")
-            return rest, (gone if gone is not None else out)
-        gone = out if gone is None else gone.union(out)
-        ids = out.select(F.col("id").alias("_x"))
-        left = cut(left.join(ids, F.col("src") == F.col("_x"), "left_anti").join(ids, F.col("dst") == F.col("_x"), "left_anti"))
-    raise RuntimeError(f"peeling has not ended in {max_rounds} rounds")
-
-
-def core_numbers(edges: DataFrame, nodes: DataFrame, max_k: int = 10_000, max_rounds: int = 10_000) -> DataFrame:
-    """id and core: the k up to which a node stays; nodes without edges never appear."""
-    left, parts = cut(edges.filter("weight <> 0").select("src", "dst", "weight")), []
-    k = 1
-    for _ in range(max_rounds):
+            return rest, _union(gone or [out])
+        gone.append(out)
+        left = _without(left, out)
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    ids = gone.select(F.col("id").alias("_x"))
+    return cut(edges.join(ids, F.col("src") == F.col("_x"), "left_anti").join(ids, F.col("dst") == F.col("_x"), "left_anti"))
+
+
+def core_numbers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id and core: the k up to which a node stays; nodes without edges never appear, nor do those that lose all edges in one round without going themselves."""
+    left, parts, k = cut(edges.filter("weight <> 0").select("src", "dst", "weight")), [], 1
+    while True:
         deg = left.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("degree")).filter("degree > 0")
         low = deg.agg(F.min("degree")).first()[0]
         if low is None:
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.union(p)
-            return out
+            return _union(parts or [deg.select("id", F.lit(0).alias("core")).limit(0)])
         k = max(k, int(low) + 1)  # no node goes before k exceeds the least degree
-        if k > max_k:
-            raise RuntimeError(f"cores beyond {max_k}")
         gone = cut(deg.filter(F.col("degree") < k).select("id", F.lit(k - 1).alias("core")))
-        parts.append(gone)
-        ids = gone.select(F.col("id").alias("_x"))
-        left = cut(left.join(ids, F.col("src") == F.col("_x"), "left_anti").join(ids, F.col("dst") == F.col("_x"), "left_anti"))
-    raise RuntimeError("peeling has not ended")
+        parts = _added(parts, gone)
+        left = _without(left, gone)
 
 
 def ordering(edges: DataFrame, nodes: DataFrame, how: str = "bfs") -> DataFrame:
@@ -151,42 +162,44 @@ def ordering(edges: DataFrame, nodes: DataFrame, how: str = "bfs") -> DataFrame:
         return dfs(edges, degree_extremes(edges, nodes, "max").agg(F.min("id").alias("id")).first()["id"]).select("id", "place")
     if how == "bfs":
         start = degree_extremes(edges, nodes, "max").agg(F.min("id").alias("id"))
-        return hops(edges, start).select("id", (F.row_number().over(Window.orderBy("hop", "id")) - 1).alias("place"))
+        return numbered(hops(edges, start).select("id", "hop"), ["hop", "id"], "place").select("id", "place")
     d = core_numbers(edges, nodes).join(degrees(edges, nodes), "id")
-    return d.select("id", (F.row_number().over(Window.orderBy(F.desc("core"), F.desc("degree"), F.desc("id"))) - 1).alias("place"))
+    return numbered(d, [F.desc("core"), F.desc("degree"), F.desc("id")], "place").select("id", "place")
 
 
 def dfs(edges: DataFrame, start: int, end: int | None = None) -> DataFrame:
-    """Visit order and path of a depth-first search that marks nodes when it stacks them, neighbours in ascending order. Sequential by nature: the part that
-    the start reaches is handed to one kernel, nothing else."""
+    """Visit order and path of a depth-first search: a node is visited when it is stacked, neighbours in ascending order, the last stacked goes on; with an end, the search
+    ends when the end comes up. Sequential by nature: the part that the start reaches is handed to one kernel, nothing else."""
     spark = edges.sparkSession
     reach = hops(edges, spark.createDataFrame([(start,)], "id long")).select(F.col("id").alias("src"))
-    part = edges.filter("weight <> 0").join(reach, "src", "left_semi").select("src", "dst", F.lit(0).alias("g"))
+    out = edges.filter("weight <> 0").join(reach, "src", "left_semi").select("src", "dst")
+    part = out.unionByName(spark.createDataFrame([(start, start)], "src long, dst long")).withColumn("g", F.lit(0))
 
     def run(pdf):
-        near = {s: sorted(g["dst"].tolist()) for s, g in pdf.groupby("src")}
-        stack, seen, parent, visited = [start], {start}, {}, []
+        near = {s: sorted(set(g["dst"].tolist())) for s, g in pdf.groupby("src")}
+        stack, parent, visited = [start], {start: None}, [start]
         while stack:
             u = stack.pop()
-            visited.append(u)
             if u == end:
                 break
             for v in near.get(u, []):
-                if v not in seen:
-                    seen.add(v)
+                if v not in parent:
                     parent[v] = u
+                    visited.append(v)
                     stack.append(v)
-        path, at = set(), end if end in seen else None
-        while at is not None:
-            path.add(at)
-            at = parent.get(at)
+        else:
+            u = None
+        path = set()
+        while u is not None:
+            path.add(u)
+            u = parent[u]
         return pd.DataFrame({"id": visited, "place": range(len(visited)), "on_path": [v in path for v in visited]})
 
     return part.groupBy("g").applyInPandas(run, "id long, place long, on_path boolean")
 
 
 def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int = 0) -> DataFrame:
-    """walk, step and id: walks (walk, id) of `length` nodes, the next neighbour picked by a hash of seed, walk and step, so the same however data is partitioned. A
+    """walk, step and id: walks (walk, id) of `length` nodes, the next neighbour drawn by seed, walk and step, so the same however data is partitioned. A
     node without out-edges raises."""
     contracts.whole(length, 1, name="length")
     e = edges.filter("weight <> 0").select("src", "dst").distinct()
@@ -195,14 +208,14 @@ def random_walks(edges: DataFrame, starts: DataFrame, length: int, seed: int = 0
     at = starts.select("walk", "id")
     out = at.select("walk", F.lit(0).alias("step"), "id")
     for s in range(1, length):
-        j = at.join(fan, F.col("id") == F.col("src"), "left").withColumn("_p", F.when(F.col("_n").isNull(), F.raise_error(F.lit("a walk ends at a node without out-edges"))).otherwise(F.pmod(F.xxhash64(F.lit(seed), "walk", F.lit(s)), F.col("_n"))))
+        j = at.join(fan, F.col("id") == F.col("src"), "left").withColumn("_p", F.when(F.col("_n").isNull(), F.raise_error(F.lit("a walk ends at a node without out-edges"))).otherwise(F.pmod(draw(seed, "walk", F.lit(s)), F.col("_n"))))
         at = cut(j.select("walk", F.col("id").alias("src"), F.col("_p").cast("int").alias("_k")).join(e.select("src", "_k", "dst"), ["src", "_k"]).select("walk", F.col("dst").alias("id")))
         out = out.union(at.select("walk", F.lit(s).alias("step"), "id"))
     return out
 
 
 def _coin(p, seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(1 << 30)) / float(1 << 30) < p
+    return unit(seed, "src", "dst") < p
 
 
 def _pairs(spark: SparkSession, n: int) -> DataFrame:
@@ -221,11 +234,10 @@ def erdos_renyi(spark: SparkSession, n: int, density: float = 0.5, both: bool =
 
 
 def stochastic_blocks(spark: SparkSession, n: int, clusters: int, inner: tuple[float, float] = (0.4, 1.0), outer: tuple[float, float] = (0.0, 0.5), both: bool = True, seed: int = 0) -> DataFrame:
-    """Each node's block and each pair of blocks' density come from hashes of the seed."""
-    unit = lambda *c: F.pmod(F.xxhash64(F.lit(seed + 1), *c), F.lit(1 << 30)) / float(1 << 30)
-    block = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(clusters))
+    """Each node's block, each pair of blocks' density and each edge are drawn with seed, seed + 1 and seed + 2."""
+    block = lambda c: F.pmod(draw(seed, c), F.lit(clusters))
     d = _pairs(spark, n).withColumn("a", F.least(block("src"), block("dst"))).withColumn("b", F.greatest(block("src"), block("dst")))
-    p = F.when(F.col("a") == F.col("b"), inner[0] + (inner[1] - inner[0]) * unit("a", "b")).otherwise(outer[0] + (outer[1] - outer[0]) * unit("a", "b"))
+    p = F.when(F.col("a") == F.col("b"), inner[0] + (inner[1] - inner[0]) * unit(seed + 1, "a", "b")).otherwise(outer[0] + (outer[1] - outer[0]) * unit(seed + 1, "a", "b"))
     return _done(d.filter(_coin(p, seed + 2)), both)
 
 
@@ -262,8 +274,8 @@ def random_graph(spark: SparkSession, n: int, both: bool = True, seed: int = 0)
 
 
 def linear_data(spark: SparkSession, n: int, w: list[float], b: float = 0.0, noise: bool = True, eps: float = 1e-2, seed: int = 0) -> DataFrame:
-    """x standard normal, y = x w + b, with normal noise of width eps."""
-    x = F.array(*[F.randn(seed + i) for i in range(len(w))])
-    d = spark.range(n).withColumn("x", x)
+    """x standard normal, y = x w + b, with normal noise of width eps. Normal numbers are made from pairs of draws by seed, row and place (Box and Muller)."""
+    normal = lambda k: F.sqrt(-2 * F.log(1 - unit(seed, "id", F.lit(2 * k)))) * F.cos(2 * math.pi * unit(seed, "id", F.lit(2 * k + 1)))
+    d = spark.range(n).withColumn("x", F.array(*[normal(i) for i in range(len(w))]))
     dot = F.aggregate(F.zip_with("x", F.array(*map(F.lit, map(float, w))), lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
-    return d.withColumn("y", dot + b + (F.randn(seed + len(w)) * eps if noise else F.lit(0.0)))
+    return d.withColumn("y", dot + b + (normal(len(w)) * eps if noise else F.lit(0.0)))

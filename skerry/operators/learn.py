@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skerry import contracts
+from skerry.operators.ranks import numbered
 
 
 def reduced(df: DataFrame, loss: str, reduction: str = "mean") -> DataFrame:
@@ -50,34 +51,27 @@ def folds(df: DataFrame, order: list[str], k: int, count: int | None = None) ->
     """fold 0 .. k-1 of contiguous rows, the first n mod k folds one larger. Rows are ranged by order over all tasks, numbered in each and offset by the tasks before."""
     contracts.whole(k, 2, name="k")
     n = count if count is not None else df.count()
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    from skerry.storage import cut
-
-    ranged = cut(ranged)
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")  # a row a task
     small, extra = n // k, n % k
-    at = F.col("_b") + F.col("_r") - 1
+    at = F.col("_at")
     fold = F.when(at < extra * (small + 1), F.floor(at / (small + 1))).otherwise(extra + F.floor((at - extra * (small + 1)) / max(small, 1)))
-    return ranged.join(F.broadcast(before), "_p").withColumn("fold", fold.cast("int")).drop("_p", "_r", "_b")
+    return numbered(df, order, "_at").withColumn("fold", fold.cast("int")).drop("_at")
 
 
 def early_stop(df: DataFrame, keys: list[str], step: str, metric: str, how: str = "desc", warmup: int = 20, laziness: int = 4, tolerance: float = 1e-3) -> DataFrame:
-    """Each step with its lazy count and whether training is done: after the warm-up a step that doesn't better the best by the tolerance is lazy; `laziness`
-    lazy steps in a row end it. A fold over a run's steps, which are few."""
+    """Each step with its lazy count and whether training is done. A metric within the tolerance of the best so far, or better, sets the count to -1, any other adds one; the best is always
+    brought up to date. From the step numbered `warmup` (from 0) on, `laziness` ends it. A fold over a run's steps, which are few."""
     contracts.option(how, ("asc", "desc"), "how")
     sign = 1.0 if how == "desc" else -1.0
     rows = F.sort_array(F.collect_list(F.struct(F.col(step).alias("s"), (F.col(metric) * sign).cast("double").alias("m"))))
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("lazy"), F.array().cast("array<struct<s:bigint,m:double,lazy:int>>").alias("out"))
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(-1).alias("lazy"), F.array().cast("array<struct<s:bigint,m:double,lazy:int,done:boolean>>").alias("out"))
 
     def fold(a, x):
-        better = a["best"].isNull() | (x["m"] < a["best"] - tolerance)
-        counted = F.size(a["out"]) >= warmup
-        lazy = F.when(better | ~counted, F.lit(0)).otherwise(a["lazy"] + 1)
-        return F.struct(F.when(better, x["m"]).otherwise(a["best"]).alias("best"), lazy.alias("lazy"), F.concat(a["out"], F.array(F.struct(x["s"].cast("long").alias("s"), x["m"].alias("m"), lazy.alias("lazy")))).alias("out"))
+        lazy = F.when(x["m"] < a["best"] + tolerance, F.lit(-1)).otherwise(a["lazy"] + 1)
+        row = F.struct(x["s"].cast("long").alias("s"), x["m"].alias("m"), lazy.alias("lazy"), ((F.size(a["out"]) >= warmup) & (lazy >= laziness)).alias("done"))
+        return F.struct(F.least(a["best"], x["m"]).alias("best"), lazy.alias("lazy"), F.concat(a["out"], F.array(row)).alias("out"))
 
     g = df.groupBy(*keys).agg(rows.alias("_r")).withColumn("_o", F.aggregate("_r", start, fold)["out"])
-    return g.select(*keys, F.explode("_o").alias("o")).select(*keys, F.col("o.s").alias(step), (F.col("o.m") * sign).alias(metric), F.col("o.lazy").alias("lazy"), (F.col("o.lazy") >= laziness).alias("done"))
+    return g.select(*keys, F.explode("_o").alias("o")).select(*keys, F.col("o.s").alias(step), (F.col("o.m") * sign).alias(metric), F.col("o.lazy").alias("lazy"), F.col("o.done").alias("done"))
 
 
 def message_mean(edges: DataFrame, feats: DataFrame, how: str = "sum") -> DataFrame:

@@ -48,14 +48,16 @@ def vec_assign(spark, d):
     square = n.join(m, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
     b = arrays.permute(square, order).withColumnRenamed("v", "b")
     t = arrays.match_pairs(square.withColumnRenamed("v", "a").join(b, ["i", "j"]).withColumn("g", F.lit(0)), ["g"], "unary")
-    sa, sb = square.groupBy(F.col("i").alias("t")).agg(F.sum("v").alias("x")), b.groupBy("i").agg(F.sum("b").alias("y"))
-    return t.join(sa, "t").join(sb, "i").select("i", (F.col("x") == F.col("y")).alias("same"))
+    return t.select("i", "t")
 
 
 def vec_match(spark, d):
+    """A symmetric matrix of draws against itself in another order, which has to be found."""
     n = spark.range(8).select(F.col("id").cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    a = n.withColumn("a", (F.pmod(F.xxhash64(F.least("i", "j"), F.greatest("i", "j")), F.lit(100)) / 100.0))
-    return arrays.match_pairs(a.withColumn("b", F.col("a")).withColumn("g", F.lit(0)), ["g"], "yaaq").select("i", "t")
+    a = n.withColumn("a", F.pmod(F.least("i", "j") * 37 + F.greatest("i", "j") * 101 + F.col("i") * F.col("j") * 13, F.lit(97)) / 97.0)
+    order = spark.createDataFrame([(k, (k * 3 + 2) % 8) for k in range(8)], "new int, old int")
+    b = arrays.permute(a.withColumnRenamed("a", "v"), order).withColumnRenamed("v", "b")
+    return arrays.match_pairs(a.join(b, ["i", "j"]).withColumn("g", F.lit(0)), ["g"], "unary").select("i", "t")
 
 
 def _scores(spark, d):
@@ -143,7 +145,7 @@ def learn_kfold(spark, d):
 
 def learn_early_stop(spark, d):
     e = table(spark, d, "events").groupBy("event_type", F.floor(time_fns.micros("ts") / 86_400_000_000).alias("day")).agg(F.avg("value").alias("m"))
-    return learn.early_stop(e, ["event_type"], "day", "m", "desc", 0, 3, 0.0).select("event_type", "day", F.col("lazy").cast("long").alias("lazy"), "done")
+    return learn.early_stop(e, ["event_type"], "day", "m", "desc", 5, 1, 0.5).select("event_type", "day", F.col("lazy").cast("long").alias("lazy"), "done")
 
 
 def learn_gnn_mean(spark, d):
@@ -255,14 +257,14 @@ ORACLE = {
     "vec_permute": f"with {_COUNTS}, {_ORDER} select a.new as i, b.new as j, v from m join o a on a.old = m.i join o b on b.old = m.j",
     "vec_padding": "with s as (select conv_id, count(*) as n, sum(length(text)) as t from conversations group by 1) select conv_id, n as length, max(n) over (partition by conv_id // 10) as padded_length, cast(t as bigint) as total from s",
     "vec_cost_matrix": f"with {_COUNTS}, r as (select i, sum(v) as x from m group by 1) select a.i, b.i as j, abs(a.x - b.x) as cost from r a, r b",
-    "vec_match": "select i, i as t from range(8) t(i)",
-    "vec_assign": "select i, true as same from range(5) t(i)",
+    "vec_match": "select cast(i as bigint) as i, cast((i * 3 + 2) % 8 as bigint) as t from range(8) t(i)",
+    "vec_assign": f"with {_ORDER} select cast(new as bigint) as i, cast(old as bigint) as t from o",
     "ens_soft_vote": f"with {_SCORES}, m as (select sample, avg(p) as one, avg(1 - p) as nil from p group by 1) select sample, cast(case when one > nil then 1 else 0 end as integer) as label, round(greatest(one, nil), 6) as prob from m",
     "ens_hard_vote": f"with {_SCORES}, l as (select sample, case when p > 1 - p then 1 else 0 end as l from p), v as (select sample, l, count(*)::double as n from l group by 1, 2) select sample, cast(arg_max(l, struct_pack(n := n, l := -l)) as integer) as label, max(n) as votes from v group by 1",
     "tune_kwargs_grid": "select cast((a - 1) * 3 + p as bigint) as combo, cast(a as integer) as a, b from range(1, 3) t(a), (values (0, 'x'), (1, 'y'), (2, 'z')) u(p, b)",
     "tune_global_min": f"with {_RUNS} select k from r order by cost, k limit 1",
     "tune_local_extrema": f"with {_RUNS}, q as (select k, cost as v from r), {_X} select k from ext where v <= a and v <= b",
-    "tune_elbow": f"with {_RUNS}, s as (select k, (cost - min(cost) over ()) / (max(cost) over () - min(cost) over ()) as s from r), q as (select k, s - (first_value(s) over w + (last_value(s) over w - first_value(s) over w) * ((row_number() over (order by k) - 1) / 9.0::double)) as v from s window w as (order by k rows between unbounded preceding and unbounded following)), {_X} select k from ext where v <= a and v <= b",
+    "tune_elbow": f"with {_RUNS}, q as (select k, (cost - min(cost) over ()) / (max(cost) over () - min(cost) over ()) - (1 - (row_number() over (order by k) - 1) / 9.0::double) as v from r), {_X} select k from ext where v <= a and v <= b",
     "tune_run": "select cast((p - 1) * 2 + s as bigint) as combo, sum(pow(n_nationkey, p)) * case s when 0 then 1 else 10 end as score from nation, range(1, 3) t(p), range(2) u(s) group by p, s",
     "learn_kl_std_norm": "with e as (select vec_id, unnest(list_transform(range(1, 33), lambda i: -0.5::double * (1 + 2 * embedding[i + 32]::double - embedding[i]::double * embedding[i]::double - exp(2 * embedding[i + 32]::double)))) as kl from embeddings) select round(sum(kl) / count(distinct vec_id), 6) as loss from e",
     "learn_inner_product": f"with {_IP} select vec_id, prob from ip",
@@ -272,8 +274,8 @@ ORACLE = {
     "learn_reduction": "select round(avg(p_retailprice), 4) as loss from part",
     "learn_kfold": "select o_orderkey, cast(ntile(7) over (order by o_orderkey) - 1 as bigint) as fold from orders",
     "learn_early_stop": """with recursive m as (select event_type, cast(floor(epoch_us(ts) / 86400000000) as bigint) as day, avg(value) as m from events group by 1, 2), o as (select *, row_number() over (partition by event_type order by day) as n from m),
-r(event_type, n, day, best, lazy) as (select event_type, n, day, m, 0 from o where n = 1 union all select o.event_type, o.n, o.day, least(r.best, o.m), case when o.m < r.best then 0 else r.lazy + 1 end from r join o on o.event_type = r.event_type and o.n = r.n + 1)
-select event_type, day, cast(lazy as bigint) as lazy, lazy >= 3 as done from r""",
+r(event_type, n, day, best, lazy) as (select event_type, n, day, m, -1 from o where n = 1 union all select o.event_type, o.n, o.day, least(r.best, o.m), case when o.m < r.best + 0.5::double then -1 else r.lazy + 1 end from r join o on o.event_type = r.event_type and o.n = r.n + 1)
+select event_type, day, cast(lazy as bigint) as lazy, lazy >= 1 and n > 5 as done from r""",
     "learn_gnn_mean": "with e as (select i as src, (i * 3 + 1) % 25 as dst from range(25) t(i)) select n.n_nationkey::bigint as id, coalesce(avg(s.n_regionkey::double), 0) as x0, coalesce(avg(case when s.n_nationkey is not null then 1.0::double end), 0) as x1 from nation n left join e on e.dst = n.n_nationkey left join nation s on s.n_nationkey = e.src group by 1",
     "learn_gcn": "with e as (select i as src, (i * 3 + 1) % 25 as dst from range(25) t(i)) select n.n_nationkey::bigint as id, s.n_regionkey::double as x0, 1.0::double as x1 from nation n join e on e.dst = n.n_nationkey join nation s on s.n_nationkey = e.src",
     "learn_gin": "with e as (select i % 25 as src, (i * 7 + 2) % 25 as dst from range(50) t(i)) select n.n_nationkey::bigint as id, round(1.5::double * n.n_regionkey + coalesce(sum(s.n_regionkey::double), 0), 6) as x0, round(1.5::double + count(s.n_nationkey), 6) as x1 from nation n left join e on e.dst = n.n_nationkey left join nation s on s.n_nationkey = e.src group by n.n_nationkey, n.n_regionkey",

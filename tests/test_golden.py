@@ -122,7 +122,13 @@ def test_graph(spark):
     assert {r["id"]: r["component"] for r in graph.components(e, n).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
     assert not graph.is_connected(e, n) and graph.is_connected(graph.connect(e, n), n)
     assert graph.bfs_path(e, spark, 2, 3) == [2, 0, 3] and graph.bfs_path(e, spark, 0, 4) == []
-    assert graph.dfs(e, 0).count() == 4
+    assert [(r["id"], r["on_path"]) for r in graph.dfs(e, 0, 2).orderBy("place").collect()] == [(0, True), (1, False), (2, True), (3, False)]
+    deep, _ = graph_of(spark, [(0, 1), (0, 2), (1, 3), (2, 4), (4, 5)], 6)
+    assert [r["id"] for r in graph.dfs(deep, 0).orderBy("place").collect()] == [0, 1, 2, 4, 5, 3] and graph.dfs(e, 4).count() == 1
+    chain, ids = graph_of(spark, [(i, i + 1) for i in range(40)], 42)
+    for last in (1000, 3):
+        assert {r["id"]: r["component"] for r in graph.components(chain, ids, last).collect()} == {i: 0 if i < 41 else 41 for i in range(42)}
+    assert graph.hops(chain, spark.createDataFrame([(0,)], "id long")).agg(F.max("hop")).first()[0] == 40
     assert graph.erdos_renyi(spark, 5, 0.0).count() == 0
     assert sorted(map(tuple, graph.mesh(spark, [2, 1]).select("src", "dst").collect())) == [(0, 2), (1, 2), (2, 0), (2, 1)]
     with pytest.raises(Exception, match="without out-edges"):
@@ -168,7 +174,11 @@ def test_arrays(spark):
 def test_learning(spark):
     m = spark.createDataFrame([("r", i, v) for i, v in enumerate([3.0, 2.0, 5.0, 5.0, 5.0])], "k string, step long, m double")
     s = learn.early_stop(m, ["k"], "step", "m", "desc", 0, 1, 0.0).orderBy("step").collect()
-    assert [r["lazy"] for r in s] == [0, 0, 1, 2, 3]
+    assert [r["lazy"] for r in s] == [-1, -1, 0, 1, 2] and [r["done"] for r in s] == [False, False, False, True, True]
+    flat = spark.createDataFrame([("r", i, 1.0) for i in range(30)], "k string, step long, m double")  # within the tolerance: never done
+    assert not learn.early_stop(flat, ["k"], "step", "m").filter("done").count()
+    worse = spark.createDataFrame([("r", i, float(-i)) for i in range(30)], "k string, step long, m double")
+    assert [r["step"] for r in learn.early_stop(worse, ["k"], "step", "m", "asc").filter("done").orderBy("step").collect()] == list(range(20, 30))
     f = learn.folds(spark.range(10), ["id"], 3).groupBy("fold").count().orderBy("fold").collect()
     assert [r["count"] for r in f] == [4, 3, 3]
     k = learn.mask_rows(spark.range(5).withColumn("g", F.lit(1)).withColumn("x", F.lit(1.0)), ["g"], "id", ["x"], 0.0)
