@@ -5,14 +5,15 @@ neighbouring ones, and their symmetric difference has at most H elements, H know
 tokens is hashed into m segments, and each segment gets a budget of 0 (its subset must be equal) or 1 (equal after deleting one token on
 one side). With sum(budget + 1) > H, one segment of each similar pair is within its budget.
 
-Segments that are empty on both sides would make keys that all sets share. So sum(budget + 1) > H + slack: a set whose segments that could meet in an empty subset weigh
-no more than slack gives no keys of empty subsets, since the pair has another segment within its budget; only the few sets beyond the slack give them, and meet each other there.
+Keys that many sets share, those of empty subsets above all and those of stock phrases, would put unlike sets together. So sum(budget + 1) > H + slack, and keys of empty subsets or of more than
+COMMON sets are common ones: a similar pair has segments within their budgets that weigh more than the slack, so either one of its keys is not common, or both sets have more
+common segments than the slack. A set within its slack therefore does without its common keys; the others are put together by them, too.
 How many segments get budget 1, and the slack, are decided by the costs that a band's number of sets implies: keys against pairs that meet without being similar.
 
-Keys travel in blocks of bytes, a block for each bucket of keys; equal keys that one task sees are linked there and travel once, so a key that a third of all sets share is spread.
-Sets that share a key form candidate clusters. Clusters are cut into chunks by hash, and within a chunk, to which the cluster's least set is added, every pair
+Keys travel in blocks of bytes, a block for each bucket of keys. A key that is common among what one task sees travels once, its sets go on without it, so a key that a third of all sets share is
+spread. Sets that share a key form candidate clusters. Clusters are cut into chunks by hash, and within a chunk, to which the cluster's least set is added, every pair
 is decided exactly: a parity sketch bounds the symmetric difference from below, pairs that are in one component already need no look, the rest are intersected. Where a cluster of several chunks
-then still has several components, pairs of chunks are decided as well, sets of one component excepted. Equal sets are one set from the start, by a 128-bit hash.
+then still has several components, it is cut anew, by component, and pairs of those chunks are decided as well, sets of one component excepted. Equal sets are one set from the start, by a 128-bit hash.
 
 Defined results: a null or empty text has no set, links with nothing and is its own component; repeated rows are equal sets; a null doc_id never becomes a component's
 id while another is there, and a component of null ids alone has a null id; an empty table gives an empty result; other columns are ignored.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.common import BATCH_ROWS, Scratch, WordHashes, cut, map_batches, mix64, small_batches
-from skerry.llm.components import LAST, components, forest
+from skerry.operators.components import LAST, components, forest
 
 #: Least similarity as a ratio of whole numbers, words in a shingle.
 NUM, DEN, WORDS = 90, 100, 3
@@ -41,8 +42,12 @@ CHUNK, CHUNK_MEAN = 256, 2000
 PAIR_COST = 0.02
 #: Sketch bits; a sketch only spares exact checks.
 BITS = 1024
-#: Keys in a bucket, about, and keys that a task holds before it passes them on (16 bytes each).
-BUCKET_KEYS, HELD_KEYS = 1_500_000, 1_500_000
+#: Sets that share a key without making it a common one.
+COMMON = 4
+#: Numbers of common keys, as nodes of the graph of candidates, begin here: above those of sets.
+KEY_NODE = 1 << 50
+#: Keys in a bucket, about, and keys that a task holds before it passes them on (some 50 bytes each while it works on them).
+BUCKET_KEYS, HELD_KEYS = 2_000_000, 2_000_000
 #: Up to so many candidate sets (some 60 bytes each) are broadcast to pick texts; beyond, texts are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -106,14 +111,14 @@ def allocate(band: int, n_sets: int, num: int = NUM, den: int = DEN) -> tuple[in
     h, size = most_apart(band, num, den), int(band_starts(num, den)[band])
     best = None
     for z in sorted({*range(min(h // 2 + 2, 9)), *(h * i // 20 for i in range(11))}):
-        for slack in sorted({0, 1, 2, 3, 4, 6, 8, 10, 12, 15, 18, 22, 26, 32, *(h * i // 100 for i in range(3, 13))}):
+        for slack in sorted({0, 1, 2, 3, 4, 6, 8, 10, 12, 15, 18, 22, 26, 32, *(h * i // 100 for i in range(13, 25))}):
             m = max(1, h + 1 + slack - z)
             if m < z:
                 continue
             mean = size / m
             rare = n_sets * min(tail((m - z) * math.exp(-mean) + 2 * z * math.exp(-mean) * (1 + mean), slack), 1.0)
             cost = n_sets * ((m - z) + z * (1 + mean)) + rare * m * math.exp(-mean) + PAIR_COST * 0.5 * rare * rare
-            if best is None or cost < best[0]:
+            if slack >= h // 8 and (best is None or cost < best[0]):
                 best = (cost, m, z, slack)
     return best[1:]
 
@@ -128,10 +133,13 @@ def bounds(m: int) -> np.ndarray:
     return _BOUNDS[m]
 
 
-def keys_of(s: np.ndarray, plan: Mapping[int, tuple[int, int, int]], num: int = NUM, den: int = DEN) -> np.ndarray:
-    """All keys of a set (sorted hashes): for its own band, and for the band below whose sets it may contain."""
+def keys_of(s: np.ndarray, plan: Mapping[int, tuple[int, int, int]], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, list[int]]:
+    """All keys of a set (sorted hashes), for its own band and for the band below whose sets it may contain; and by parity of the band how many common keys the set can do without (-1: none).
+
+    The lowest bit of a key is its band's parity. Keys of empty subsets are left out where the set can do without them."""
+    spare = [-1, -1]
     if not len(s):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), spare
     band = int(band_of(len(s), num, den))
     part = mix64(s)
     ends = np.zeros(len(s) + 1, np.uint64)
@@ -151,13 +159,15 @@ def keys_of(s: np.ndarray, plan: Mapping[int, tuple[int, int, int]], num: int =
         if z:
             weight += int(low[:z].sum()) + 2 * int((size[:z] == 1).sum())
         whole = weight > slack
-        key = mix64(sums ^ tag) + size.astype(np.uint64)
-        out.append(key if whole else key[~low])
+        spare[scheme % 2] = -1 if whole else (slack - weight) // (2 if z else 1)
+        key = mix64(mix64(sums ^ tag) + size.astype(np.uint64))
+        keys = [key if whole else key[~low]]
         if z:
             seg = np.repeat(np.arange(z), size[:z])
-            one = mix64((sums[seg] - part[: len(seg)]) ^ tag[seg]) + size[seg].astype(np.uint64) - np.uint64(1)
-            out.append(one if whole else one[size[seg] > 1])
-    return np.unique(np.concatenate(out))
+            one = mix64(mix64((sums[seg] - part[: len(seg)]) ^ tag[seg]) + size[seg].astype(np.uint64) - np.uint64(1))
+            keys.append(one if whole else one[size[seg] > 1])
+        out.append(np.unique(np.concatenate(keys) & ~np.uint64(1) | np.uint64(scheme % 2)))
+    return np.concatenate(out), spare
 
 
 def same_enough(inter: int, a: int, b: int, num: int = NUM, den: int = DEN) -> bool:
@@ -237,10 +247,34 @@ def link_table(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs (key, node) sorted by both, repeated pairs counted once: keys, nodes, the first place and the size of each entry's key group."""
+    keep = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+    key, node = key[keep], node[keep]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    return key, node, np.repeat(first, size), np.repeat(size, size)
+
+
+def six(x: np.ndarray) -> bytes:
+    """The low 48 bits of each value."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unsix(parts: list[bytes]) -> np.ndarray:
+    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :6] = data
+    return out.view("<u8").ravel().astype(np.int64)
+
+
 def prints_of(docs: DataFrame, plan: Plan, buckets: int, num: int, den: int, words: int, carry: tuple[str, ...], held_keys: int) -> DataFrame:
-    """Three kinds of rows: a document (doc_id, n, fp, h, carry; h is 8 bytes of fp), a bucket's keys and nodes (h) as bytes, and links (bucket -1, both ends as bytes) of sets that share a key in the task."""
+    """Three kinds of rows: a document (doc_id, n, fp, h, even and odd, carry; h is 48 bits of fp, even and odd are what keys_of says of common keys), a bucket's keys and nodes (h) of
+    six bytes each, and nodes and keys that are common in the task.
+
+    A bucket of keys is 0 or more; rows of the other kinds have numbers below, to be dealt out evenly. A common key is in its bucket with node 0. Bits that are cut off a key or node add candidates at most."""
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n long, fp binary, h long, bucket int, x binary, y binary" + "".join(f", `carry {c}` {dict(docs.dtypes)[c]}" for c in carry)
+    schema = f"doc_id {kind}, n long, fp binary, h long, even int, odd int, bucket int, x binary, y binary" + "".join(f", `carry {c}` {dict(docs.dtypes)[c]}" for c in carry)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,65 +289,78 @@ def prints_of(docs: DataFrame, plan: Plan, buckets: int, num: int, den: int, wor
             key, node = np.concatenate(keys), np.repeat(np.array([h for h, _ in nodes], np.int64), [n for _, n in nodes])
             keys, nodes, held = [], [], 0
             order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            first = np.r_[True, key[1:] != key[:-1]]
-            center = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-            pair = np.flatnonzero(center != node)
-            bucket, x, y = [], [], []
-            if len(pair):
-                a, b = forest(node[pair], center[pair])
-                bucket, x, y = [-1], [a[a != b].tobytes()], [b[a != b].tobytes()]
-            key, node = key[first], node[first]
+            key, node, first, size = groups(key[order], node[order])
+            often = size > COMMON
+            bucket, x, y = ([-1 - int(node[0]) % 4093], [six(node[often])], [six(key[often])]) if often.any() else ([], [], [])
+            here = ~often | (first == np.arange(len(key)))
+            key, node = key[here], np.where(often, 0, node)[here]
             to = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # in order, as keys are
             cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]).tolist() + [len(to)]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 bucket.append(int(to[i]))
-                x.append(key[i:j].tobytes())
-                y.append(node[i:j].tobytes())
+                x.append(six(key[i:j]))
+                y.append(six(node[i:j]))
             for i in range(0, len(bucket), BATCH_ROWS):
                 part = slice(i, i + BATCH_ROWS)
                 yield whole({"bucket": pa.array(bucket[part], pa.int32()), "x": pa.array(x[part], pa.binary()), "y": pa.array(y[part], pa.binary())}, len(bucket[part]))
 
         for batch in batches:
-            kinds = kinds or {"doc_id": batch.schema.field("doc_id").type, "n": pa.int64(), "fp": pa.binary(), "h": pa.int64(), "bucket": pa.int32(), "x": pa.binary(), "y": pa.binary(), **{f"carry {c}": batch.schema.field(c).type for c in carry}}
-            n, fp, h = [], [], []
-            for text in batch.column("text").to_pylist():
+            kinds = kinds or {"doc_id": batch.schema.field("doc_id").type, "n": pa.int64(), "fp": pa.binary(), "h": pa.int64(), "even": pa.int32(), "odd": pa.int32(), "bucket": pa.int32(), "x": pa.binary(), "y": pa.binary(), **{f"carry {c}": batch.schema.field(c).type for c in carry}}
+            n, fp, h, bucket, spare = [], [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 s = shingles(text, known, words)
                 n.append(len(s))
                 fp.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                h.append(int.from_bytes(fp[-1][:8], "little", signed=True) if len(s) else None)
+                h.append(int.from_bytes(fp[-1][:6], "little") | 1 if len(s) else None)  # never 0
+                bucket.append(-1 - ((h[-1] or 0) + k) % 4093)
+                own, room = keys_of(s, plan, num, den)
+                spare.append(room)
                 if len(s):
-                    keys.append(keys_of(s, plan, num, den))
+                    keys.append(own)
                     nodes.append((h[-1], len(keys[-1])))
                     held += len(keys[-1])
                     if held > held_keys:
                         yield from flush()
-            yield whole({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.binary()), "h": pa.array(h, pa.int64()), **{f"carry {c}": batch.column(c) for c in carry}}, len(n))
+            cols = {"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.binary()), "h": pa.array(h, pa.int64()), "bucket": pa.array(bucket, pa.int32())}
+            cols |= {"even": pa.array([x for x, _ in spare], pa.int32()), "odd": pa.array([x for _, x in spare], pa.int32())}
+            yield whole(cols | {f"carry {c}": batch.column(c) for c in carry}, len(n))
         if held:
             yield from flush()
 
     return docs.mapInArrow(run, schema)
 
 
-def key_links(blocks: DataFrame, parts: int) -> DataFrame:
-    """a, b: for each bucket a forest over the sets that share one of its keys. blocks: bucket, x (keys), y (nodes)."""
+def key_links(prints: DataFrame, parts: int, carry: tuple[str, ...]) -> DataFrame:
+    """Documents as they are (a, b null) and links a, b: for each bucket a forest over the sets that share a key that is not common, and sets with their common keys, b being KEY_NODE or more."""
+    kinds = dict(prints.dtypes)
+    own = ["doc_id", "n", "fp", "h", "even", "odd", *[f"carry {c}" for c in carry]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+        types: dict = {}
+
+        def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(a), t) for t in types.values()), pa.array(a), pa.array(b)], names=[*types, "a", "b"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            key, node = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held, strict=True))
+            key, node = (unsix(x) for x in zip(*held, strict=True))
             order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            first = np.r_[True, key[1:] != key[:-1]]
-            center = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-            pair = np.flatnonzero(center != node)
-            if len(pair):
-                a, b = forest(node[pair], center[pair])
-                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+            key, node, first, size = groups(key[order], node[order])
+            often = (size > COMMON) | (node[first] == 0)
+            own_, pair = often & (node > 0), ~often & (node != node[first])
+            a, b = forest(node[pair], node[first][pair])
+            yield links(np.r_[a[a != b], node[own_]], np.r_[b[a != b], key[own_] + KEY_NODE])
 
         for batch in batches:
-            for bucket, x, y in zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y")), strict=True):
+            types = types or {c: batch.schema.field(c).type for c in own}
+            docs = batch.filter(batch.column("n").is_valid())
+            if docs.num_rows:
+                yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in own), *[pa.nulls(docs.num_rows, pa.int64())] * 2], names=[*own, "a", "b"])
+            rest = batch.filter(batch.column("n").is_null())
+            for bucket, x, y in zip(*(rest.column(c).to_pylist() for c in ("bucket", "x", "y")), strict=True):
+                if bucket < 0:
+                    yield links(unsix([x]), unsix([y]) + KEY_NODE)
+                    continue
                 if bucket != at:
                     if held:
                         yield from close()
@@ -322,18 +369,8 @@ def key_links(blocks: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from close()
 
-    return blocks.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
-
-
-def unpacked(links: DataFrame) -> DataFrame:
-    """a, b from rows of bytes x and y."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in ("x", "y"))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return links.select("x", "y").mapInArrow(run, "a long, b long")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", a long, b long"
+    return prints.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 class Plan(dict):
@@ -365,8 +402,8 @@ class Plan(dict):
 
 
 def plan_of(docs: DataFrame, num: int, den: int) -> Plan:
-    """Sizes are guessed from the count of spaces."""
-    guess = F.greatest(F.length(F.col("text")) - F.length(F.translate("text", " \t\n", "")), F.lit(1))
+    """Sizes are guessed from the texts' bytes."""
+    guess = F.greatest(F.octet_length("text") / 6, F.lit(1))
     about = docs.filter("text is not null").groupBy(F.floor(F.log2(guess)).cast("int").alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()  # 40 rows at most
     return Plan({r["l"]: r["n"] for r in about}, num, den)
 
@@ -389,11 +426,17 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
         return {"fp": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found], "s": [s.view(np.int64) for s in found]}
 
     try:
-        first = scratch.put(prints_of(docs, plan, buckets, num, den, words, carry, held_keys), "prints")
-        narrow = cut(first.filter("bucket is null").select("doc_id", "n", "fp", "h", *[F.col(f"carry {c}").alias(c) for c in carry]))
-        edges = key_links(first.filter("bucket >= 0").select("bucket", "x", "y"), parts).unionByName(unpacked(first.filter("bucket = -1")))
-        clusters = cut(components(edges, last=last))
-        scratch.drop("prints")
+        first = scratch.put(key_links(prints_of(docs, plan, buckets, num, den, words, carry, held_keys), parts, carry), "first")
+        narrow = cut(first.filter("n is not null").select("doc_id", "n", "fp", "h", *[F.col(f"carry {c}").alias(c) for c in carry]))
+        # common keys put those sets together that have more of them than they can do without; a key is a node of its own
+        common = first.filter(f"b >= {KEY_NODE}").select("a", "b", (F.col("b") % 2).alias("odd")).distinct()
+        often = common.groupBy("a", "odd").agg(F.count(F.lit(1)).alias("times"))
+        spare = first.filter("h is not null").select(F.col("h").alias("a"), F.inline(F.array(*(F.struct(F.lit(k).cast("long").alias("odd"), F.col(c).alias("spare")) for k, c in enumerate(("even", "odd"))))))
+        spare = spare.groupBy("a", "odd").agg(F.min("spare").alias("spare"))
+        needed = common.join(often.join(spare, ["a", "odd"]).filter("times > spare").select("a", "odd"), ["a", "odd"])
+        edges = first.filter(f"b < {KEY_NODE}").select("a", "b").unionByName(needed.select("a", "b"))
+        clusters = cut(components(edges, last=last).filter(f"node < {KEY_NODE}"))
+        scratch.drop("first")
 
         # one row for each different set, with an id by which its text is found again; null only where no row has one
         one = narrow.filter("fp is not null").groupBy("fp").agg(F.first("h").alias("h"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -408,7 +451,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
             whole = whole.unionByName(map_batches(docs.filter("doc_id is null").select("text"), again, "fp binary, s array<long>"))
         size = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("total"), F.min("node").alias("least")).filter("g > 1")
         chunks = F.ceil(F.greatest(F.col("g") / chunk, F.col("total") / (chunk * CHUNK_MEAN))).cast("int")
-        of = cut(who.select("node", "cluster", "fp").join(size, "cluster").withColumn("nc", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("nc")).cast("int")).drop("g", "total"))
+        of = cut(who.select("node", "cluster", "fp").join(size, "cluster").withColumn("nc", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("nc")).cast("int")).drop("total"))
         several = not of.filter("nc > 1").isEmpty()
         rows = whole.join(sent(of), "fp")
         if several:
@@ -420,14 +463,24 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
         # each chunk, with the cluster's least set
         to = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), F.col("nc") - 1)).otherwise(F.array("c")).cast("array<long>")
         found = cut(links(rows.select("cluster", F.explode(to).alias("task"), "node", F.lit(0).alias("side"), F.col("node").alias("root"), "s")))
-        if several:  # pairs of chunks of clusters that are not one component yet
+        if several:  # clusters that are not one component yet: chunks of large components, chunks of several small ones, and all pairs of chunks but those of one component
             now = cut(components(found, last=last))
-            held = of.filter("nc > 1").select("cluster", "node", "nc", "c").join(now, "node", "left").withColumn("root", F.coalesce("component", "node"))
-            apart = held.groupBy("cluster").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("cluster")
-            wide = rows.join(sent(held.join(apart, "cluster").select("node", "root")), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).filter("other <> c")
-            lo, hi = F.least("c", "other"), F.greatest("c", "other")
-            task = wide.select("cluster", (lo.cast("long") * F.col("nc") + hi).alias("task"), "node", (F.col("c") > F.col("other")).cast("int").alias("side"), "root", "s")
-            found = found.unionByName(cut(links(task)))
+            held = of.filter("nc > 1").select("cluster", "node", "g", "nc").join(now, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+            by_root = held.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("r"), F.first("g").alias("g"), F.first("nc").alias("nc")).filter("r < g").withColumn("room", F.ceil(F.col("g") / F.col("nc")))
+            large = F.col("r") * 2 > F.col("room")
+            rest = by_root.groupBy("cluster").agg(F.sum(F.when(~large, F.col("r")).otherwise(0)).alias("rest"))
+            parts_of = F.when(large, F.ceil(F.col("r") / F.col("room"))).otherwise(F.greatest(F.ceil(F.col("rest") / F.col("room")), F.lit(1))).cast("int")
+            by_root = by_root.join(rest, "cluster").select("cluster", "root", F.when(large, F.col("root")).otherwise(F.lit(-1)).alias("own"), parts_of.alias("np"))
+            label = F.struct("own", F.pmod(F.xxhash64(F.when(F.col("own") < 0, F.col("root")).otherwise(F.col("node"))), F.col("np")).cast("int").alias("k"))
+            labelled = cut(held.select("cluster", "node", "root").join(by_root, ["cluster", "root"]).select("cluster", "node", "root", label.alias("label")))
+            if not labelled.isEmpty():
+                labels = labelled.groupBy("cluster").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+                wide = rows.select("node", "s").join(sent(labelled.join(labels, "cluster")), "node")
+                other = F.filter("labels", lambda x: (x["own"] != F.col("label")["own"]) | (x["own"] < 0))
+                wide = wide.withColumn("other", F.explode(F.transform(other, lambda x: F.array_position("labels", x)))).withColumn("c", F.array_position("labels", F.col("label")))
+                task = F.least("c", "other") * (F.size("labels").cast("long") + 1) + F.greatest("c", "other")
+                side = F.when(F.col("c") > F.col("other"), 1).otherwise(0)
+                found = found.unionByName(cut(links(wide.select("cluster", task.alias("task"), "node", side.alias("side"), "root", "s"))))
         joined = cut(components(found, last=last))
 
         least = narrow.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("lo"))

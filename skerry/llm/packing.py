@@ -140,25 +140,76 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     return map_batches(docs.select("doc_id", "text"), split, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, cls int" + ", ids binary" * with_ids)
 
 
-def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best multiset of classes of those sizes (ascending), of total size `capacity` at most: value and counts."""
+def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int, small: int = EXACT) -> tuple[float, np.ndarray]:
+    """The best multiset of classes of those sizes (ascending), of total size `capacity` at most: value and counts.
+
+    Sizes beyond `small` are worked on by blocks of `small` places, whose best values hang on earlier blocks only; then each small size is added by a running maximum along its multiples."""
+    cut_ = int(np.searchsorted(sizes, small, side="right"))
+    large, worth = sizes[cut_:], value[cut_:]
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if n := fits[c]:
-            got = best[c - sizes[:n]] + value[:n]
-            k = int(got.argmax())
-            if got[k] > best[c] + 1e-15:
-                best[c], choice[c] = got[k], k + 1
+    if len(large):
+        room = np.full(capacity + 1 + int(large[-1]), -np.inf)  # places below 0 can't be reached
+        low = int(large[-1])
+        for c in range(0, capacity + 1, small):
+            stop = min(c + small, capacity + 1)
+            n = int(np.searchsorted(large, stop - 1, side="right"))
+            own = np.zeros(stop - c)
+            if n:
+                got = room[np.arange(c, stop)[None, :] - large[:n, None] + low] + worth[:n, None]
+                k = got.argmax(axis=0)
+                top = got[k, np.arange(stop - c)]
+                own = np.maximum(top, 0)
+                choice[c:stop] = np.where(top > 1e-15, k + 1, 0)
+            best[c:stop] = own
+            room[c + low : stop + low] = own
+        # a place may stay empty
+        over = np.maximum.accumulate(best)
+        lower = np.maximum.accumulate(np.where(best >= over, np.arange(capacity + 1), 0))
+        best = over
+    else:
+        lower = np.arange(capacity + 1)
+    steps = [best]
+    for k in range(cut_):
+        s, v = int(sizes[k]), float(value[k])
+        rows = -(-(capacity + 1) // s)
+        t = np.full(rows * s, -np.inf)
+        t[: capacity + 1] = steps[-1]
+        t = t.reshape(rows, s) - v * np.arange(rows)[:, None]
+        np.maximum.accumulate(t, axis=0, out=t)
+        steps.append((t + v * np.arange(rows)[:, None]).ravel()[: capacity + 1])
     counts, c = np.zeros(len(value), np.int64), capacity
-    while c > 0:
-        if choice[c]:
-            counts[choice[c] - 1] += 1
-            c -= int(sizes[choice[c] - 1])
-        else:
-            c -= 1
-    return float(best[capacity]), counts
+    for k in range(cut_ - 1, -1, -1):
+        s = int(sizes[k])
+        while c >= s and steps[k + 1][c] > steps[k][c] + 1e-12:
+            counts[k] += 1
+            c -= s
+    c = int(lower[c])
+    while c > 0 and choice[c]:
+        counts[cut_ + choice[c] - 1] += 1
+        c = int(lower[c - int(large[choice[c] - 1])])
+    return float(counts @ value), counts
+
+
+def first_patterns(demand: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """A pattern for each class, as columns: the largest pieces that are left and fit, used until a class is used up, which no later pattern has. So the columns are a feasible basis."""
+    left, out, at = demand.astype(float).copy(), np.zeros((len(sizes), len(sizes))), 0
+    while (alive := np.flatnonzero(left > 0)).size:
+        room, p = capacity, np.zeros(len(sizes))
+        for k in alive[::-1].tolist():
+            if n := int(min(room // sizes[k], max(left[k], 1))):
+                p[k] = n
+                room -= n * int(sizes[k])
+        has = np.flatnonzero(p)
+        uses = left[has] / p[has]
+        gone = has[int(uses.argmin())]
+        left -= uses.min() * p
+        left[gone] = 0
+        out[:, gone] = p
+        at += 1
+        left[left < 0] = 0
+    for k in np.flatnonzero(~out.any(axis=0)):  # used up together with others
+        out[k, k] = capacity // sizes[k]
+    return out
 
 
 def column_generation(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = GAP, limit: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
@@ -166,15 +217,23 @@ def column_generation(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap:
     used = np.flatnonzero(demand)
     d, own = demand[used].astype(float), sizes[used]
     n = len(used)
-    basis = np.zeros((n, n))  # a column is a pattern
-    basis[np.arange(n), np.arange(n)] = capacity // own
-    inverse = np.diag(1.0 / np.diag(basis))
-    x, bound = inverse @ d, 0.0
+    basis = first_patterns(d, own, capacity)
+    inverse = np.linalg.inv(basis)
+    x, bound = np.maximum(inverse @ d, 0), 0.0
+    center = np.zeros(n)  # prices of the best bound so far
     for step in range(limit):
         price = np.maximum(inverse.sum(axis=0), 0)
-        worth, counts = knapsack(price, own, capacity)
-        bound = max(bound, float(price @ d) / max(worth, 1.0))
-        if worth <= 1 + 1e-9 or x.sum() - bound <= gap * x.sum():
+        for smooth in (0.7, 0.0):  # prices near the center give bounds and columns that serve longer
+            at = smooth * center + (1 - smooth) * price
+            worth, counts = knapsack(at, own, capacity)
+            now = float(at @ d) / max(worth, 1e-12) if worth > 0 else 0.0
+            if now > bound:
+                bound, center = now, at / worth
+            if float(counts @ price) > 1 + 1e-9:
+                break
+        else:
+            break
+        if x.sum() - bound <= gap * x.sum():
             break
         column = counts.astype(float)
         direction = inverse @ column
