@@ -1,12 +1,14 @@
 """Small cases computed by hand."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skerry import contracts
 from skerry.functions import text, time
-from skerry.operators import arrays, distance, graph, learn, series, sketch, templates
+from skerry.operators import arrays, components, distance, graph, learn, series, sketch, templates
 
 
 def line(spark, xs, ts=None):
@@ -135,6 +137,18 @@ def test_graph(spark):
         graph.random_walks(spark.createDataFrame([(0, 1, 1.0)], "src long, dst long, weight double"), spark.createDataFrame([(0, 0)], "walk long, id long"), 3).collect()
 
 
+def test_components_by_contraction(spark):
+    r = random.Random(1)
+    pairs = [(i, i + 1) for i in range(50)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(25)] + [(200, 201 + i) for i in range(30)]
+    root = list(range(300))
+    for a, b in pairs * 60:
+        root[a] = root[b] = min(root[a], root[b])
+    for last in (1000, 5, 0):
+        rows = components.components(spark.createDataFrame(pairs, "a long, b long"), last=last).collect()
+        assert {x["node"]: x["component"] for x in rows} == {i: root[i] for i in {x for p in pairs if p[0] != p[1] for x in p}}
+        assert len(rows) == len({x["node"] for x in rows})
+
+
 def test_templates(spark):
     u = spark.createDataFrame([(f"www.test.com/samples/{i}",) for i in range(100)], "u string")
     assert {r["template"] for r in templates.prefix_templates(u, "u", "/", 0.01).collect()} == {"www.test.com/samples/*"}
