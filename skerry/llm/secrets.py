@@ -2,10 +2,11 @@
 
 Features of a candidate: length, entropy, shares and transitions of character classes, likelihood under letter transitions of ordinary words, coverage by dictionary
 words, repeated characters, the path (name of the source) and the words before and behind. The forest is trained from labelled findings: rows
-with text, path, start, end and is_secret. As no table holds such labels, `labelled_findings` makes them: values drawn by the rules of
+with text, path, start, end and is_secret. What the patterns find in those texts is labelled by the findings that it overlaps, so training sees what a scan sees.
+As no table holds such labels, `labelled_findings` makes them: values drawn by the rules of
 common key formats and look-alikes (digests, identifiers, placeholders, numbers, words), put into contexts. Own labels can be given instead.
 
-Training takes TRAIN_ROWS labelled findings at most; the scan covers every text in full.
+Training takes TRAIN_ROWS labelled findings at most; the scan covers every text, and features every candidate, in full.
 
 Defined results: a null or empty text has no findings; repeated rows each have their own; candidates don't overlap (the earliest, then the longest, stands); an
 empty table gives an empty result; other columns are kept by `redact` and ignored by `scan`.
@@ -17,6 +18,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +72,7 @@ class Words:
 
     def coverage(self, v: str) -> float:
         """Share of the characters in dictionary words, taken greedily, longest first."""
-        low, i, hit = v.lower()[:200], 0, 0
+        low, i, hit = v.lower(), 0, 0
         while i < len(low):
             for n in range(min(self.longest, len(low) - i), 3, -1):
                 if low[i : i + n] in self.words:
@@ -82,7 +84,7 @@ class Words:
         return hit / max(len(low), 1)
 
     def likelihood(self, v: str) -> float:
-        got = [self.logp[p] for p in (v[i : i + 2].lower() for i in range(min(len(v), 200) - 1)) if p in self.logp]
+        got = [self.logp[p] for p in (v[i : i + 2].lower() for i in range(len(v) - 1)) if p in self.logp]
         return sum(got) / len(got) if got else -4.0
 
 
@@ -102,17 +104,17 @@ def kind_of(c: str) -> int:
 def features(text: str, start: int, end: int, kind: str, path: str | None, words: Words) -> list[float]:
     v = text[start:end]
     n = len(v)
-    kinds = [kind_of(c) for c in v[:400]]
+    kinds = [kind_of(c) for c in v]
     share = [kinds.count(k) / len(kinds) for k in range(4)]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(len(kinds) - 1, 1)
     run = best = 1
-    for a, b in zip(v[:400], v[1:400], strict=False):
+    for a, b in zip(v, v[1:], strict=False):
         run = run + 1 if a == b else 1
         best = max(best, run)
     before, behind = text[max(0, start - NEAR) : start], text[end : end + NEAR]
-    letters = [c for c in v[:400].lower() if c in string.ascii_lowercase]
+    letters = [c for c in v.lower() if c in string.ascii_lowercase]
     return [
-        min(n, 400), entropy(v[:400]), share[2], share[1], share[0], share[3], changes, words.likelihood(v), words.coverage(v), best,
+        min(n, 400), entropy(v), share[2], share[1], share[0], share[3], changes, words.likelihood(v), words.coverage(v), best,
         float(all(c in string.hexdigits for c in v)), float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", v))), len(set(v)) / min(n, 64),
         float(bool(HOT.search(before))), float(bool(FAKE.search(v) or FAKE.search(before[-20:]))), float(bool(COLD.search(before[-24:]))), float(bool(re.search(r"[:=]>?[ \t]*[\"']?$", before))), float(before[-1:] in "\"'" and behind[:1] in "\"'" and bool(before)),
         float(bool(path and PATHS.search(path))), float(kind not in ("assignment", "long_token", "url_password")), sum(c in "aeiou" for c in letters) / max(len(letters), 1),
@@ -123,16 +125,17 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what the patterns find, without overlaps: named formats before assignments before long tokens."""
     if not text or not ANY.search(text):
         return []
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order, without overlaps
     for kind, pattern in COMPILED.items():
         for m in pattern.finditer(text):
             g = next(k for k in ("v", "v2", "v3") if k in pattern.groupindex and m[k] is not None)
             a, b = m.span(g)
             while b > a + 6 and kind == "assignment" and text[b - 1] in ".,;:!?)]}#&%$*":
                 b -= 1
-            if all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, kind))
-    return sorted(taken)
+            i = bisect_left(taken, (a,))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                taken.insert(i, (a, b, kind))
+    return taken
 
 
 def labelled_findings(n: int = TRAIN_ROWS, seed: int = 7, words: list[str] | None = None) -> list[tuple[str, str, int, int, str, bool]]:
@@ -188,7 +191,7 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = 7, words: list[str] | Non
         tail = '"' if head.endswith('"') else "'" if head.endswith("'") else f"@{word()}/db" if kind == "url_password" else ""
         before = " ".join(word() for _ in range(r.randint(0, 8))) + " "
         text = before + head + v + tail + " " + " ".join(word() for _ in range(r.randint(0, 6)))
-        path = r.choice(["src/app.py", "config/prod.env", "deploy.yaml", "src0", "src7", "notes.txt"] if good or r.random() < 0.6 else ["tests/test_auth.py", "docs/example.md", "fixtures/sample.json"])
+        path = r.choice(["src/app.py", "config/prod.env", "deploy.yaml", "crawl", "web", "notes.txt"] if good or r.random() < 0.6 else ["tests/test_auth.py", "docs/example.md", "fixtures/sample.json"])
         out.append((text, path, len(before + head), len(before + head + v), kind, good))
     return out
 
@@ -244,6 +247,12 @@ class Forest:
         return out / len(self.trees)
 
 
+def examples(labelled: list[tuple[str, str, int, int, str, bool]], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the candidates in labelled texts that overlap a finding."""
+    got = [(features(t, s, e, kind, p, words), float(good)) for t, p, a, b, _, good in labelled for s, e, kind in candidates(t) if s < b and a < e]
+    return np.array([x for x, _ in got]), np.array([y for _, y in got])
+
+
 class Scanner:
     def __init__(self, words: Words, forest: Forest):
         self.words, self.forest = words, forest
@@ -258,9 +267,9 @@ class Scanner:
 
 
 def train(labelled: list[tuple[str, str, int, int, str, bool]], dictionary: list[str]) -> Scanner:
-    words, rows = Words(dictionary), labelled[:TRAIN_ROWS]
-    x = np.array([features(t, a, b, k, p, words) for t, p, a, b, k, _ in rows])
-    return Scanner(words, Forest().fit(x, np.array([float(r[5]) for r in rows])))
+    words = Words(dictionary)
+    x, y = examples(labelled[:TRAIN_ROWS], words)
+    return Scanner(words, Forest().fit(x, y))
 
 
 def scan(docs: DataFrame, scanner: Scanner, threshold: float = THRESHOLD) -> DataFrame:
