@@ -5,13 +5,13 @@ neighbouring ones, and their symmetric difference has at most H elements, H know
 tokens is hashed into m segments, and each segment gets a budget of 0 (its subset must be equal) or 1 (equal after deleting one token on
 one side). With sum(budget + 1) > H, one segment of each similar pair is within its budget.
 
-Keys that many sets share, those of empty subsets above all and those of stock phrases, would put unlike sets together. So sum(budget + 1) > H + slack, and keys of empty subsets or of more than
-COMMON sets are common ones: a similar pair has segments within their budgets that weigh more than the slack, so either one of its keys is not common, or both sets have more
-common segments than the slack. A set within its slack therefore does without its common keys; the others are put together by them, too.
+A single shared key says little: stock phrases and empty subsets make keys that unlike sets share. So sum(budget + 1) > H + slack: a similar pair has segments within their
+budgets that weigh more than the slack, and both its sets have as many keys that they share with some set. A set that shares no more keys than its slack (segments that may meet in an empty
+subset are counted as shared) has no partner in that band; the others are put together by their shared keys.
 How many segments get budget 1, and the slack, are decided by the costs that a band's number of sets implies: keys against pairs that meet without being similar.
 
-Keys travel in blocks of bytes, a block for each bucket of keys. A key that is common among what one task sees travels once, its sets go on without it, so a key that a third of all sets share is
-spread. Sets that share a key form candidate clusters. Clusters are cut into chunks by hash, and within a chunk, to which the cluster's least set is added, every pair
+Keys travel in blocks of bytes, a block for each bucket of keys. A key that several sets of one task share travels once from there, the sets are noted in place, so a key that a third of all sets have is
+spread. Sets that share keys form candidate clusters. Clusters are cut into chunks by hash, and within a chunk, to which the cluster's least set is added, every pair
 is decided exactly: a parity sketch bounds the symmetric difference from below, pairs that are in one component already need no look, the rest are intersected. Where a cluster of several chunks
 then still has several components, it is cut anew, by component, and pairs of those chunks are decided as well, sets of one component excepted. Equal sets are one set from the start, by a 128-bit hash.
 
@@ -42,12 +42,10 @@ CHUNK, CHUNK_MEAN = 256, 2000
 PAIR_COST = 0.02
 #: Sketch bits; a sketch only spares exact checks.
 BITS = 1024
-#: Sets that share a key without making it a common one.
-COMMON = 4
-#: Numbers of common keys, as nodes of the graph of candidates, begin here: above those of sets.
+#: Shared keys are numbers from here on: above those of sets.
 KEY_NODE = 1 << 50
 #: Keys in a bucket, about, and keys that a task holds before it passes them on (some 50 bytes each while it works on them).
-BUCKET_KEYS, HELD_KEYS = 2_000_000, 2_000_000
+BUCKET_KEYS, HELD_KEYS = 1_000_000, 1_000_000
 #: Up to so many candidate sets (some 60 bytes each) are broadcast to pick texts; beyond, texts are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -111,14 +109,14 @@ def allocate(band: int, n_sets: int, num: int = NUM, den: int = DEN) -> tuple[in
     h, size = most_apart(band, num, den), int(band_starts(num, den)[band])
     best = None
     for z in sorted({*range(min(h // 2 + 2, 9)), *(h * i // 20 for i in range(11))}):
-        for slack in sorted({0, 1, 2, 3, 4, 6, 8, 10, 12, 15, 18, 22, 26, 32, *(h * i // 100 for i in range(13, 25))}):
+        for slack in sorted({0, 1, 2, 3, 4, 6, 8, 10, 12, 15, 18, 22, 26, 32, *(h * i // 100 for i in range(20, 33))}):
             m = max(1, h + 1 + slack - z)
             if m < z:
                 continue
             mean = size / m
             rare = n_sets * min(tail((m - z) * math.exp(-mean) + 2 * z * math.exp(-mean) * (1 + mean), slack), 1.0)
             cost = n_sets * ((m - z) + z * (1 + mean)) + rare * m * math.exp(-mean) + PAIR_COST * 0.5 * rare * rare
-            if slack >= h // 8 and (best is None or cost < best[0]):
+            if slack >= h // 5 and (best is None or cost < best[0]):
                 best = (cost, m, z, slack)
     return best[1:]
 
@@ -134,7 +132,7 @@ def bounds(m: int) -> np.ndarray:
 
 
 def keys_of(s: np.ndarray, plan: Mapping[int, tuple[int, int, int]], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, list[int]]:
-    """All keys of a set (sorted hashes), for its own band and for the band below whose sets it may contain; and by parity of the band how many common keys the set can do without (-1: none).
+    """All keys of a set (sorted hashes), for its own band and for the band below whose sets it may contain; and by parity of the band how many shared keys leave the set without a partner (-1: none do).
 
     The lowest bit of a key is its band's parity. Keys of empty subsets are left out where the set can do without them."""
     spare = [-1, -1]
@@ -269,10 +267,10 @@ def unsix(parts: list[bytes]) -> np.ndarray:
 
 
 def prints_of(docs: DataFrame, plan: Plan, buckets: int, num: int, den: int, words: int, carry: tuple[str, ...], held_keys: int) -> DataFrame:
-    """Three kinds of rows: a document (doc_id, n, fp, h, even and odd, carry; h is 48 bits of fp, even and odd are what keys_of says of common keys), a bucket's keys and nodes (h) of
-    six bytes each, and nodes and keys that are common in the task.
+    """Three kinds of rows: a document (doc_id, n, fp, h, even and odd, carry; h is 48 bits of fp, even and odd are what keys_of says of shared keys), a bucket's keys and nodes (h) of
+    six bytes each, and nodes with keys that several share in the task.
 
-    A bucket of keys is 0 or more; rows of the other kinds have numbers below, to be dealt out evenly. A common key is in its bucket with node 0. Bits that are cut off a key or node add candidates at most."""
+    A bucket of keys is 0 or more; rows of the other kinds have numbers below, to be dealt out evenly. Such a key is in its bucket with node 0. Bits that are cut off a key or node add candidates at most."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n long, fp binary, h long, even int, odd int, bucket int, x binary, y binary" + "".join(f", `carry {c}` {dict(docs.dtypes)[c]}" for c in carry)
     small_batches(docs.sparkSession)
@@ -290,7 +288,7 @@ def prints_of(docs: DataFrame, plan: Plan, buckets: int, num: int, den: int, wor
             keys, nodes, held = [], [], 0
             order = np.lexsort((node, key))
             key, node, first, size = groups(key[order], node[order])
-            often = size > COMMON
+            often = size > 1
             bucket, x, y = ([-1 - int(node[0]) % 4093], [six(node[often])], [six(key[often])]) if often.any() else ([], [], [])
             here = ~often | (first == np.arange(len(key)))
             key, node = key[here], np.where(often, 0, node)[here]
@@ -331,7 +329,7 @@ def prints_of(docs: DataFrame, plan: Plan, buckets: int, num: int, den: int, wor
 
 
 def key_links(prints: DataFrame, parts: int, carry: tuple[str, ...]) -> DataFrame:
-    """Documents as they are (a, b null) and links a, b: for each bucket a forest over the sets that share a key that is not common, and sets with their common keys, b being KEY_NODE or more."""
+    """Documents as they are (a, b null) and all sets with the keys that they share with others: a, and b from KEY_NODE on."""
     kinds = dict(prints.dtypes)
     own = ["doc_id", "n", "fp", "h", "even", "odd", *[f"carry {c}" for c in carry]]
 
@@ -346,10 +344,8 @@ def key_links(prints: DataFrame, parts: int, carry: tuple[str, ...]) -> DataFram
             key, node = (unsix(x) for x in zip(*held, strict=True))
             order = np.lexsort((node, key))
             key, node, first, size = groups(key[order], node[order])
-            often = (size > COMMON) | (node[first] == 0)
-            own_, pair = often & (node > 0), ~often & (node != node[first])
-            a, b = forest(node[pair], node[first][pair])
-            yield links(np.r_[a[a != b], node[own_]], np.r_[b[a != b], key[own_] + KEY_NODE])
+            keep = ((size > 1) | (node[first] == 0)) & (node > 0)
+            yield links(node[keep], key[keep] + KEY_NODE)
 
         for batch in batches:
             types = types or {c: batch.schema.field(c).type for c in own}
@@ -373,6 +369,35 @@ def key_links(prints: DataFrame, parts: int, carry: tuple[str, ...]) -> DataFram
     return prints.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
+def stars(shared: DataFrame, parts: int) -> DataFrame:
+    """a, b: links that put together the sets (a) that have a key (b) in common: with the least set of the key, first in each task, so that a key comes from a task once."""
+
+    def run(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def close() -> pa.RecordBatch:
+            node, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            done = key < KEY_NODE  # links of the first pass
+            a, b = node[done], key[done]
+            order = np.lexsort((node[~done], key[~done]))
+            key, node, first, _ = groups(key[~done][order], node[~done][order])
+            center = node[first]
+            pair = np.unique(np.stack([node, center])[:, node != center], axis=1)
+            one = np.flatnonzero(first == np.arange(len(key))) if not last else np.empty(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, pair[0], node[one]])), pa.array(np.concatenate([b, pair[1], key[one]]))], names=["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            if not last and sum(len(x) for x, _ in held) > HELD_KEYS:
+                yield close()
+                held.clear()
+        if held:
+            yield close()
+
+    near = shared.select("a", "b").mapInArrow(lambda x: run(x, False), "a long, b long")
+    return near.repartition(parts, F.when(F.col("b") >= KEY_NODE, F.col("b")).otherwise(F.col("a"))).mapInArrow(lambda x: run(x, True), "a long, b long")
+
+
 class Plan(dict):
     """Budgets by band, made when first asked for; `about` has the number of sets by the binary logarithm of their size. It decides costs only, never results."""
 
@@ -428,14 +453,14 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
     try:
         first = scratch.put(key_links(prints_of(docs, plan, buckets, num, den, words, carry, held_keys), parts, carry), "first")
         narrow = cut(first.filter("n is not null").select("doc_id", "n", "fp", "h", *[F.col(f"carry {c}").alias(c) for c in carry]))
-        # common keys put those sets together that have more of them than they can do without; a key is a node of its own
-        common = first.filter(f"b >= {KEY_NODE}").select("a", "b", (F.col("b") % 2).alias("odd")).distinct()
-        often = common.groupBy("a", "odd").agg(F.count(F.lit(1)).alias("times"))
+        # a set that shares no more keys of a band than it has to spare has no partner there
+        shared = first.filter("b is not null").select("a", "b", (F.col("b") % 2).alias("odd")).distinct()
+        times = shared.groupBy("a", "odd").agg(F.count(F.lit(1)).alias("times"))
         spare = first.filter("h is not null").select(F.col("h").alias("a"), F.inline(F.array(*(F.struct(F.lit(k).cast("long").alias("odd"), F.col(c).alias("spare")) for k, c in enumerate(("even", "odd"))))))
         spare = spare.groupBy("a", "odd").agg(F.min("spare").alias("spare"))
-        needed = common.join(often.join(spare, ["a", "odd"]).filter("times > spare").select("a", "odd"), ["a", "odd"])
-        edges = first.filter(f"b < {KEY_NODE}").select("a", "b").unionByName(needed.select("a", "b"))
-        clusters = cut(components(edges, last=last).filter(f"node < {KEY_NODE}"))
+        needed = shared.join(times.join(spare, ["a", "odd"]).filter("times > spare").select("a", "odd"), ["a", "odd"])
+        n_shared = first.filter("b is not null").count()
+        clusters = cut(components(stars(needed, max(parts, math.ceil(n_shared / HELD_KEYS))), last=last))
         scratch.drop("first")
 
         # one row for each different set, with an id by which its text is found again; null only where no row has one

@@ -50,7 +50,7 @@ class Encoder:
     letters with ASCII punctuation behind is two pre-tokens; letters alone go straight to the tokenizer's model.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
