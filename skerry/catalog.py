@@ -1,6 +1,7 @@
-"""Registered queries of the series, graph, sketch and array operators, with their SQL."""
+"""All registered queries and their SQL."""
 
-from skerry.plans import array_queries, graph_queries, series_queries
+from skerry.plans import array_queries, graph_queries, series_queries, training_queries
 
-QUERIES = series_queries.QUERIES | graph_queries.QUERIES | array_queries.QUERIES
-ORACLE = series_queries.ORACLE | graph_queries.ORACLE | array_queries.ORACLE
+_ALL = (series_queries, graph_queries, array_queries, training_queries)
+QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _ALL for k, v in m.ORACLE.items()}

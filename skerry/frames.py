@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skerry import contracts
 from skerry.operators import series, sketch, templates
+from skerry.operators.ranks import numbered
 from skerry.sources import tables
 
 
@@ -33,19 +33,58 @@ class SeriesFrame:
         """Entities in order of their first time."""
         return self.df.groupBy("entity").agg(F.min("ts").alias("first")).orderBy("first", "entity")
 
+    def __getitem__(self, key: int | str | slice) -> SeriesFrame:
+        """By place in the order of entities, by name, or a range of places."""
+        if isinstance(key, str):
+            if self.df.filter(F.col("entity") == key).isEmpty():
+                raise ValueError(f"no entity {key!r}")
+            return self.entity(key)
+        places = numbered(self.df.groupBy("entity").agg(F.min("ts").alias("_first")), ["_first", "entity"], "_k")
+        if isinstance(key, slice):
+            start, stop, step = key.indices(places.count())
+            n = len(range(start, stop, step))
+            at = (F.col("_k") - start) / step
+            chosen = places.filter((at >= 0) & (at < n) & ((F.col("_k") - start) % abs(step) == 0))
+        elif isinstance(key, int) and not isinstance(key, bool):
+            chosen = places.filter(F.col("_k") == contracts.whole(key, 0, places.count() - 1, name="entity"))
+        else:
+            raise ValueError(f"{key!r} is no place, name or range of entities")
+        return SeriesFrame(self.df.join(chosen.select("entity"), "entity", "left_semi"))
+
+    def __repr__(self) -> str:
+        return f"SeriesFrame({', '.join(f'{c}: {t}' for c, t in self.df.dtypes)})"
+
+    def show(self, rows: int = 20) -> None:
+        self.df.orderBy("entity", "ts").show(rows)
+
     def entity(self, name: str) -> SeriesFrame:
         return SeriesFrame(self.df.filter(F.col("entity") == name))
 
     def rows(self, start: int, stop: int, step: int = 1) -> SeriesFrame:
-        n = F.row_number().over(Window.partitionBy("entity").orderBy("ts")) - 1
-        return SeriesFrame(self.df.withColumn("_n", n).filter((F.col("_n") >= start) & (F.col("_n") < stop) & ((F.col("_n") - start) % step == 0)).drop("_n"))
+        return SeriesFrame(series.rows_between(self.df, ["entity"], ["ts"], start, stop, step))
 
     def attr(self, which: int | str) -> DataFrame:
         name = self.attrs[contracts.whole(which, 0, len(self.attrs) - 1)] if isinstance(which, int) else contracts.option(which, self.attrs, "attribute")
         return self.df.select("entity", "ts", name)
 
-    def add_attr(self, name: str, value: Column) -> SeriesFrame:
-        return SeriesFrame(self.df.withColumn(name, value))
+    def add_attr(self, name: str, value: Column | DataFrame | list[float]) -> SeriesFrame:
+        """An expression over the frame; a table of entity, ts and value with a row for each; or a list, for a frame of one entity, in the order of time. One that is there is replaced, with a warning."""
+        if name in self.attrs:
+            warnings.warn(f"attribute {name} is replaced", stacklevel=2)
+        if isinstance(value, Column):
+            return SeriesFrame(self.df.withColumn(name, value))
+        rest = self.df.drop(name) if name in self.attrs else self.df
+        if isinstance(value, list):
+            tables.one_entity(self.df)
+            if len(value) != self.df.count():
+                raise ValueError(f"{len(value)} values for {self.df.count()} rows")
+            spark = self.df.sparkSession
+            new = spark.createDataFrame([(i, float(v)) for i, v in enumerate(value)], f"_k long, `{name}` double")
+            return SeriesFrame(numbered(rest, ["ts"], "_k").join(new, "_k").drop("_k"))
+        new = value.select("entity", "ts", F.col("value").alias(name))
+        if new.join(rest, ["entity", "ts"], "left_anti").limit(1).count() or rest.join(new, ["entity", "ts"], "left_anti").limit(1).count():
+            raise ValueError(f"{name} has not a row for each of the frame")
+        return SeriesFrame(rest.join(new, ["entity", "ts"]))
 
     def del_attr(self, name: str) -> SeriesFrame:
         return SeriesFrame(self.df.drop(contracts.option(name, self.attrs, "attribute")))
@@ -105,15 +144,24 @@ class Smoother:
     def fit_transform(self, df: DataFrame, *args, **kw) -> DataFrame:
         return self.fit(df).transform(df, *args, **kw)
 
-    def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps({"kind": self.kind, "params": self.params}))
+    def save(self, spark: SparkSession, path: str) -> None:
+        save_settings(spark, path, {"kind": self.kind, "params": self.params})
 
     @classmethod
-    def load(cls, path: str) -> Smoother:
-        d = json.loads(Path(path).read_text())
+    def load(cls, spark: SparkSession, path: str) -> Smoother:
+        d = load_settings(spark, path)
         return cls(d["kind"], **d["params"])
 
 
+def save_settings(spark: SparkSession, path: str, settings: dict) -> None:
+    """Settings (or weights) as one row of JSON, by Spark's own writers, so that the folder may be in any store."""
+    spark.createDataFrame([(json.dumps(settings),)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+
+def load_settings(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+
+
 class TDigest:
     """fit makes one digest a key; predict gives quantiles; more fits add to it."""
 
@@ -131,6 +179,19 @@ class TDigest:
     def predict(self, *quantiles: float) -> DataFrame:
         return self.state.select(*self.keys, *[sketch.quantile(q).alias(f"q{q:g}") for q in quantiles])
 
+    def save(self, path: str) -> None:
+        if self.state is None:
+            raise ValueError("nothing is fitted yet")
+        self.state.write.mode("overwrite").parquet(f"{path}/state")
+        save_settings(self.state.sparkSession, path, {"buffer": self.buffer, "delta": self.delta, "keys": self.keys})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TDigest:
+        d = load_settings(spark, path)
+        out = cls(d["buffer"], d["delta"])
+        out.state, out.keys = spark.read.parquet(f"{path}/state"), d["keys"]
+        return out
+
     def divergence(self, other: TDigest) -> DataFrame:
         return sketch.divergence(self.state, other.state, self.keys)
 
@@ -147,3 +208,23 @@ class PrefixTemplates:
 
     def transform(self, df: DataFrame, text: str) -> DataFrame:
         return templates.apply_templates(df, text, self.table, self.mark, self.wild)
+
+    def describe(self) -> DataFrame:
+        """The fitted tree as lines: each part of the templates, indented by its depth, and how many texts lie below, in the order of the tree."""
+        parts = F.split("template", "\\Q" + self.mark + "\\E", -1)
+        each = self.table.select(F.col("n"), parts.alias("p")).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.slice("p", 1, k))).alias("path"))
+        rows = each.groupBy("path").agg(F.sum("n").alias("n"))
+        return rows.select("path", F.concat(F.repeat(F.lit("  "), F.size("path") - 1), F.element_at("path", -1)).alias("line"), "n").orderBy("path")
+
+    def save(self, path: str) -> None:
+        if self.table is None:
+            raise ValueError("nothing is fitted yet")
+        self.table.write.mode("overwrite").parquet(f"{path}/table")
+        save_settings(self.table.sparkSession, path, {"mark": self.mark, "threshold": self.threshold, "wild": self.wild})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PrefixTemplates:
+        d = load_settings(spark, path)
+        out = cls(d["mark"], d["threshold"], d["wild"])
+        out.table = spark.read.parquet(f"{path}/table")
+        return out

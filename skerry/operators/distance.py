@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,12 +25,28 @@ def lp_norm(df: DataFrame, keys: list[str], x: str, y: str, p: float = 2, out: s
 
 
 def sbd(df: DataFrame, keys: list[str], pos: str, x: str, y: str, shifting: bool = True, out: str = "distance") -> DataFrame:
-    """1 - the greatest normalised cross-correlation over all shifts (or none). Shifts come from a join of positions within an entity, which a series' length bounds."""
-    a = df.select(*keys, F.col(pos).alias("_i"), F.col(x).alias("_x"))
-    b = df.select(*keys, F.col(pos).alias("_j"), F.col(y).alias("_y"))
-    pairs = a.join(b, keys) if shifting else a.join(b.withColumnRenamed("_j", "_i"), [*keys, "_i"]).withColumn("_j", F.col("_i"))
-    best = pairs.groupBy(*keys, (F.col("_i") - F.col("_j")).alias("_s")).agg(F.sum(F.col("_x") * F.col("_y")).alias("_c")).groupBy(*keys).agg(F.max("_c").alias("_c"))
-    norms = df.groupBy(*keys).agg((F.sqrt(F.sum(F.col(x) * F.col(x))) * F.sqrt(F.sum(F.col(y) * F.col(y)))).alias("_n"))
+    """1 - the greatest normalised cross-correlation over all shifts (or none). Without shifts, plain sums; with them, one kernel an entity, by Fourier transforms (n log n); null where a series is all zeros."""
+    norm = F.sqrt(F.sum(F.col(x) * F.col(x))) * F.sqrt(F.sum(F.col(y) * F.col(y)))
+    if shifting:
+        schema = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys) + ", _c double"
+
+        def run(key, pdf):
+            at = (pdf["p"] - pdf["p"].min()).to_numpy(np.int64)
+            n = int(at.max()) + 1
+            size = 1 << (2 * n - 1).bit_length()
+            both = np.zeros((4, n))
+            for row, v in enumerate((pdf["x"], pdf["y"])):
+                v = pd.to_numeric(v).to_numpy(float)
+                np.add.at(both[row], at, np.nan_to_num(v))
+                np.add.at(both[2 + row], at, (~np.isnan(v)).astype(float))
+            f = np.fft.rfft(both, size)
+            got, pairs = (np.fft.irfft(f[a] * np.conj(f[a + 1]), size) for a in (0, 2))
+            return pd.DataFrame([[*key, float(got[pairs > 0.5].max()) if (pairs > 0.5).any() else None]], columns=[*keys, "_c"])
+
+        best = df.select(*keys, F.col(pos).cast("long").alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).groupBy(*keys).applyInPandas(run, schema)
+    else:
+        best = df.groupBy(*keys).agg(F.sum(F.col(x) * F.col(y)).alias("_c"))
+    norms = df.groupBy(*keys).agg(norm.alias("_n"))
     r = F.greatest(F.least(F.col("_c") / F.when(F.col("_n") == 0, None).otherwise(F.col("_n")), F.lit(1.0)), F.lit(-1.0))
     return best.join(norms, keys).select(*keys, (1 - r).alias(out))
 

@@ -103,53 +103,6 @@ def mlp(x: Column, layers: list[tuple[list[list[float]], list[float]]], act: str
     return x
 
 
-def gru_last(xs: np.ndarray, wi: np.ndarray, wh: np.ndarray, bi: np.ndarray, bh: np.ndarray) -> np.ndarray:
-    """Last hidden state of a gated recurrent unit; weights stacked as reset, update, new."""
-    n = wh.shape[1]
-    h = np.zeros(n)
-    sig = lambda v: 1 / (1 + np.exp(-v))
-    for x in xs:
-        a, b = wi @ x + bi, wh @ h + bh
-        r, z = sig(a[:n] + b[:n]), sig(a[n : 2 * n] + b[n : 2 * n])
-        h = (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :]) + z * h
-    return h
-
-
-def lstm_last(xs: np.ndarray, wi: np.ndarray, wh: np.ndarray, bi: np.ndarray, bh: np.ndarray) -> np.ndarray:
-    """Last hidden and cell state of a long short-term memory; weights stacked as input, forget, cell, output."""
-    n = wh.shape[1]
-    h, c = np.zeros(n), np.zeros(n)
-    sig = lambda v: 1 / (1 + np.exp(-v))
-    for x in xs:
-        g = wi @ x + bi + wh @ h + bh
-        c = sig(g[n : 2 * n]) * c + sig(g[:n]) * np.tanh(g[2 * n : 3 * n])
-        h = sig(g[3 * n :]) * np.tanh(c)
-    return np.concatenate([h, c])
-
-
-def encode_sequences(df: DataFrame, key: str, xs: str, cell: str, weights: tuple) -> DataFrame:
-    """key and latent of each row's array of vectors, by a recurrent cell with given weights."""
-    contracts.option(cell, ("gru", "lstm"), "cell")
-    kernel = gru_last if cell == "gru" else lstm_last
-    w = [np.asarray(x, float) for x in weights]
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "latent": [kernel(np.array([np.asarray(v, float) for v in s]), *w).tolist() for s in pdf[xs]]})
-
-    return df.select(key, xs).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, latent array<double>")
-
-
-def mask_rows(df: DataFrame, graph: list[str], node: str, values: list[str], p: float = 0.5, seed: int = 0) -> DataFrame:
-    """Zeroes the values of a share p of each graph's nodes, one at least, by a hash of the seed and node."""
-    r = F.pmod(F.xxhash64(F.lit(seed), node), F.lit(1 << 30)) / float(1 << 30)
-    d = df.withColumn("_r", r)
-    least = d.groupBy(*graph).agg(F.min("_r").alias("_m"))
-    d = d.join(least, graph)
-    hit = F.col("_r") <= F.greatest(F.col("_m"), F.lit(p))
-    return d.withColumns({v: F.when(hit, F.lit(0.0)).otherwise(F.col(v).cast("double")) for v in values}).withColumn("masked", hit).drop("_r", "_m")
-
-
 def palette(df: DataFrame, category: str, pos: str, colors: list[str]) -> DataFrame:
     """category and color: categories in order of first appearance take the colours in turn."""
     first = df.groupBy(category).agg(F.min(pos).alias("_f"))

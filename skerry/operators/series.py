@@ -35,30 +35,45 @@ def weighted_moving_average(df: DataFrame, keys: list[str], order: list[str], va
 
 
 def ewma_last(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, out: str = "smoothed") -> DataFrame:
-    """Last value of s = alpha * s + (1 - alpha) * x, s starting at the first x: alpha weighs the past."""
+    """Last value of s = alpha * s + (1 - alpha) * x, s starting at the first x: alpha weighs the past. A sum of values with weights by their place from the end, so no entity lies in one array."""
     contracts.number(alpha, 0, 1, name="alpha")
-    xs = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))), lambda s: s["_v"])
-    fold = F.aggregate("_xs", F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(s * alpha + x * (1 - alpha)))
-    return df.groupBy(*keys).agg(xs.alias("_xs")).withColumn(out, fold).drop("_xs")
+    n = F.row_number().over(window(keys, order))
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x"), n.alias("_n"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_c"))
+    own = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.lit(1.0 - alpha)) * F.pow(F.lit(float(alpha)), F.col("_c") - F.col("_n"))
+    return rows.groupBy(*keys).agg(F.sum(F.col("_x") * own).alias(out))
+
+
+#: Levels of blocks above the rows' own: entities of up to BLOCK ** (LEVELS + 2) rows have no array longer than BLOCK.
+LEVELS = 2
+
+
+def _carried(ends: DataFrame, keys: list[str], factor: float, block: int, levels: int = LEVELS) -> DataFrame:
+    """ends (keys, _b from 0, _end) of s = factor * s + _end to keys, _b and _in, s before the block. Blocks of blocks are folded on their own and carry their ends on in the same way."""
+    up = ends.withColumn("_u", F.floor(F.col("_b") / block) if levels else F.lit(0).cast("long")).groupBy(*keys, "_u").agg(F.sort_array(F.collect_list(F.struct("_b", "_end"))).alias("_e"))
+    scan = F.aggregate("_e", F.array().cast("array<double>"), lambda acc, e: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) * factor + e["_end"])))
+    up = up.withColumn("_s", scan)
+    if levels:
+        more = _carried(up.select(*keys, F.col("_u").alias("_b"), F.element_at("_s", -1).alias("_end")), keys, factor**block, block, levels - 1)
+        up = up.join(more.select(*keys, F.col("_b").alias("_u"), "_in"), [*keys, "_u"], "left").withColumn("_in", F.coalesce("_in", F.lit(0.0)))
+    else:
+        up = up.withColumn("_in", F.lit(0.0))
+    full = F.transform("_s", lambda s, i: F.struct((F.get("_e", i)["_b"] + 1).alias("_b"), (s + F.col("_in") * F.pow(F.lit(factor), i + 1)).alias("_in")))
+    return up.select(*keys, F.inline(full))
 
 
 def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, out: str = "smoothed", block: int = 128) -> DataFrame:
-    """All values of the same recursion. It is linear, so blocks of rows are folded on their own and the blocks' ends carried on: no entity is held in one array."""
+    """All values of the same recursion. It is linear, so blocks of rows are folded on their own and the blocks' ends carried on by blocks of blocks: no entity is held in one array."""
     contracts.number(alpha, 0, 1, name="alpha")
     n = F.row_number().over(window(keys, order)) - 1
     row = F.struct(F.col("_n"), F.struct(*df.columns).alias("r"), F.col(value).cast("double").alias("x"))
     blocks = df.withColumn("_n", n).withColumn("_b", F.floor(F.col("_n") / block)).groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     # within a block from 0, but the first row of all counts in full
     own = lambda x: F.when(x["_n"] == 0, x["x"]).otherwise(x["x"] * (1 - alpha))
-    last = F.element_at
-    zero = F.array().cast("array<double>")
-    scan = F.aggregate("_rows", zero, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) * alpha + own(x))))
-    blocks = blocks.withColumn("_s", scan).withColumn("_end", last("_s", -1)).withColumn("_len", F.size("_rows"))
-    ends = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_end", "_len"))).alias("_e"))
-    carry = F.aggregate("_e", zero, lambda acc, e: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) * F.pow(F.lit(alpha), e["_len"]) + e["_end"])))
-    carried = ends.withColumn("_c", carry).select(*keys, F.posexplode("_c").alias("_p", "_in")).select(*keys, (F.col("_p") + 1).cast("long").alias("_b"), "_in")
+    scan = F.aggregate("_rows", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) * alpha + own(x))))
+    blocks = blocks.withColumn("_s", scan)
+    carried = _carried(blocks.select(*keys, "_b", F.element_at("_s", -1).alias("_end")), keys, float(alpha) ** block, block)
     both = blocks.join(carried, [*keys, "_b"], "left").withColumn("_in", F.coalesce("_in", F.lit(0.0)))
-    full = both.select(F.explode(F.arrays_zip("_rows", F.transform("_s", lambda s, i: s + F.col("_in") * F.pow(F.lit(alpha), i + 1)).alias("_v"))).alias("_z"))
+    full = both.select(F.explode(F.arrays_zip("_rows", F.transform("_s", lambda s, i: s + F.col("_in") * F.pow(F.lit(float(alpha)), i + 1)).alias("_v"))).alias("_z"))
     return full.select(F.col("_z")["_rows"]["r"].alias("_r"), F.col("_z")["_v"].alias(out)).select("_r.*", out)
 
 
@@ -239,6 +254,22 @@ def _spline(df: DataFrame, keys: list[str], tick: str, value: str, degree: int,
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def autocorrelations(df: DataFrame, keys: list[str], order: list[str], value: str, lags: tuple[int, ...]) -> DataFrame:
+    """keys and, for each lag k, acf{k}: the sum of products of deviations k rows apart over the sum of squared ones."""
+    w, all_ = window(keys, order), Window.partitionBy(*keys)
+    c = df.withColumn("_m", F.col(value) - F.avg(value).over(all_))
+    c = c.withColumns({f"_l{k}": F.lag("_m", contracts.whole(k, 0, name="lag")).over(w) for k in lags})
+    g = c.groupBy(*keys).agg(F.sum(F.col("_m") * F.col("_m")).alias("_s"), *[F.sum(F.col("_m") * F.coalesce(f"_l{k}", F.lit(0.0))).alias(f"_s{k}") for k in lags])
+    return g.select(*keys, *[(F.col(f"_s{k}") / F.col("_s")).alias(f"acf{k}") for k in lags])
+
+
+def rows_between(df: DataFrame, keys: list[str], order: list[str], start: int, stop: int, step: int = 1) -> DataFrame:
+    """Rows start, start + step, ... before stop of each entity, numbered from 0 in order."""
+    contracts.whole(step, 1, name="step")
+    n = F.row_number().over(window(keys, order)) - 1
+    return df.withColumn("_n", n).filter((F.col("_n") >= start) & (F.col("_n") < stop) & ((F.col("_n") - start) % step == 0)).drop("_n")
+
+
 def standardize(df: DataFrame, keys: list[str], tick: str, value: str, step: int, out: str = "filled") -> DataFrame:
     """Regrid by a step, then cubic interpolation; the step is often that of auto_step."""
     return interpolate(regrid(df, keys, tick, [value], step), keys, tick, value, "cubic", out)

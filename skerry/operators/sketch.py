@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,16 +15,25 @@ from skerry import contracts
 STATE = "min double, max double, total long, clusters array<struct<mean:double,cnt:long>>"
 
 
-def scale(q: np.ndarray, delta: float = 57) -> np.ndarray:
-    return delta / (2 * math.pi) * np.arcsin(2 * np.clip(q, 0, 1) - 1)
+#: Scale functions by name: how many units of size lie left of a quantile. Each takes quantiles, delta and the number of values.
+SCALES = {
+    "k0": lambda q, delta, n: delta / 2 * q,
+    "k1": lambda q, delta, n: delta / (2 * math.pi) * np.arcsin(2 * q - 1),
+    "k2": lambda q, delta, n: delta / (4 * math.log(max(n / delta, 1)) + 24) * np.log(np.clip(q, 1e-15, 1) / np.clip(1 - q, 1e-15, 1)),
+    "k3": lambda q, delta, n: delta / (4 * math.log(max(n / delta, 1)) + 21) * np.where(q <= 0.5, np.log(np.clip(2 * q, 1e-15, 1)), -np.log(np.clip(2 * (1 - q), 1e-15, 1))),
+}
 
 
-def merge(means: np.ndarray, counts: np.ndarray, delta: float = 57) -> tuple[np.ndarray, np.ndarray]:
+def scale(q: np.ndarray, delta: float = 57, name: str | Callable = "k1", n: float = 1) -> np.ndarray:
+    return (name if callable(name) else SCALES[contracts.option(name, SCALES, "scale")])(np.clip(q, 0, 1), delta, n)
+
+
+def merge(means: np.ndarray, counts: np.ndarray, delta: float = 57, name: str | Callable = "k1") -> tuple[np.ndarray, np.ndarray]:
     """Clusters in order of mean, neighbours drawn together from the left as long as a cluster spans at most one unit of the scale."""
     order = np.argsort(means, kind="stable")
     means, counts = means[order], counts[order]
     total, done = counts.sum(), 0
-    edge = scale(np.concatenate([[0], np.cumsum(counts)]) / total, delta)
+    edge = scale(np.concatenate([[0], np.cumsum(counts)]) / total, delta, name, total)
     out_m, out_c, start = [], [], 0
     while start < len(means):
         # the last cluster whose right edge is within one unit of this one's left edge
@@ -37,7 +46,7 @@ def merge(means: np.ndarray, counts: np.ndarray, delta: float = 57) -> tuple[np.
     return np.array(out_m), np.array(out_c)
 
 
-def digest(df: DataFrame, keys: list[str], value: str, buffer: int = 10_000, delta: float = 57) -> DataFrame:
+def digest(df: DataFrame, keys: list[str], value: str, buffer: int = 10_000, delta: float = 57, scale_name: str | Callable = "k1") -> DataFrame:
     """keys with min, max, total and clusters. Each task keeps one digest a key, flushed at `buffer` values; digests of a key are then merged, a few hundred clusters each."""
     contracts.whole(buffer, 1, name="buffer")
     head = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
@@ -57,7 +66,7 @@ def digest(df: DataFrame, keys: list[str], value: str, buffer: int = 10_000, del
                 lo, hi, m, c = held.get(key, (np.inf, -np.inf, np.empty(0), np.empty(0, np.int64)))
                 for a in range(0, len(x), buffer):
                     part = x[a : a + buffer]
-                    m, c = merge(np.concatenate([m, part]), np.concatenate([c, np.ones(len(part), np.int64)]), delta)
+                    m, c = merge(np.concatenate([m, part]), np.concatenate([c, np.ones(len(part), np.int64)]), delta, scale_name)
                 held[key] = (min(lo, x.min()), max(hi, x.max()), m, c)
         yield pd.DataFrame([row(k, *v) for k, v in held.items()], columns=names)
 
@@ -65,7 +74,7 @@ def digest(df: DataFrame, keys: list[str], value: str, buffer: int = 10_000, del
         m = np.array([x["mean"] for c in pdf["clusters"] for x in c])
         n = np.array([x["cnt"] for c in pdf["clusters"] for x in c], np.int64)
         if len(pdf) > 1:
-            m, n = merge(m, n, delta)
+            m, n = merge(m, n, delta, scale_name)
         return pd.DataFrame([row(key, pdf["min"].min(), pdf["max"].max(), m, n)], columns=names)
 
     return df.select(*keys, F.col(value).cast("double").alias(value)).mapInPandas(partial, schema).groupBy(*keys).applyInPandas(final, schema)

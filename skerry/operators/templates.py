@@ -23,12 +23,12 @@ def prefix_counts(df: DataFrame, text: str, mark: str) -> DataFrame:
     return p.withColumn("_f", F.col("prefix")[0]).join(first, "_f").select("prefix", "depth", "n", (F.col("n") / F.col("_n")).alias("share"))
 
 
-def prefix_templates(df: DataFrame, text: str, mark: str, threshold: float = 0.1, wild: str = "*", max_depth: int = 64) -> DataFrame:
+def prefix_templates(df: DataFrame, text: str, mark: str, threshold: float = 0.1, wild: str = "*") -> DataFrame:
     """Each different text with its template. Level by level: children of a node with at most `threshold` of its count are low; if more than one is, those
     that share a grandchild with another low one become the wild token, with a wild child if there is one. Tokens already changed name the node of the next level."""
     t = df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("c"))
     t = cut(t.withColumn("path", F.concat(tokens(F.col("text"), mark), F.array(F.lit(END)))))
-    depth = min(t.agg(F.max(F.size("path"))).first()[0] or 0, max_depth)
+    depth = t.agg(F.max(F.size("path"))).first()[0] or 0
     for d in range(2, depth):  # first tokens hang from the root, which merges nothing
         at = t.filter(F.size("path") > d)
         key = at.select(F.slice("path", 1, d - 1).alias("node"), F.col("path")[d - 1].alias("child"), F.col("path")[d].alias("grand"), "c")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import text as text_fns
 from skerry.functions import time as time_fns
-from skerry.operators import arrays, learn
+from skerry.operators import arrays, learn, training
 from skerry.sources.tables import flatten_metrics, sequences, table
 from skerry.streaming import windows
 
@@ -185,14 +185,15 @@ def learn_mlp(spark, d):
 
 
 def learn_encode(spark, d):
+    """A long short-term memory of one state over the lengths of each conversation's turns."""
     s = sequences(table(spark, d, "conversations").withColumn("n", F.array(F.length("text") / 100.0)), "conv_id", ["turn"], "n")
-    w = ([[0.1], [0.2], [0.3]], [[0.1], [0.2], [0.3]], [0.0, 0.1, 0.2], [0.0, 0.0, 0.0])
-    return learn.encode_sequences(s, "conv_id", "x", "gru", w).select("conv_id", F.round(F.col("latent")[0], 6).alias("h"))
+    w = [[[0.1], [0.2], [0.3], [-0.1]], [[0.1], [0.2], [0.3], [0.4]], [0.0, 0.1, 0.2, 0.05], [0.0, 0.0, 0.0, 0.1]]
+    return training.encode_layers(s, "conv_id", "x", "lstm", [[w]]).select("conv_id", F.round(F.col("latent")[0], 6).alias("h"))
 
 
 def learn_mask(spark, d):
     n = table(spark, d, "nation").select("n_regionkey", "n_nationkey", F.lit(1.0).alias("x"))
-    return learn.mask_rows(n, ["n_regionkey"], "n_nationkey", ["x"], 0.0).groupBy("n_regionkey").agg(F.count_if("masked").alias("masked"), F.sum("x").alias("x"))
+    return training.mask_rows(n, ["n_regionkey"], "n_nationkey", ["x"], 0.0).groupBy("n_regionkey").agg(F.count_if("masked").alias("masked"), F.sum("x").alias("x"))
 
 
 def time_convert(spark, d):
@@ -282,6 +283,11 @@ select event_type, day, cast(lazy as bigint) as lazy, lazy >= 1 and n > 5 as don
     "learn_gat": "with e as (select i % 25 as src, (i * 7 + i % 3) % 25 as dst from range(50) t(i)), h as (select n_nationkey as id, n_regionkey + 0.5::double as h from nation), r as (select e.dst, u.h, 0.3::double * u.h - 0.2::double * v.h as s from e join h u on u.id = e.src join h v on v.id = e.dst), p as (select dst, h, exp(case when s > 0 then s else 0.2::double * s end) as p from r) select dst as id, round(sum(p * h) / sum(p), 6) as x0 from p group by 1",
     "learn_autoencoder": "with p as (select p_partkey, p_size / 50.0::double as a, p_retailprice / 1000.0::double as b from part), z as (select *, 0.5::double * a + 1.5::double * b + 0.1::double as z from p) select p_partkey, round(z, 6) as z, round(((a - z - 0.2::double) * (a - z - 0.2::double) + (b + 0.5::double * z - 0.3::double) * (b + 0.5::double * z - 0.3::double)) / 2, 12) as loss from z",
     "learn_mlp": "with p as (select p_partkey, p_size / 50.0::double as a, p_retailprice / 1000.0::double as b from part) select p_partkey, round(greatest(0.5::double * a + 1.5::double * b + 0.1::double, 0) - 2 * greatest(-a + 0.25::double * b + 0.2::double, 0) + 0.5::double, 6) as y from p",
+    "learn_encode": """with recursive s as (select conv_id, row_number() over (partition by conv_id order by turn) as k, length(text) / 100.0::double as x from conversations),
+ g(conv_id, k, h, c) as (select distinct conv_id, 0::bigint, 0.0::double, 0.0::double from s union all select conv_id, k, o * tanh(f * c + i * n), f * c + i * n from
+ (select s.conv_id, s.k, c, 1 / (1 + exp(-(0.1::double * x + 0.1::double * h))) as i, 1 / (1 + exp(-(0.2::double * x + 0.1::double + 0.2::double * h))) as f, tanh(0.3::double * x + 0.2::double + 0.3::double * h) as n,
+  1 / (1 + exp(-(-0.1::double * x + 0.05::double + 0.4::double * h + 0.1::double))) as o from g join s on s.conv_id = g.conv_id and s.k = g.k + 1))
+ select conv_id, round(arg_max(h, k), 6) as h from g group by 1""",
     "learn_mask": "select n_regionkey, cast(1 as bigint) as masked, count(*)::double - 1 as x from nation group by 1",
     "time_convert": "select event_id, make_timestamp(epoch_us(ts) // 1000 * 1000) + interval 8 hour as wall, (epoch_us(ts) // 1000) / 1000.0::double as epoch from events",
     "time_auto_unit": "select event_id, round(case event_id % 3 when 0 then epoch_us(ts) / 1e6::double when 1 then (epoch_us(ts) // 1000) / 1e3::double else (epoch_us(ts) // 1000000)::double end, 6) as epoch from events",

@@ -37,6 +37,17 @@ def _pair(spark, d, a="view", b="click"):
 
 _DAILY = "select event_type, cast(floor(epoch_us(ts) / 86400000000) as bigint) as day, sum(value) as value from events group by 1, 2"
 _PAIR = f"daily as ({_DAILY}), pair as (select x.day, x.value as x, y.value as y from daily x join daily y on x.day = y.day and x.event_type = 'view' and y.event_type = 'click')"
+
+
+def _warped(group: str) -> str:
+    """Warping of each group's pair of series by anti-diagonals: a has the last one's distances by the place in x, b the one before."""
+    return f"""{_PAIR}, l as (select {group} as g, list(x order by day) as x, list(y order by day) as y from pair group by 1),
+ r(g, k, a, b) as (select g, 0, list_transform(range(1, len(x) + 1), lambda i: case when i = 1 then abs(x[1] - y[1]) end), list_transform(x, lambda v: null::double) from l
+ union all select r.g, k + 1, list_transform(range(1, len(x) + 1), lambda i: case when k + 3 - i between 1 and len(x) then least(a[i - 1] + abs(x[i] - y[k + 3 - i]), a[i] + abs(x[i] - y[k + 3 - i]), b[i - 1] + 2 * abs(x[i] - y[k + 3 - i])) end), a
+ from r join l on l.g = r.g where k < 2 * len(x) - 2),
+ w as (select r.g, a[len(x)] as distance from r join l on l.g = r.g where k = 2 * len(x) - 2)"""
+
+
 _HOURLY = """h as (select event_type, epoch_us(ts) as t, value from events), f as (select event_type, min(t) as a, max(t) as z from h group by 1),
 g as (select event_type, unnest(range(a, z + 1, 3600000000)) as tick from f),
 b as (select h.event_type, a + cast(floor((t - a) / 3600000000) as bigint) * 3600000000 as tick, sum(value) as s, avg(value) as m from h join f using (event_type) group by 1, 2)"""
@@ -90,17 +101,17 @@ def series_auto_step(spark, d):
 
 
 def _revenue(spark, d):
-    """l_returnflag, day and revenue of every third day: a series with gaps."""
-    li = table(spark, d, "lineitem").select("l_returnflag", F.floor(micros("l_shipdate") / DAY).alias("day"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
-    return li.filter(F.pmod("day", F.lit(3)) == 0).groupBy("l_returnflag", "day").agg(R(F.sum("r"), 4).alias("revenue"))
+    """l_returnflag, day (in half days) and revenue: a series whose grid of half days has gaps."""
+    li = table(spark, d, "lineitem").select("l_returnflag", (F.floor(micros("l_shipdate") / DAY) * 2).alias("day"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    return li.groupBy("l_returnflag", "day").agg(R(F.sum("r"), 4).alias("revenue"))
 
 
-_REV = "rev as (select l_returnflag, day, round(sum(r), 4) as revenue from (select l_returnflag, cast(floor(epoch_us(l_shipdate) / 86400000000) as bigint) as day, l_extendedprice * (1 - l_discount) as r from lineitem) where day % 3 = 0 group by 1, 2)"
-_GRID = f"{_REV}, e as (select l_returnflag, min(day) as a, max(day) as z from rev group by 1), grid as (select l_returnflag, unnest(range(a, z + 1, 2)) as day from e), reg as (select g.l_returnflag, g.day, revenue from grid g left join rev using (l_returnflag, day))"
+_REV = "rev as (select l_returnflag, day, round(sum(r), 4) as revenue from (select l_returnflag, 2 * cast(floor(epoch_us(l_shipdate) / 86400000000) as bigint) as day, l_extendedprice * (1 - l_discount) as r from lineitem) group by 1, 2)"
+_GRID = f"{_REV}, e as (select l_returnflag, min(day) as a, max(day) as z from rev group by 1), grid as (select l_returnflag, unnest(range(a, z + 1)) as day from e), reg as (select g.l_returnflag, g.day, revenue from grid g left join rev using (l_returnflag, day))"
 
 
 def _regridded(spark, d):
-    return series.regrid(_revenue(spark, d), ["l_returnflag"], "day", ["revenue"], 2)
+    return series.regrid(_revenue(spark, d), ["l_returnflag"], "day", ["revenue"], 1)
 
 
 def series_regrid(spark, d):
@@ -158,21 +169,15 @@ def series_arima(spark, d):
 
 
 def series_autocorrelation(spark, d):
-    e = _daily(spark, d)
-    n = Window.partitionBy("event_type")
-    c = e.withColumn("m", F.col("value") - F.avg("value").over(n)).withColumn("i", F.row_number().over(n.orderBy("day")))
-    w = n.orderBy("day")
-    sums = [F.sum(F.col("m") * F.coalesce(F.col(f"l{k}"), F.lit(0.0))).alias(f"s{k}") for k in (1, 2, 3)]
-    g = c.withColumns({f"l{k}": F.lag("m", k).over(w) for k in (1, 2, 3)}).groupBy("event_type").agg(F.sum(F.col("m") * F.col("m")).alias("s0"), *sums)
-    return g.select("event_type", *[R(F.col(f"s{k}") / F.col("s0")).alias(f"acf{k}") for k in (1, 2, 3)])
+    return series.autocorrelations(_daily(spark, d), ["event_type"], ["day"], "value", (1, 2, 3)).select("event_type", *[R(f"acf{k}").alias(f"acf{k}") for k in (1, 2, 3)])
 
 
 def series_spectral_residual(spark, d):
-    return series.per_entity(_daily(spark, d), ["event_type"], ["day"], "value", lambda x: series.spectral_residual(x, 3, 5), "saliency")
+    return series.per_entity(_daily(spark, d), ["event_type"], ["day"], "value", lambda x: series.spectral_residual(x, 3, 5), "saliency").select("event_type", "day", R("saliency", 5).alias("saliency"))
 
 
 def series_standardize(spark, d):
-    return series.standardize(_revenue(spark, d), ["l_returnflag"], "day", "revenue", 3)
+    return series.standardize(_revenue(spark, d), ["l_returnflag"], "day", "revenue", 1)
 
 
 def series_from_table(spark, d):
@@ -183,8 +188,7 @@ def series_from_table(spark, d):
 
 
 def series_slice(spark, d):
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    return _events(spark, d).withColumn("n", n).filter("n >= 2 and n < 50 and (n - 2) % 3 = 0").select("event_type", "event_id")
+    return series.rows_between(_events(spark, d), ["event_type"], ["ts", "event_id"], 2, 50, 3).select("event_type", "event_id")
 
 
 def dist_lp_norm(spark, d):
@@ -215,7 +219,7 @@ def dist_dtw(spark, d):
 
 def dist_dtw_pruned(spark, d):
     p = _pair(spark, d).withColumn("g", F.floor(F.col("day") / 7))
-    return distance.dtw_within(p, ["g"], "day", "x", "y", 1e12).select(F.col("g").alias("week"), R("distance").alias("distance"))
+    return distance.dtw_within(p, ["g"], "day", "x", "y", 3200.0).select(F.col("g").alias("week"), R("distance").alias("distance"))
 
 
 def stat_kl_div(spark, d):
@@ -304,6 +308,15 @@ select event_type, round(sum(m * coalesce(a, 0)) / sum(m * m), 6) as acf1, round
     "series_slice": "with n as (select *, row_number() over (partition by event_type order by ts, event_id) - 1 as n from events) select event_type, event_id from n where n >= 2 and n < 50 and (n - 2) % 3 = 0",
     "dist_lp_norm": "select a.label, round(avg(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::double - b.embedding[i]::double) * (a.embedding[i]::double - b.embedding[i]::double))))), 6) as distance from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 group by 1",
     "dist_sbd": f"with {_PAIR}, s as (select a.day - b.day as k, sum(a.x * b.y) as c from pair a, pair b group by 1) select round(1 - greatest(least(max(c) / (select sqrt(sum(x * x)) * sqrt(sum(y * y)) from pair), 1), -1), 6) as distance from s",
+    "series_spectral_residual": f"""with recursive d as ({_DAILY}), l as (select event_type, list(value order by day) as x, list(day order by day) as days from d group by 1),
+ r(event_type, k, x) as (select event_type, 0, x from l union all select event_type, k + 1, list_append(x, x[len(x) - 3] + (x[len(x)] - x[len(x) - 4]) / 4 + (x[len(x)] - x[len(x) - 3]) / 3 + (x[len(x)] - x[len(x) - 2]) / 2 + x[len(x)] - x[len(x) - 1]) from r where k < 5),
+ e as (select event_type, x, len(x) as m from r where k = 5), p as (select event_type, m, unnest(range(m)) as j, unnest(x) as v from e),
+ f as (select a.event_type, a.m, k.j as k, sum(a.v * cos(2 * pi() * a.j * k.j / a.m)) as re, -sum(a.v * sin(2 * pi() * a.j * k.j / a.m)) as im from p a join p k on a.event_type = k.event_type group by 1, 2, 3),
+ g as (select *, sqrt(re * re + im * im) as amp from f), h as (select *, exp(ln(amp) - avg(ln(amp)) over (partition by event_type order by k rows between 2 preceding and current row)) / amp as s from g),
+ y as (select p.event_type, p.j, sqrt(pow(sum(s * (re * cos(2 * pi() * p.j * k / h.m) - im * sin(2 * pi() * p.j * k / h.m))), 2) + pow(sum(s * (re * sin(2 * pi() * p.j * k / h.m) + im * cos(2 * pi() * p.j * k / h.m))), 2)) / max(h.m) as v from p join h on h.event_type = p.event_type group by 1, 2)
+ select event_type, days[j + 1] as day, round(v, 5) as saliency from y join l using (event_type) where j < len(days)""",
+    "dist_dtw": f"with recursive {_warped('1')} select round(distance, 6) as distance from w",
+    "dist_dtw_pruned": f"with recursive {_warped('day // 7')} select g as week, round(distance, 6) as distance from w where distance <= 3200",
     "dist_lb_kim": f"with {_PAIR} select round(greatest(abs(arg_min(x, day) - arg_min(y, day)), abs(arg_max(x, day) - arg_max(y, day)), abs(max(x) - max(y)), abs(min(x) - min(y))), 6) as bound from pair",
     "dist_lb_keogh": f"with {_PAIR}, e as (select greatest(y - max(x) over w, min(x) over w - y, 0) as e from pair window w as (order by day rows between 2 preceding and 2 following)) select round(sum(e), 6) as bound from e",
     "dist_lb_keogh_reversed": f"with {_PAIR}, e as (select greatest(x - max(y) over w, min(y) over w - x, 0) as e from pair window w as (order by day rows between 2 preceding and 2 following)) select round(sum(e), 6) as bound from e",

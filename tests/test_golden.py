@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skerry import contracts
 from skerry.functions import text, time
-from skerry.operators import arrays, components, distance, graph, learn, series, sketch, templates
+from skerry.operators import arrays, components, distance, graph, learn, series, sketch, templates, training
 
 
 def line(spark, xs, ts=None):
@@ -195,7 +195,7 @@ def test_learning(spark):
     assert [r["step"] for r in learn.early_stop(worse, ["k"], "step", "m", "asc").filter("done").orderBy("step").collect()] == list(range(20, 30))
     f = learn.folds(spark.range(10), ["id"], 3).groupBy("fold").count().orderBy("fold").collect()
     assert [r["count"] for r in f] == [4, 3, 3]
-    k = learn.mask_rows(spark.range(5).withColumn("g", F.lit(1)).withColumn("x", F.lit(1.0)), ["g"], "id", ["x"], 0.0)
+    k = training.mask_rows(spark.range(5).withColumn("g", F.lit(1)).withColumn("x", F.lit(1.0)), ["g"], "id", ["x"], 0.0)
     assert k.filter("masked").count() == 1
 
 
