@@ -112,23 +112,8 @@ def merge_layers(edges: list[tuple[int, str, str]], threshold: int, wild: str =
     return {(layer, a, b) for (layer, a), bs in out.items() for b in bs}
 
 
-def encode(path: list[str], out: dict, wild: str = "*") -> list[str] | None:
-    """Tokens as the graph has them, the same before the wild one, going back where a way doesn't reach <END>."""
-    stack = [(0, [t]) for t in (wild, path[0]) if (0, t) in out]
-    while stack:
-        i, done = stack.pop()
-        if i == len(path) - 1:
-            if END in out.get((i, done[-1]), ()):
-                return done
-            continue
-        for t in (wild, path[i + 1]):
-            if t in out.get((i, done[-1]), ()):
-                stack.append((i + 1, [*done, t]))
-    return None
-
-
 def layer_templates(df: DataFrame, text: str, mark: str, threshold: int = 10, wild: str = "*") -> DataFrame:
-    """Each different text with its template in the merged layered graph. The graph (different tokens, not texts) is merged in one kernel and joined to blocks of texts."""
+    """Each different text with its template in the merged layered graph. The graph (different tokens, not texts) is merged in one kernel, whose rule goes from one start token to the next; texts are encoded by joins."""
     graph = layer_edges(df, text, mark).withColumn("g", F.lit(0))
 
     def run(pdf):
@@ -136,16 +121,28 @@ def layer_templates(df: DataFrame, text: str, mark: str, threshold: int = 10, wi
         return pd.DataFrame(sorted(done), columns=["layer", "src", "dst"])
 
     merged = cut(graph.groupBy("g").applyInPandas(run, "layer int, src string, dst string"))
-    held = df.sparkSession.sparkContext.broadcast([tuple(r) for r in merged.collect()])  # the merged graph's edges, which merging keeps few
-
-    def code(batches):
-        out = defaultdict(set)
-        for layer, a, b in held.value:
-            out[layer, a].add(b)
-        for pdf in batches:
-            found = [encode(list(p), out, wild) for p in pdf["p"]]
-            yield pd.DataFrame({"text": pdf["text"], "template": [mark.join(f) if f else INVALID for f in found]})
-
-    return df.select(F.col(text).alias("text"), tokens(F.col(text), mark).alias("p")).distinct().mapInPandas(code, "text string, template string")
-
-
+    return encode_layers(df.select(F.col(text).alias("text")), merged, mark, wild)
+
+
+def encode_layers(texts: DataFrame, edges: DataFrame, mark: str, wild: str = "*") -> DataFrame:
+    """text and template of different texts: all ways that the graph has for a text's tokens, each the same or the wild one, grow layer by layer; of those that reach <END> the one stands that keeps the
+    first token that another gives up. `invalid` where none does."""
+    t = cut(texts.filter("text is not null").distinct().withColumn("t", tokens(F.col("text"), mark)))
+    depth = t.agg(F.max(F.size("t"))).first()[0] or 0
+    starts = edges.filter("layer = 0").select(F.col("src").alias("at")).distinct()
+    own = F.array_distinct(F.array(F.get("t", F.lit(0)), F.lit(wild)))
+    ways = t.select("text", "t", F.explode(own).alias("at")).join(starts, "at", "left_semi")
+    ways = ways.select("text", "t", F.array("at").alias("p"), F.when(F.col("at") == F.get("t", F.lit(0)), "1").otherwise("0").alias("kept"))
+    done = None
+    for d in range(depth):
+        last = F.element_at("p", -1)
+        step = edges.filter(F.col("layer") == d).select("src", "dst")
+        ends = ways.filter(F.size("t") == d + 1).join(step.filter(F.col("dst") == END).select(F.col("src").alias("_s")), last == F.col("_s"), "left_semi").select("text", "p", "kept")
+        done = ends if done is None else done.unionByName(ends)
+        on = ways.filter(F.size("t") > d + 1).withColumn("_last", last).withColumn("_next", F.get("t", F.lit(d + 1)))
+        on = on.join(step, F.col("_last") == F.col("src")).filter((F.col("dst") == F.col("_next")) | (F.col("dst") == wild))
+        ways = cut(on.select("text", "t", F.concat("p", F.array("dst")).alias("p"), F.concat("kept", F.when(F.col("dst") == F.col("_next"), "1").otherwise("0")).alias("kept")))
+    if done is None:
+        return t.select("text", F.lit(INVALID).alias("template"))
+    best = done.groupBy("text").agg(F.max(F.struct("kept", "p"))["p"].alias("p"))
+    return t.select("text").join(best, "text", "left").select("text", F.coalesce(F.array_join("p", mark), F.lit(INVALID)).alias("template"))

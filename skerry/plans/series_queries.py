@@ -141,6 +141,31 @@ def _spline(kind):
     return run
 
 
+def _monthly(spark, d):
+    """l_returnflag, tick (half months) and revenue: knots for splines, every other place of the grid between them."""
+    li = table(spark, d, "lineitem").select("l_returnflag", ((F.year("l_shipdate") * 12 + F.month("l_shipdate")) * 2).cast("long").alias("tick"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    return li.groupBy("l_returnflag", "tick").agg(R(F.sum("r"), 2).alias("revenue"))
+
+
+def series_interpolate_cubic(spark, d):
+    t = series.interpolate(series.regrid(_monthly(spark, d), ["l_returnflag"], "tick", ["revenue"], 1), ["l_returnflag"], "tick", "revenue", "cubic")
+    return t.select("l_returnflag", "tick", R("filled", 2).alias("filled"))
+
+
+#: The cubic spline through the monthly revenue: second derivatives m from a tridiagonal system, swept forth (c, d) and back, the ends by the third derivative's staying the same over the first and last two pieces.
+_CUBIC = """with recursive k0 as (select l_returnflag as f, ((year(l_shipdate) * 12 + month(l_shipdate)) * 2)::bigint as t, round(sum(l_extendedprice * (1 - l_discount)), 2) as y from lineitem group by 1, 2),
+ k as (select f, row_number() over w - 1 as i, count(*) over (partition by f) as n, t, y, t - lag(t) over w as a, lead(t) over w - t as b, (y - lag(y) over w) / (t - lag(t) over w) as p, (lead(y) over w - y) / (lead(t) over w - t) as q from k0 window w as (partition by f order by t)),
+ e as (select f, i, n, a - case when i = n - 2 then b * b / a::double else 0 end as l, 2 * (a + b) + case when i = 1 then a + a * a / b::double else 0 end + case when i = n - 2 then b + b * b / a::double else 0 end as g,
+  b - case when i = 1 then a * a / b::double else 0 end as u, 6 * (q - p) as r from k where i between 1 and n - 2),
+ s(f, i, c, d) as (select f, i, u / g, r / g from e where i = 1 union all select e.f, e.i, u / (g - l * c), (r - l * d) / (g - l * c) from s join e on e.f = s.f and e.i = s.i + 1),
+ m(f, i, m) as (select s.f, s.i, d from s join e on e.f = s.f and e.i = s.i where e.i = e.n - 2 union all select s.f, s.i, s.d - s.c * m.m from m join s on s.f = m.f and s.i = m.i - 1),
+ z as (select f, i, m from m union all select k.f, k.i, x.m - k.b::double / o.b * (y.m - x.m) from k join k o on o.f = k.f and o.i = 1 join m x on x.f = k.f and x.i = 1 join m y on y.f = k.f and y.i = 2 where k.i = 0
+  union all select k.f, k.i, x.m + k.a::double / o.a * (x.m - y.m) from k join k o on o.f = k.f and o.i = k.n - 2 join m x on x.f = k.f and x.i = k.n - 2 join m y on y.f = k.f and y.i = k.n - 3 where k.i = k.n - 1),
+ v as (select k.f, k.t, k.y, k.b, z.m, lead(k.y) over (partition by k.f order by k.t) as y1, lead(z.m) over (partition by k.f order by k.t) as m1 from k join z on z.f = k.f and z.i = k.i),
+ g as (select *, unnest(range(coalesce(b, 1))) as o from v)
+ select f as l_returnflag, t + o as tick, round(case when b is null then y else (m * pow(b - o, 3) + m1 * pow(o, 3)) / (6 * b) + (y / b - m * b / 6) * (b - o) + (y1 / b - m1 * b / 6) * o end, 2) as filled from g"""
+
+
 def series_minmax(spark, d):
     t = series.tumble(_hours(spark, d), ["event_type"], "tick", "value", HOUR, "sum")
     return series.minmax(t, ["event_type"], ["value"]).select("event_type", "tick", R("value").alias("value"))
@@ -177,7 +202,7 @@ def series_spectral_residual(spark, d):
 
 
 def series_standardize(spark, d):
-    return series.standardize(_revenue(spark, d), ["l_returnflag"], "day", "revenue", 1)
+    return series.standardize(_monthly(spark, d), ["l_returnflag"], "tick", "revenue", 1).select("l_returnflag", "tick", R("filled", 2).alias("filled"))
 
 
 def series_from_table(spark, d):
@@ -255,7 +280,7 @@ def vec_sequences(spark, d):
     return sequences(c.withColumn("n", F.length("text")), "conv_id", ["turn"], "n").select("conv_id", F.size("x").cast("long").alias("turns"), F.element_at("x", 1).cast("long").alias("first_len"))
 
 
-_FNS = [series_moving_average, series_weighted_moving_average, series_ewma_final, series_ewma_full, series_extend, series_gap_sessions, series_hourly_sum, series_hourly_mean, series_hourly_flagship, series_auto_step, series_regrid, *[_interpolated(k) for k in ("linear", "previous", "zero", "next", "nearest", "nearest-up")], _spline("quadratic"), _spline("cubic"), series_minmax, series_row_normalize, series_local_extrema, series_holt_winters, series_holt_winters_fitted, series_arima, series_autocorrelation, series_spectral_residual, series_standardize, series_from_table, series_slice, dist_lp_norm, dist_sbd, dist_lb_kim, dist_lb_keogh, dist_lb_keogh_reversed, dist_dtw, dist_dtw_pruned, stat_kl_div, stat_quantile_exact, stat_tdigest, stat_tdigest_divergence, vec_sequences]
+_FNS = [series_moving_average, series_weighted_moving_average, series_ewma_final, series_ewma_full, series_extend, series_gap_sessions, series_hourly_sum, series_hourly_mean, series_hourly_flagship, series_auto_step, series_regrid, *[_interpolated(k) for k in ("linear", "previous", "zero", "next", "nearest", "nearest-up")], _spline("quadratic"), series_interpolate_cubic, series_minmax, series_row_normalize, series_local_extrema, series_holt_winters, series_holt_winters_fitted, series_arima, series_autocorrelation, series_spectral_residual, series_standardize, series_from_table, series_slice, dist_lp_norm, dist_sbd, dist_lb_kim, dist_lb_keogh, dist_lb_keogh_reversed, dist_dtw, dist_dtw_pruned, stat_kl_div, stat_quantile_exact, stat_tdigest, stat_tdigest_divergence, vec_sequences]
 QUERIES = {f.__name__: f for f in _FNS}
 
 _W = "over (partition by user_id order by ts, event_id"
@@ -294,7 +319,8 @@ select o_orderstatus, cast(list_reduce(list(x), lambda a, b: gcd(a, b)) as doubl
     "series_interpolate_nearest": f"with {_KNOWN} select l_returnflag, day, case when q is null or day - p.t <= q.t - day then p.v else q.v end as filled from k",
     "series_interpolate_nearest_up": f"with {_KNOWN} select l_returnflag, day, case when q is null or day - p.t < q.t - day then p.v else q.v end as filled from k",
     "series_interpolate_quadratic": _SPLINE,
-    "series_interpolate_cubic": _SPLINE,
+    "series_interpolate_cubic": _CUBIC,
+    "series_standardize": _CUBIC,
     "series_minmax": f"with {_HOURLY}, v as (select g.event_type, g.tick, coalesce(s, 0) as value from g left join b using (event_type, tick)) select event_type, tick, round((value - min(value) over (partition by event_type)) / (max(value) over (partition by event_type) - min(value) over (partition by event_type)), 6) as value from v",
     "series_row_normalize": "select p_partkey, round(p_size / sqrt(p_size * p_size + p_retailprice * p_retailprice), 6) as size, round(p_retailprice / sqrt(p_size * p_size + p_retailprice * p_retailprice), 6) as price from part",
     "series_local_extrema": f"with d as ({_DAILY}), n as (select *, coalesce(lag(value) over (partition by event_type order by day), value) as a, coalesce(lead(value) over (partition by event_type order by day), value) as b from d) select event_type, day, round(value, 6) as value from n where value >= a and value >= b",
