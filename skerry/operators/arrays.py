@@ -43,11 +43,13 @@ def pad(df: DataFrame, column: str, batch: list[str], out: str = "padded") -> Da
     return df.join(longest, batch).withColumn("length", F.size(column)).withColumn(out, F.concat(column, F.array_repeat(zero, F.col("_n") - F.size(column)))).drop("_n")
 
 
-def cost_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, cost): the difference of row sums of two matrices (i, j, v)."""
+def cost_matrix(a: DataFrame, b: DataFrame, block: int = 1000) -> DataFrame:
+    """(i, j, cost): the difference of row sums of two matrices (i, j, v). The result has a row a pair; b's row sums are dealt in blocks, and each row of a meets each block."""
     ra, rb = a.groupBy("i").agg(F.sum("v").alias("x")), b.groupBy(F.col("i").alias("j")).agg(F.sum("v").alias("y"))
-    side = F.sort_array(F.collect_list(F.struct("j", "y")))
-    return ra.join(F.broadcast(rb.agg(side.alias("b")))).select("i", "x", F.explode("b").alias("q")).select("i", "q.j", F.abs(F.col("x") - F.col("q.y")).alias("cost"))  # the result has a row a pair; b is one row of a matrix's row sums
+    n = max(1, -(-rb.count() // block))
+    blocks = rb.groupBy(F.pmod(F.xxhash64("j"), F.lit(n)).alias("_k")).agg(F.collect_list(F.struct("j", "y")).alias("_b"))
+    wide = ra.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return wide.join(blocks, "_k").select("i", "x", F.explode("_b").alias("q")).select("i", "q.j", F.abs(F.col("x") - F.col("q.y")).alias("cost"))
 
 
 def assign(cost: np.ndarray) -> np.ndarray:

@@ -45,7 +45,7 @@ def vec_assign(spark, d):
     m = _counts(spark, d)
     order = spark.createDataFrame([(0, 2), (1, 0), (2, 1), (3, 4), (4, 3)], "new int, old int")
     n = spark.range(5).select(F.explode(F.array(F.col("id").cast("int"))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    square = n.join(m, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+    square = n.join(m, ["i", "j"], "left").select("i", "j", (F.coalesce("v", F.lit(0.0)) * (F.col("i") + 1)).alias("v"))  # rows of different sums
     b = arrays.permute(square, order).withColumnRenamed("v", "b")
     t = arrays.match_pairs(square.withColumnRenamed("v", "a").join(b, ["i", "j"]).withColumn("g", F.lit(0)), ["g"], "unary")
     return t.select("i", "t")
