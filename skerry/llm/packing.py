@@ -4,8 +4,8 @@ Each document gives whole sequences of `capacity` tokens and one remainder. Rema
 doubling, up to WIDTH tokens), and the linear program "fewest sequences so that every class's count is covered" is solved over packing patterns: a revised
 simplex keeps one pattern a class, an unbounded knapsack by dynamic programming prices the next pattern, until Farley's
 bound shows the rest to be worth less than GAP. Pattern counts are rounded down, what is left (fewer pieces than patterns
-times pattern length) is packed best-fit, and pieces, ranked within their class, take the patterns' places. Should the simplex method reach its most steps, the patterns so far
-are used: that costs padding, never a piece.
+times pattern length) is packed best-fit, and pieces, ranked within their class, take the patterns' places. Should the simplex method stall or reach its most steps, the patterns so
+far are used: that costs padding, never a piece.
 
 All that reaches the driver is the histogram: a number for each class, some 600. Ranks come from counts by (class, hash bucket), so that no class is
 gathered in one task, however many pieces it has.
@@ -32,7 +32,9 @@ from skerry.llm.common import cut, map_batches
 CAPACITY, EXACT, WIDTH, END = 4096, 64, 8, 2
 BUCKETS = 512
 #: The linear program stops once its bound shows that less than this share of the sequences can still be saved.
-GAP = 0.0005
+GAP = 0.001
+#: It also stops where so many steps have saved less than a tenth of that.
+STALL = 200
 
 
 #: The usual printable stand-ins of byte-level BPE for the 256 bytes, by rule: printable Latin-1 stands for itself, the rest follow from U+0100.
@@ -219,9 +221,15 @@ def column_generation(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap:
     n = len(used)
     basis = first_patterns(d, own, capacity)
     inverse = np.linalg.inv(basis)
-    x, bound = np.maximum(inverse @ d, 0), 0.0
-    center = np.zeros(n)  # prices of the best bound so far
+    x = np.maximum(inverse @ d, 0)
+    center = own / capacity  # prices of the best bound so far: at first, a piece is worth its share of a sequence
+    bound = float(center @ d)
+    best, since = x.sum(), 0
     for step in range(limit):
+        if x.sum() < best * (1 - gap / 10):
+            best, since = x.sum(), step
+        elif step - since > STALL:
+            break
         price = np.maximum(inverse.sum(axis=0), 0)
         for smooth in (0.7, 0.0):  # prices near the center give bounds and columns that serve longer
             at = smooth * center + (1 - smooth) * price

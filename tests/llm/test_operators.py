@@ -292,13 +292,14 @@ def test_lm_scoring(spark, docs, empty):
     got = {x["doc_id"]: x for x in lm_scoring.score(d.withColumn("target", F.lit(5)), d.filter("doc_id < 40 and doc_id % 2 = 1")).collect()}
     assert min(got[i]["score"] for i in range(41, 80, 2)) > max(got[i]["score"] for i in range(40, 80, 2))
     assert got[200]["score"] is None and got[201]["n_tokens"] == 0
-    counts = {x["word"]: (x["t"], x["b"]) for x in lm_scoring.word_counts(lm_scoring.mark_target(d, d.filter("doc_id = 1"))).collect()}
+    counts = {x["word"]: (x["t"], x["b"]) for x in lm_scoring.counts_of(lm_scoring.mark_target(d, d.filter("doc_id = 1")), ["red"]).collect() if x["word"]}
     every, target = Counter(w for _, t, *_ in rows for w in (t or "").split()), Counter(rows[1][1].split())
     assert counts == {w: (target[w], n) for w, n in every.items()}
     assert {x["score"] for x in lm_scoring.score(d, d.limit(0)).collect()} == {None} and lm_scoring.score(empty, empty).count() == 0
 
 
-def test_lm_scoring_is_exact(spark, docs):
+@pytest.mark.parametrize("at_once", [600_000, 700])
+def test_lm_scoring_is_exact(spark, docs, at_once):
     """Losses by all words and bigrams but the document's own, however few of them are broadcast."""
     rows = [(r[0], r[1]) for r in corpus()] + [(None, "null id here"), (3, corpus()[3][1])]
     d = spark.createDataFrame(rows, "doc_id long, text string")
@@ -323,7 +324,7 @@ def test_lm_scoring_is_exact(spark, docs):
             loss[k] = round(float(np.mean(bits)), 9) if w else None
         want.append((i, len(w), *loss))
     for sizes in ((50_000, 1024, 10**6), (300, 8, 50), (0, 0, 500)):
-        got = lm_scoring.score(d, d.filter(F.col("doc_id").isin(*aim)), *sizes).collect()
+        got = lm_scoring.score(d, d.filter(F.col("doc_id").isin(*aim)), *sizes, at_once).collect()
         assert Counter((x["doc_id"], x["n_tokens"], *(v if v is None else round(v, 9) for v in (x["target_loss"], x["background_loss"]))) for x in got) == Counter(want), sizes
 
 

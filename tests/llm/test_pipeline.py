@@ -14,6 +14,7 @@ def test_stages(spark, tmp_path):
     rows = [(i, prose(r, 80), "en", "s", 0) for i in range(30)]
     rows += [(40, base, "en", "s", 0), (41, base, "en", "s", 0), (42, base + " end", "en", "s", 0), (43, None, "en", "s", 0), (44, "12 3", "en", "s", 0), (45, prose(r, 50) + " " + item, "en", "s", 0)]
     rows += [(46, 'token = "661f4d643109ac1c4160a4d55d1f1f508f3175a1" ' + prose(r, 40), "en", "s", 0), (40, base, "en", "s", 0)]
+    rows += [(47, prose(r, 600) + " " + " ".join(item.split()[5:20]) + " " + prose(r, 600), None, "s", 0), (48, prose(r, 600) + " " + " ".join(item.split()[5:17]) + " " + prose(r, 600), None, "s", 0)]
     d = f"{tmp_path}"
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
@@ -31,7 +32,9 @@ def test_stages(spark, tmp_path):
     kept = sorted(x["doc_id"] for x in seen["ngram_jaccard_join"])
     assert kept == sorted(i for i, (_, c) in comp.items() if i == c)
     bad = {i for i, v in brute_overlap([(x["doc_id"], x["text"]) for x in seen["ngram_jaccard_join"]], [(1, item)]).items() if v[4]}
-    assert bad == {45} and sorted(x["doc_id"] for x in seen["decontamination"]) == [i for i in kept if i != 45]
+    # 15 consecutive words of an item in a long text are enough, 12 are not
+    assert bad == {45} and sorted(x["doc_id"] for x in seen["decontamination"]) == [i for i in kept if i not in (45, 47)] and 48 in kept
+    assert {x["lang"] for x in seen["language_id"]} == {"en"}
     masked = {x["doc_id"]: x["text"] for x in seen["secret_scan"]}
     assert masked[46].startswith(f'token = "{secrets.MASK}" ') and all(masked[x["doc_id"]] == x["text"] for x in seen["decontamination"] if x["doc_id"] != 46)
     assert {x["doc_id"] for x in seen["packing"]} == set(masked)
@@ -77,3 +80,18 @@ def test_near_duplicates_keep_all_that_is_no_copy(spark):
     assert len(of_twin) == 1
     same = lambda rows: sorted((x for x in rows if x not in of_twin and x[1] != twin), key=str)
     assert same(got) == same(keep)
+
+
+def test_stages_on_nothing_and_on_odd_rows(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows, and columns that bear the operators' own names."""
+    r = random.Random(3)
+    d = f"{tmp_path}"
+    spark.createDataFrame([(1, prose(r, 20))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    odd = spark.createDataFrame([(None, prose(r, 30), None, None, None), (None, prose(r, 30), None, None, None), (5, prose(r, 30), "en", "s", 1), (5, prose(r, 30), "en", "s", 1), (6, None, None, None, None)], SCHEMA)
+    odd = odd.withColumns({c: odd["text"] for c in ("fp", "root", "score", "lang_pred", "n_words", "component_id")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), d).count() == 0, name
+        got = stage(spark, odd, d)
+        if name != "packing":
+            assert got.columns == corpus_pipeline.COLUMNS
+        assert got.count() == (4 if name == "language_id" else 5), name
