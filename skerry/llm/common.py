@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; with texts of some thousand characters a batch stays at a few MB.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch to Python; with texts of some thousand characters a batch stays at a few MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,11 +53,15 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts can be long: lowers Spark's default number of rows in an Arrow batch; a lower setting of the session stays."""
+    """Texts and blocks can be long: lowers Spark's default numbers of rows and bytes in an Arrow batch; a lower setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, f"{64 << 20}b"))  # other units are a setting of the session's own
+    if now and int(now[1]) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | list[dict] | None], schema: str) -> DataFrame:

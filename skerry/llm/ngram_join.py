@@ -44,8 +44,10 @@ PAIR_COST = 0.02
 BITS = 1024
 #: Shared keys are numbers from here on: above those of sets.
 KEY_NODE = 1 << 50
-#: Keys in a bucket, about, and keys that a task holds before it passes them on (some 50 bytes each while it works on them).
+#: Keys in a bucket, about (12 bytes each while a task gathers them), and keys that a task holds before it passes them on (some 50 bytes each while it works on them).
 BUCKET_KEYS, HELD_KEYS = 1_000_000, 1_000_000
+#: Keys in a block at most; keys that are sorted and compared at once, about (some 70 bytes each); rows in a batch that is passed on. None grows with the input.
+BLOCK_KEYS, SORTED_KEYS, LINK_ROWS = 2048, 250_000, 50_000
 #: Up to so many candidate sets (some 60 bytes each) are broadcast to pick texts; beyond, texts are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -247,6 +249,8 @@ def link_table(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of pairs (key, node) sorted by both, repeated pairs counted once: keys, nodes, the first place and the size of each entry's key group."""
+    if not len(key):
+        return key, node, np.empty(0, np.int64), np.empty(0, np.int64)
     keep = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
     key, node = key[keep], node[keep]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -259,11 +263,23 @@ def six(x: np.ndarray) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def unsix(parts: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+def unsix(blocks: bytes | np.ndarray) -> np.ndarray:
+    data = np.frombuffer(blocks, np.uint8).reshape(-1, 6) if isinstance(blocks, bytes) else blocks
     out = np.zeros((len(data), 8), np.uint8)
     out[:, :6] = data
-    return out.view("<u8").ravel().astype(np.int64)
+    return out.view("<i8").ravel()
+
+
+def ranges(key: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of the keys (of 48 bits) range by range, about `most` in each; equal keys lie in one range."""
+    n = -(-len(key) // most)
+    if n <= 1:
+        yield np.arange(len(key))
+        return
+    low = int(key.min())
+    of = (key - low) // ((int(key.max()) - low) // n + 1)
+    for i in range(n):
+        yield np.flatnonzero(of == i)
 
 
 def prints_of(docs: DataFrame, plan: Plan, buckets: int, num: int, den: int, words: int, carry: tuple[str, ...], held_keys: int) -> DataFrame:
@@ -289,15 +305,23 @@ def prints_of(docs: DataFrame, plan: Plan, buckets: int, num: int, den: int, wor
             order = np.lexsort((node, key))
             key, node, first, size = groups(key[order], node[order])
             often = size > 1
-            bucket, x, y = ([-1 - int(node[0]) % 4093], [six(node[often])], [six(key[often])]) if often.any() else ([], [], [])
+            bucket, x, y = [], [], []
+            at = np.flatnonzero(often)
+            for i in range(0, len(at), BLOCK_KEYS):
+                part = at[i : i + BLOCK_KEYS]
+                bucket.append(-1 - (int(node[0]) + i) % 4093)
+                x.append(six(node[part]))
+                y.append(six(key[part]))
             here = ~often | (first == np.arange(len(key)))
             key, node = key[here], np.where(often, 0, node)[here]
             to = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # in order, as keys are
             cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]).tolist() + [len(to)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                bucket.append(int(to[i]))
-                x.append(six(key[i:j]))
-                y.append(six(node[i:j]))
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                for i in range(start, stop, BLOCK_KEYS):
+                    j = min(i + BLOCK_KEYS, stop)
+                    bucket.append(int(to[i]))
+                    x.append(six(key[i:j]))
+                    y.append(six(node[i:j]))
             for i in range(0, len(bucket), BATCH_ROWS):
                 part = slice(i, i + BATCH_ROWS)
                 yield whole({"bucket": pa.array(bucket[part], pa.int32()), "x": pa.array(x[part], pa.binary()), "y": pa.array(y[part], pa.binary())}, len(bucket[part]))
@@ -341,11 +365,16 @@ def key_links(prints: DataFrame, parts: int, carry: tuple[str, ...]) -> DataFram
             return pa.RecordBatch.from_arrays([*(pa.nulls(len(a), t) for t in types.values()), pa.array(a), pa.array(b)], names=[*types, "a", "b"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            key, node = (unsix(x) for x in zip(*held, strict=True))
-            order = np.lexsort((node, key))
-            key, node, first, size = groups(key[order], node[order])
-            keep = ((size > 1) | (node[first] == 0)) & (node > 0)
-            yield links(node[keep], key[keep] + KEY_NODE)
+            keys, nodes = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 6) for x in zip(*held, strict=True))
+            held.clear()
+            keys = unsix(keys)
+            for part in ranges(keys, SORTED_KEYS):
+                key, node = keys[part], unsix(nodes[part])
+                order = np.lexsort((node, key))
+                key, node, first, size = groups(key[order], node[order])
+                at = np.flatnonzero(((size > 1) | (node[first] == 0)) & (node > 0))
+                for i in range(0, len(at), LINK_ROWS):
+                    yield links(node[at[i : i + LINK_ROWS]], key[at[i : i + LINK_ROWS]] + KEY_NODE)
 
         for batch in batches:
             types = types or {c: batch.schema.field(c).type for c in own}
@@ -355,7 +384,7 @@ def key_links(prints: DataFrame, parts: int, carry: tuple[str, ...]) -> DataFram
             rest = batch.filter(batch.column("n").is_null())
             for bucket, x, y in zip(*(rest.column(c).to_pylist() for c in ("bucket", "x", "y")), strict=True):
                 if bucket < 0:
-                    yield links(unsix([x]), unsix([y]) + KEY_NODE)
+                    yield links(unsix(x), unsix(y) + KEY_NODE)
                     continue
                 if bucket != at:
                     if held:
@@ -375,24 +404,37 @@ def stars(shared: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def close() -> pa.RecordBatch:
-            node, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            done = key < KEY_NODE  # links of the first pass
-            a, b = node[done], key[done]
-            order = np.lexsort((node[~done], key[~done]))
-            key, node, first, _ = groups(key[~done][order], node[~done][order])
-            center = node[first]
-            pair = np.unique(np.stack([node, center])[:, node != center], axis=1)
-            one = np.flatnonzero(first == np.arange(len(key))) if not last else np.empty(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, pair[0], node[one]])), pa.array(np.concatenate([b, pair[1], key[one]]))], names=["a", "b"])
+        def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(a), LINK_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + LINK_ROWS]), pa.array(b[i : i + LINK_ROWS])], names=["a", "b"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nodes, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for part in ranges(keys, SORTED_KEYS):
+                key, node = keys[part], nodes[part]
+                order = np.lexsort((node, key))
+                key, node, first, _ = groups(key[order], node[order])
+                center = node[first]
+                apart = np.flatnonzero(node != center)
+                a, b = node[apart], center[apart]
+                order = np.lexsort((b, a))
+                a, b, _, _ = groups(a[order], b[order])
+                yield from out(a, b)
+                if not last:
+                    one = np.flatnonzero(first == np.arange(len(key)))
+                    yield from out(node[one], key[one])
 
         for batch in batches:
-            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
-            if not last and sum(len(x) for x, _ in held) > HELD_KEYS:
-                yield close()
-                held.clear()
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            done = b < KEY_NODE  # links of the first pass
+            if done.any():
+                yield from out(a[done], b[done])
+            held.append((a[~done], b[~done]))
+            if not last and sum(len(x) for x, _ in held) > SORTED_KEYS:
+                yield from close()
         if held:
-            yield close()
+            yield from close()
 
     near = shared.select("a", "b").mapInArrow(lambda x: run(x, False), "a long, b long")
     return near.repartition(parts, F.when(F.col("b") >= KEY_NODE, F.col("b")).otherwise(F.col("a"))).mapInArrow(lambda x: run(x, True), "a long, b long")
@@ -460,7 +502,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
         spare = spare.groupBy("a", "odd").agg(F.min("spare").alias("spare"))
         needed = shared.join(times.join(spare, ["a", "odd"]).filter("times > spare").select("a", "odd"), ["a", "odd"])
         n_shared = first.filter("b is not null").count()
-        clusters = cut(components(stars(needed, max(parts, math.ceil(n_shared / HELD_KEYS))), last=last))
+        clusters = cut(components(stars(needed, max(parts, math.ceil(n_shared / SORTED_KEYS))), last=last))
         scratch.drop("first")
 
         # one row for each different set, with an id by which its text is found again; null only where no row has one

@@ -18,12 +18,17 @@ from skerry.storage import cut
 
 #: Edges (16 bytes each) that the last task holds.
 LAST = 1_000_000
+#: Rows in a batch that the last task passes on.
+OUT_ROWS = 50_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of an edge list and for each the least node of its component."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
+    ids = np.sort(np.concatenate([a, b]))  # unique() with the inverse, or by hashes, takes more memory
+    apart = np.ones(len(ids), bool)
+    apart[1:] = ids[1:] != ids[:-1]
+    ids = ids[apart]
+    x, y = np.searchsorted(ids, a), np.searchsorted(ids, b)
     p = np.arange(len(ids))
     while True:
         lo, hi = np.minimum(p[x], p[y]), np.maximum(p[x], p[y])
@@ -42,8 +47,11 @@ def _close(edges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if held:
-            node, root = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            node, root = forest(a, b)
+            for i in range(0, len(node), OUT_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i : i + OUT_ROWS]), pa.array(root[i : i + OUT_ROWS])], names=["node", "root"])
 
     return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long")
 

@@ -597,6 +597,31 @@ def test_join_links_sets_without_ids(spark):
     assert got == {(None, 5): 1, (5, 5): 1, (8, 6): 1, (6, 6): 1, (None, 6): 2, (None, None): 2}
 
 
+def test_memory_of_the_join_is_bounded(spark):
+    """However many keys a task or bucket has: blocks and batches are short, keys are sorted range by range, and the same pairs come out."""
+    r = random.Random(17)
+    shared = prose(r, 3000)
+    d = spark.createDataFrame([(k, shared + " " + prose(r, 3000)) for k in range(60)], "doc_id long, text string").coalesce(1)
+    plan = ngram_join.plan_of(d, 80, 100)
+    prints = ngram_join.prints_of(d, plan, 1, 80, 100, 5, (), 1 << 20).filter("x is not null").select("bucket", "x", "y").collect()
+    assert max(len(x["x"]) for x in prints) <= 6 * 2048 and len({x["bucket"] for x in prints}) > 10
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
+    want = {(n, k) for x in prints if x["bucket"] < 0 for n, k in zip(ngram_join.unsix(x["x"]).tolist(), ngram_join.unsix(x["y"]).tolist(), strict=True)}
+    assert {k for _, k in want} == {k for x in prints if x["bucket"] >= 0 for k, n in zip(ngram_join.unsix(x["x"]).tolist(), ngram_join.unsix(x["y"]).tolist(), strict=True) if n == 0}
+    links = ngram_join.key_links(ngram_join.prints_of(d, plan, 1, 80, 100, 5, (), 1 << 20), 2, ()).filter("b is not null").select("a", "b").collect()
+    assert {(x["a"], x["b"] - ngram_join.KEY_NODE) for x in links} == want and len(want) > 10_000
+
+
+def test_ranges_of_keys():
+    r = np.random.default_rng(5)
+    for key in (r.integers(0, 1 << 48, 10_000), r.integers(0, 50, 10_000) + (1 << 50), np.full(500, 7), np.empty(0, np.int64)):
+        parts = list(ngram_join.ranges(key, 300))
+        assert sorted(np.concatenate(parts).tolist()) == list(range(len(key)))
+        seen = [set(key[p].tolist()) for p in parts]
+        assert sum(map(len, seen)) == len(set(key.tolist()))
+    assert max(map(len, ngram_join.ranges(r.integers(0, 1 << 48, 100_000), 1000))) < 1300
+
+
 def test_keys_meet():
     """Any pair that is similar enough shares a key, for every plan of budgets and slack."""
     r = np.random.default_rng(7)
