@@ -1,7 +1,7 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from pages of one host.
 
-A page is a stream of tags and texts. Texts that stand on LITERAL_SHARE of a host's sample pages (three at least) are literals, all others one symbol. Streams are folded (tandem
-repeats become repeated groups), and a host's sample pages are aligned with its wrapper one after the other: where they agree a token stays as it is, where they differ
+A page is a stream of tags and texts. Texts that stand on LITERAL_SHARE of all different pages of a host (three at least) are literals, all others one symbol. Streams are folded (tandem
+repeats become repeated groups), and a host's different folded streams are aligned with its wrapper one after the other: where they agree a token stays as it is, where they differ
 it becomes optional. The wrapper is then a regular expression over fixed tags, literals, text slots, (...)+ and (...)?. What is constant over a host is its template: literals
 are no main text, but inside an article that the page marks by a tag. Slots that vary are main text unless tags put them outside the article, or, where nothing marks the
 article, they are menus (blocks of links alone, side by side or in lists). Main slots are marked as spans; a page is matched by its host's wrapper
@@ -9,8 +9,9 @@ and the text of the main spans is its main text. Pages that a wrapper does not m
 
 A class word alone takes nothing out of a marked article unless it names adverts, comments or page parts (STRICT); others (LOOSE) need a second sign there: links alone, or literals alone.
 
-Wrappers are made from SAMPLE_PAGES pages a host at most, those with the least hashes (copies, pages of one main text, count once), whose folded streams have MAX_TOKENS tokens at most, and applied to all
-pages; `matched` tells which of them matched. Together they are broadcast while they are small, else joined by host, in a join whose partitions Spark can split.
+Nothing is sampled. Texts are counted exactly over all different pages of a host (copies, pages of one main text, count once), by 64-bit hashes, and every folded stream goes into a wrapper: a host of more than
+about TOGETHER different streams has several wrappers, streams dealt among them by hash, and a page is read by the one that its own stream went into, so no host lies in one task. Streams of more than MAX_TOKENS tokens
+make no wrapper; their pages are read whole, by the rules and the host's literals. `matched` tells which pages a wrapper matched. Wrappers are broadcast while they are small, else joined, in joins whose partitions Spark can split.
 
 Defined results: null or empty html gives an empty text; a null URL's host is the empty string; repeated pages and ids each get their own result; an empty table
 gives an empty result; other columns are ignored.
@@ -23,22 +24,23 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skerry.llm.common import cut, map_batches
 
-SAMPLE_PAGES = 12
+#: Different streams that are aligned in one wrapper, about.
+TOGETHER = 12
 #: Longest folded stream that wrappers are made from; longer pages are still read.
 MAX_TOKENS = 4000
-#: Share of a host's sample pages that a literal stands on, and the least share of the main text that must be left when literals are taken out (else the pages are copies).
+#: Share of a host's different pages that a literal stands on, and the least share of the main text that must be left when literals are taken out (else the pages are copies).
 LITERAL_SHARE, LEFT_SHARE = 0.6, 0.2
 BROADCAST_BYTES = 16 << 20
-#: Up to so many sample pages' hosts and hashes are broadcast; beyond, they are joined by shuffling.
+#: Up to so many hosts and hashes of pages, one for each stream, are broadcast; beyond, they are joined by shuffling.
 BROADCAST_ROWS = 200_000
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
@@ -158,20 +160,43 @@ def roles(toks: list[tuple[str, str, str]], literal: list[bool] | None = None) -
 
 
 TAG, CLOSE, UNIT, LITERAL = 0x20000, 0x30000, 0xF0000, 0x100000
-#: Any text that is not blank, as a class of a regular expression.
-TEXT = "[#\U00100000-\U0010ffff]"
+#: Any literal, as a class of a regular expression.
+ANY_LITERAL = "[\U00100000-\U0010ffff]"
 
 
 def plain(text: str) -> str:
     return " ".join(_html.unescape(text).split())
 
 
-def shape(toks: list[tuple[str, str, str]], symbols: dict[str, str], literals: dict[str, str], grow: bool) -> str:
+def signed(data: str) -> int:
+    """A 64-bit hash as Spark's long."""
+    import xxhash
+
+    value = xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >> 63 else value
+
+
+def numbered(literals: Iterable[int]) -> dict[int, str]:
+    """A symbol for each literal, given as hashes of plain texts."""
+    return {t: chr(LITERAL + i % 0xFFFF) for i, t in enumerate(sorted(literals))}
+
+
+def stream_key(toks: list[tuple[str, str, str]], literals: dict[int, str]) -> int | None:
+    """A hash of the folded stream, its lowest bit whether a tag names the article; null where the stream is too long for wrappers."""
+    symbols: dict[str, str] = {}
+    units: dict[str, str] = {}
+    folded = fold(shape(toks, symbols, literals, True), units)
+    if len(folded) > MAX_TOKENS:
+        return None
+    return signed(json.dumps([folded, list(symbols), list(units)])) & ~1 | names_main(toks)
+
+
+def shape(toks: list[tuple[str, str, str]], symbols: dict[str, str], literals: dict[int, str], grow: bool) -> str:
     """One character a token that is no blank text: opening and closing tags from TAG and CLOSE on, literals from LITERAL on, other texts `#`."""
     out = []
     for k, n, v in toks:
         if k == "#":
-            out.append(literals.get(plain(v), "#") if literals else "#")
+            out.append(literals.get(signed(plain(v)), "#") if literals else "#")
         elif k != "_":
             key = k + n + (" " + v if v else "")
             c = symbols.get(key)
@@ -247,16 +272,20 @@ def template_texts(pages: list[list[tuple[str, str, str]]]) -> list[str]:
     return sorted(found) if after >= LEFT_SHARE * before else []
 
 
-def infer(pages: list[str]) -> dict | None:
-    """The wrapper of some pages of a host: symbols, literals, the regular expression with groups m0, m1, ... for main spans, and mixed: whether a repeated group holds both main text and literals."""
+def infer(pages: list[str], known: Iterable[int] | None = None) -> dict | None:
+    """The wrapper of pages of a host: symbols, literals (hashes), the regular expression with groups m0, m1, ... for main spans, and mixed: whether a repeated group holds both main text and literals.
+
+    known: the host's literals; where they aren't given they are those of these pages."""
     symbols: dict[str, str] = {}
     units: dict[str, str] = {}
-    by_text: dict[str, list[tuple[str, str, str]]] = {}
-    for p in pages:  # one page for each main text
-        if toks := tokens(p):
+    read = [toks for p in pages if (toks := tokens(p))]
+    if known is None:
+        by_text: dict[str, list[tuple[str, str, str]]] = {}
+        for toks in read:  # one page for each main text
             by_text.setdefault(render(toks, roles(toks)), toks)
-    read = list(by_text.values())
-    literals = {t: chr(LITERAL + i) for i, t in enumerate(template_texts(read))}
+        read = list(by_text.values())
+        known = map(signed, template_texts(read))
+    literals = numbered(known)
     streams = []
     for toks in read:
         s = shape(toks, symbols, literals, True)
@@ -295,7 +324,7 @@ def infer(pages: list[str]) -> dict | None:
     def expression(c: str) -> str:
         if c in unit_of:
             return "(?:" + "".join(map(expression, unit_of[c])) + ")++"
-        return TEXT if c == "#" or ord(c) >= LITERAL else re.escape(c)
+        return ANY_LITERAL if ord(c) >= LITERAL else re.escape(c)
 
     out, n, open_ = [], 0, False
     for g, run in _runs([(c, (grp, r)) for (c, grp), r in zip(wrapper, role, strict=True)]):
@@ -347,10 +376,10 @@ class Reader:
             if len(self.known) > 500:
                 self.known.clear()
             w = json.loads(wrapper)
-            self.known[wrapper] = (w["symbols"], frozenset(w["literals"]), re.compile(w["regex"], re.S), w["spans"], w["main"], w["mixed"])
+            self.known[wrapper] = (w["symbols"], numbered(w["literals"]), re.compile(w["regex"], re.S), w["spans"], w["main"], w["mixed"]) if "regex" in w else ({}, numbered(w["literals"]), None, 0, False, False)
         symbols, literals, regex, n, with_main, mixed = self.known[wrapper]
-        m = regex.fullmatch(shape(toks, symbols, {}, False)) if with_main == names_main(toks) else None
-        own = [k == "#" and plain(v) in literals for k, _, v in toks] if literals and (mixed or not m) else None
+        m = regex.fullmatch(shape(toks, symbols, literals, False)) if regex and with_main == names_main(toks) else None
+        own = [k == "#" and signed(plain(v)) in literals for k, _, v in toks] if literals and (mixed or not m) else None
         if not m or mixed:
             alone = roles(toks, own)
             if not m:
@@ -367,36 +396,127 @@ class Reader:
         return render(toks, main), True
 
 
-def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """host and wrapper (JSON); pages has host and html. Samples are drawn by host and hash alone; only their html is fetched."""
+def sent(df: DataFrame, literals: bool = False) -> DataFrame:
+    """A table by host for a join: broadcast while it is small."""
+    most, size = F.count(F.lit(1)), F.sum(F.octet_length("host") + 8 * F.greatest(F.size("literals"), F.lit(0))) if literals else F.lit(0)
+    rows, total = df.agg(most, size).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else df
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host and literals (hashes) of hosts that have some: texts on LITERAL_SHARE of all different pages, three at least. pages has host, html and place, a hash of html."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        main, texts = [], []
+        for html in batch.column("html").to_pylist():
+            toks = tokens(html)
+            main.append(signed(render(toks, roles(toks))))
+            texts.append([signed(t) for t in {plain(v) for k, _, v in toks if k == "#"} if t])
+        return {"host": batch.column("host"), "place": batch.column("place"), "main": main, "texts": texts}
+
+    seen = map_batches(pages.select("host", "place", "html"), run, "host string, place long, main long, texts array<long>")
+    # one page for each main text: that of the least hash
+    different = cut(seen.groupBy("host", "main").agg(F.min(F.struct("place", "texts"))["texts"].alias("texts")))
+    need = F.greatest(F.lit(3), F.ceil(F.lit(LITERAL_SHARE) * F.col("n"))).alias("need")
+    hosts = cut(different.groupBy("host").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("host", need))
+    on = different.select("host", F.explode("texts").alias("t")).groupBy("host", "t").agg(F.count(F.lit(1)).alias("c")).filter("c >= 3")
+    return on.join(sent(hosts), "host").filter("c >= need").groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("literals"))
+
+
+def surveyed(pages: DataFrame, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
+    """host, literals (none where too little text would be left without them: the pages are copies) and n (wrappers) of every host; and host, part (wrapper) and place of a page for each different stream."""
+    known = pages.filter("html is not null and html <> ''").select("host", "html", F.xxhash64("html").alias("place"))
+    found = cut(templates(known))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict = {"host": batch.column("host"), "place": batch.column("place"), "main": [], "before": [], "after": [], "bare": [], "full": []}
+        for html, literals in zip(batch.column("html").to_pylist(), batch.column("literals").to_pylist(), strict=True):
+            toks, chars = tokens(html), numbered(literals or [])
+            alone = roles(toks)
+            out["main"].append(signed(render(toks, alone)))
+            out["bare"].append(stream_key(toks, {}))
+            out["before"].append(sum(len(v) for (_, _, v), keep in zip(toks, alone, strict=True) if keep))
+            if chars:
+                own = [signed(plain(v)) in chars for _, _, v in toks]
+                out["after"].append(sum(len(v) for (_, _, v), keep in zip(toks, roles(toks, own), strict=True) if keep))
+            else:
+                out["after"].append(out["before"][-1])
+            out["full"].append(stream_key(toks, chars) if chars else out["bare"][-1])
+        return out
+
+    rows = cut(map_batches(known.join(sent(found, True), "host", "left").select("host", "place", "html", "literals"), run, "host string, place long, main long, before long, after long, bare long, full long"))
+    different = rows.groupBy("host", "main").agg(F.min(F.struct("place", "before", "after")).alias("x"))
+    shown = cut(different.groupBy("host").agg((F.sum("x.after") >= F.lit(LEFT_SHARE) * F.sum("x.before")).alias("shown")))
+    keyed = rows.join(sent(shown), "host").select("host", "place", F.when(F.col("shown"), F.col("full")).otherwise(F.col("bare")).alias("key"))
+    streams = cut(keyed.filter("key is not null").groupBy("host", "key").agg(F.min("place").alias("place")))
+    n = streams.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(together)).cast("long").alias("n"))
+    hosts = shown.join(n, "host", "left").join(found, "host", "left")
+    hosts = cut(hosts.select("host", F.when(F.col("shown"), F.col("literals")).alias("literals"), F.coalesce("n", F.lit(1)).alias("n")))
+    part = (F.pmod(F.shiftright("key", 1), F.col("n")) * 2 + F.pmod("key", F.lit(2))).alias("part")
+    return hosts, cut(streams.join(sent(hosts.select("host", "n")), "host").select("host", part, "place"))
+
+
+def part_of(toks: list[tuple[str, str, str]], literals: dict[int, str], n: int) -> int | None:
+    """The wrapper of a page among its host's."""
+    key = stream_key(toks, literals)
+    return None if key is None else (key >> 1) % n * 2 + key % 2
+
+
+def wrappers(pages: DataFrame, hosts: DataFrame, streams: DataFrame) -> DataFrame:
+    """host, part and wrapper (JSON); pages has host and html. Only the html of one page for each different stream is fetched."""
     known = pages.filter("html is not null and html <> ''").select("host", "html", F.xxhash64("html").alias("place"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("place"))
-    chosen = cut(known.select("host", "place").distinct().withColumn("rank", rank).filter(F.col("rank") <= sample_pages).select("host", "place"))
-    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    sample = known.join(chosen, ["host", "place"]).groupBy("host", "place").agg(F.first("html").alias("html"))
+    chosen = F.broadcast(streams) if streams.count() <= BROADCAST_ROWS else streams
+    fetched = known.join(chosen, ["host", "place"]).groupBy("host", "part", "place").agg(F.first("html").alias("html")).join(sent(hosts.select("host", "literals"), True), "host")
 
     def run(key, table):  # no type hints: Spark would read them
-        found = infer(sorted(set(table.column("html").to_pylist())))
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(found) if found else None]}, schema=pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+        found = infer(sorted(set(table.column("html").to_pylist())), table.column("literals")[0].as_py() or [])
+        return pa.table({"host": [key[0].as_py()], "part": [key[1].as_py()], "wrapper": [json.dumps(found) if found else None]}, schema=pa.schema([("host", pa.string()), ("part", pa.int64()), ("wrapper", pa.string())]))
 
-    return sample.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    return fetched.groupBy("host", "part").applyInArrow(run, "host string, part long, wrapper string").filter("wrapper is not null")
 
 
-def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """page_id, url, text, n_chars and matched (by the host's wrapper) of every page."""
+def extract(pages: DataFrame, together: int = TOGETHER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, text, n_chars and matched (by a wrapper of its host) of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     p = pages.select("page_id", "url", "html").withColumn("host", host)
-    made = cut(wrappers(p, sample_pages).filter("wrapper is not null"))
-    size = made.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
-    held = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in made.collect()}) if size <= broadcast_bytes else None
-    rows = p if held else p.join(made, "host", "left")
+    hosts, streams = surveyed(p, together)
+    made = cut(wrappers(p, hosts, streams))
+    size = (made.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) + (hosts.agg(F.sum(F.octet_length("host") + 8 * F.greatest(F.size("literals"), F.lit(0)) + 8)).first()[0] or 0)
+    held = None
+    if size <= broadcast_bytes:
+        by_host = {r["host"]: (r["literals"] or [], r["n"], {}) for r in hosts.collect()}
+        for r in made.collect():
+            by_host[r["host"]][2][r["part"]] = r["wrapper"]
+        held = pages.sparkSession.sparkContext.broadcast(by_host)
     state: dict = {}
+    kind = dict(pages.dtypes)["page_id"]
+
+    def bare(literals: list[int]) -> str | None:
+        return json.dumps({"literals": literals}) if literals else None
+
+    def part(page: str | None, literals: list[int], n: int | None) -> int | None:
+        return part_of(tokens(page), numbered(literals), n) if page and n else None
+
+    def parts(batch: pa.RecordBatch) -> dict:
+        literals, n = batch.column("literals").to_pylist(), batch.column("n").to_pylist()
+        got = [part(h, t or [], k) for h, t, k in zip(batch.column("html").to_pylist(), literals, n, strict=True)]
+        return {**{c: batch.column(c) for c in ("page_id", "url", "html", "host")}, "bare": [bare(t or []) for t in literals], "part": got}
 
     def run(batch: pa.RecordBatch) -> dict:
         read = state.setdefault("read", Reader())
-        own = [held.value.get(h) for h in batch.column("host").to_pylist()] if held else batch.column("wrapper").to_pylist()
-        got = [read(h, w) for h, w in zip(batch.column("html").to_pylist(), own, strict=True)]
+        html = batch.column("html").to_pylist()
+        if held:
+            own = []
+            for h, page in zip(batch.column("host").to_pylist(), html, strict=True):
+                literals, n, of = held.value.get(h, ([], None, {}))
+                own.append(of.get(part(page, literals, n)) or bare(literals))
+        else:
+            own = [w or b for w, b in zip(batch.column("wrapper").to_pylist(), batch.column("bare").to_pylist(), strict=True)]
+        got = [read(h, w) for h, w in zip(html, own, strict=True)]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": [t for t, _ in got], "n_chars": [len(t) for t, _ in got], "matched": [m for _, m in got]}
 
-    kind = dict(pages.dtypes)["page_id"]
-    return map_batches(rows.select("page_id", "url", "html", "host" if held else "wrapper"), run, f"page_id {kind}, url string, text string, n_chars long, matched boolean")
+    if held:
+        rows = p
+    else:
+        rows = map_batches(p.join(hosts, "host", "left").select("page_id", "url", "html", "host", "literals", "n"), parts, f"page_id {kind}, url string, html string, host string, bare string, part long").join(made, ["host", "part"], "left")
+    return map_batches(rows.select("page_id", "url", "html", *(["host"] if held else ["wrapper", "bare"])), run, f"page_id {kind}, url string, text string, n_chars long, matched boolean")

@@ -449,6 +449,29 @@ def test_wrapper_decides_on_neutral_pages(spark):
     assert alone != got[0]["text"] and "site" in alone and "Imprint" in alone and "site" in got[7]["text"]
 
 
+def test_template_counts_all_pages_of_a_host(spark):
+    """A line that stands on most pages of a host, but on none of those that have the least hashes, is template all the same; many wrappers, broadcast and joined, give the same texts."""
+    from xxhash import xxh64_intdigest
+
+    r = random.Random(12)
+    place = lambda h: (v := xxh64_intdigest(h, seed=42)) - (1 << 64) * (v >> 63)
+    block = lambda i: f"<p>{prose(r, 12)}</p>" + f"<h2>{prose(r, 4)}</h2>" * (i % 2) + f"<ul><li>{prose(r, 3)}</li></ul>" * (i // 2 % 2) + f"<table><tr><td>{prose(r, 5)}</td></tr></table>" * (i // 4 % 2)
+    made = sorted((f"<div><p>template line</p>{block(i)}</div>" for i in range(60)), key=place)
+    few = []
+    while len(few) < 12:
+        if place(h := f"<div><p>free {r.random()}</p>{block(len(few))}</div>") < place(made[0]) // 100 * 99:
+            few.append(h)
+        elif len(made) > 40:
+            made = made[1:]
+    html = few + made
+    assert not any("template line" in h for h in sorted(html, key=place)[:12]) and len(html) >= 50
+    want = {i: [x for x in re.findall(r"<(?:p|h2|li|td)>(.*?)</", h) if x != "template line"] for i, h in enumerate(html)}
+    d = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    for together, size in ((12, html_extraction.BROADCAST_BYTES), (2, html_extraction.BROADCAST_BYTES), (2, 0)):
+        got = {x["page_id"]: x for x in html_extraction.extract(d, together, size).collect()}
+        assert {i: x["text"].split("\n") for i, x in got.items()} == want and all(x["matched"] for x in got.values())
+
+
 def test_marked_articles_lose_nothing_to_class_words():
     page = '<nav>menu</nav><article><p>One</p><div class="share-of-market related">Real text</div><div class="related"><a href="/1">Other</a><a href="/2">More</a></div><div class="ads">buy</div><header>Title</header></article>'
     assert html_extraction.Reader()(page, None)[0] == "One\nReal text\nTitle"
