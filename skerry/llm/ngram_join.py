@@ -30,14 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skerry.llm.common import BATCH_ROWS, Scratch, WordHashes, cut, map_batches, mix64, small_batches
 from skerry.operators.components import LAST, components, forest
 
 #: Least similarity as a ratio of whole numbers, words in a shingle.
 NUM, DEN, WORDS = 90, 100, 3
-#: Sets in a chunk of a cluster, about; chunks are more where sets have more shingles than CHUNK_MEAN on average, so that a task's sets stay at some 4 MB.
-CHUNK, CHUNK_MEAN = 256, 2000
+#: Sets in a chunk of a cluster, about; chunks are more where sets have more shingles than CHUNK_MEAN on average, so that a task's sets stay at some 4 MB. Where pairs of chunks are looked at, a set is sent once for each other chunk.
+CHUNK, CHUNK_MEAN = 1024, 500
 #: Cost of ruling out a pair by its sketches, as a share of a key's.
 PAIR_COST = 0.02
 #: Sketch bits; a sketch only spares exact checks.
@@ -176,10 +177,13 @@ def same_enough(inter: int, a: int, b: int, num: int = NUM, den: int = DEN) -> b
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """Parity of the elements that fall on each of BITS places, as rows of 64-bit words."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    odd = np.bincount(owner * BITS + (flat & np.uint64(BITS - 1)).astype(np.int64), minlength=len(sets) * BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(len(sets), BITS), axis=1).view(np.uint64)
+    out = np.zeros((len(sets), BITS // 64), np.uint64)
+    for i in range(0, len(sets), 256):  # counts take 8 bytes a bit
+        some = sets[i : i + 256]
+        owner = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        odd = np.bincount(owner * BITS + (np.concatenate(some) & np.uint64(BITS - 1)).astype(np.int64), minlength=len(some) * BITS) & 1
+        out[i : i + 256] = np.packbits(odd.astype(np.uint8).reshape(len(some), BITS), axis=1).view(np.uint64)
+    return out
 
 
 def link(sets: list[np.ndarray], group: np.ndarray | None = None, num: int = NUM, den: int = DEN, known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -475,6 +479,18 @@ def plan_of(docs: DataFrame, num: int, den: int) -> Plan:
     return Plan({r["l"]: r["n"] for r in about}, num, den)
 
 
+def numbered_labels(labelled: DataFrame) -> DataFrame:
+    """labelled (cluster, node, root, label) with c, the label's number in its cluster from 1 on, labels, how many there are, and from and to, the numbers of the labels that it isn't held against: those of its own
+    component; none (from 1 to 0) for chunks of several small ones. Each row is a few numbers, however many labels a cluster has: the table may be broadcast."""
+    own = F.col("label.own")
+    apart = labelled.select("cluster", "label").distinct()
+    ordered, same = Window.partitionBy("cluster").orderBy("label"), Window.partitionBy("cluster", own)
+    apart = apart.withColumn("c", F.row_number().over(ordered).cast("long"))
+    apart = apart.withColumn("labels", F.count(F.lit(1)).over(Window.partitionBy("cluster")))
+    apart = apart.withColumn("from", F.when(own < 0, 1).otherwise(F.min("c").over(same))).withColumn("to", F.when(own < 0, 0).otherwise(F.max("c").over(same)))
+    return labelled.join(apart, ["cluster", "label"]).select("cluster", "node", "root", "c", "labels", *(F.col(x).cast("long") for x in ("from", "to")))
+
+
 def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: int = WORDS, chunk: int = CHUNK, carry: tuple[str, ...] = (), held_keys: int = HELD_KEYS, last: int = LAST) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, component_id being the least doc_id that links reach.
 
@@ -541,11 +557,10 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, words: i
             label = F.struct("own", F.pmod(F.xxhash64(F.when(F.col("own") < 0, F.col("root")).otherwise(F.col("node"))), F.col("np")).cast("int").alias("k"))
             labelled = cut(held.select("cluster", "node", "root").join(by_root, ["cluster", "root"]).select("cluster", "node", "root", label.alias("label")))
             if not labelled.isEmpty():
-                labels = labelled.groupBy("cluster").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-                wide = rows.select("node", "s").join(sent(labelled.join(labels, "cluster")), "node")
-                other = F.filter("labels", lambda x: (x["own"] != F.col("label")["own"]) | (x["own"] < 0))
-                wide = wide.withColumn("other", F.explode(F.transform(other, lambda x: F.array_position("labels", x)))).withColumn("c", F.array_position("labels", F.col("label")))
-                task = F.least("c", "other") * (F.size("labels").cast("long") + 1) + F.greatest("c", "other")
+                wide = rows.select("node", "s").join(sent(numbered_labels(labelled)), "node")
+                rest = F.concat(*(F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>")) for a, b in ((F.lit(1).cast("long"), F.col("from") - 1), (F.col("to") + 1, F.col("labels")))))
+                wide = wide.withColumn("other", F.explode(rest))
+                task = F.least("c", "other") * (F.col("labels") + 1) + F.greatest("c", "other")
                 side = F.when(F.col("c") > F.col("other"), 1).otherwise(0)
                 found = found.unionByName(cut(links(wide.select("cluster", task.alias("task"), "node", side.alias("side"), "root", "s"))))
         joined = cut(components(found, last=last))

@@ -666,3 +666,18 @@ def test_keys_meet():
                         shared = np.intersect1d(x, y)
                         # in one band there are more shared keys than either set can do without
                         assert any((shared % 2 == k).sum() > max(left[k], right[k]) for k in (0, 1))
+
+
+def test_labels_of_clusters_are_numbers(spark):
+    """A row that may be broadcast stays as short however many labels its cluster has, and each two labels meet that should."""
+    rows = [(c, k * 1000 + own, own if own >= 0 else k, (own, k)) for c, big in ((1, 3), (2, 90)) for own, most in ((-1, 2), (7, big), (9, 1)) for k in range(most)]
+    got = ngram_join.numbered_labels(spark.createDataFrame(rows, "cluster long, node long, root long, label struct<own:long,k:int>"))
+    assert {t for _, t in got.dtypes} == {"bigint"}
+    at = {(x["cluster"], x["node"]): x for x in got.collect()}
+    assert len(at) == len(rows)
+    for c in (1, 2):
+        labels = sorted(x[3] for x in rows if x[0] == c)
+        for x in (x for x in rows if x[0] == c):
+            r = at[c, x[1]]
+            assert r["labels"] == len(labels) and labels[r["c"] - 1] == x[3]
+            assert [y for i, y in enumerate(labels, 1) if not r["from"] <= i <= r["to"]] == [y for y in labels if y[0] != x[3][0] or y[0] < 0]
