@@ -27,9 +27,15 @@ def remove_loops(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst and weight <> 0")
 
 
-def bidirectional(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge, once, with weight 1."""
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("weight", F.lit(1.0))
+def bidirectional(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Both directions of every edge, once, with weight 1. An edge is drawn together from its lower to its higher end (null comes last) before it is turned, so edges are read, exchanged and held once; by `parts` tasks, if given."""
+    a, b = F.col("src"), F.col("dst")
+    turn = b.isNotNull() & (a.isNull() | (b < a))
+    low, high = F.when(turn, b).otherwise(a), F.when(turn, a).otherwise(b)
+    one = edges.select(low.alias("a"), high.alias("b"))
+    one = (one.repartition(parts, "a", "b") if parts else one).distinct()
+    there, back = F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
+    return one.select(F.inline(F.when(F.col("a").eqNullSafe(F.col("b")), F.array(there)).otherwise(F.array(there, back)))).withColumn("weight", F.lit(1.0))
 
 
 def deterministic(edges: DataFrame, nodes: DataFrame, least: float = 0.5, keep_weight: bool = False, connect: bool = True, both: bool = True) -> DataFrame:

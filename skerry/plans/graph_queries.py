@@ -8,12 +8,29 @@ from skerry.operators import graph, templates
 from skerry.sources.tables import table
 
 SUPPLIERS = 1_000_000
+#: Rows that a task joins or makes distinct, about (some 200 bytes each while it works on them).
+TASK_ROWS = 500_000
 
 
-def _trade(spark, d):
-    """Customer to supplier edges (suppliers' ids raised by SUPPLIERS), weight 1, and all nodes."""
+def _parts(spark, rows: int) -> int | None:
+    """Tasks for so many rows, TASK_ROWS in each; none while all cores together take them. Spark draws partitions together by compressed bytes, of which narrow rows have few, and a task's sorts and tables grow with its rows."""
+    parts = -(-rows // TASK_ROWS)
+    return parts if parts > spark.sparkContext.defaultParallelism else None
+
+
+def _sales(spark, d):
+    """Customer to supplier edges (suppliers' ids raised by SUPPLIERS), one for each line that was sold, and tasks for as many rows."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    e = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SUPPLIERS).alias("dst")).distinct().withColumn("weight", F.lit(1.0))
+    parts = _parts(spark, li.count())  # from the files' footers
+    if parts:
+        o, li = o.select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey"), li.select("l_orderkey", "l_suppkey").repartition(parts, "l_orderkey")
+    return o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + SUPPLIERS).alias("dst")), parts
+
+
+def _trade(spark, d):
+    """Customer to supplier edges, each once, weight 1, and all nodes."""
+    e, parts = _sales(spark, d)
+    e = (e.repartition(parts, "src", "dst") if parts else e).distinct().withColumn("weight", F.lit(1.0))
     n = table(spark, d, "customer").select(F.col("c_custkey").alias("id")).union(table(spark, d, "supplier").select(F.col("s_suppkey") + SUPPLIERS))
     return e, n
 
@@ -74,7 +91,7 @@ def _unit(seed: int, *columns: str) -> str:
 
 
 def graph_bidirectional(spark, d):
-    return graph.bidirectional(_trade(spark, d)[0])
+    return graph.bidirectional(*_sales(spark, d))
 
 
 def graph_add_loops(spark, d):

@@ -215,3 +215,19 @@ def test_plans_stay_in_the_jvm(spark):
     for df in (series.moving_average(s, ["e"], ["t"], "x", 3), series.tumble(s, ["e"], "t", "x", 1), series.interpolate(s, ["e"], "t", "x"), series.ewma(s, ["e"], ["t"], "x", 0.5)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_both_directions_by_one_exchange(spark):
+    pairs = [(1, 2), (2, 1), (3, 3), (None, 4), (4, None), (None, None), (2, 9), (2, 9)]
+    e = spark.createDataFrame(pairs, "src int, dst long")
+    for parts in (None, 3):
+        both = graph.bidirectional(e, parts)
+        assert sorted(map(str, both.collect())) == sorted(f"Row(src={a}, dst={b}, weight=1.0)" for a, b in {*pairs, *((b, a) for a, b in pairs)})
+        plan = both._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate") == 1 and "Union" not in plan
+
+
+def test_tasks_by_rows(spark):
+    from skerry.plans import graph_queries as plans
+
+    assert plans._parts(spark, 4 * plans.TASK_ROWS) is None and plans._parts(spark, 360 * 600_000) == 432
