@@ -231,3 +231,17 @@ def test_tasks_by_rows(spark):
     from skerry.plans import graph_queries as plans
 
     assert plans._parts(spark, 4 * plans.TASK_ROWS) is None and plans._parts(spark, 360 * 600_000) == 432
+
+
+def test_exact_quantiles(spark):
+    """Spark's own, which holds all values of a group in one task, on repeated, null and lone values."""
+    r = random.Random(1)
+    rows = [(k, r.choice([None, r.randrange(5) / 2, r.random()])) for k in ("a", "b", None) for _ in range(100)] + [("z", None), ("one", 3.0)]
+    d, at = spark.createDataFrame(rows, "k string, v double"), [0, 0.1, 0.25, 0.5, 0.77, 1]
+    q = F.percentile("v", F.array(*[F.lit(float(x)) for x in at]))
+    for keys in (["k"], []):
+        mine = {tuple(x[k] for k in keys): (x["min"], x["max"], x["total"], x["q"]) for x in sketch.exact_quantiles(d, keys, "v", at).collect()}
+        want = {tuple(x[k] for k in keys): (x["a"], x["z"], x["n"], x["q"] or [None] * len(at)) for x in d.groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("z"), F.count("v").alias("n"), q.alias("q")).collect()}
+        assert mine == want
+    plan = sketch.exact_quantiles(d, ["k"], "v", at)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan
