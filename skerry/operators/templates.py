@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,8 @@ from skerry.storage import cut
 
 END = "<END>"
 INVALID = "invalid"
+#: Up to so many edges are broadcast to texts or paths; beyond, these are joined by shuffling.
+BROADCAST_ROWS = 250_000
 
 
 def prefix_counts(df: DataFrame, text: str, mark: str) -> DataFrame:
@@ -78,49 +79,56 @@ def layer_candidates(df: DataFrame, text: str, mark: str, threshold: int = 10) -
     return two.groupBy(F.col("a.layer").alias("layer"), F.col("a.src").alias("start"), F.col("b.dst").alias("end")).agg(F.countDistinct("a.dst").alias("n")).filter(F.col("n") >= threshold)
 
 
-def merge_layers(edges: list[tuple[int, str, str]], threshold: int, wild: str = "*") -> set[tuple[int, str, str]]:
-    """The layered graph with a wild token wherever `threshold` tokens lie between two; start tokens in order. A token between keeps its edge to the start
-    if it leads elsewhere too, and its edge to the end if another start leads to it."""
-    out, into = defaultdict(set), defaultdict(set)
-    for layer, a, b in edges:
-        out[layer, a].add(b)
-        into[layer + 1, b].add(a)
-    for layer in range(max((e[0] for e in edges), default=-1)):
-        for start in sorted(a for k, a in list(out) if k == layer):
-            ends = defaultdict(set)
-            for mid in out[layer, start]:
-                for end in out.get((layer + 1, mid), ()):
-                    ends[end].add(mid)
-            good = {e: m for e, m in ends.items() if len(m) >= threshold}
-            if not good:
-                continue
-            mids = set().union(*good.values())
-            for mid in mids - {wild}:
-                alone = into[layer + 1, mid] == {start}
-                if out[layer + 1, mid] <= set(good):
-                    out[layer, start].discard(mid)
-                    into[layer + 1, mid].discard(start)
-                if alone:
-                    for end in [e for e in good if mid in good[e]]:
-                        out[layer + 1, mid].discard(end)
-                        into[layer + 2, end].discard(mid)
-            for end in good:
-                out[layer, start].add(wild)
-                into[layer + 1, wild].add(start)
-                out[layer + 1, wild].add(end)
-                into[layer + 2, end].add(wild)
-    return {(layer, a, b) for (layer, a), bs in out.items() for b in bs}
+def _sent(df: DataFrame) -> DataFrame:
+    """A table that many rows of few keys are joined to: broadcast if it is short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def merge_layers(edges: DataFrame, threshold: int, wild: str = "*") -> DataFrame:
+    """The layered graph (layer, src, dst) with a wild token wherever `threshold` tokens lie between two; start tokens in order. A token between keeps its edge to the start
+    if it leads elsewhere too, and its edge to the end if another start leads to it.
+
+    Layer by layer, by joins. The order of a layer's starts matters in two places only: a token between loses its edges to ends if the last start is the only one left that leads to it, all before having given it up;
+    and where a start leads to the wild token already, that counts as one between for an end that the wild token leads to, by itself or since an earlier start."""
+    edges = cut(edges.select("layer", "src", "dst").distinct())
+    last, least = edges.agg(F.max("layer")).first()[0], max(threshold, 1)
+    if last is None:
+        return edges
+    here, done = edges.filter("layer = 0").select(F.col("src").alias("start"), F.col("dst").alias("mid")), []
+    for layer in range(last):
+        below = edges.filter(F.col("layer") == layer + 1).select(F.col("src").alias("mid"), F.col("dst").alias("end"))
+        into = here.filter(F.col("mid") != wild)
+        leads = into.filter(F.col("mid") != END) if below.filter(F.col("mid") == END).isEmpty() else into  # else all ends of one layer meet nothing in one task
+        paths = leads.join(below, "mid")
+        near = cut(paths.groupBy("start", "end").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least - 1))
+        good = near.filter(F.col("n") >= least).select("start", "end")
+        through = here.filter(F.col("mid") == wild).select("start")
+        if not through.isEmpty():
+            first = good.groupBy("end").agg(F.min("start").alias("first"))
+            known = below.filter(F.col("mid") == wild).select("end", F.lit(True).alias("known"))
+            more = near.filter(F.col("n") == least - 1).join(through, "start", "left_semi").join(first, "end", "left").join(known, "end", "left")
+            good = good.unionByName(more.filter(F.col("known") | (F.col("first") < F.col("start"))).select("start", "end"))
+        good = cut(good)
+        if not good.isEmpty():
+            hit = paths.join(_sent(good), ["start", "end"]).select("start", "mid", "end")
+            met = hit.groupBy("start", "mid").agg(F.count(F.lit(1)).alias("k")).join(below.groupBy("mid").agg(F.count(F.lit(1)).alias("ends")), "mid")
+            met = cut(met.select("start", "mid", (F.col("k") == F.col("ends")).alias("gone")))
+            who = into.groupBy("mid").agg(F.count(F.lit(1)).alias("starts"), F.max("start").alias("last"))
+            late = F.col("start") == F.col("last")
+            alone = met.join(who, "mid").groupBy("mid", "last", "starts").agg(F.max(late).alias("met"), F.sum((~late & F.col("gone")).cast("long")).alias("before"))
+            alone = alone.filter(F.col("met") & (F.col("before") == F.col("starts") - 1)).select(F.col("last").alias("start"), "mid")
+            lost = hit.join(alone, ["start", "mid"], "left_semi").select("mid", "end")
+            here = here.join(met.filter("gone").select("start", "mid"), ["start", "mid"], "left_anti").unionByName(good.select("start", F.lit(wild).alias("mid"))).distinct()
+            below = cut(below.join(lost, ["mid", "end"], "left_anti").unionByName(good.select(F.lit(wild).alias("mid"), "end")).distinct())
+        done.append(here.select(F.lit(layer).alias("layer"), F.col("start").alias("src"), F.col("mid").alias("dst")))
+        here = below.withColumnsRenamed({"mid": "start", "end": "mid"})
+    done.append(here.select(F.lit(last).alias("layer"), F.col("start").alias("src"), F.col("mid").alias("dst")))
+    return cut(reduce(DataFrame.unionByName, done))
 
 
 def layer_templates(df: DataFrame, text: str, mark: str, threshold: int = 10, wild: str = "*") -> DataFrame:
-    """Each different text with its template in the merged layered graph. The graph (different tokens, not texts) is merged in one kernel, whose rule goes from one start token to the next; texts are encoded by joins."""
-    graph = layer_edges(df, text, mark).withColumn("g", F.lit(0))
-
-    def run(pdf):
-        done = merge_layers(list(zip(pdf["layer"], pdf["src"], pdf["dst"], strict=True)), threshold, wild)
-        return pd.DataFrame(sorted(done), columns=["layer", "src", "dst"])
-
-    merged = cut(graph.groupBy("g").applyInPandas(run, "layer int, src string, dst string"))
+    """Each different text with its template, by the merged layered graph; texts are encoded by joins."""
+    merged = merge_layers(layer_edges(df, text, mark), threshold, wild)
     return encode_layers(df.select(F.col(text).alias("text")), merged, mark, wild)
 
 
@@ -129,7 +137,7 @@ def encode_layers(texts: DataFrame, edges: DataFrame, mark: str, wild: str = "*"
     first token that another gives up. `invalid` where none does."""
     t = cut(texts.filter("text is not null").distinct().withColumn("t", tokens(F.col("text"), mark)))
     depth = t.agg(F.max(F.size("t"))).first()[0] or 0
-    starts = edges.filter("layer = 0").select(F.col("src").alias("at")).distinct()
+    starts = _sent(edges.filter("layer = 0").select(F.col("src").alias("at")).distinct())
     own = F.array_distinct(F.array(F.get("t", F.lit(0)), F.lit(wild)))
     ways = t.select("text", "t", F.explode(own).alias("at")).join(starts, "at", "left_semi")
     ways = ways.select("text", "t", F.array("at").alias("p"), F.when(F.col("at") == F.get("t", F.lit(0)), "1").otherwise("0").alias("kept"))
@@ -137,11 +145,13 @@ def encode_layers(texts: DataFrame, edges: DataFrame, mark: str, wild: str = "*"
     for d in range(depth):
         last = F.element_at("p", -1)
         step = edges.filter(F.col("layer") == d).select("src", "dst")
-        ends = ways.filter(F.size("t") == d + 1).join(step.filter(F.col("dst") == END).select(F.col("src").alias("_s")), last == F.col("_s"), "left_semi").select("text", "p", "kept")
+        stop = _sent(step.filter(F.col("dst") == END).select(F.col("src").alias("_s")))
+        ends = ways.filter(F.size("t") == d + 1).join(stop, last == F.col("_s"), "left_semi").select("text", "p", "kept")
         done = ends if done is None else done.unionByName(ends)
         on = ways.filter(F.size("t") > d + 1).withColumn("_last", last).withColumn("_next", F.get("t", F.lit(d + 1)))
-        on = on.join(step, F.col("_last") == F.col("src")).filter((F.col("dst") == F.col("_next")) | (F.col("dst") == wild))
-        ways = cut(on.select("text", "t", F.concat("p", F.array("dst")).alias("p"), F.concat("kept", F.when(F.col("dst") == F.col("_next"), "1").otherwise("0")).alias("kept")))
+        same = on.join(_sent(step), (F.col("_last") == F.col("src")) & (F.col("_next") == F.col("dst")), "left_semi")  # a token is never held against all that follow another
+        other = on.filter(F.col("_next") != wild).join(_sent(step.filter(F.col("dst") == wild).select("src")), F.col("_last") == F.col("src"), "left_semi")
+        ways = cut(same.select("text", "t", F.concat("p", F.array("_next")).alias("p"), F.concat("kept", F.lit("1")).alias("kept")).unionByName(other.select("text", "t", F.concat("p", F.array(F.lit(wild))).alias("p"), F.concat("kept", F.lit("0")).alias("kept"))))
     if done is None:
         return t.select("text", F.lit(INVALID).alias("template"))
     best = done.groupBy("text").agg(F.max(F.struct("kept", "p"))["p"].alias("p"))

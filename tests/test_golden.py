@@ -1,6 +1,7 @@
 """Small cases computed by hand."""
 
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -245,3 +246,54 @@ def test_exact_quantiles(spark):
         assert mine == want
     plan = sketch.exact_quantiles(d, ["k"], "v", at)._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan
+
+
+def merged_in_order(edges, threshold, wild="*"):
+    """The rule of merge_layers, start by start."""
+    out, into = defaultdict(set), defaultdict(set)
+    for layer, a, b in edges:
+        out[layer, a].add(b)
+        into[layer + 1, b].add(a)
+    for layer in range(max((e[0] for e in edges), default=-1)):
+        for start in sorted(a for k, a in list(out) if k == layer):
+            ends = defaultdict(set)
+            for mid in out[layer, start]:
+                for end in out.get((layer + 1, mid), ()):
+                    ends[end].add(mid)
+            good = {e: m for e, m in ends.items() if len(m) >= threshold}
+            if not good:
+                continue
+            mids = set().union(*good.values())
+            for mid in mids - {wild}:
+                alone = into[layer + 1, mid] == {start}
+                if out[layer + 1, mid] <= set(good):
+                    out[layer, start].discard(mid)
+                    into[layer + 1, mid].discard(start)
+                if alone:
+                    for end in [e for e in good if mid in good[e]]:
+                        out[layer + 1, mid].discard(end)
+                        into[layer + 2, end].discard(mid)
+            for end in good:
+                out[layer, start].add(wild)
+                into[layer + 1, wild].add(start)
+                out[layer + 1, wild].add(end)
+                into[layer + 2, end].add(wild)
+    return {(layer, a, b) for (layer, a), bs in out.items() for b in bs}
+
+
+def test_layers_merge_by_joins(spark):
+    r = random.Random(5)
+    for run, (threshold, n, tokens) in enumerate([(2, 30, "abcd*"), (2, 40, "abcdefgh"), (3, 60, "abcde*")]):
+        texts = {"/".join(r.choice(tokens) if r.random() < 0.97 else "<END>" for _ in range(r.randint(1, 4))) for _ in range(n)}
+        d = spark.createDataFrame([(x,) for x in texts], "u string")
+        edges = templates.layer_edges(d, "u", "/")
+        want = merged_in_order([tuple(x) for x in edges.collect()], threshold)
+        merged = templates.merge_layers(edges, threshold)
+        assert sorted(map(tuple, merged.collect())) == sorted(want), run
+
+
+def test_layers_and_digests_have_no_large_task(spark):
+    from skerry import catalog
+
+    plan = catalog.QUERIES["tmpl_layer_templates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and not hasattr(templates, "defaultdict")
