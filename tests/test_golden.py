@@ -297,3 +297,4 @@ def test_layers_and_digests_have_no_large_task(spark):
 
     plan = catalog.QUERIES["tmpl_layer_templates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "InPandas" not in plan and not hasattr(templates, "defaultdict")
+    assert "percentile" not in catalog.QUERIES["stat_tdigest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
